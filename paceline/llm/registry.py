@@ -1,9 +1,13 @@
 """The corpus queries by name."""
 
 from paceline.llm.bpe import op10_bpe_forced_boundary
+from paceline.llm.lattice import op5_lattice_likelihood
+from paceline.llm.quality import op3_quality_subword
 from paceline.llm.simhash import op8_simhash_tiled
 
 QUERIES = {
+    "op3_quality_subword": op3_quality_subword,
+    "op5_lattice_likelihood": op5_lattice_likelihood,
     "op8_simhash_tiled": op8_simhash_tiled,
     "op10_bpe_forced_boundary": op10_bpe_forced_boundary,
 }
