@@ -1,14 +1,20 @@
 """The corpus queries by name."""
 
+from paceline.llm import knn, warc
 from paceline.llm.bpe import op10_bpe_forced_boundary
 from paceline.llm.lattice import op5_lattice_likelihood
 from paceline.llm.quality import op3_quality_subword
 from paceline.llm.simhash import op8_simhash_tiled
 
 QUERIES = {
+    "op1_voronoi_topk": knn.op1_voronoi_topk,
     "op3_quality_subword": op3_quality_subword,
     "op5_lattice_likelihood": op5_lattice_likelihood,
+    "op6_warc_zstd": warc.op6_warc_zstd,
     "op8_simhash_tiled": op8_simhash_tiled,
     "op10_bpe_forced_boundary": op10_bpe_forced_boundary,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_voronoi_topk": knn.ORACLE,
+    "op6_warc_zstd": warc.ORACLE,
+}
