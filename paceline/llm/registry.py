@@ -1,6 +1,6 @@
 """The corpus queries by name."""
 
-from paceline.llm import knn, warc
+from paceline.llm import decontaminate, knn, pii, warc
 from paceline.llm.bpe import op10_bpe_forced_boundary
 from paceline.llm.lattice import op5_lattice_likelihood
 from paceline.llm.quality import op3_quality_subword
@@ -11,7 +11,9 @@ QUERIES = {
     "op3_quality_subword": op3_quality_subword,
     "op5_lattice_likelihood": op5_lattice_likelihood,
     "op6_warc_zstd": warc.op6_warc_zstd,
+    "op7_pii_boosting": pii.op7_pii_boosting,
     "op8_simhash_tiled": op8_simhash_tiled,
+    "op9_template_leaks": decontaminate.op9_template_leaks,
     "op10_bpe_forced_boundary": op10_bpe_forced_boundary,
 }
 ORACLES: dict[str, str] = {
