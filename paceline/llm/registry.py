@@ -1,6 +1,6 @@
 """The corpus queries by name."""
 
-from paceline.llm import decontaminate, knn, pii, toxicity, warc
+from paceline.llm import decontaminate, knn, pii, suffix, toxicity, warc
 from paceline.llm.bpe import op10_bpe_forced_boundary
 from paceline.llm.lattice import op5_lattice_likelihood
 from paceline.llm.quality import op3_quality_subword
@@ -10,6 +10,7 @@ QUERIES = {
     "op1_voronoi_topk": knn.op1_voronoi_topk,
     "op2_toxicity_nearest": toxicity.op2_toxicity_nearest,
     "op3_quality_subword": op3_quality_subword,
+    "op4_suffix_dedup": suffix.op4_suffix_dedup,
     "op5_lattice_likelihood": op5_lattice_likelihood,
     "op6_warc_zstd": warc.op6_warc_zstd,
     "op7_pii_boosting": pii.op7_pii_boosting,
