@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from paceline.plans import base, periods, tracks, training  # noqa: F401  (each registers its queries)
+
+QUERIES = base.QUERIES
+ORACLES = base.ORACLES
