@@ -164,13 +164,43 @@ def smooth_in_place(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def smooth_moving(values: np.ndarray, moving: np.ndarray, width: int) -> np.ndarray:
+    """Centred mean over moving samples with a positive value, replaced in order; others stay."""
+    out, half = values.astype(float).copy(), width // 2
+    for i in range(len(out)):
+        if moving[i] and out[i] > 0:
+            low, high = max(0, i - half), i + half + 1
+            near = out[low:high][moving[low:high] & (out[low:high] > 0)]
+            out[i] = near.mean()
+    return out
+
+
+def without_spikes(steps: np.ndarray, lat: np.ndarray, lon: np.ndarray, longest: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Samples that jump more than ``longest`` km go to the middle of the repaired one before and the one after; the last to the one before."""
+    steps, lat, lon = (x.astype(float).copy() for x in (steps, lat, lon))
+    for i in range(1, len(steps)):
+        if steps[i] > longest:
+            for x in (steps, lat, lon):
+                x[i] = (x[i - 1] + x[i + 1]) / 2 if i + 1 < len(x) else x[i - 1]
+    return steps, lat, lon
+
+
 def cleaned(points: DataFrame, in_place: bool = True) -> DataFrame:
-    """Adds ``elevation_clean`` and ``grade_smooth``: recursive filters, so each activity is one pandas group, bounded by its samples."""
-    schema = points.select("*", F.lit(0.0).alias("elevation_clean"), F.lit(0.0).alias("grade_smooth")).schema
+    """Adds ``elevation_clean``, ``grade_smooth`` and ``speed_clean``, and repairs jumps of position where ``lat``, ``lon`` and
+    ``d_km`` are given. The filters are recursive, so each activity is one pandas group, bounded by its samples."""
+    schema = points.select("*", *[F.lit(0.0).alias(c) for c in ("elevation_clean", "grade_smooth", "speed_clean")]).schema
+    placed = {"lat", "lon", "d_km"} <= set(points.columns)
 
     def one(samples: pd.DataFrame) -> pd.DataFrame:
         samples = samples.sort_values("idx")
-        return samples.assign(elevation_clean=smooth_in_place(hampel(samples["elevation"].to_numpy(), in_place=in_place), 5), grade_smooth=smooth_in_place(samples["grade"].to_numpy(), 7))
+        if placed:
+            steps, lat, lon = without_spikes(*(samples[c].to_numpy() for c in ("d_km", "lat", "lon")))
+            samples = samples.assign(d_km=steps, lat=lat, lon=lon)
+        speed = hampel(samples["speed"].to_numpy(), in_place=in_place)
+        return samples.assign(
+            elevation_clean=smooth_in_place(hampel(samples["elevation"].to_numpy(), in_place=in_place), 5), grade_smooth=smooth_in_place(samples["grade"].to_numpy(), 7),
+            speed_clean=smooth_moving(speed, samples["moving"].to_numpy().astype(bool), 7),
+        )
 
     return points.groupBy("activity_id").applyInPandas(one, schema)
 

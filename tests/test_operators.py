@@ -154,6 +154,17 @@ def test_hampel_in_place_differs_from_parallel():
     assert points.hampel(np.array([1.0, np.nan])).tolist()[0] == 1.0
 
 
+def test_spikes_use_the_repaired_sample_before():
+    steps, lat, _ = points.without_spikes(np.array([0, 0.5, 0.5, 0.02, 0.4]), np.array([0.0, 8.0, 4.0, 2.0, 9.0]), np.zeros(5))
+    assert steps.tolist() == [0, 0.25, pytest.approx(0.135), 0.02, 0.02]
+    assert lat.tolist() == [0.0, 2.0, 2.0, 2.0, 2.0]
+
+
+def test_smoothing_of_moving_samples():
+    got = points.smooth_moving(np.array([1.0, 0.0, 3.0, 5.0]), np.array([True, True, False, True]), 3)
+    assert got.tolist() == [1.0, 0.0, 3.0, 5.0]
+
+
 def test_power_curve_is_the_best_window(spark):
     p = [1.0, 5.0, 2.0, 9.0, 4.0]
     df = spark.createDataFrame([(1, k, v) for k, v in enumerate(p)], "activity_id long, idx int, power double")
