@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples.
 
-A bounded sample of labelled rows gives the examples and the terms that tell their classes apart
-(chi-squared over the sample). Every document is turned, once, into its counts of those terms; document
+A bounded sample of labelled rows gives the examples and the terms that mark class 1 (chi-squared over
+the sample). Every document is turned, once, into its counts of those terms; document
 frequencies are counted over all documents. The nearest examples by exact TF-IDF cosine are found with an
 inverted index in blocks: each term has its postings and, for each block of examples, the largest weight
 in it. A block whose summed bound can't reach the k-th best cosine so far is skipped, which never changes
@@ -163,7 +163,8 @@ class Model:
 
 
 def chosen_terms(sample: DataFrame, settings: Settings) -> list[str]:
-    """Terms by chi-squared between holding the term and the label, over the sample's rows ``_y, data``."""
+    """Terms by chi-squared between holding the term and the label, over the sample's rows ``_y, data``. Only terms of class
+    1 count: a large group of copies that all lack the label would mark any of its words as evidence against it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ones, zeros = Counter(), Counter()
@@ -182,7 +183,7 @@ def chosen_terms(sample: DataFrame, settings: Settings) -> list[str]:
     n1, n0 = float(whole["a"]), float(whole["b"])
     a, b = F.col("a"), F.col("b")
     chi = (n1 + n0) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (n1 * n0 * (a + b) * F.greatest(n1 + n0 - a - b, F.lit(1.0)))
-    rows = counts.where("term <> '' and a + b >= 5").withColumn("chi", chi).where(F.col("chi") >= settings.chi_squared).orderBy(F.desc("chi"), "term").limit(settings.terms).collect()
+    rows = counts.where("term <> '' and a + b >= 5").withColumn("chi", chi).where((F.col("chi") >= settings.chi_squared) & (a * n0 > b * n1)).orderBy(F.desc("chi"), "term").limit(settings.terms).collect()
     return [r["term"] for r in rows]
 
 
@@ -206,10 +207,22 @@ def restricted(docs: DataFrame, terms: list[str], text_col: str = "text") -> Dat
     return kept.mapInArrow(run, schema)
 
 
+def document_frequency(vectors: DataFrame) -> dict[int, int]:
+    """How many documents hold each term. Each task sums up its own, so a term of very many documents is a row a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[int] = Counter()
+        for batch in batches:
+            counts.update(batch.column(0).flatten().to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["t", "n"])
+
+    return {r["t"]: r["n"] for r in vectors.select("_terms").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}  # a row a term
+
+
 def fitted(vectors: DataFrame, chosen: DataFrame, terms: list[str], share: float, settings: Settings, id_col: str) -> Model:
     """The index and its calibration. ``share`` is class 1's share among all labelled rows that may be learnt from."""
     n_docs = vectors.count()
-    frequency = {r[0]: r[1] for r in vectors.select(F.explode("_terms").alias("t")).groupBy("t").count().collect()}  # a row a term
+    frequency = document_frequency(vectors)
     idf = np.array([np.log((1 + n_docs) / (1 + frequency.get(i, 0))) + 1 for i in range(len(terms))])
     rows = vectors.join(F.broadcast(chosen), vectors[id_col] == chosen["_id"]).select("_id", "_y", "_terms", "_counts").orderBy("_id", "_terms", "_counts").collect()  # bounded by the sample
     n1, n0 = (sum(r["_y"] == y for r in rows) for y in (1, 0))
