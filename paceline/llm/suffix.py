@@ -27,7 +27,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.llm.common import bounded_batches, mixed, partitions, read_table, stored, text_bytes, utf8
@@ -38,7 +39,7 @@ class Settings:
     length: int = 50
     anchor: int = 20
     #: bytes that the quicksort orders before blind tries take over; a multiple of 8
-    shallow: int = 16
+    shallow: int = 32
     #: different contexts of one anchor beyond which its windows are split by hash
     crowd: int = 4096
 
@@ -106,27 +107,48 @@ def runs(raw: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarr
         context = mixed(count.astype(np.uint64) + np.uint64(77))
         for at_block in (start, start + 16, start + 32, end - 32, end - 16):
             context = _joined(context, sixteen[at_block])
-        parts.append((mixed(least[start] + np.uint64(5)), mixed(context), start + at, count))
+        parts.append((mixed(least[start] + np.uint64(5)) & np.uint64((1 << 48) - 1), mixed(context), start + at, count))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+#: An anchor's 48 bits decide who meets (a chance meeting costs a comparison only); contexts are equal if both fields are.
 RECORD = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("start", "<u4"), ("windows", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("start", "<u4"), ("end", "<u4")])
 WANT = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("anchor", "<u8"), ("crowd", "<u4"), ("start", "<u4"), ("windows", "u1")])
 
 
 def packed(rows: np.ndarray) -> bytes:
-    """Column after column, so that the shuffle's compression finds what repeats."""
-    return len(rows).to_bytes(8, "little") + b"".join(np.ascontiguousarray(rows[k]).tobytes() for k in rows.dtype.names)
+    """Rows in order of document and place, column after column: differences for what rises, six bytes for anchors, and
+    compression for all but the hashes."""
+    names = rows.dtype.names
+    rows = rows[np.lexsort((rows["start"], rows["doc"]))]
+    plain, steps = [], []
+    for k in names:
+        x = np.ascontiguousarray(rows[k])
+        if k == "anchor":
+            plain.append(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
+        elif k == "context":
+            plain.append(x.tobytes())
+        else:
+            steps.append(np.diff(x, prepend=x.dtype.type(0)).tobytes() if k != "windows" else x.tobytes())
+    small = zstandard.ZstdCompressor(level=1).compress(b"".join(steps))
+    return len(rows).to_bytes(8, "little") + len(small).to_bytes(8, "little") + small + b"".join(plain)
 
 
 def unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
-    n, at = int.from_bytes(data[:8], "little"), 8
+    n, size = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little")
     out = np.empty(n, kind)
+    small, at, low = zstandard.ZstdDecompressor().decompress(data[16 : 16 + size]), 16 + size, 0
     for k in kind.names:
-        size = kind[k].itemsize * n
-        out[k] = np.frombuffer(data, kind[k], n, at)
-        at += size
+        if k == "anchor":
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, :6] = np.frombuffer(data, np.uint8, 6 * n, at).reshape(n, 6)
+            out[k], at = wide.reshape(-1).view("<u8"), at + 6 * n
+        elif k == "context":
+            out[k], at = np.frombuffer(data, "<u8", n, at), at + 8 * n
+        else:
+            x = np.frombuffer(small, kind[k], n, low)
+            out[k], low = np.cumsum(x, dtype=x.dtype) if k != "windows" else x, low + kind[k].itemsize * n
     return out
 
 
@@ -164,6 +186,10 @@ def merged(spans: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- deep-shallow sorting
 
 
+#: Groups of at most so many suffixes are ordered directly.
+SMALL = 1 << 16
+
+
 def multikey(words: np.ndarray, order: np.ndarray, depth: int, upto: int) -> list[tuple[int, int]]:
     """Multikey quicksort of ``order`` by the columns ``depth`` to ``upto`` of ``words`` (rows of eight-byte characters):
     three-way partitioning on one character at a time. Sorts in place; returns the groups that are equal throughout."""
@@ -177,17 +203,18 @@ def multikey(words: np.ndarray, order: np.ndarray, depth: int, upto: int) -> lis
             equal.append((lo, hi))
             continue
         own = order[lo:hi]
-        key = words[own, d]
-        if hi - lo <= 2048:  # small: order the character at once and go on with the groups it leaves
-            by = np.argsort(key, kind="stable")
+        if hi - lo <= SMALL:  # small: order all remaining characters at once
+            rest = words[own, d:upto]
+            by = np.lexsort(rest.T[::-1])
             order[lo:hi] = own[by]
-            key = key[by]
-            edge = np.flatnonzero(key[1:] != key[:-1]) + 1
+            rest = rest[by]
+            edge = np.flatnonzero((rest[1:] != rest[:-1]).any(axis=1)) + 1
             first = np.concatenate([[0], edge])
             last = np.concatenate([edge, [hi - lo]])
             some = np.flatnonzero(last - first > 1)
-            todo += [(lo + int(first[i]), lo + int(last[i]), d + 1) for i in some]
+            equal += zip((lo + first[some]).tolist(), (lo + last[some]).tolist(), strict=True)
             continue
+        key = words[own, d]
         a, b, c = key[0], key[len(key) // 2], key[-1]
         pivot = max(min(a, b), min(max(a, b), c))
         less, same = key < pivot, key == pivot
@@ -287,14 +314,24 @@ def deep_shallow(text: np.ndarray, starts: np.ndarray, length: int, shallow: int
 # ---------------------------------------------------------------- the job
 
 
+def mark_of(text_col: str) -> Column:
+    """Sixteen bits of the text's hash, never null: tells rows of one id apart."""
+    return F.xxhash64(text_col).bitwiseAND(F.lit(0xFFFF)).cast("int")
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the join key of its rows. Both joins read exactly this, so that Spark shuffles the texts once for both.
+    A null id becomes the smallest long: nothing is ever removed from the smallest id."""
+    return docs.withColumns({"_key": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "_mark": mark_of(text_col)})
+
+
 def document_spans(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """``_id, _tag, spans``: packed spans of removed bytes per document; documents without any are missing."""
+    """``id, tag, spans``: packed spans of removed bytes per document; documents without any are missing."""
     spark = docs.sparkSession
     bounded_batches(spark)
     n_parts = partitions(spark, 3)
     length, table = s.length, docs.where(F.col(id_col).isNotNull())
-    tag = F.pmod(F.xxhash64(text_col), F.lit(1 << 16)).cast("int")
-    rows = table.select(F.col(id_col).cast("long").alias("id"), tag.alias("tag"), text_bytes(text_col).alias("data")).where(F.octet_length("data") >= length)
+    rows = table.select(F.col(id_col).cast("long").alias("id"), mark_of(text_col).alias("tag"), text_bytes(text_col).alias("data")).where(F.octet_length("data") >= length)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -354,33 +391,54 @@ def document_spans(docs: DataFrame, s: Settings, id_col: str, text_col: str) ->
             for k in ("doc", "tag", "anchor", "start", "windows"):
                 want[k] = rows[k]
             want["crowd"] = np.minimum(crowd, 2**32 - 1)
-        spans = merged(np.concatenate(gone)) if gone else np.zeros(0, SPAN)
-        out: list[tuple] = []
-        docs = []
-        for kind, rows in (("spans", spans), ("want", want)):
-            rows = rows[np.lexsort((rows["tag"], rows["doc"]))]
+        return dealt(merged(np.concatenate(gone)) if gone else np.zeros(0, SPAN), want)
+
+    def dealt(spans: np.ndarray, want: np.ndarray) -> pa.Table:
+        """Rows for the buckets of their documents, one packed row a bucket."""
+        blobs: dict[int, list[bytes | None]] = {}
+        for k, rows in enumerate((spans, want)):
+            bucket = (mixed(rows["doc"].astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            rows, bucket = rows[by], bucket[by]
+            first = np.searchsorted(bucket, np.arange(n_parts + 1))
+            for p in np.flatnonzero(np.diff(first)).tolist():
+                blobs.setdefault(p, [None, None])[k] = packed(rows[first[p] : first[p + 1]])
+        return pa.table({"bucket": pa.array(list(blobs), pa.int32()), "spans": pa.array([b[0] for b in blobs.values()], pa.binary()), "want": pa.array([b[1] for b in blobs.values()], pa.binary())})
+
+    def gather(table: pa.Table) -> pa.Table:
+        """One row a document: its merged spans and what it must be asked for."""
+        blobs: dict[tuple[int, int], list[bytes | None]] = {}
+        for k, (name, kind) in enumerate((("spans", SPAN), ("want", WANT))):
+            parts = [unpacked(x, kind) for x in table[name].to_pylist() if x]
+            if not parts:
+                continue
+            rows = np.concatenate(parts)
+            rows = merged(rows) if k == 0 else rows[np.lexsort((rows["start"], rows["tag"], rows["doc"]))]
             edge = np.flatnonzero((rows["doc"][1:] != rows["doc"][:-1]) | (rows["tag"][1:] != rows["tag"][:-1])) + 1
-            docs.append((kind, rows, np.concatenate([[0], edge, [len(rows)]]).astype(np.int64) if len(rows) else np.zeros(1, np.int64)))
-        for kind, rows, cuts in docs:
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                data = packed(rows[a:b])
-                out.append((int(rows["doc"][a]), int(rows["tag"][a]), data if kind == "spans" else None, data if kind == "want" else None))
-        ids, tags, spans, wants = zip(*out, strict=True) if out else ((),) * 4
-        return pa.table({"id": pa.array(ids, pa.int64()), "tag": pa.array(tags, pa.int32()), "spans": pa.array(spans, pa.binary()), "want": pa.array(wants, pa.binary())})
+            cuts = [0, *edge.tolist(), len(rows)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b > a:
+                    blobs.setdefault((int(rows["doc"][a]), int(rows["tag"][a])), [None, None])[k] = packed(rows[a:b])
+        ids, tags = zip(*blobs, strict=True) if blobs else ((), ())
+        return pa.table({"id": pa.array(ids, pa.int64()), "tag": pa.array(tags, pa.int32()), "spans": pa.array([b[0] for b in blobs.values()], pa.binary()), "want": pa.array([b[1] for b in blobs.values()], pa.binary())})
 
-    met = stored(rows.mapInArrow(anchors, "part int, records binary, gone binary").repartition(n_parts, "part").groupBy("part").applyInArrow(meet, "id long, tag int, spans binary, want binary"), "met")
+    def gathered(buckets: DataFrame) -> DataFrame:
+        return buckets.repartition(n_parts, "bucket").groupBy("bucket").applyInArrow(gather, "id long, tag int, spans binary, want binary")
 
-    wanted = met.where("want is not null").groupBy("id", "tag").agg(F.collect_list("want").alias("wants"))
+    records = rows.mapInArrow(anchors, "part int, records binary, gone binary").repartition(n_parts, "part")
+    met = stored(gathered(records.groupBy("part").applyInArrow(meet, "bucket int, spans binary, want binary")), "met")
+    wanted = met.where("want is not null").select("id", "tag", "want")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cut the contexts out of the texts and deal them to buckets."""
         for batch in batches:
-            raw, offs = utf8(batch.column(2))
+            ids, marks, texts, asked = (batch.column(k) for k in place)
+            raw, offs = utf8(texts)
             out: dict[int, list[tuple]] = {}
-            for i, (doc, mark, wants) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            for i, (doc, mark, wants) in enumerate(zip(ids.to_pylist(), marks.to_pylist(), asked.to_pylist(), strict=True)):
                 text = raw[offs[i] : offs[i + 1]]
                 whole = text.tobytes()
-                for w in np.concatenate([unpacked(x, WANT) for x in wants]).tolist():
+                for w in unpacked(wants, WANT).tolist():
                     _, _, anchor, crowd, start, windows = w
                     if crowd <= s.crowd:
                         out.setdefault(anchor // n_parts % n_parts, []).append((doc, mark, start, whole[start : start + windows + length - 1]))
@@ -394,8 +452,9 @@ def document_spans(docs: DataFrame, s: Settings, id_col: str, text_col: str) ->
                 columns = np.array(doc, "<i8"), np.array(mark, "<u2"), np.array(start, "<u4"), np.array([len(x) for x in text], "<u2")
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in columns), pa.array([b"".join(text)], pa.binary())], ["bucket", "docs", "tags", "starts", "sizes", "texts"])
 
-    texts = table.select(F.col(id_col).cast("long").alias("id"), tag.alias("tag"), text_bytes(text_col).alias("data"))
-    contexts = texts.join(wanted, ["id", "tag"]).select("id", "tag", "data", "wants").mapInArrow(fetch, "bucket int, docs binary, tags binary, starts binary, sizes binary, texts binary")
+    joined = keyed(docs, id_col, text_col).join(wanted.withColumnsRenamed({"id": "_id", "tag": "_tag"}), (F.col("_key") == F.col("_id")) & (F.col("_mark") == F.col("_tag")))
+    place = [joined.columns.index(c) for c in ("_key", "_mark", text_col, "want")]
+    contexts = joined.mapInArrow(fetch, "bucket int, docs binary, tags binary, starts binary, sizes binary, texts binary")
 
     def sort(table: pa.Table) -> pa.Table:
         col = lambda k, kind: np.concatenate([np.frombuffer(x, kind) for x in table[k].to_pylist()])
@@ -413,14 +472,10 @@ def document_spans(docs: DataFrame, s: Settings, id_col: str, text_col: str) ->
         spans["doc"], spans["tag"] = doc[owner[gone]], mark[owner[gone]]
         spans["start"] = start[owner[gone]] + inner[gone]
         spans["end"] = spans["start"] + np.uint32(length)
-        spans = merged(spans)
-        cut = np.concatenate([[0], np.flatnonzero((spans["doc"][1:] != spans["doc"][:-1]) | (spans["tag"][1:] != spans["tag"][:-1])) + 1, [len(spans)]]) if len(spans) else np.zeros(1, np.int64)
-        own = [(int(spans["doc"][a]), int(spans["tag"][a]), packed(spans[a:b])) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        ids, tags, blobs = zip(*own, strict=True) if own else ((),) * 3
-        return pa.table({"id": pa.array(ids, pa.int64()), "tag": pa.array(tags, pa.int32()), "spans": pa.array(blobs, pa.binary())})
-
-    sorted_ = contexts.repartition(n_parts, "bucket").groupBy("bucket").applyInArrow(sort, "id long, tag int, spans binary")
-    every = met.where("spans is not null").select("id", "tag", "spans").unionByName(sorted_)
+        return dealt(merged(spans), np.zeros(0, WANT))
+
+    sorted_ = gathered(contexts.repartition(n_parts, "bucket").groupBy("bucket").applyInArrow(sort, "bucket int, spans binary, want binary"))
+    every = met.where("spans is not null").select("id", "tag", "spans").unionByName(sorted_.select("id", "tag", "spans"))
     return every.groupBy("id", "tag").agg(F.collect_list("spans").alias("spans"))
 
 
@@ -431,16 +486,17 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), id_col: str
     Texts shorter than the length stay whole. Columns named ``kept`` and ``removed`` are replaced.
     """
     base = docs.drop("kept", "removed")
-    spans = document_spans(docs, settings, id_col, text_col).select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans"))
-    read = base.withColumns({"_key": F.col(id_col).cast("long"), "_mark": F.pmod(F.xxhash64(text_col), F.lit(1 << 16)).cast("int"), "_data": text_bytes(text_col)})
-    joined = read.join(spans, (F.col("_key") == F.col("_id")) & (F.col("_mark") == F.col("_tag")), "left").select(*base.columns, "_data", "_spans")
+    spans = document_spans(base, settings, id_col, text_col).select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans"))
+    joined = keyed(base, id_col, text_col).join(spans, (F.col("_key") == F.col("_id")) & (F.col("_mark") == F.col("_tag")), "left").select(*base.columns, "_spans")
+    at = base.columns.index(text_col)
     width = len(base.columns)
     pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, removed = [], []
-            for data, blobs in zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True):
+            for text, blobs in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist(), strict=True):
+                data = (text or "").encode()
                 rows = merged(np.concatenate([unpacked(x, SPAN) for x in blobs])) if blobs else np.zeros(0, SPAN)
                 cuts = list(zip(rows["start"].tolist(), rows["end"].tolist(), strict=True))
                 edges = [0, *(x for c in cuts for x in c), len(data)]
