@@ -1,10 +1,10 @@
 """Toxicity by nearest labelled examples.
 
-A bounded sample of labelled rows gives the examples and the terms that mark class 1 (chi-squared over
-the sample). Every document is turned, once, into its counts of those terms; document
+A bounded sample of labelled rows gives the examples; every term of an example is a term of the index, so
+the vocabulary is bounded by the sample. Every document is turned, once, into its counts of those terms; document
 frequencies are counted over all documents. The nearest examples by exact TF-IDF cosine are found with an
-inverted index in blocks: each term has its postings and, for each block of examples, the largest weight
-in it. A block whose summed bound can't reach the k-th best cosine so far is skipped, which never changes
+inverted index in blocks: rare terms have postings, terms of many examples a row of weights in each block and the
+largest of it. A block whose bound can't reach the k-th best cosine so far is skipped, which never changes
 the result. Votes weigh by cosine; the vote is turned into a probability by logistic calibration on the
 examples themselves, each scored without itself.
 
@@ -20,6 +20,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +33,6 @@ from paceline.llm.quality import label_sample
 class Settings:
     #: labelled rows of each class that become examples, at most: those whose hashed ids are smallest
     per_class: int = 2000
-    #: terms of the index, at most, and the least chi-squared that a term needs
-    terms: int = 1024
-    chi_squared: float = 30.0
     k: int = 15
     block: int = 64
 
@@ -66,46 +65,88 @@ def term_counts(text: str) -> dict[str, int]:
 class Seeker:
     """Counts of chosen terms only, as ``term_counts`` would give them."""
 
+    #: words whose terms a task remembers, at most; beyond that it starts anew
+    known_words = 500_000
+
     def __init__(self, terms: list[str]):
-        self.terms = frozenset(terms)
-        base = {t.partition("@")[0] for t in terms}
-        self.words = frozenset(t for t in base if not t.endswith("-"))
-        self.heads = {k: {t[:-1]: t for t in base if t.endswith("-") and len(t) == k + 1} for k in HEADS}
-        self.heads = {k: v for k, v in self.heads.items() if v}
+        self.terms = terms
+        self.base = {t.partition("@")[0]: i for i, t in enumerate(dict.fromkeys(t.partition("@")[0] for t in terms))}
+        #: for each least count, the place of each base's form, -1 for none
+        self.forms = {k: np.full(len(self.base), -1, np.int32) for k in (1, *TIMES)}
+        for i, t in enumerate(terms):
+            name, _, k = t.partition("@")
+            self.forms[int(k or 1)][self.base[name]] = i
+        self.of_word: dict[str, list[int]] = {}
+
+    def numbers(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the terms in the list, in order, and their counts."""
+        found: list[int] = []
+        times: list[int] = []
+        sizes: list[int] = []
+        of_word, base = self.of_word, self.base
+        if len(of_word) > self.known_words:
+            of_word.clear()
+        for word, n in Counter(WORD.findall(text.lower())).items():
+            own = of_word.get(word)
+            if own is None:
+                names = [word, *(word[:k] + "-" for k in HEADS if len(word) > k)]
+                own = of_word[word] = [base[x] for x in names if x in base]
+            found += own
+            times.append(n)
+            sizes.append(len(own))
+        if not found:
+            return np.zeros(0, np.int32), np.zeros(0, np.int32)
+        which = np.array(found)
+        order = np.argsort(which)
+        which = which[order]
+        first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+        which, counts = which[first], np.add.reduceat(np.repeat(np.array(times), sizes)[order], first).astype(np.int32)
+        places, own = [], []
+        for k, form in self.forms.items():
+            at = form[which]
+            some = (counts >= k) & (at >= 0)
+            places.append(at[some])
+            own.append(counts[some])
+        place, count = np.concatenate(places), np.concatenate(own)
+        order = np.argsort(place)
+        return place[order], count[order]
 
     def __call__(self, text: str) -> dict[str, int]:
-        found = Counter(WORD.findall(text.lower()))
-        counts = {w: found[w] for w in self.words & found.keys()}
-        for k, heads in self.heads.items():
-            for word in found:
-                if (head := heads.get(word[:k])) and len(word) > k:
-                    counts[head] = counts.get(head, 0) + found[word]
-        return {t: n for t, n in with_times(counts).items() if t in self.terms} if counts else counts
+        places, counts = self.numbers(text)
+        return {self.terms[i]: n for i, n in zip(places.tolist(), counts.tolist(), strict=True)}
 
 
 class Index:
-    """Examples as unit TF-IDF vectors over the chosen terms, in blocks with the largest weight of each term."""
+    """Examples as unit TF-IDF vectors in blocks. A term of few examples has postings; a term of more than an eighth of them
+    has its weights in every block and, for each block, the largest of them."""
+
+    #: documents scored at a time
+    rows = 64
 
     def __init__(self, idf: np.ndarray, examples: list[tuple[list[int], list[int]]], labels: list[int], settings: Settings):
         self.idf, self.settings = idf, settings
         # examples with like terms stand together, so that block bounds are tight
-        order = sorted(range(len(examples)), key=lambda i: (sorted(examples[i][0], key=lambda t: -idf[t]), labels[i], i))
+        order = sorted(range(len(examples)), key=lambda i: (sorted(examples[i][0], key=lambda t: -idf[t])[:64], labels[i], i))
         self.labels = np.array([labels[i] for i in order], float)
         self.source = np.array(order, np.int64)
         size = settings.block
         self.blocks = -(-len(order) // size)
-        self.bound = np.zeros((len(idf), self.blocks))
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = [{} for _ in range(self.blocks)]
-        for b in range(self.blocks):
-            by_term: dict[int, list[tuple[int, float]]] = {}
-            for place, i in enumerate(order[b * size : (b + 1) * size]):
-                terms, weights = self.unit(*examples[i])
-                for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                    by_term.setdefault(t, []).append((place, w))
-            for t, own in by_term.items():
-                places, weights = zip(*own, strict=True)
-                self.postings[b][t] = np.array(places), np.array(weights)
-                self.bound[t, b] = max(weights)
+        units = [self.unit(*examples[i]) for i in order]
+        terms = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in units)])
+        weights = np.concatenate([np.zeros(0), *(w for _, w in units)])
+        places = np.repeat(np.arange(len(units)), [len(t) for t, _ in units])
+        held = np.bincount(terms, minlength=len(idf))
+        common = np.flatnonzero(held * 8 > len(order))
+        #: a common term's row of ``dense``, -1 for others
+        self.row = np.full(len(idf), -1)
+        self.row[common] = np.arange(len(common))
+        rare = self.row[terms] < 0
+        by_term = np.argsort(terms[rare], kind="stable")
+        self.places, self.weights = places[rare][by_term].astype(np.int32), weights[rare][by_term]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(terms[rare], minlength=len(idf)))])
+        self.dense = np.zeros((self.blocks, len(common), size))
+        self.dense[places[~rare] // size, self.row[terms[~rare]], places[~rare] % size] = weights[~rare]
+        self.bound = self.dense.max(axis=2).T if self.blocks else np.zeros((len(common), 0))
 
     def unit(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
         t = np.array(terms, np.int64)
@@ -116,28 +157,48 @@ class Index:
     def nearest(self, terms: list[int], counts: list[int], leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a positive cosine, nearest first, ties to the earlier place.
         ``leave`` is an example's number that doesn't count."""
-        t, w = self.unit(terms, counts)
-        k, size = self.settings.k, self.settings.block
-        places, cosines = np.zeros(0, np.int64), np.zeros(0)
-        if not len(t):
-            return places, cosines
-        bounds = w @ self.bound[t]
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(cosines) == k and bounds[b] + 1e-12 < cosines[-1]:
-                break
-            scores = np.zeros(size)
-            for term, weight in zip(t.tolist(), w.tolist(), strict=True):
-                own = self.postings[b].get(term)
-                if own is not None:
-                    scores[own[0]] += weight * own[1]
-            hit = np.flatnonzero(scores > 0)
-            at = hit + b * size
-            if leave >= 0:
-                hit, at = hit[self.source[at] != leave], at[self.source[at] != leave]
-            places, cosines = np.concatenate([places, at]), np.concatenate([cosines, np.round(scores[hit], 12)])
-            best = np.lexsort((places, -cosines))[:k]
-            places, cosines = places[best], cosines[best]
-        return places, cosines
+        return self.nearest_of([(terms, counts)], [leave])[0]
+
+    def nearest_of(self, texts: list[tuple[list[int], list[int]]], leave: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of each text."""
+        out = []
+        for at in range(0, len(texts), self.rows):
+            out += self._some(texts[at : at + self.rows], None if leave is None else leave[at : at + self.rows])
+        return out
+
+    def _some(self, texts: list[tuple[list[int], list[int]]], leave: list[int] | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        k, size, n = self.settings.k, self.settings.block, self.blocks * self.settings.block
+        none = np.zeros(0, np.int64), np.zeros(0)
+        if not n:
+            return [none] * len(texts)
+        asked = np.zeros((len(texts), self.bound.shape[0]))
+        scores = np.zeros((len(texts), n))
+        for i, (t, w) in enumerate(self.unit(*x) for x in texts):
+            row = self.row[t]
+            asked[i, row[row >= 0]] = w[row >= 0]
+            t, w = t[row < 0], w[row < 0]
+            first, length = self.starts[t], self.starts[t + 1] - self.starts[t]
+            each = np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
+            scores[i] = np.bincount(self.places[each], np.repeat(w, length) * self.weights[each], minlength=n)
+        left = [] if leave is None else [(i, int(np.flatnonzero(self.source == x)[0])) for i, x in enumerate(leave) if x >= 0]
+        for i, place in left:
+            scores[i, place] = 0
+        # what the postings give alone is never more than the cosine
+        least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.zeros(len(texts))
+        most = scores.reshape(len(texts), self.blocks, size).max(axis=2) + asked @ self.bound
+        for b in range(self.blocks):
+            need = np.flatnonzero(most[:, b] + 1e-12 >= least)
+            if len(need):
+                scores[need, b * size : (b + 1) * size] += asked[need] @ self.dense[b]
+        for i, place in left:
+            scores[i, place] = 0
+        out = []
+        for own in np.round(scores, 12):
+            last = np.partition(own, n - k)[n - k] if n > k else 0.0
+            places = np.flatnonzero((own >= last) & (own > 0))
+            places = places[np.argsort(-own[places], kind="stable")][:k]
+            out.append((places, own[places]))
+        return out
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         """Share of class 1 among the nearest, weighted by cosine, with half a vote for either class."""
@@ -146,101 +207,96 @@ class Index:
 
 @dataclass
 class Model:
-    terms: list[str]
     index: Index | None
     #: score of a text without any of the terms; slope and offset of the logistic calibration of the others' votes
     none: float
     slope: float
     offset: float
 
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
-        if self.index is None or not len(terms):
-            return self.none, np.zeros(0, np.int64), np.zeros(0)
-        places, cosines = self.index.nearest(terms, counts)
-        if not len(places):
-            return self.none, places, cosines
-        return 1 / (1 + float(np.exp(-(self.slope * self.index.vote(places, cosines) + self.offset)))), places, cosines
+    def scores(self, texts: list[tuple[list[int], list[int]]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        if self.index is None:
+            return [(self.none, np.zeros(0, np.int64), np.zeros(0))] * len(texts)
+        sure = lambda places, cosines: 1 / (1 + float(np.exp(-(self.slope * self.index.vote(places, cosines) + self.offset))))
+        return [(sure(p, c) if len(p) else self.none, p, c) for p, c in self.index.nearest_of(texts)]
 
 
-def chosen_terms(sample: DataFrame, settings: Settings) -> list[str]:
-    """Terms by chi-squared between holding the term and the label, over the sample's rows ``_y, data``. Only terms of class
-    1 count: a large group of copies that all lack the label would mark any of its words as evidence against it."""
+def sample_terms(sample: DataFrame) -> list[str]:
+    """Every term of the sample's texts (column ``data``), those of most texts first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones, zeros = Counter(), Counter()
-        n = [0, 0]
+        counts: Counter[str] = Counter()
         for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (ones if y else zeros).update(term_counts(text).keys())
-                n[y] += 1
-        words = [*{*ones, *zeros}]
-        yield pa.RecordBatch.from_arrays([pa.array([*words, ""], pa.string()), pa.array([*(ones[w] for w in words), n[1]], pa.int64()), pa.array([*(zeros[w] for w in words), n[0]], pa.int64())], ["term", "a", "b"])
-
-    counts = stored(sample.select("_y", "data").mapInArrow(run, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "terms")
-    whole = counts.where("term = ''").first()
-    if whole is None or not whole["a"] or not whole["b"]:
-        return []
-    n1, n0 = float(whole["a"]), float(whole["b"])
-    a, b = F.col("a"), F.col("b")
-    chi = (n1 + n0) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (n1 * n0 * (a + b) * F.greatest(n1 + n0 - a - b, F.lit(1.0)))
-    rows = counts.where("term <> '' and a + b >= 5").withColumn("chi", chi).where((F.col("chi") >= settings.chi_squared) & (a * n0 > b * n1)).orderBy(F.desc("chi"), "term").limit(settings.terms).collect()
-    return [r["term"] for r in rows]
+            for text in batch.column(0).to_pylist():
+                counts.update(term_counts(text).keys())
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+
+    counts = sample.select("data").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
+    return counts.sort_by([("n", "descending"), ("term", "ascending")]).column("term").to_pylist()
 
 
 def restricted(docs: DataFrame, terms: list[str], text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with ``_terms`` and ``_counts``: the chosen terms that each whole text holds."""
     kept = docs.select(*[c for c in docs.columns if c != text_col], text_or_empty(text_col).alias("_data"))
     names = kept.columns[:-1]
-    number = {t: i for i, t in enumerate(terms)}
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeker = Seeker(terms)
+        seeker = Seeker(sent.value)
         for batch in batches:
-            ids, counts = [], []
-            for text in batch.column(len(names)).to_pylist():
-                own = sorted((number[t], n) for t, n in seeker(text).items())
-                ids.append([i for i, _ in own])
-                counts.append([n for _, n in own])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], [*names, "_terms", "_counts"])
+            own = [seeker.numbers(text) for text in batch.column(len(names)).to_pylist()]
+            ends = pa.array(np.cumsum([0, *(len(t) for t, _ in own)]), pa.int32())
+            ids, counts = (pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *x]), pa.int32())) for x in ((t for t, _ in own), (c for _, c in own)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], ids, counts], [*names, "_terms", "_counts"])
 
     schema = kept.select(*names, F.array().cast("array<int>").alias("_terms"), F.array().cast("array<int>").alias("_counts")).schema
     return kept.mapInArrow(run, schema)
 
 
-def document_frequency(vectors: DataFrame) -> dict[int, int]:
+def lists(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column as arrays, without a Python number for each entry."""
+    flat = column.flatten().to_numpy()
+    return np.split(flat, np.cumsum([0, *pc.list_value_length(column).to_pylist()])[1:-1]) if len(column) else []
+
+
+def document_frequency(vectors: DataFrame, n_terms: int) -> np.ndarray:
     """How many documents hold each term. Each task sums up its own, so a term of very many documents is a row a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[int] = Counter()
+        counts = np.zeros(0, np.int64)
         for batch in batches:
-            counts.update(batch.column(0).flatten().to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["t", "n"])
+            own = np.bincount(batch.column(0).flatten().to_numpy(), minlength=len(counts))
+            own[: len(counts)] += counts
+            counts = own
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], ["t", "n"])
 
-    return {r["t"]: r["n"] for r in vectors.select("_terms").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}  # a row a term
+    found = vectors.select("_terms").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row a term
+    out = np.zeros(n_terms)
+    out[found.column("t").to_numpy()] = found.column("n").to_numpy()
+    return out
 
 
 def fitted(vectors: DataFrame, chosen: DataFrame, terms: list[str], share: float, settings: Settings, id_col: str) -> Model:
     """The index and its calibration. ``share`` is class 1's share among all labelled rows that may be learnt from."""
     n_docs = vectors.count()
-    frequency = document_frequency(vectors)
-    idf = np.array([np.log((1 + n_docs) / (1 + frequency.get(i, 0))) + 1 for i in range(len(terms))])
-    rows = vectors.join(F.broadcast(chosen), vectors[id_col] == chosen["_id"]).select("_id", "_y", "_terms", "_counts").orderBy("_id", "_terms", "_counts").collect()  # bounded by the sample
-    n1, n0 = (sum(r["_y"] == y for r in rows) for y in (1, 0))
+    idf = np.log((1 + n_docs) / (1 + document_frequency(vectors, len(terms)))) + 1
+    found = vectors.join(F.broadcast(chosen), vectors[id_col] == chosen["_id"]).select("_id", "_y", "_terms", "_counts").orderBy("_id", "_terms", "_counts").toArrow().combine_chunks()  # bounded by the sample
+    labels = found.column("_y").to_pylist()
+    n1, n0 = (labels.count(y) for y in (1, 0))
     if not n1 or not n0:
-        return Model(terms, None, share, 1.0, 0.0)
+        return Model(None, share, 1.0, 0.0)
     # the sample is balanced by class, so rows weigh as their class does in the corpus
     weigh = {1: share / n1, 0: (1 - share) / n0}
-    bare = [r for r in rows if not len(r["_terms"])]
-    w1, w0 = (sum(weigh[r["_y"]] for r in bare if r["_y"] == y) for y in (1, 0))
+    texts = [*zip(*(lists(found.column(c).combine_chunks() if len(found) else found.column(c)) for c in ("_terms", "_counts")), strict=True)]
+    bare = [y for y, (t, _) in zip(labels, texts, strict=True) if not len(t)]
+    w1, w0 = (weigh[y] * bare.count(y) for y in (1, 0))
     none = (w1 + 1e-3 * share) / (w1 + w0 + 1e-3)
-    held = [r for r in rows if len(r["_terms"])]
-    index = Index(idf, [(r["_terms"], r["_counts"]) for r in held], [r["_y"] for r in held], settings)
+    index = Index(idf, texts, labels, settings)
     votes, truth = [], []
-    for i, r in enumerate(held):
-        places, cosines = index.nearest(r["_terms"], r["_counts"], leave=i)
+    for y, (places, cosines) in zip(labels, index.nearest_of(texts, [*range(len(texts))]), strict=True):
         if len(places):
             votes.append(index.vote(places, cosines))
-            truth.append(r["_y"])
+            truth.append(y)
     slope, offset = 8.0, -4.0
     x, y = np.array(votes), np.array(truth, float)
     w = np.array([weigh[t] for t in truth])
@@ -253,13 +309,13 @@ def fitted(vectors: DataFrame, chosen: DataFrame, terms: list[str], share: float
         grad = np.array([(w * (p - y) * x).sum() + 0.02 * (slope - 8), (w * (p - y)).sum() + 0.02 * (offset + 4)])
         hess = np.array([[(c * x * x).sum() + 0.02, (c * x).sum()], [(c * x).sum(), c.sum() + 0.02]])
         slope, offset = np.array([slope, offset]) - np.linalg.solve(hess, grad)
-    return Model(terms, index, float(none), float(slope), float(offset))
+    return Model(index, float(none), float(slope), float(offset))
 
 
 def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with ``score`` and ``evidence`` (label and cosine of the nearest examples, nearest first).
 
-    A text with none of the terms, an empty or a null one gets the calibrated share of class 1 among such examples and
+    A text with no word of any example, an empty or a null one gets the calibrated share of class 1 among such examples and
     no evidence. Without labels of both classes every text gets the known share of class 1 (0.5 if nothing is known).
     """
     spark = docs.sparkSession
@@ -267,7 +323,7 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: S
     share = labels.where(F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
     chosen = stored(label_sample(labels, label, settings.per_class, id_col), "sample")
     sample = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select("_y", text_or_empty(text_col).alias("data"))
-    terms = chosen_terms(sample, settings)
+    terms = sample_terms(sample)
     vectors = stored(restricted(docs, terms, text_col), "vectors")
     sent = spark.sparkContext.broadcast(fitted(vectors, chosen, terms, 0.5 if share is None else float(share), settings, id_col))
     names = [c for c in vectors.columns if c not in ("_terms", "_counts", "score", "evidence")]
@@ -278,16 +334,15 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = sent.value, {}
         for batch in batches:
-            out = []
-            for t, c in zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True):
-                key = (*t, -1, *c)
-                got = memo.get(key)
-                if got is None:
-                    score, places, cosines = model.score(t, c)
-                    got = score, [{"label": int(model.index.labels[p]), "cosine": float(x)} for p, x in zip(places, cosines, strict=True)]
-                    if len(memo) < 20_000:
-                        memo[key] = got
-                out.append(got)
+            texts = [*zip(lists(batch.column(width)), lists(batch.column(width + 1)), strict=True)]
+            keys = [xxhash.xxh3_128_digest(t.tobytes() + c.tobytes()) for t, c in texts]
+            fresh = {key: x for key, x in zip(keys, texts, strict=True) if key not in memo}
+            new = {}
+            for key, (score, places, cosines) in zip(fresh, model.scores([*fresh.values()]), strict=True):
+                new[key] = score, [{"label": int(model.index.labels[p]), "cosine": float(x)} for p, x in zip(places, cosines, strict=True)]
+            out = [memo.get(key) or new[key] for key in keys]
+            if len(memo) < 20_000:
+                memo |= new
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pairs)], [*names, "score", "evidence"])
 
     schema = rows.select(*names, F.lit(0.0).alias("score"), F.array(F.struct(F.lit(0).alias("label"), F.lit(0.0).alias("cosine"))).alias("evidence")).schema

@@ -82,3 +82,13 @@ def test_toxicity_held_out_and_edges(spark):
     none = toxicity.scored(odd, labels.limit(0)).collect()
     assert {r.score for r in none} == {0.5}
     assert toxicity.scored(odd.limit(0), labels).count() == 0
+
+
+def test_every_term_and_example_is_searched(spark):
+    rows = [(i, f"plain{i} words here", 0) for i in range(60)] + [(100 + i, f"nasty{i} words here", 1) for i in range(60)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    asked = [(200, "nasty7"), (201, "plain7"), (202, "unheard")]  # words of one example each, and of none
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + asked, "doc_id long, text string")
+    out = {r.doc_id: r for r in toxicity.scored(docs, labels).collect()}
+    assert out[200].evidence[0].label == 1 and out[201].evidence[0].label == 0
+    assert out[200].score > out[202].score > out[201].score and not out[202].evidence
