@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm.common import bounded_batches, components, partitions, read_table, stored
+from paceline.llm.common import bounded_batches, components, mixed, partitions, read_table, stored
 
 #: Fingerprints of one tile, on average.
 TILE = 8192
@@ -147,12 +147,133 @@ def groups(docs: DataFrame, width: int = 4, seed: int = 42, radius: int = 4, til
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest id (rows with a null id stay too;
     of rows that repeat that id, one is kept)."""
-    found = groups(docs, id_col=id_col, text_col=text_col, **settings)
+    return _kept(docs, groups(docs, id_col=id_col, text_col=text_col, **settings), id_col)
+
+
+def _kept(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
     once = docs.join(stay, docs[id_col] == stay["_kept"], "left_semi").dropDuplicates([id_col])
     return once.unionByName(docs.where(F.col(id_col).isNull()))
 
 
+#: Of the wide fingerprints' 256 bits, and of the first 64 of them, so many differ at most in a pair whose similarity may be 0.8
+#: or more: of equal sets of shingles but for a fifth, some 39 of 256 differ, at worst (few shingles) 48, each give or take 6.
+WIDE, FIRST = 72, 24
+WIDE_TILE = 32768
+
+
+def wide(data: bytes, width: int = 5, seed: int = 42) -> tuple[int, bytes, np.ndarray]:
+    """A key of the set of the shingles of ``width`` words, its SimHash of 256 bits, and the set itself, as sorted hashes."""
+    words = data.lower().split()
+    found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), seed) for i in range(max(1, len(words) - width + 1))} if words else set()
+    own = np.sort(np.fromiter(found, np.uint64, len(found)))
+    ones = np.zeros(256, np.int64)
+    with np.errstate(over="ignore"):
+        for k in range(0, len(own), 4096):
+            part = np.stack([mixed(own[k : k + 4096] + np.uint64(c)) for c in (1, 2, 3, 4)], axis=1).astype("<u8")
+            ones += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    key = np.uint64(xxhash.xxh64_intdigest(own.astype("<u8").tobytes(), seed)).astype(np.int64)
+    return int(key), np.packbits(ones * 2 > len(own), bitorder="little").tobytes(), own.view(np.int64)
+
+
+def wide_pairs(a: np.ndarray, b: np.ndarray | None, group: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of near fingerprints (rows of four words) of different groups, inside ``a`` or between ``a`` and ``b``,
+    whose places follow those of ``a``: all of them, or a spanning forest."""
+    both = a if b is None else np.concatenate([a, b])
+    shift = 0 if b is None else len(a)
+    label = np.unique(group, return_inverse=True)[1]
+    parent = np.arange(len(both))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return int(x)
+
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    first = np.ascontiguousarray(both[shift:, 0])
+    for at in range(0, len(a), ROWS):
+        i, j = np.nonzero(np.bitwise_count(a[at : at + ROWS, 0, None] ^ first[None]) <= FIRST)
+        i, j = i + at, j + shift
+        if b is None:
+            i, j = i[i < j], j[i < j]
+        near = np.bitwise_count(both[i] ^ both[j]).sum(axis=1, dtype=np.int64) <= WIDE
+        i, j = i[near], j[near]
+        near = label[i] != label[j]
+        i, j = i[near], j[near]
+        if every:
+            left.append(i)
+            right.append(j)
+            continue
+        for me in np.unique(i).tolist():
+            hit = j[i == me]
+            mine = root(int(label[me]))
+            for x, k in zip(*(y.tolist() for y in np.unique(label[hit], return_index=True)), strict=True):
+                if (x := root(x)) != mine:
+                    left.append(np.array([me]))
+                    right.append(hit[k : k + 1])
+                    parent[x] = mine
+            label[hit] = label[me] = mine
+    return np.concatenate(left), np.concatenate(right)
+
+
+def candidates(classes: DataFrame, every: bool, tile: int = WIDE_TILE) -> DataFrame:
+    """Pairs ``a, b`` of keys that may be similar, from ``classes`` (``key, wide, group``), by tile pairs."""
+    spark = classes.sparkSession
+    parts = max(1, -(-classes.count() // tile))
+    dealt = classes.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    keyed = dealt.select(F.concat_ws(":", F.least("part", "other"), F.greatest("part", "other")).alias("pair"), (F.col("part") <= F.col("other")).alias("first"), (F.col("part") == F.col("other")).alias("same"), "key", "wide", "group")
+
+    def compare(table: pa.Table) -> pa.Table:
+        order = np.argsort(~table.column("first").to_numpy(), kind="stable")
+        n = int(table.column("first").to_numpy().sum())
+        keys, group = table.column("key").to_numpy()[order], table.column("group").to_numpy()[order]
+        fps = np.frombuffer(b"".join(table.column("wide").to_pylist()), "<u8").reshape(-1, 4)[order]
+        i, j = wide_pairs(fps[:n], None if table.column("same")[0].as_py() else fps[n:], group, every)
+        return pa.table({"a": keys[i], "b": keys[j]})
+
+    return keyed.repartition(partitions(spark, 2), "pair").groupBy("pair").applyInArrow(compare, "a long, b long")
+
+
+def similar(docs: DataFrame, least: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, tile: int = WIDE_TILE) -> DataFrame:
+    """``id_col, component_id`` per row: components of the links between texts whose sets of shingles have a Jaccard
+    similarity of ``least`` or more. Ids as in ``groups``.
+
+    Near fingerprints only propose; each proposed pair is confirmed on the whole sets. The first rounds propose a spanning
+    forest, which joins large groups by few pairs; the last proposes every pair that the confirmed links leave apart."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [wide(x or b"", width) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _, _ in own], pa.int64()), pa.array([f for _, f, _ in own], pa.binary()), pa.array([s for _, _, s in own], pa.list_(pa.int64()))], [id_col, "key", "wide", "shingles"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = stored(docs.select(id_col, F.encode(F.col(text_col), "UTF-8").alias("data")).mapInArrow(run, f"{id_col} {kind}, key long, wide binary, shingles array<long>"), "wide")
+    classes = stored(rows.groupBy("key").agg(F.min(id_col).alias("least"), F.min("wide").alias("wide")), "classes").withColumn("group", F.col("key"))
+    links = spark.createDataFrame([], "a long, b long")
+    for k in range(rounds + 1):
+        pairs = stored(candidates(classes.select("key", "wide", "group"), k == rounds, tile).distinct(), "pairs")
+        asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+        sets = stored(rows.select("key", "shingles").join(asked, "key", "left_semi").dropDuplicates(["key"]), "sets")
+        one, two = (sets.select(F.col("key").alias(c), F.col("shingles").alias(f"_{c}")) for c in "ab")
+        common = F.size(F.array_intersect("_a", "_b"))
+        told = stored(pairs.join(one, "a").join(two, "b").select("a", "b", (common >= least * (F.size("_a") + F.size("_b") - common)).alias("holds")), "told")
+        links = links.union(told.where("holds").select("a", "b"))
+        roots = components(links)
+        classes = stored(classes.drop("group").join(roots, classes["key"] == roots["node"], "left").select("key", "least", "wide", F.coalesce("root", "key").alias("group")), "classes")
+        if told.where("not holds").isEmpty():  # all that was proposed is joined
+            break
+    named = classes.groupBy("group").agg(F.min("least").alias("component_id"))
+    of_class = stored(classes.join(named, "group").select("key", "component_id"), "labels")
+    return rows.select(id_col, "key").join(of_class, "key").select(id_col, "component_id")
+
+
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """``keep_one`` by the components of ``similar``."""
+    return _kept(docs, similar(docs, id_col=id_col, text_col=text_col, **settings), id_col)
+
+
 def op8_simhash_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return groups(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -66,3 +66,29 @@ def test_groups_match_brute_force(spark):
 
 def test_empty_table(spark):
     assert simhash.groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_similar_matches_brute_force(spark):
+    rng = np.random.default_rng(5)
+    texts = ["", None, "one two", "one two"]
+    for n in (12, 60, 300, 1000):
+        for share in (0.01, 0.02, 0.03, 0.04):
+            base = [f"w{x}" for x in rng.integers(0, 5000, n)]
+            texts.append(" ".join(base))
+            for _ in range(4):
+                texts.append(" ".join(f"r{rng.integers(5000)}" if rng.random() < share else w for w in base))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    near = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    lab = list(range(len(texts)))
+    while True:
+        new = [min(lab[j] for j in range(len(texts)) if near(sets[i], sets[j])) for i in range(len(texts))]
+        if new == lab:
+            break
+        lab = new
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    narrow = {r.doc_id: r.component_id for r in simhash.groups(docs).collect()}
+    assert sum(narrow[i] != lab[i] for i in range(len(texts))) > 5  # op8's setting misses many
+    for tile in (32768, 30):
+        got = {r.doc_id: r.component_id for r in simhash.similar(docs, tile=tile).collect()}
+        assert got == dict(enumerate(lab))
+    assert sorted(r.doc_id for r in simhash.keep_one_similar(docs).collect()) == sorted(set(lab))
