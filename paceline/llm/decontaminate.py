@@ -4,7 +4,7 @@ Numbers, units and names in a text are replaced by typed placeholders, so a ques
 names were changed has the same template. Windows of template tokens of the documents are hash-joined
 with those of the benchmark; a document that covers enough of an item's windows, and whose slots agree
 with the item's (equal values in the item stay equal in the document, units keep their dimension), has
-leaked the item.
+leaked the item. Both are judged for each occurrence in the document and for all of it together.
 
 Texts are never shuffled: windows are hashed and looked up in the task that reads the document. The
 benchmark's windows are broadcast while they are fewer than a stated number, and shuffle-joined beyond it.
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paceline.llm.common import read_table, stored, text_or_empty
@@ -106,25 +106,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
         words = F.expr(f"slice(tokens, pos + 1, {width})")
         theirs = known.where(F.col("width") == width).select("item_id", "at", "h", "w", F.col("slots").alias("theirs"), "n_windows")
         if small:
-            hit = ours.join(F.broadcast(theirs), "h").where(words == F.col("w")).select("_id", "_text", "item_id", "at", "n_windows", "theirs", slot_texts.alias("ours"))
+            hit = ours.join(F.broadcast(theirs), "h").where(words == F.col("w")).select("_id", "_text", "item_id", "at", "pos", "n_windows", "theirs", slot_texts.alias("ours"))
         else:
-            hit = ours.select("_id", "_text", "h", words.alias("words"), slot_texts.alias("ours")).join(theirs, "h").where("words = w").select("_id", "_text", "item_id", "at", "n_windows", "theirs", "ours")
+            hit = ours.select("_id", "_text", "pos", "h", words.alias("words"), slot_texts.alias("ours")).join(theirs, "h").where("words = w").select("_id", "_text", "item_id", "at", "pos", "n_windows", "theirs", "ours")
         found = hit if found is None else found.unionByName(hit)
     kind = docs.schema[id_col].dataType.simpleString()
     if found is None:
         item = benchmark.schema[item_col].dataType.simpleString()
         return docs.sparkSession.createDataFrame([], f"{id_col} {kind}, item_id {item}, windows long, coverage double, exact boolean")
-    key = ["_id", "_text", "item_id"]
-    # a passage that a document repeats counts once for each reading of its slots
-    distinct = found.groupBy(*key, "at", "theirs", "ours", "n_windows").agg(F.count("*").alias("times"))
-    covered = distinct.groupBy(*key).agg(F.countDistinct("at").alias("windows"), F.first("n_windows").alias("n_windows"), F.max(F.size("theirs")).alias("any_slots")).where(F.col("windows") >= settings.coverage * F.col("n_windows"))
+    # an occurrence is the hits at one shift, a run of neighbouring shifts (an edit within a copy moves what follows), or
+    # all hits of the document; one that holds is enough
+    by_shift = Window.partitionBy("_id", "_text", "item_id").orderBy("shift")
+    near = F.least(F.lit(settings.window), F.col("n_windows"))
+    found = found.withColumn("shift", F.col("pos") - F.col("at"))
+    found = found.withColumn("new", F.coalesce((F.col("shift") - F.lag("shift").over(by_shift) >= near).cast("int"), F.lit(0))).withColumn("run", F.sum("new").over(by_shift).cast("int"))
+    kinds = [F.struct(F.lit(k).alias("kind"), v.cast("int").alias("nr")) for k, v in (("all", F.lit(0)), ("run", F.col("run")), ("shift", F.col("shift")))]
+    found = found.withColumn("occurrence", F.explode(F.array(*kinds)))
+    key = ["_id", "_text", "item_id", "occurrence"]
+    # a passage that an occurrence repeats counts once for each reading of its slots
+    distinct = found.select(*key, "at", "theirs", "ours", "n_windows").distinct()
+    covered = distinct.groupBy(*key).agg(F.countDistinct("at").alias("windows"), F.first("n_windows").alias("n_windows"), F.max(F.size("theirs")).alias("any_slots")).where(F.col("windows") >= settings.coverage * F.col("n_windows")).withColumn("_text_", F.col("_text"))
     pair = distinct.where(F.size("theirs") > 0).select(*key, F.explode(F.arrays_zip("theirs", "ours")).alias("z")).select(*key, F.col("z.theirs").alias("theirs"), F.col("z.ours").alias("ours")).distinct()
     unit = F.col("theirs").startswith("#u") & (dimension(F.substring("theirs", 4, 100)) != dimension(F.substring("ours", 4, 100)))
     one_reading = pair.groupBy(*key, "theirs").agg(F.count("*").alias("readings"), F.max(F.col("ours") == F.col("theirs")).alias("own"), F.max(unit).alias("clash"))
     # slots clash where the item's value has several readings, none of them its own, or a unit changes its dimension
     judged = one_reading.groupBy(*key).agg(F.max(((F.col("readings") > 1) & ~F.col("own")) | (F.col("clash") & ~F.col("own"))).alias("clashes"), F.min("own").alias("same"))
     out = covered.join(judged, [covered[c].eqNullSafe(judged[c]) for c in key], "left").where(~F.coalesce("clashes", F.lit(False)))
-    return out.select(covered["_id"].alias(id_col), covered["item_id"], "windows", (F.col("windows") / F.col("n_windows")).alias("coverage"), F.coalesce("same", F.lit(True)).alias("exact"))
+    held = out.select(covered["_id"].alias(id_col), "_text_", covered["item_id"], "windows", (F.col("windows") / F.col("n_windows")).alias("coverage"), F.coalesce("same", F.lit(True)).alias("exact"))
+    best = held.groupBy(id_col, "_text_", "item_id").agg(F.max(F.struct("coverage", "windows")).alias("best"), F.max("exact").alias("exact"))
+    return best.select(id_col, "item_id", F.col("best.windows").alias("windows"), F.col("best.coverage").alias("coverage"), "exact")
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -36,3 +36,12 @@ def test_whole_items_are_found_and_nothing_else(spark):
     items = {r.item_id: plain(r.text) for r in bench.collect()}
     want = {(r.doc_id, i) for r in docs.collect() for i, t in items.items() if t in plain(r.text)}
     assert {(r.doc_id, r.item_id) for r in D.leaks(docs, bench).collect()} == want
+
+
+def test_each_occurrence_is_judged_by_itself(spark):
+    two = LIKE.format(15, "99 euros", 15) + " and " + LIKE.format(17, "98 euros", 17)
+    stray = LIKE.format(15, "99 euros", 15) + " " + "clean words " * 30 + "gave 77 apples to her good friend at the old market"
+    rows = [(1, two), (2, stray), (3, LIKE.format(15, "99 euros", 16) + " and " + LIKE.format(17, "98 km", 17))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(0, ITEM)], "item_id long, text string")
+    assert sorted((r.doc_id, r.exact) for r in D.leaks(docs, bench).collect()) == [(1, False), (2, False)]
