@@ -42,20 +42,33 @@ class Settings:
 
 
 def marked(text: Column) -> Column:
-    """Tokens of the text with slots written as ``#n_value`` (number), ``#u_unit`` (its unit or nothing) and ``#p_name``.
+    """Tokens of the text with slots written as ``#n_value`` (number), ``#u_unit`` (its unit or nothing), ``#p_name`` and
+    ``#q_word``.
 
-    A name is a word within a sentence whose first letter only is a capital. Everything else is lower-cased and stripped
-    of punctuation. A blank text gives one empty token.
+    A name is a word within a sentence whose first letter only is a capital; such a word elsewhere, as where a sentence
+    begins, may be one (``#q``). Everything else is lower-cased and stripped of punctuation. A blank text gives one empty token.
     """
     units = "|".join(sorted((u for group in UNITS.values() for u in group), key=lambda u: (-len(u), u)))
     s = F.translate(text, "#_", "  ")
     s = F.regexp_replace(s, r"(?<=[\p{Ll},;:]\s)(\p{Lu}\p{Ll}+)(?!\p{L})", "#p_$1")
+    s = F.regexp_replace(s, r"(?<![\p{L}\p{N}_])(\p{Lu}\p{Ll}+)(?!\p{L})", "#q_$1")
     s = F.regexp_replace(F.lower(s), r"(?<=\d)[.,](?=\d)", "d")
     s = F.regexp_replace(s, rf"(?<![\p{{L}}\d_])(\d[\dd]*) ?({units})?(?![\p{{L}}\d])", " #n_$1 #u_$2 ")
     s = F.regexp_replace(s, r"[^\p{L}\p{N}#_%€£$]+", " ")
     return F.split(F.trim(s), " ")
 
 
+#: Forms in which windows are looked for: doubtful names as words, as names, and all values as they stand.
+FORMS = ("words", "names", "values")
+
+
+def in_form(raw: Column, form: str) -> Column:
+    if form == "names":
+        return F.transform(raw, lambda t: F.when(t.startswith("#q"), F.concat(F.lit("#p"), F.substring(t, 3, 1_000_000))).otherwise(t))
+    own = (lambda t: t.startswith("#q")) if form == "words" else (lambda t: t.startswith("#q") | t.startswith("#p"))
+    return F.transform(raw, lambda t: F.when(own(t), F.substring(t, 4, 1_000_000)).otherwise(t))
+
+
 def template(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t.startswith("#"), F.substring(t, 1, 2)).otherwise(t))
 
@@ -72,15 +85,18 @@ def dimension(unit: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, settings: Settings, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``item_id, width, n_windows, at, h, slots`` per distinct usable window of each item. A window needs words in half its
-    places, lest placeholders alone match; an item none of whose windows has them can't be looked for."""
+    """``form, item_id, width, n_windows, at, h, w, slots`` per distinct usable window of each item. A window needs words in
+    half its places, lest placeholders alone match; an item none of whose windows has them is looked for by its values."""
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), marked(text_or_empty(text_col)).alias("raw"))
-    items = items.where("size(raw) > 1 or raw[0] <> ''").withColumn("tokens", template(F.col("raw"))).withColumn("width", F.least(F.lit(settings.window), F.size("tokens")))
+    items = items.where("size(raw) > 1 or raw[0] <> ''").withColumn("width", F.least(F.lit(settings.window), F.size("raw")))
+    items = items.select("item_id", "width", F.explode(F.array(*[F.struct(F.lit(f).alias("form"), in_form(F.col("raw"), f).alias("raw")) for f in FORMS])).alias("z")).select("item_id", "width", "z.form", "z.raw")
+    items = items.withColumn("tokens", F.when(F.col("form") == "values", F.col("raw")).otherwise(template(F.col("raw"))))
     at = F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("width")))
-    cut = items.withColumn("at", at).select("item_id", "width", "at", F.expr("slice(tokens, at + 1, width)").alias("w"), F.expr("slice(raw, at + 1, width)").alias("r"))
-    usable = cut.where(F.size(F.filter("w", lambda t: ~t.startswith("#"))) * 2 >= F.col("width"))
-    n = usable.groupBy("item_id").agg(F.countDistinct("at").alias("n_windows"))
-    return usable.select("item_id", "width", "at", F.xxhash64("w").alias("h"), "w", slots(F.col("r")).alias("slots")).join(n, "item_id")
+    cut = items.withColumn("at", at).select("form", "item_id", "width", "at", F.expr("slice(tokens, at + 1, width)").alias("w"), F.expr("slice(raw, at + 1, width)").alias("r"))
+    wordy = cut.where((F.col("form") != "values") & (F.size(F.filter("w", lambda t: ~t.startswith("#"))) * 2 >= F.col("width")))
+    usable = wordy.unionByName(cut.where("form = 'values'").join(wordy.select("item_id").distinct(), "item_id", "left_anti"))
+    n = usable.groupBy("form", "item_id").agg(F.countDistinct("at").alias("n_windows"))
+    return usable.select("form", "item_id", "width", "at", F.xxhash64("w").alias("h"), "w", slots(F.col("r")).alias("slots")).join(n, ["form", "item_id"])
 
 
 def slots(raw: Column) -> Column:
@@ -95,20 +111,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     that repeat an id with another text are judged by themselves, equal rows once. Empty texts and items leak nothing.
     """
     known = stored(benchmark_windows(benchmark, settings, item_col), "windows")
-    widths = [(r["width"], r["n"]) for r in known.groupBy("width").agg(F.count("*").alias("n")).orderBy("width").collect()]  # at most ``window`` rows
-    small = sum(n for _, n in widths) <= settings.broadcast_windows
-    read = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_text"), marked(text_or_empty(text_col)).alias("raw"))
-    read = read.withColumn("tokens", template(F.col("raw")))
+    widths = [(r["form"], r["width"], r["n"]) for r in known.groupBy("form", "width").agg(F.count("*").alias("n")).orderBy("form", "width").collect()]  # at most three times ``window`` rows
+    small = sum(n for *_, n in widths) <= settings.broadcast_windows
+    marks = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_text"), marked(text_or_empty(text_col)).alias("raw"))
     found = None
-    for width, _ in widths:
+    for form, width, _ in widths:
+        read = marks.withColumn("raw", in_form(F.col("raw"), form))
+        read = read.withColumn("tokens", F.col("raw") if form == "values" else template(F.col("raw")))
         ours = read.select("_id", "_text", "raw", "tokens", F.posexplode(windows(F.col("tokens"), width)).alias("pos", "h"))
         slot_texts = slots(F.expr(f"slice(raw, pos + 1, {width})"))
         words = F.expr(f"slice(tokens, pos + 1, {width})")
-        theirs = known.where(F.col("width") == width).select("item_id", "at", "h", "w", F.col("slots").alias("theirs"), "n_windows")
+        theirs = known.where((F.col("width") == width) & (F.col("form") == form)).select("form", "item_id", "at", "h", "w", F.col("slots").alias("theirs"), "n_windows")
+        shown = ["_id", "_text", "form", "item_id", "at", "pos", "n_windows", "theirs"]
         if small:
-            hit = ours.join(F.broadcast(theirs), "h").where(words == F.col("w")).select("_id", "_text", "item_id", "at", "pos", "n_windows", "theirs", slot_texts.alias("ours"))
+            hit = ours.join(F.broadcast(theirs), "h").where(words == F.col("w")).select(*shown, slot_texts.alias("ours"))
         else:
-            hit = ours.select("_id", "_text", "pos", "h", words.alias("words"), slot_texts.alias("ours")).join(theirs, "h").where("words = w").select("_id", "_text", "item_id", "at", "pos", "n_windows", "theirs", "ours")
+            hit = ours.select("_id", "_text", "pos", "h", words.alias("words"), slot_texts.alias("ours")).join(theirs, "h").where("words = w").select(*shown, "ours")
         found = hit if found is None else found.unionByName(hit)
     kind = docs.schema[id_col].dataType.simpleString()
     if found is None:
@@ -116,13 +134,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
         return docs.sparkSession.createDataFrame([], f"{id_col} {kind}, item_id {item}, windows long, coverage double, exact boolean")
     # an occurrence is the hits at one shift, a run of neighbouring shifts (an edit within a copy moves what follows), or
     # all hits of the document; one that holds is enough
-    by_shift = Window.partitionBy("_id", "_text", "item_id").orderBy("shift")
+    by_shift = Window.partitionBy("_id", "_text", "form", "item_id").orderBy("shift")
     near = F.least(F.lit(settings.window), F.col("n_windows"))
     found = found.withColumn("shift", F.col("pos") - F.col("at"))
     found = found.withColumn("new", F.coalesce((F.col("shift") - F.lag("shift").over(by_shift) >= near).cast("int"), F.lit(0))).withColumn("run", F.sum("new").over(by_shift).cast("int"))
     kinds = [F.struct(F.lit(k).alias("kind"), v.cast("int").alias("nr")) for k, v in (("all", F.lit(0)), ("run", F.col("run")), ("shift", F.col("shift")))]
     found = found.withColumn("occurrence", F.explode(F.array(*kinds)))
-    key = ["_id", "_text", "item_id", "occurrence"]
+    key = ["_id", "_text", "form", "item_id", "occurrence"]
     # a passage that an occurrence repeats counts once for each reading of its slots
     distinct = found.select(*key, "at", "theirs", "ours", "n_windows").distinct()
     covered = distinct.groupBy(*key).agg(F.countDistinct("at").alias("windows"), F.first("n_windows").alias("n_windows"), F.max(F.size("theirs")).alias("any_slots")).where(F.col("windows") >= settings.coverage * F.col("n_windows")).withColumn("_text_", F.col("_text"))

@@ -45,3 +45,14 @@ def test_each_occurrence_is_judged_by_itself(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(0, ITEM)], "item_id long, text string")
     assert sorted((r.doc_id, r.exact) for r in D.leaks(docs, bench).collect()) == [(1, False), (2, False)]
+
+
+def test_names_do_not_depend_on_what_stands_before(spark):
+    bench = spark.createDataFrame([(0, "Tom has 5 apples. Tom buys 3 more. How many apples does Tom have?"), (1, "What is the longest river here?"), (2, "12 + 13 = 25")], "item_id long, text string")
+    rows = [
+        (1, "Bob has 5 apples. Bob buys 3 more. How many apples does Bob have?"), (2, "see, question: What is the longest river here?"),
+        (3, "we know 12 + 13 = 25 of course"), (4, "we know 12 + 14 = 26 of course"), (5, "Bob has 5 apples. Ann buys 3 more. How many apples does Eve have?"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for settings in (D.Settings(), D.Settings(broadcast_windows=0)):
+        assert sorted((r.doc_id, r.item_id) for r in D.leaks(docs, bench, settings).collect()) == [(1, 0), (2, 1), (3, 2)]
