@@ -27,16 +27,50 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's own checkpoint folder. A local
+    session, whose executors are the driver, may do without either and gets a new folder; on a cluster that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        known = spark.sparkContext.getCheckpointDir()
-        folder = known or tempfile.mkdtemp(prefix="paceline-checkpoint-")
-        if not known:
-            spark.sparkContext.setCheckpointDir(folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="paceline-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like those wanted that no column of ``df`` has, whatever its letters' case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: A key with more than this share of all rows is hot, so there are never more than a thousand.
+HOT_SHARE = 0.001
+SPREAD = 32
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, total: int, by: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` (a row a key) on ``key``, the rows of hot keys dealt over ``SPREAD`` tasks by ``by``.
+
+    ``counts`` has ``key, n``, the rows of ``left`` by key, of which ``total`` is the sum. At most a thousand keys can be hot,
+    so their list is bounded; every other key is joined as usual.
+    """
+    hot = [r[0] for r in counts.where(F.col("n") > max(1000, HOT_SHARE * total)).select(key).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    (salt,) = unused(left.join(right.limit(0), key), "salt")
+    warm = F.col(key).isin(hot)
+    dealt = left.withColumn(salt, F.when(warm, F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int")).otherwise(0))
+    copies = right.withColumn(salt, F.explode(F.when(warm, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [key, salt], how).drop(salt)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

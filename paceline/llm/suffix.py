@@ -14,9 +14,15 @@ strings are found without sorting the corpus in one place:
    quicksort on eight-byte characters down to a shallow depth, then a blind trie for each group that
    still shares its prefix. Runs of equal 50-byte prefixes give each window's smallest document.
 
-Records travel as packed arrays, a row for each task and hash partition, so a shuffle moves about twenty
-bytes a record. Partition counts follow the session's setting. No key is gathered whole: copies are
-combined before the shuffle, and an anchor with very many contexts is split by its windows' hashes.
+Records travel as packed arrays, one for each task and part that share any, so a shuffle moves about twenty
+bytes a record and never more rows than records. The number of parts follows the bytes of the texts, not the
+session's partitions. No key is gathered whole: copies are combined before the shuffle, and an anchor with
+very many contexts is split by its windows' hashes, of which each task sends the smallest document's only.
+
+Two contexts count as equal if the 48 bits of their anchor and the 64 bits of their fingerprint are; the
+windows of all other contexts are compared byte by byte. Of n records that share an anchor by pairs some
+n * crowd / 2, a wrong match has the chance n * crowd / 2**65: below one in a thousand for 10**13 records
+(a hundred terabytes) at a mean crowd of 1000.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm.common import bounded_batches, mixed, partitions, read_table, stored, text_bytes, utf8
+from paceline.llm.common import bounded_batches, mixed, read_table, stored, text_bytes, unused, utf8
 
 
 @dataclass(frozen=True)
@@ -42,6 +48,12 @@ class Settings:
     shallow: int = 32
     #: different contexts of one anchor beyond which its windows are split by hash
     crowd: int = 4096
+    #: text bytes of one part at first; parts grow to sixteen times that before there are more than 20,000 of them
+    part_bytes: int = 1 << 22
+
+    def parts(self, total: int) -> int:
+        size = max(self.part_bytes, min(16 * self.part_bytes, total // 20_000))
+        return max(1, -(-total // size))
 
 
 PIECE = 1 << 19
@@ -112,9 +124,9 @@ def runs(raw: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 #: An anchor's 48 bits decide who meets (a chance meeting costs a comparison only); contexts are equal if both fields are.
-RECORD = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("start", "<u4"), ("windows", "u1")])
-SPAN = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("start", "<u4"), ("end", "<u4")])
-WANT = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("anchor", "<u8"), ("crowd", "<u4"), ("start", "<u4"), ("windows", "u1")])
+RECORD = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("windows", "u1")])
+SPAN = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("end", "<u4")])
+WANT = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("anchor", "<u8"), ("crowd", "<u4"), ("start", "<u4"), ("windows", "u1")])
 
 
 def packed(rows: np.ndarray) -> bytes:
@@ -160,6 +172,14 @@ def least_of_groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, rows["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
 
 
+def stretches(sorted_: np.ndarray) -> list[tuple[int, int, int]]:
+    """Each value of a sorted array, with the start and end of its stretch."""
+    if not len(sorted_):
+        return []
+    cuts = np.concatenate([[0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1, [len(sorted_)]])
+    return list(zip(sorted_[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+
 def spans_of(rows: np.ndarray, length: int) -> np.ndarray:
     out = np.empty(len(rows), SPAN)
     out["doc"], out["tag"], out["start"] = rows["doc"], rows["tag"], rows["start"]
@@ -186,8 +206,8 @@ def merged(spans: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- deep-shallow sorting
 
 
-#: Groups of at most so many suffixes are ordered directly.
-SMALL = 1 << 16
+#: Groups of at most so many suffixes are ordered by all their remaining characters at once.
+SMALL = 512
 
 
 def multikey(words: np.ndarray, order: np.ndarray, depth: int, upto: int) -> list[tuple[int, int]]:
@@ -315,22 +335,31 @@ def deep_shallow(text: np.ndarray, starts: np.ndarray, length: int, shallow: int
 
 
 def mark_of(text_col: str) -> Column:
-    """Sixteen bits of the text's hash, never null: tells rows of one id apart."""
-    return F.xxhash64(text_col).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    """The text's 64-bit hash, never null: tells rows of one id apart."""
+    return F.xxhash64(text_col)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with the join key of its rows. Both joins read exactly this, so that Spark shuffles the texts once for both.
-    A null id becomes the smallest long: nothing is ever removed from the smallest id."""
-    return docs.withColumns({"_key": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "_mark": mark_of(text_col)})
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
+    """``docs`` with the join key of its rows, and the key's two names. Both joins read exactly this, so that Spark shuffles
+    the texts once for both. A null id becomes the smallest long: nothing is ever removed from the smallest id."""
+    key, mark = unused(docs, "key", "mark")
+    return docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), mark: mark_of(text_col)}), key, mark
+
+
+def matched(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, value: str, how: str) -> DataFrame:
+    """``docs`` joined with the column ``value`` of ``found`` (``id, tag`` and that), whose name must not be one of theirs."""
+    left, key, mark = keyed(docs, id_col, text_col)
+    other_id, other_tag = unused(left, "other_id", "other_tag")
+    side = found.select(F.col("id").alias(other_id), F.col("tag").alias(other_tag), value)
+    return left.join(side, (left[key] == side[other_id]) & (left[mark] == side[other_tag]), how)
 
 
 def document_spans(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
     """``id, tag, spans``: packed spans of removed bytes per document; documents without any are missing."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    n_parts = partitions(spark, 3)
     length, table = s.length, docs.where(F.col(id_col).isNotNull())
+    n_parts = s.parts(table.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
     rows = table.select(F.col(id_col).cast("long").alias("id"), mark_of(text_col).alias("tag"), text_bytes(text_col).alias("data")).where(F.octet_length("data") >= length)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,8 +374,7 @@ def document_spans(docs: DataFrame, s: Settings, id_col: str, text_col: str) ->
             part = (kept["anchor"] % np.uint64(n_parts)).astype(np.int64)
             by = np.argsort(part, kind="stable")
             kept, part = kept[by], part[by]
-            first = np.searchsorted(part, np.arange(n_parts + 1))
-            blobs = [(p, packed(kept[first[p] : first[p + 1]]), b"") for p in range(n_parts) if first[p + 1] > first[p]]
+            blobs = [(p, packed(kept[a:b]), b"") for p, a, b in stretches(part)]
             if len(gone):
                 blobs.append((int(kept["doc"][0]) % n_parts, b"", packed(gone)))
             for at in range(0, len(blobs), 32):
@@ -400,9 +428,8 @@ def document_spans(docs: DataFrame, s: Settings, id_col: str, text_col: str) ->
             bucket = (mixed(rows["doc"].astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             rows, bucket = rows[by], bucket[by]
-            first = np.searchsorted(bucket, np.arange(n_parts + 1))
-            for p in np.flatnonzero(np.diff(first)).tolist():
-                blobs.setdefault(p, [None, None])[k] = packed(rows[first[p] : first[p + 1]])
+            for p, a, b in stretches(bucket):
+                blobs.setdefault(p, [None, None])[k] = packed(rows[a:b])
         return pa.table({"bucket": pa.array(list(blobs), pa.int32()), "spans": pa.array([b[0] for b in blobs.values()], pa.binary()), "want": pa.array([b[1] for b in blobs.values()], pa.binary())})
 
     def gather(table: pa.Table) -> pa.Table:
@@ -420,45 +447,67 @@ def document_spans(docs: DataFrame, s: Settings, id_col: str, text_col: str) ->
                 if b > a:
                     blobs.setdefault((int(rows["doc"][a]), int(rows["tag"][a])), [None, None])[k] = packed(rows[a:b])
         ids, tags = zip(*blobs, strict=True) if blobs else ((), ())
-        return pa.table({"id": pa.array(ids, pa.int64()), "tag": pa.array(tags, pa.int32()), "spans": pa.array([b[0] for b in blobs.values()], pa.binary()), "want": pa.array([b[1] for b in blobs.values()], pa.binary())})
+        return pa.table({"id": pa.array(ids, pa.int64()), "tag": pa.array(tags, pa.int64()), "spans": pa.array([b[0] for b in blobs.values()], pa.binary()), "want": pa.array([b[1] for b in blobs.values()], pa.binary())})
 
     def gathered(buckets: DataFrame) -> DataFrame:
-        return buckets.repartition(n_parts, "bucket").groupBy("bucket").applyInArrow(gather, "id long, tag int, spans binary, want binary")
+        return buckets.repartition(n_parts, "bucket").groupBy("bucket").applyInArrow(gather, "id long, tag long, spans binary, want binary")
 
     records = rows.mapInArrow(anchors, "part int, records binary, gone binary").repartition(n_parts, "part")
     met = stored(gathered(records.groupBy("part").applyInArrow(meet, "bucket int, spans binary, want binary")), "met")
     wanted = met.where("want is not null").select("id", "tag", "want")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cut the contexts out of the texts and deal them to buckets."""
+        """Cut the contexts out of the texts and deal them to buckets. Of equal windows of a crowded anchor a task hands on
+        the smallest document's; the others lie in a larger document, so they are known to go."""
+        held: dict[int, list[tuple]] = {}
+        least: dict[bytes, int] = {}
+        crowded: list[tuple] = []
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            gone: dict[int, list[tuple]] = {}
+            for doc, mark, at, window in crowded:
+                bucket = int.from_bytes(hashlib.blake2b(window, digest_size=6).digest(), "little") % n_parts
+                if doc == least[window]:
+                    held.setdefault(bucket, []).append((doc, mark, at, window))
+                else:
+                    gone.setdefault(bucket, []).append((doc, mark, at, at + length))
+            for bucket in held.keys() | gone.keys():
+                doc, mark, start, text = zip(*held.get(bucket, ()), strict=True) if bucket in held else ((), (), (), ())
+                columns = np.array(doc, "<i8"), np.array(mark, "<i8"), np.array(start, "<u4"), np.array([len(x) for x in text], "<u2")
+                known = packed(merged(np.array(gone[bucket], SPAN))) if bucket in gone else b""
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in columns), pa.array([b"".join(text)], pa.binary()), pa.array([known], pa.binary())], ["bucket", "docs", "tags", "starts", "sizes", "texts", "gone"])
+
         for batch in batches:
             ids, marks, texts, asked = (batch.column(k) for k in place)
             raw, offs = utf8(texts)
-            out: dict[int, list[tuple]] = {}
             for i, (doc, mark, wants) in enumerate(zip(ids.to_pylist(), marks.to_pylist(), asked.to_pylist(), strict=True)):
-                text = raw[offs[i] : offs[i + 1]]
-                whole = text.tobytes()
+                whole = raw[offs[i] : offs[i + 1]].tobytes()
                 for w in unpacked(wants, WANT).tolist():
                     _, _, anchor, crowd, start, windows = w
+                    size += windows + length
                     if crowd <= s.crowd:
-                        out.setdefault(anchor // n_parts % n_parts, []).append((doc, mark, start, whole[start : start + windows + length - 1]))
-                    else:
-                        for at in range(start, start + windows):
-                            window = whole[at : at + length]
-                            sub = int.from_bytes(hashlib.blake2b(window, digest_size=6).digest(), "little")
-                            out.setdefault(sub % n_parts, []).append((doc, mark, at, window))
-            for bucket, own in out.items():
-                doc, mark, start, text = zip(*own, strict=True)
-                columns = np.array(doc, "<i8"), np.array(mark, "<u2"), np.array(start, "<u4"), np.array([len(x) for x in text], "<u2")
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in columns), pa.array([b"".join(text)], pa.binary())], ["bucket", "docs", "tags", "starts", "sizes", "texts"])
-
-    joined = keyed(docs, id_col, text_col).join(wanted.withColumnsRenamed({"id": "_id", "tag": "_tag"}), (F.col("_key") == F.col("_id")) & (F.col("_mark") == F.col("_tag")))
-    place = [joined.columns.index(c) for c in ("_key", "_mark", text_col, "want")]
-    contexts = joined.mapInArrow(fetch, "bucket int, docs binary, tags binary, starts binary, sizes binary, texts binary")
+                        held.setdefault(anchor // n_parts % n_parts, []).append((doc, mark, start, whole[start : start + windows + length - 1]))
+                        continue
+                    size += windows * length
+                    for at in range(start, start + windows):
+                        window = whole[at : at + length]
+                        crowded.append((doc, mark, at, window))
+                        least[window] = min(least.get(window, doc), doc)
+                if size > 24_000_000:
+                    yield from out()
+                    held, least, crowded, size = {}, {}, [], 0
+        yield from out()
+
+    (want,) = unused(docs, "want")
+    joined = matched(docs, wanted.withColumnRenamed("want", want), id_col, text_col, want, "inner")
+    width = len(docs.columns)
+    place = [width, width + 1, docs.columns.index(text_col), joined.columns.index(want)]
+    contexts = joined.mapInArrow(fetch, "bucket int, docs binary, tags binary, starts binary, sizes binary, texts binary, gone binary")
 
     def sort(table: pa.Table) -> pa.Table:
         col = lambda k, kind: np.concatenate([np.frombuffer(x, kind) for x in table[k].to_pylist()])
-        doc, mark, start, size = col("docs", "<i8"), col("tags", "<u2"), col("starts", "<u4").astype(np.int64), col("sizes", "<u2").astype(np.int64)
+        doc, mark, start, size = col("docs", "<i8"), col("tags", "<i8"), col("starts", "<u4").astype(np.int64), col("sizes", "<u2").astype(np.int64)
         text = np.frombuffer(b"".join(table["texts"].to_pylist()), np.uint8)
         base = np.concatenate([[0], np.cumsum(size)[:-1]])
         n_windows = size - length + 1
@@ -472,7 +521,8 @@ def document_spans(docs: DataFrame, s: Settings, id_col: str, text_col: str) ->
         spans["doc"], spans["tag"] = doc[owner[gone]], mark[owner[gone]]
         spans["start"] = start[owner[gone]] + inner[gone]
         spans["end"] = spans["start"] + np.uint32(length)
-        return dealt(merged(spans), np.zeros(0, WANT))
+        known = [unpacked(x, SPAN) for x in table["gone"].to_pylist() if x]
+        return dealt(merged(np.concatenate([spans, *known])), np.zeros(0, WANT))
 
     sorted_ = gathered(contexts.repartition(n_parts, "bucket").groupBy("bucket").applyInArrow(sort, "bucket int, spans binary, want binary"))
     every = met.where("spans is not null").select("id", "tag", "spans").unionByName(sorted_.select("id", "tag", "spans"))
@@ -483,11 +533,13 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), id_col: str
     """``docs`` with ``kept`` (the bytes that stay, concatenated) and ``removed`` (start and end of each maximal removed run,
     in bytes of the UTF-8 text). A null text counts as empty. A row with a null id is neither smaller nor larger than
     others: it stays whole and removes nothing. Rows of equal id don't remove each other's bytes; equal rows fare alike.
-    Texts shorter than the length stay whole. Columns named ``kept`` and ``removed`` are replaced.
+    Texts shorter than the length stay whole, an empty table stays empty. A long text is read in pieces and its records are
+    dealt out like those of many texts. Columns named ``kept`` and ``removed`` are replaced; all others stay as they are.
     """
     base = docs.drop("kept", "removed")
-    spans = document_spans(base, settings, id_col, text_col).select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans"))
-    joined = keyed(base, id_col, text_col).join(spans, (F.col("_key") == F.col("_id")) & (F.col("_mark") == F.col("_tag")), "left").select(*base.columns, "_spans")
+    (spans,) = unused(base, "spans")
+    found = document_spans(base, settings, id_col, text_col).withColumnRenamed("spans", spans)
+    joined = matched(base, found, id_col, text_col, spans, "left").select(*base.columns, spans)
     at = base.columns.index(text_col)
     width = len(base.columns)
     pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -1,4 +1,6 @@
+import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -29,7 +31,7 @@ def brute(rows, length):
 
 
 def same(spark, rows, settings=suffix.Settings()):
-    docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, kept string")
+    docs = spark.createDataFrame([(i, t, "z", 1, 2, 3) for i, t in rows], "doc_id long, text string, kept string, key int, want int, SPANS int")
     got = [(r.doc_id, bytes(r.kept), len(r.removed)) for r in suffix.remove_repeats(docs, settings).collect()]
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted(got, key=key) == sorted(brute(rows, settings.length), key=key)
@@ -50,6 +52,23 @@ def test_against_brute_force(spark):
     rows += [(50, rows[3][1]), (50, rows[3][1]), (51, None), (52, ""), (None, rows[3][1]), (53, "ab" * 400), (54, "x" + "ab" * 300), (55, "a" * 49), (56, "a" * 50), (57, "a" * 50), (56, "other text under one id " * 5)]
     same(spark, rows)
     same(spark, rows, suffix.Settings(crowd=1))
+    same(spark, rows, suffix.Settings(crowd=1, part_bytes=300))
+
+
+def test_the_query_gives_the_contract_s_columns(spark, tmp_path):
+    text = "the same long passage of text that stands in two documents and then goes on"
+    rows = [(1, text), (2, "before it. " + text + " and after"), (3, None), (4, "short"), (5, text)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in suffix.op4_suffix_dedup(spark, str(tmp_path)).collect()}
+    for i, kept, runs in brute(rows, 50):
+        whole = (dict(rows)[i] or "").encode()
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(whole), len(whole) - len(kept), runs, hashlib.sha256(kept).hexdigest())
+
+
+def test_the_number_of_parts_follows_the_bytes(spark):
+    s = suffix.Settings()
+    assert [s.parts(n) for n in (0, 1, s.part_bytes, s.part_bytes + 1)] == [1, 1, 1, 2]
+    assert s.parts(10**14) <= 10**14 // (16 * s.part_bytes) + 1
 
 
 def test_empty(spark):
@@ -83,4 +102,5 @@ def test_multikey_quicksort_beyond_the_small_case():
     groups = suffix.multikey(words, order, 0, 2)
     rows = [tuple(r) for r in words[order].tolist()]
     assert rows == sorted(rows)
-    assert sum(b - a for a, b in groups) + (9000 - sum(b - a for a, b in groups)) == 9000
+    assert len(order) > suffix.SMALL
+    assert sorted(b - a for a, b in groups) == sorted(n for n in Counter(rows).values() if n > 1)
