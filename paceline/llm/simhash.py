@@ -9,15 +9,18 @@ costs as many rows as it has fingerprints, and components stay exact.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from paceline.llm.common import bounded_batches, components, mixed, partitions, read_table, stored
+from paceline.llm.common import bounded_batches, components, mixed, partitions, read_table, spread_join, stored, unused
+
+NUMBERS = (ByteType, ShortType, IntegerType, LongType)
 
 #: Fingerprints of one tile, on average.
 TILE = 8192
@@ -99,34 +102,51 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray
     return every[left], every[right]
 
 
+def bands(per_count: dict[int, int], tile: int) -> tuple[dict[int, int], list[tuple[int, int, int]]]:
+    """Neighbouring population counts put together until they fill a tile: the band of each count, and for each band its
+    least and largest count and the number of tiles it is cut into. ``per_count`` is bounded by the fingerprint's width."""
+    band_of: dict[int, int] = {}
+    found: list[list[int]] = []
+    for ones in sorted(per_count):
+        if not found or found[-1][2] + per_count[ones] > tile:
+            found.append([ones, ones, 0])
+        found[-1][1] = ones
+        found[-1][2] += per_count[ones]
+        band_of[ones] = len(found) - 1
+    return band_of, [(lo, hi, -(-n // tile)) for lo, hi, n in found]
+
+
+def tile_pairs(rows: DataFrame, key: str, ones: str, radius: int, tile: int) -> DataFrame | None:
+    """``rows`` dealt to the tile pairs that may hold links: ``pair``, ``first`` (the row's tile is the pair's first), ``same``
+    (a tile with itself) and the columns of ``rows``. Tiles hold ``tile`` rows on average, of like population counts; pairs
+    whose counts differ by more than ``radius`` throughout are skipped. None if there are no rows."""
+    per_count = {r[0]: r[1] for r in rows.groupBy(ones).count().collect()}  # a row a population count
+    if not per_count:
+        return None
+    band_of, found = bands(per_count, tile)
+    reach = [(next(k for k, o in enumerate(found) if o[1] >= lo - radius), max(k for k, o in enumerate(found) if o[0] <= hi + radius)) for lo, hi, _ in found]
+    lookup = lambda x: F.create_map(*[F.lit(v) for kv in x.items() for v in kv])
+    tiles_of = lookup({k: n for k, (_, _, n) in enumerate(found)})
+    low, high = (lookup({k: r[side] for k, r in enumerate(reach)}) for side in (0, 1))
+    dealt = rows.withColumn("band", lookup(band_of)[F.col(ones)]).withColumn("part", F.pmod(F.xxhash64(key), tiles_of[F.col("band")]).cast("int"))
+    partners = F.flatten(F.transform(F.sequence(low[F.col("band")], high[F.col("band")]), lambda b: F.transform(F.sequence(F.lit(0), tiles_of[b] - 1), lambda k: F.struct(b.alias("band"), k.alias("part")))))
+    both = dealt.withColumn("mine", F.struct("band", "part")).withColumn("other", F.explode(partners)).withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
+    return both.select(F.concat_ws(":", "lo.band", "lo.part", "hi.band", "hi.part").alias("pair"), (F.col("mine") == F.col("lo")).alias("first"), (F.col("lo") == F.col("hi")).alias("same"), *rows.columns)
+
+
 def links(classes: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     """Links ``a, b`` between the distinct fingerprints in column ``fp``: within each tile pair a spanning forest."""
     spark = classes.sparkSession
-    counted = classes.select("fp", F.bit_count("fp").alias("ones"))
-    per_count = {r["ones"]: r["count"] for r in counted.groupBy("ones").count().collect()}  # at most 65 rows
-    if not per_count:
+    dealt = tile_pairs(classes.select("fp", F.bit_count("fp").alias("ones")), "fp", "ones", radius, tile)
+    if dealt is None:
         return spark.createDataFrame([], "a long, b long")
-    splits = {ones: -(-n // tile) for ones, n in per_count.items()}
-    of_ones = F.create_map(*[F.lit(x) for kv in splits.items() for x in kv])
-    tiles = counted.withColumn("part", F.pmod(F.xxhash64("fp"), of_ones[F.col("ones")]).cast("int")).groupBy("ones", "part").agg(F.collect_list("fp").alias("fps"))
-    parts_of = lambda o: F.coalesce(of_ones[o], F.lit(0))
-    partners = F.flatten(
-        F.transform(
-            F.sequence(F.greatest(F.lit(0), F.col("ones") - radius), F.least(F.lit(64), F.col("ones") + radius)),
-            lambda o: F.transform(F.array_remove(F.sequence(F.lit(0), parts_of(o)), parts_of(o)), lambda k: F.struct(o.alias("ones"), k.alias("part"))),
-        )
-    )
-    me = F.struct("ones", "part")
-    pairs = tiles.withColumn("mine", me).withColumn("other", F.explode(partners)).select(F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "fps")
-    keyed = pairs.select(F.concat_ws(":", "lo.ones", "lo.part", "hi.ones", "hi.part").alias("pair"), (F.col("lo") == F.col("hi")).alias("same"), (F.col("mine") == F.col("lo")).alias("first"), "fps")
 
     def compare(table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["same", "first", "fps"]).to_pylist(), key=lambda r: not r["first"])
-        arrays = [np.array(r["fps"], np.int64).view(np.uint64) for r in rows]
-        a, b = forest(arrays[0], None if rows[0]["same"] else arrays[1], radius) if rows[0]["same"] or len(rows) == 2 else (np.zeros(0, np.uint64),) * 2
+        first, fps = table.column("first").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+        a, b = forest(np.sort(fps[first]), None if table.column("same")[0].as_py() else np.sort(fps[~first]), radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return keyed.repartition(partitions(spark, 2), "pair").groupBy("pair").applyInArrow(compare, "a long, b long")
+    return dealt.select("pair", "first", "same", "fp").repartition(partitions(spark, 2), "pair").groupBy("pair").applyInArrow(compare, "a long, b long")
 
 
 def groups(docs: DataFrame, width: int = 4, seed: int = 42, radius: int = 4, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,29 +156,48 @@ def groups(docs: DataFrame, width: int = 4, seed: int = 42, radius: int = 4, til
     when the smallest is taken; a component of null ids only has a null component_id. Repeated rows all stay.
     """
     fps = stored(fingerprints(docs, width, seed, id_col, text_col), "fingerprints")
-    classes = stored(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
+    classes = stored(fps.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "classes")
     roots = components(links(classes, radius, tile))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = stored(rooted.join(named, "root").select("fp", "component_id"), "labels")
-    return fps.join(of_class, "fp").select(id_col, "fp", "component_id")
+    return _labelled(fps, rooted, classes.select("fp", "n"), "fp", id_col).select(id_col, "fp", "component_id")
+
+
+def _labelled(rows: DataFrame, rooted: DataFrame, counts: DataFrame, key: str, id_col: str) -> DataFrame:
+    """``rows`` with ``component_id``, the least id (column ``least``) of all keys with one ``root``."""
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    of_key = stored(spread_join(rooted.select(key, "root"), named.select("root", "component_id"), "root", named.select("root", "n"), rooted.count(), key).select(key, "component_id"), "labels")
+    return spread_join(rows, of_key, key, counts, rows.count(), id_col)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest id (rows with a null id stay too;
-    of rows that repeat that id, one is kept)."""
-    return _kept(docs, groups(docs, id_col=id_col, text_col=text_col, **settings), id_col)
+    """The rows of ``docs`` that stay: of each component one of the smallest id (rows with a null id stay too).
+
+    Rows that repeat an id are told apart by their texts: of those of the smallest id the one whose text has the smallest
+    hash stays, once. An id that stands in several components is kept in each of which it is the smallest. Empty texts are
+    near each other and one of them stays; an empty table stays empty; other columns stay as they are, whatever their names.
+    """
+    return _kept(docs, lambda rows: groups(rows, id_col="id", text_col="text", **settings), id_col, text_col)
 
 
-def _kept(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    once = docs.join(stay, docs[id_col] == stay["_kept"], "left_semi").dropDuplicates([id_col])
-    return once.unionByName(docs.where(F.col(id_col).isNull()))
+def _kept(docs: DataFrame, group: Callable[[DataFrame], DataFrame], id_col: str, text_col: str) -> DataFrame:
+    """Decides on narrow rows: each row's key is its id and the hash of its text; ``group`` gives ``id, component_id`` of
+    rows ``id, text``, here an id being that pair in one sortable string."""
+    key, again = unused(docs, "key", "again")
+    # as hexadecimal digits with the sign turned over, ids sort as the numbers do
+    shown = lambda x: F.lpad(F.hex(x), 16, "0")
+    number = isinstance(docs.schema[id_col].dataType, NUMBERS)
+    rank = shown(F.col(id_col).cast("long").bitwiseXOR(F.lit(-(2**63)))) if number else F.concat(F.col(id_col).cast("string"), F.lit("\u0000"))
+    mark = shown(F.xxhash64(text_col))
+    keyed = docs.withColumn(key, F.concat(rank, mark))
+    found = group(keyed.where(F.col(id_col).isNotNull()).select(F.col(key).alias("id"), F.col(text_col).alias("text")))
+    stay = found.where("id = component_id").select(F.col("id").alias(key)).distinct()
+    once = keyed.join(stay, key, "left_semi").withColumn(again, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))).where(F.col(again) == 1)
+    return once.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 #: Of the wide fingerprints' 256 bits, and of the first 64 of them, so many differ at most in a pair whose similarity may be 0.8
-#: or more: of equal sets of shingles but for a fifth, some 39 of 256 differ, at worst (few shingles) 48, each give or take 6.
-WIDE, FIRST = 72, 24
+#: or more: of large sets of shingles equal but for a fifth some 39 of 256 differ, give or take 6.
+WIDE, FIRST = 64, 22
 WIDE_TILE = 32768
 
 
@@ -176,9 +215,10 @@ def wide(data: bytes, width: int = 5, seed: int = 42) -> tuple[int, bytes, np.nd
     return int(key), np.packbits(ones * 2 > len(own), bitorder="little").tobytes(), own.view(np.int64)
 
 
-def wide_pairs(a: np.ndarray, b: np.ndarray | None, group: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
+def wide_pairs(a: np.ndarray, b: np.ndarray | None, group: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs of near fingerprints (rows of four words) of different groups, inside ``a`` or between ``a`` and ``b``,
-    whose places follow those of ``a``: all of them, or a spanning forest."""
+    whose places follow those of ``a``: a spanning forest in which each row offers its closest of each group, or each row's
+    closest alone. Either way never more than two pairs a row."""
     both = a if b is None else np.concatenate([a, b])
     shift = 0 if b is None else len(a)
     label = np.unique(group, return_inverse=True)[1]
@@ -189,89 +229,104 @@ def wide_pairs(a: np.ndarray, b: np.ndarray | None, group: np.ndarray, every: bo
             parent[x] = x = parent[parent[x]]
         return int(x)
 
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left, right = [], []
+    best = np.full(len(both), 1 << 30, np.int64)
+    mate = np.full(len(both), -1, np.int64)
     first = np.ascontiguousarray(both[shift:, 0])
     for at in range(0, len(a), ROWS):
         i, j = np.nonzero(np.bitwise_count(a[at : at + ROWS, 0, None] ^ first[None]) <= FIRST)
         i, j = i + at, j + shift
         if b is None:
             i, j = i[i < j], j[i < j]
-        near = np.bitwise_count(both[i] ^ both[j]).sum(axis=1, dtype=np.int64) <= WIDE
-        i, j = i[near], j[near]
-        near = label[i] != label[j]
-        i, j = i[near], j[near]
-        if every:
-            left.append(i)
-            right.append(j)
+        far = np.bitwise_count(both[i] ^ both[j]).sum(axis=1, dtype=np.int64)
+        near = (far <= WIDE) & (label[i] != label[j])
+        i, j, far = i[near], j[near], far[near]
+        if nearest:
+            for me, other in ((i, j), (j, i)):
+                order = np.lexsort((far, me))
+                who, start = np.unique(me[order], return_index=True)
+                better = far[order][start] < best[who]
+                best[who[better]], mate[who[better]] = far[order][start][better], other[order][start][better]
             continue
-        for me in np.unique(i).tolist():
-            hit = j[i == me]
+        order = np.lexsort((far, i))
+        i, j = i[order], j[order]
+        cuts = np.searchsorted(i, np.arange(at, min(at + ROWS, len(a)) + 1))
+        for me, x0, x1 in zip(range(at, at + ROWS), cuts[:-1].tolist(), cuts[1:].tolist(), strict=False):
+            if x0 == x1:
+                continue
+            hit = j[x0:x1]
             mine = root(int(label[me]))
             for x, k in zip(*(y.tolist() for y in np.unique(label[hit], return_index=True)), strict=True):
                 if (x := root(x)) != mine:
-                    left.append(np.array([me]))
-                    right.append(hit[k : k + 1])
+                    left.append(me)
+                    right.append(int(hit[k]))
                     parent[x] = mine
             label[hit] = label[me] = mine
-    return np.concatenate(left), np.concatenate(right)
+    if nearest:
+        some = np.flatnonzero(mate >= 0)
+        return some, mate[some]
+    return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def candidates(classes: DataFrame, every: bool, tile: int = WIDE_TILE) -> DataFrame:
-    """Pairs ``a, b`` of keys that may be similar, from ``classes`` (``key, wide, group``), by tile pairs."""
+def candidates(classes: DataFrame, nearest: bool, turn: int, tile: int = WIDE_TILE) -> DataFrame:
+    """Pairs ``a, b`` of keys that may be similar, from ``classes`` (``key, wide, ones, group``), by tile pairs. Each turn takes
+    the rows in another order, so that it offers other pairs of the groups that were left apart."""
     spark = classes.sparkSession
-    parts = max(1, -(-classes.count() // tile))
-    dealt = classes.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    keyed = dealt.select(F.concat_ws(":", F.least("part", "other"), F.greatest("part", "other")).alias("pair"), (F.col("part") <= F.col("other")).alias("first"), (F.col("part") == F.col("other")).alias("same"), "key", "wide", "group")
+    dealt = tile_pairs(classes.select("key", "wide", "ones", "group"), "key", "ones", WIDE, tile)
+    if dealt is None:
+        return spark.createDataFrame([], "a long, b long")
 
     def compare(table: pa.Table) -> pa.Table:
-        order = np.argsort(~table.column("first").to_numpy(), kind="stable")
-        n = int(table.column("first").to_numpy().sum())
-        keys, group = table.column("key").to_numpy()[order], table.column("group").to_numpy()[order]
+        first, keys = table.column("first").to_numpy(), table.column("key").to_numpy()
+        order = np.lexsort((mixed(keys.view(np.uint64) + np.uint64(turn)), ~first))
+        n = int(first.sum())
+        keys, group = keys[order], table.column("group").to_numpy()[order]
         fps = np.frombuffer(b"".join(table.column("wide").to_pylist()), "<u8").reshape(-1, 4)[order]
-        i, j = wide_pairs(fps[:n], None if table.column("same")[0].as_py() else fps[n:], group, every)
-        return pa.table({"a": keys[i], "b": keys[j]})
+        i, j = wide_pairs(fps[:n], None if table.column("same")[0].as_py() else fps[n:], group, nearest)
+        return pa.table({"a": np.minimum(keys[i], keys[j]), "b": np.maximum(keys[i], keys[j])})
 
-    return keyed.repartition(partitions(spark, 2), "pair").groupBy("pair").applyInArrow(compare, "a long, b long")
+    return dealt.drop("ones").repartition(partitions(spark, 2), "pair").groupBy("pair").applyInArrow(compare, "a long, b long")
 
 
 def similar(docs: DataFrame, least: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, tile: int = WIDE_TILE) -> DataFrame:
-    """``id_col, component_id`` per row: components of the links between texts whose sets of shingles have a Jaccard
-    similarity of ``least`` or more. Ids as in ``groups``.
+    """``id_col, component_id`` per row: components of links between texts whose sets of shingles have a Jaccard similarity
+    of ``least`` or more. Ids as in ``groups``.
 
     Near fingerprints only propose; each proposed pair is confirmed on the whole sets. The first rounds propose a spanning
-    forest, which joins large groups by few pairs; the last proposes every pair that the confirmed links leave apart."""
+    forest over the tiles, which joins large groups by few pairs; the last proposes each text's closest outside its own
+    group. So the pairs grow with the texts, also in a family of many texts that stay just below ``least``."""
     spark = docs.sparkSession
     bounded_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [wide(x or b"", width) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _, _ in own], pa.int64()), pa.array([f for _, f, _ in own], pa.binary()), pa.array([s for _, _, s in own], pa.list_(pa.int64()))], [id_col, "key", "wide", "shingles"])
+            ones = np.bitwise_count(np.frombuffer(b"".join(f for _, f, _ in own), "<u8").reshape(-1, 4)).sum(axis=1, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _, _ in own], pa.int64()), pa.array([f for _, f, _ in own], pa.binary()), pa.array(ones, pa.int32()), pa.array([s for _, _, s in own], pa.list_(pa.int64()))], [id_col, "key", "wide", "ones", "shingles"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = stored(docs.select(id_col, F.encode(F.col(text_col), "UTF-8").alias("data")).mapInArrow(run, f"{id_col} {kind}, key long, wide binary, shingles array<long>"), "wide")
-    classes = stored(rows.groupBy("key").agg(F.min(id_col).alias("least"), F.min("wide").alias("wide")), "classes").withColumn("group", F.col("key"))
-    links = spark.createDataFrame([], "a long, b long")
+    rows = stored(docs.select(id_col, F.encode(F.col(text_col), "UTF-8").alias("data")).mapInArrow(run, f"{id_col} {kind}, key long, wide binary, ones int, shingles array<long>"), "wide")
+    classes = stored(rows.groupBy("key").agg(F.min(id_col).alias("least"), F.min("wide").alias("wide"), F.min("ones").alias("ones"), F.count("*").alias("n")), "classes").withColumn("group", F.col("key"))
+    counts = classes.select("key", "n")
+    links = seen = spark.createDataFrame([], "a long, b long")
     for k in range(rounds + 1):
-        pairs = stored(candidates(classes.select("key", "wide", "group"), k == rounds, tile).distinct(), "pairs")
+        pairs = stored(candidates(classes, k == rounds, k, tile).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
         asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
         sets = stored(rows.select("key", "shingles").join(asked, "key", "left_semi").dropDuplicates(["key"]), "sets")
-        one, two = (sets.select(F.col("key").alias(c), F.col("shingles").alias(f"_{c}")) for c in "ab")
-        common = F.size(F.array_intersect("_a", "_b"))
-        told = stored(pairs.join(one, "a").join(two, "b").select("a", "b", (common >= least * (F.size("_a") + F.size("_b") - common)).alias("holds")), "told")
-        links = links.union(told.where("holds").select("a", "b"))
+        one, two = (sets.select(F.col("key").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab")
+        common = F.size(F.array_intersect("a_set", "b_set"))
+        told = stored(pairs.join(one, "a").join(two, "b").select("a", "b", (common >= least * (F.size("a_set") + F.size("b_set") - common)).alias("holds")), "told")
+        links, seen = links.union(told.where("holds").select("a", "b")), seen.union(told.select("a", "b"))
         roots = components(links)
-        classes = stored(classes.drop("group").join(roots, classes["key"] == roots["node"], "left").select("key", "least", "wide", F.coalesce("root", "key").alias("group")), "classes")
+        classes = stored(classes.drop("group").join(roots, classes["key"] == roots["node"], "left").select("key", "least", "wide", "ones", F.coalesce("root", "key").alias("group")), "classes")
         if told.where("not holds").isEmpty():  # all that was proposed is joined
             break
-    named = classes.groupBy("group").agg(F.min("least").alias("component_id"))
-    of_class = stored(classes.join(named, "group").select("key", "component_id"), "labels")
-    return rows.select(id_col, "key").join(of_class, "key").select(id_col, "component_id")
+    return _labelled(rows.select(id_col, "key"), classes.select("key", "least", F.col("group").alias("root")), counts, "key", id_col).select(id_col, "component_id")
 
 
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """``keep_one`` by the components of ``similar``."""
-    return _kept(docs, similar(docs, id_col=id_col, text_col=text_col, **settings), id_col)
+    return _kept(docs, lambda rows: similar(rows, id_col="id", text_col="text", **settings), id_col, text_col)
 
 
 def op8_simhash_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:

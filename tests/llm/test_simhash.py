@@ -33,7 +33,7 @@ def test_forest_keeps_components():
     fps = np.unique(np.concatenate([base, *[base ^ np.uint64(1 << k) for k in range(0, 40, 3)]]))
     a, b = simhash.forest(fps, None, 2)
     assert len(a) < len(fps)
-    assert all((int(x) ^ int(y)).bit_count() >= 0 for x, y in zip(a, b, strict=True))
+    assert all(int(x) in fps.tolist() and int(y) in fps.tolist() for x, y in zip(a, b, strict=True))
     parent = {int(x): int(x) for x in fps}
 
     def root(x):
@@ -92,3 +92,26 @@ def test_similar_matches_brute_force(spark):
         got = {r.doc_id: r.component_id for r in simhash.similar(docs, tile=tile).collect()}
         assert got == dict(enumerate(lab))
     assert sorted(r.doc_id for r in simhash.keep_one_similar(docs).collect()) == sorted(set(lab))
+
+
+def test_of_rows_with_one_id_no_text_is_lost(spark):
+    one, two = "the first text of some words that goes on for a while", "quite another text which shares no shingle with the first one at all"
+    rows = [(3, one, 1), (5, two, 2), (5, one, 3), (-7, None, 4), (8, "", 5), (9, two, 6)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, key int").repartition(3)
+        for keep in (simhash.keep_one, simhash.keep_one_similar):
+            assert sorted((r.doc_id, r.text) for r in keep(docs).select("doc_id", "text").collect()) == [(-7, None), (3, one), (5, two)]
+            assert keep(docs).columns == docs.columns
+
+
+def test_bands_cover_all_counts_and_reach_all_partners():
+    band_of, found = simhash.bands({0: 5, 3: 10, 4: 1, 60: 30}, 12)
+    assert [(lo, hi) for lo, hi, _ in found] == [(0, 0), (3, 4), (60, 60)] and band_of == {0: 0, 3: 1, 4: 1, 60: 2}
+    assert [n for *_, n in found] == [1, 1, 3]
+
+
+def test_the_query_gives_the_contract_s_columns(spark, tmp_path):
+    body = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    spark.createDataFrame([(4, body), (2, body), (7, None), (9, "else")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in simhash.op8_simhash_tiled(spark, str(tmp_path)).collect())
+    assert got == [(2, f"{slow(body):016x}", 2), (4, f"{slow(body):016x}", 2), (7, "0" * 16, 7), (9, f"{slow('else'):016x}", 9)]
