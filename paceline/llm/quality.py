@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm.common import bounded_batches, id_remainder, mixed, read_table, text_bytes, utf8
+from paceline.llm.common import bounded_batches, id_remainder, mixed, read_table, text_bytes, unused, utf8
 
 
 @dataclass(frozen=True)
@@ -30,7 +30,10 @@ class Settings:
     dims: int = 8
     ngrams: tuple[int, ...] = (2, 3, 4)
     epochs: int = 6
+    #: learning rates of the output layer and of the vectors at the start; both fall to zero in a straight line. A feature's
+    #: gradient is its share of the document's mean, a few thousandths, hence the larger rate of the vectors.
     rate: float = 0.6
+    vector_rate: float = 12.0
     seed: int = 17
 
 
@@ -38,18 +41,21 @@ class Settings:
 PIECE = 1 << 18
 
 
-def _lower(raw: np.ndarray) -> np.ndarray:
-    upper = (raw >= 65) & (raw <= 90)
-    return raw + upper.astype(np.uint8) * np.uint8(32)
+def characters(raw: np.ndarray) -> np.ndarray:
+    """Code points of UTF-8 bytes."""
+    return np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
 
 
 def features(raw: np.ndarray, settings: Settings) -> np.ndarray:
     """Bucket of every word and character n-gram of one UTF-8 text, repeats included.
 
-    N-grams stay within a word and its two bordering blanks; each n and the whole words hash apart.
+    N-grams stay within a word and its two bordering blanks; each n and the whole words hash apart. ASCII letters count as
+    their lower case.
     """
-    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    text = np.concatenate([[np.uint8(32)], np.where(space, np.uint8(32), _lower(raw)), [np.uint8(32)]])
+    points = characters(raw)
+    space = (points == 32) | ((points >= 9) & (points <= 13))
+    points = points + ((points >= 65) & (points <= 90)).astype(np.uint32) * np.uint32(32)
+    text = np.concatenate([[np.uint32(32)], np.where(space, np.uint32(32), points), [np.uint32(32)]])
     blank = text == 32
     keep = np.ones(len(text), bool)
     keep[1:] = ~(blank[1:] & blank[:-1])  # runs of white space count as one blank
@@ -91,6 +97,8 @@ def pieces(raw: np.ndarray) -> Iterator[np.ndarray]:
         window = raw[at + PIECE // 2 : at + PIECE]
         gaps = np.flatnonzero((window == 32) | ((window >= 9) & (window <= 13)))
         stop = at + PIECE // 2 + int(gaps[-1]) + 1 if len(gaps) else at + PIECE
+        while not len(gaps) and stop > at + 1 and raw[stop] & 0xC0 == 0x80:  # not within a character
+            stop -= 1
         yield raw[at:stop]
         at = stop
     yield raw[at:]
@@ -117,7 +125,8 @@ def train(texts: list[bytes], labels: list[int], share: float, settings: Setting
     for _ in range(settings.epochs):
         for k in rng.permutation(len(seen)).tolist():
             ids, part, y = seen[k]
-            rate = settings.rate * (1 - done / steps)
+            left = 1 - done / steps
+            rate, vector_rate = settings.rate * left, settings.vector_rate * left
             done += 1
             mean = part @ vectors[ids]
             logit = mean @ output + bias
@@ -127,8 +136,7 @@ def train(texts: list[bytes], labels: list[int], share: float, settings: Setting
             back = output @ p
             output -= rate * np.outer(mean, p)
             bias -= rate * p
-            # each feature's gradient is its share of the mean; scaled up, since a share is a few thousandths
-            vectors[ids] -= (rate * 20) * part[:, None] * back
+            vectors[ids] -= vector_rate * part[:, None] * back
     weight = vectors @ (output[:, 1] - output[:, 0])
     lean = bias[1] - bias[0]
     among = float(np.mean(labels)) if labels else 0.5
@@ -147,7 +155,7 @@ def label_sample(labels: DataFrame, label: str, per_class: int, id_col: str = "d
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """The model's weights, fitted on at most ``2 * settings.per_class`` labelled rows; without any it scores everything 0.5."""
     share = labels.where(F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
-    chosen = label_sample(labels, label, settings.per_class, id_col)
+    chosen = label_sample(labels, label, settings.per_class, id_col)  # two rows a labelled id with two texts: both are learnt from
     rows = docs.select(F.col(id_col).alias("_id"), text_bytes(text_col).alias("data")).join(F.broadcast(chosen), "_id").select("_id", "_y", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,13 +171,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", settings: Se
 def score(docs: DataFrame, model: np.ndarray, settings: Settings = Settings(), score_col: str = "score", text_col: str = "text") -> DataFrame:
     """``docs`` with ``score_col``: the probability of class 1. A null or empty text gets the model's prior.
 
-    Rows and other columns stay as they are; a column of that name is replaced.
+    Rows and other columns stay as they are, whatever their names; a column of that name is replaced. Long texts are read
+    whole, in pieces; equal texts score alike; an empty table stays empty.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     kept = docs.drop(score_col)
     sent = spark.sparkContext.broadcast(model)
-    names, data = kept.columns, "_data"
+    names = kept.columns
+    (data,) = unused(kept, "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = sent.value[:-1].astype(np.float64)

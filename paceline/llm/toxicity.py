@@ -2,7 +2,9 @@
 
 A bounded sample of labelled rows gives the examples; every term of an example is a term of the index, so
 the vocabulary is bounded by the sample. Every document is turned, once, into its counts of those terms; document
-frequencies are counted over all documents. The nearest examples by exact TF-IDF cosine are found with an
+frequencies are counted over all documents. A term weighs by its frequency in the text, its inverse document
+frequency, and its relevance frequency (how much more of the examples of class 1 than of class 0 hold it, a
+supervised factor that is never zero). The nearest examples by exact cosine of these vectors are found with an
 inverted index in blocks: rare terms have postings, terms of many examples a row of weights in each block and the
 largest of it. A block whose bound can't reach the k-th best cosine so far is skipped, which never changes
 the result. Votes weigh by cosine; the vote is turned into a probability by logistic calibration on the
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm.common import bounded_batches, id_remainder, read_table, stored, text_or_empty
+from paceline.llm.common import bounded_batches, id_remainder, read_table, stored, text_or_empty, unused
 from paceline.llm.quality import label_sample
 
 
@@ -33,25 +35,19 @@ from paceline.llm.quality import label_sample
 class Settings:
     #: labelled rows of each class that become examples, at most: those whose hashed ids are smallest
     per_class: int = 2000
-    k: int = 15
+    k: int = 31
     block: int = 64
 
 
 WORD = re.compile(r"\w+")
 
 
-#: Lengths of the word beginnings that are terms as well, and how often a term must occur for its further forms: ``x@3`` is
-#: a term of texts that hold x three times, so that cosine, which is blind to length, can tell one use from many.
-HEADS = (4, 5, 6, 7)
-TIMES = (2, 3, 5)
-
-
-def with_times(counts: dict[str, int]) -> dict[str, int]:
-    return counts | {f"{t}@{k}": n for t, n in counts.items() for k in TIMES if n >= k}
+#: Lengths of the word beginnings that are terms as well.
+HEADS = (4, 6)
 
 
 def term_counts(text: str) -> dict[str, int]:
-    """Counts of words, of word beginnings (written ``abcd-``) and of their repeated forms."""
+    """Counts of words and of word beginnings (written ``abcd-``)."""
     counts: dict[str, int] = {}
     for word, n in Counter(WORD.findall(text.lower())).items():
         counts[word] = counts.get(word, 0) + n
@@ -59,7 +55,7 @@ def term_counts(text: str) -> dict[str, int]:
             if len(word) > k:
                 head = word[:k] + "-"
                 counts[head] = counts.get(head, 0) + n
-    return with_times(counts)
+    return counts
 
 
 class Seeker:
@@ -70,46 +66,25 @@ class Seeker:
 
     def __init__(self, terms: list[str]):
         self.terms = terms
-        self.base = {t.partition("@")[0]: i for i, t in enumerate(dict.fromkeys(t.partition("@")[0] for t in terms))}
-        #: for each least count, the place of each base's form, -1 for none
-        self.forms = {k: np.full(len(self.base), -1, np.int32) for k in (1, *TIMES)}
-        for i, t in enumerate(terms):
-            name, _, k = t.partition("@")
-            self.forms[int(k or 1)][self.base[name]] = i
+        self.place = {t: i for i, t in enumerate(terms)}
         self.of_word: dict[str, list[int]] = {}
 
     def numbers(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Places of the terms in the list, in order, and their counts."""
         found: list[int] = []
-        times: list[int] = []
-        sizes: list[int] = []
-        of_word, base = self.of_word, self.base
+        of_word, place = self.of_word, self.place
         if len(of_word) > self.known_words:
             of_word.clear()
-        for word, n in Counter(WORD.findall(text.lower())).items():
+        for word in WORD.findall(text.lower()):
             own = of_word.get(word)
             if own is None:
-                names = [word, *(word[:k] + "-" for k in HEADS if len(word) > k)]
-                own = of_word[word] = [base[x] for x in names if x in base]
+                own = of_word[word] = [place[x] for x in (word, *(word[:k] + "-" for k in HEADS if len(word) > k)) if x in place]
             found += own
-            times.append(n)
-            sizes.append(len(own))
         if not found:
             return np.zeros(0, np.int32), np.zeros(0, np.int32)
-        which = np.array(found)
-        order = np.argsort(which)
-        which = which[order]
+        which = np.sort(np.array(found, np.int32))
         first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
-        which, counts = which[first], np.add.reduceat(np.repeat(np.array(times), sizes)[order], first).astype(np.int32)
-        places, own = [], []
-        for k, form in self.forms.items():
-            at = form[which]
-            some = (counts >= k) & (at >= 0)
-            places.append(at[some])
-            own.append(counts[some])
-        place, count = np.concatenate(places), np.concatenate(own)
-        order = np.argsort(place)
-        return place[order], count[order]
+        return which[first], np.diff(first, append=len(which)).astype(np.int32)
 
     def __call__(self, text: str) -> dict[str, int]:
         places, counts = self.numbers(text)
@@ -117,7 +92,7 @@ class Seeker:
 
 
 class Index:
-    """Examples as unit TF-IDF vectors in blocks. A term of few examples has postings; a term of more than an eighth of them
+    """Examples as unit vectors in blocks; ``idf`` is each term's weight besides its frequency in a text. A term of few examples has postings; a term of more than an eighth of them
     has its weights in every block and, for each block, the largest of them."""
 
     #: documents scored at a time
@@ -234,10 +209,10 @@ def sample_terms(sample: DataFrame) -> list[str]:
     return counts.sort_by([("n", "descending"), ("term", "ascending")]).column("term").to_pylist()
 
 
-def restricted(docs: DataFrame, terms: list[str], text_col: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``_terms`` and ``_counts``: the chosen terms that each whole text holds."""
-    kept = docs.select(*[c for c in docs.columns if c != text_col], text_or_empty(text_col).alias("_data"))
-    names = kept.columns[:-1]
+def restricted(docs: DataFrame, terms: list[str], into: list[str], text_col: str = "text") -> DataFrame:
+    """``docs`` without its text, with the two columns ``into``: the chosen terms that each whole text holds, and their counts."""
+    names = [c for c in docs.columns if c != text_col]
+    kept = docs.select(*names, text_or_empty(text_col).alias(into[0]))
     sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,9 +221,9 @@ def restricted(docs: DataFrame, terms: list[str], text_col: str = "text") -> Dat
             own = [seeker.numbers(text) for text in batch.column(len(names)).to_pylist()]
             ends = pa.array(np.cumsum([0, *(len(t) for t, _ in own)]), pa.int32())
             ids, counts = (pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *x]), pa.int32())) for x in ((t for t, _ in own), (c for _, c in own)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], ids, counts], [*names, "_terms", "_counts"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], ids, counts], [*names, *into])
 
-    schema = kept.select(*names, F.array().cast("array<int>").alias("_terms"), F.array().cast("array<int>").alias("_counts")).schema
+    schema = kept.select(*names, *[F.array().cast("array<int>").alias(c) for c in into]).schema
     return kept.mapInArrow(run, schema)
 
 
@@ -258,7 +233,7 @@ def lists(column: pa.Array) -> list[np.ndarray]:
     return np.split(flat, np.cumsum([0, *pc.list_value_length(column).to_pylist()])[1:-1]) if len(column) else []
 
 
-def document_frequency(vectors: DataFrame, n_terms: int) -> np.ndarray:
+def document_frequency(vectors: DataFrame, n_terms: int, terms_col: str) -> np.ndarray:
     """How many documents hold each term. Each task sums up its own, so a term of very many documents is a row a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,17 +245,29 @@ def document_frequency(vectors: DataFrame, n_terms: int) -> np.ndarray:
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], ["t", "n"])
 
-    found = vectors.select("_terms").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row a term
+    found = vectors.select(terms_col).mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row a term
     out = np.zeros(n_terms)
     out[found.column("t").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
-def fitted(vectors: DataFrame, chosen: DataFrame, terms: list[str], share: float, settings: Settings, id_col: str) -> Model:
-    """The index and its calibration. ``share`` is class 1's share among all labelled rows that may be learnt from."""
+def relevance(texts: list[tuple[np.ndarray, np.ndarray]], labels: list[int], n_terms: int) -> np.ndarray:
+    """Relevance frequency of each term: log2(2 + a / max(1, c)), with a and c the examples of class 1 and 0 that hold it, per
+    thousand of their class."""
+    held = np.zeros((2, n_terms))
+    for (terms, _), y in zip(texts, labels, strict=True):
+        held[y][terms] += 1
+    n0, n1 = labels.count(0), labels.count(1)
+    return np.log2(2 + held[1] * (1000 / n1) / np.maximum(1, held[0] * (1000 / n0)))
+
+
+def fitted(vectors: DataFrame, chosen: DataFrame, n_terms: int, share: float, settings: Settings, id_col: str, made: list[str]) -> Model:
+    """The index and its calibration. ``share`` is class 1's share among all labelled rows that may be learnt from; ``made``
+    names the columns of terms and counts."""
     n_docs = vectors.count()
-    idf = np.log((1 + n_docs) / (1 + document_frequency(vectors, len(terms)))) + 1
-    found = vectors.join(F.broadcast(chosen), vectors[id_col] == chosen["_id"]).select("_id", "_y", "_terms", "_counts").orderBy("_id", "_terms", "_counts").toArrow().combine_chunks()  # bounded by the sample
+    idf = np.log((1 + n_docs) / (1 + document_frequency(vectors, n_terms, made[0]))) + 1
+    rows = vectors.select(F.col(id_col).alias("_id"), F.col(made[0]).alias("_terms"), F.col(made[1]).alias("_counts"))
+    found = rows.join(F.broadcast(chosen), "_id").orderBy("_id", "_terms", "_counts").toArrow().combine_chunks()  # bounded by the sample
     labels = found.column("_y").to_pylist()
     n1, n0 = (labels.count(y) for y in (1, 0))
     if not n1 or not n0:
@@ -291,7 +278,7 @@ def fitted(vectors: DataFrame, chosen: DataFrame, terms: list[str], share: float
     bare = [y for y, (t, _) in zip(labels, texts, strict=True) if not len(t)]
     w1, w0 = (weigh[y] * bare.count(y) for y in (1, 0))
     none = (w1 + 1e-3 * share) / (w1 + w0 + 1e-3)
-    index = Index(idf, texts, labels, settings)
+    index = Index(idf * relevance(texts, labels, n_terms), texts, labels, settings)
     votes, truth = [], []
     for y, (places, cosines) in zip(labels, index.nearest_of(texts, [*range(len(texts))]), strict=True):
         if len(places):
@@ -316,18 +303,21 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: S
     """``docs`` without its text, with ``score`` and ``evidence`` (label and cosine of the nearest examples, nearest first).
 
     A text with no word of any example, an empty or a null one gets the calibrated share of class 1 among such examples and
-    no evidence. Without labels of both classes every text gets the known share of class 1 (0.5 if nothing is known).
+    no evidence. Without labels of both classes every text gets the known share of class 1 (0.5 if nothing is known). Whole
+    texts are read, however long; equal rows score alike and all stay; an empty table stays empty; neighbours of equal
+    cosine are taken in the index's own order. Columns named ``score`` and ``evidence`` are replaced, all others kept.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     share = labels.where(F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
     chosen = stored(label_sample(labels, label, settings.per_class, id_col), "sample")
-    sample = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select("_y", text_or_empty(text_col).alias("data"))
+    sample = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("data")).join(F.broadcast(chosen), "_id")
     terms = sample_terms(sample)
-    vectors = stored(restricted(docs, terms, text_col), "vectors")
-    sent = spark.sparkContext.broadcast(fitted(vectors, chosen, terms, 0.5 if share is None else float(share), settings, id_col))
-    names = [c for c in vectors.columns if c not in ("_terms", "_counts", "score", "evidence")]
-    rows = vectors.select(*names, "_terms", "_counts")
+    base = docs.drop("score", "evidence")
+    made = unused(base, "terms", "counts")
+    rows = stored(restricted(base, terms, made, text_col), "vectors")
+    sent = spark.sparkContext.broadcast(fitted(rows, chosen, len(terms), 0.5 if share is None else float(share), settings, id_col, made))
+    names = rows.columns[:-2]
     width = len(names)
     pairs = pa.list_(pa.struct([("label", pa.int32()), ("cosine", pa.float64())]))
 

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +39,88 @@ def test_quality_learns_and_takes_edges(spark):
     assert {r.score for r in quality.score(odd, none).collect()} == {0.5}
 
 
+def slow_buckets(text, s):
+    """Buckets by plain Python: polynomial hashes of characters, each n and whole words apart."""
+    one = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 33
+        x = x * 0xFF51AFD7ED558CCD & one
+        x ^= x >> 33
+        x = x * 0xC4CEB9FE1A85EC53 & one
+        return x ^ x >> 33
+
+    found = []
+    for word in text.split():
+        word = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in word)
+        padded = f" {word} "
+        for n in s.ngrams:
+            for k in range(len(padded) - n + 1):
+                if (gram := padded[k : k + n]).strip(" ") or n > 2:
+                    h = 0
+                    for c in gram:
+                        h = (h * 0x9E3779B97F4A7C15 + mix(ord(c) + 257)) & one
+                    found.append(mix(h + n & one) & s.buckets - 1)
+        found.append(None)
+    return [x for x in found if x is not None], sum(x is None for x in found)
+
+
+def test_features_by_definition():
+    s = quality.Settings()
+    for text in ("The Cat", "é", "añb ßç üüü", "x", "a bb ccc dddd", "日本語 text"):
+        grams, words = slow_buckets(text, s)
+        got = quality.features(np.frombuffer(text.encode(), np.uint8), s).tolist()
+        assert sorted(got[: len(got) - words]) == sorted(grams)
+        assert len(set(got[len(got) - words :])) == len({w.lower() for w in text.split()})
+
+
+def test_training_is_gradient_descent_on_the_loss():
+    s = quality.Settings(buckets=64, dims=3, epochs=2, seed=5)
+    texts, labels = [b"aa bb", b"cc dd", b"aa cc", b"bb"], [1, 0, 1, 0]
+    model = quality.train(texts, labels, 0.5, s)
+    rng = np.random.default_rng(5)
+    v, out, bias = rng.uniform(-1 / 3, 1 / 3, (64, 3)), np.zeros((3, 2)), np.zeros(2)
+    bags = [np.bincount(quality.features(np.frombuffer(t, np.uint8), s), minlength=64) for t in texts]
+
+    def loss(v, out, bias, k):
+        z = (bags[k] / bags[k].sum()) @ v @ out + bias
+        return np.log(np.exp(z).sum()) - z[labels[k]]
+
+    def slope(of, at):
+        grad = np.zeros_like(at)
+        for i in np.ndindex(at.shape):
+            for sign in (1, -1):
+                moved = at.copy()
+                moved[i] += sign * 1e-6
+                grad[i] += sign * of(moved) / 2e-6
+        return grad
+
+    done = 0
+    for _ in range(2):
+        for k in rng.permutation(4).tolist():
+            left = 1 - done / 8
+            done += 1
+            gv, go, gb = slope(lambda x: loss(x, out, bias, k), v), slope(lambda x: loss(v, x, bias, k), out), slope(lambda x: loss(v, out, x, k), bias)  # noqa: B023
+            v, out, bias = v - s.vector_rate * left * gv, out - s.rate * left * go, bias - s.rate * left * gb
+    assert model[:-1] == pytest.approx(v @ (out[:, 1] - out[:, 0]), abs=1e-4)
+    assert model[-1] == pytest.approx(bias[1] - bias[0], abs=1e-4)
+
+
+def test_names_of_columns_do_not_clash(spark):
+    docs = spark.createDataFrame([(1, "the cat", 5, 6), (2, None, 5, 6)], "doc_id long, text string, data int, _data int")
+    out = quality.score(docs, np.zeros(quality.Settings().buckets + 1, np.float32)).collect()
+    assert [(r.data, r._data, r.score) for r in out] == [(5, 6, 0.5)] * 2
+
+
+def test_queries_give_the_contract_s_columns(spark):
+    for query, least in ((toxicity.op2_toxicity_nearest, 0.5), (quality.op3_quality_subword, 0.3)):
+        out = query(spark, SMALL)
+        assert out.columns == ["doc_id", "held_out", "score", "predicted"]
+        rows = out.collect()
+        assert len(rows) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= least) and 0 <= r.score <= 1 for r in rows)
+
+
 def test_long_texts_are_read_whole():
     data = np.frombuffer(b"word " * 200_000, np.uint8)
     assert sum(map(len, quality.pieces(data))) == len(data)
@@ -64,10 +148,46 @@ def test_block_max_search_is_exact():
 def test_seeker_counts_as_term_counts():
     text = "Idiot idiots, réeuxpa réeuxment x idiot idiot"
     every = toxicity.term_counts(text)
-    chosen = ["idiot", "idiot@3", "réeu-", "réeux-@2", "nothing", "idio-@5"]
+    assert every["idio-"] == 4 and every["réeu-"] == 2 and every["réeuxp-"] == 1
+    chosen = ["idiot", "réeu-", "nothing", "idio-"]
     assert toxicity.Seeker(chosen)(text) == {t: n for t, n in every.items() if t in chosen}
 
 
+def test_scores_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    words = [f"word{k}" for k in range(40)]
+    texts = [" ".join(rng.choice(words[:30] if i % 3 else words[10:], rng.integers(1, 25))) for i in range(90)] + ["", None, "word3 " * 5000]
+    labels = {i: int(i % 3 == 0) for i in range(60)}
+    docs = spark.createDataFrame([(i, t, 7, 8) for i, t in enumerate(texts)], "doc_id long, text string, _terms int, _y int")
+    settings = toxicity.Settings(k=5, block=8)
+    out = {r.doc_id: r for r in toxicity.scored(docs, spark.createDataFrame([*labels.items()], "doc_id long, toxic int"), settings=settings).collect()}
+    counts = [toxicity.term_counts(t or "") for t in texts]
+    vocabulary = sorted({t for i in labels for t in counts[i]})
+    share = sum(labels.values()) / len(labels)
+    weight = {}
+    for t in vocabulary:
+        df = sum(t in c for c in counts)
+        a, c = (sum(t in counts[i] for i in labels if labels[i] == y) * 1000 / sum(v == y for v in labels.values()) for y in (1, 0))
+        weight[t] = (np.log((1 + len(texts)) / (1 + df)) + 1) * np.log2(2 + a / max(1, c))
+    vectors = []
+    for c in counts:
+        v = np.array([(1 + np.log(c[t])) * weight[t] if t in c else 0.0 for t in vocabulary])
+        vectors.append(v / np.linalg.norm(v) if v.any() else v)
+    points = []
+    for i in range(len(texts)):
+        near = sorted((round(float(vectors[i] @ vectors[j]), 9) for j in labels), reverse=True)[:5]
+        near = [x for x in near if x > 0]
+        assert [round(e.cosine, 9) for e in out[i].evidence] == pytest.approx(near, abs=1e-8)
+        assert (out[i]._terms, out[i]._y) == (7, 8)
+        if near:
+            cos = np.array([e.cosine for e in out[i].evidence])
+            points.append(((cos @ np.array([e.label for e in out[i].evidence]) + 0.05) / (cos.sum() + 0.1), np.log(out[i].score / (1 - out[i].score))))
+    x, y = np.array(points).T
+    slope, offset = np.polyfit(x, y, 1)
+    assert slope > 0 and np.abs(slope * x + offset - y).max() < 1e-6  # the logistic of the distance-weighted vote
+    assert out[90].score == out[91].score == pytest.approx((1e-3 * share) / 1e-3, rel=1e-6)
+
+
 def test_toxicity_held_out_and_edges(spark):
     docs = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/labels.parquet")
