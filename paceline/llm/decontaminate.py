@@ -8,16 +8,22 @@ leaked the item. Both are judged for each occurrence in the document and for all
 
 Texts are never shuffled: windows are hashed and looked up in the task that reads the document. The
 benchmark's windows are broadcast while they are fewer than a stated number, and shuffle-joined beyond it.
+
+Most documents hold nothing of the benchmark, so a cheap test that loses nothing comes first. A document
+that covers an item holds one at least of any of its windows that are more than the share it may lack;
+of the item's windows those with the rarest neighbouring words are taken, and a document none of whose
+neighbouring words are among them (looked up in a bitmap of their hashes) can't cover any item.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paceline.llm.common import read_table, stored, text_or_empty
+from paceline.llm.common import read_table, stored, text_or_empty, unused
 
 # Units by dimension. A unit may be swapped for another of its own dimension only.
 UNITS = {
@@ -37,7 +43,8 @@ class Settings:
     window: int = 8
     #: least share of an item's windows that a document must hold
     coverage: float = 0.5
-    #: benchmark windows that are broadcast, at most (about 100 bytes each); beyond that they are shuffle-joined
+    #: benchmark windows that are broadcast, at most (several hundred bytes each); beyond that they are shuffle-joined, and
+    #: every document is cut into windows
     broadcast_windows: int = 400_000
 
 
@@ -103,6 +110,60 @@ def slots(raw: Column) -> Column:
     return F.filter(raw, lambda t: t.startswith("#"))
 
 
+LETTERS = r"^\p{L}+$"
+
+
+def anchors(known: DataFrame, settings: Settings) -> DataFrame:
+    """``kind, h`` of the anchors of which a document holds one at least if it covers an item: of each item's windows so many as
+    no covering document can lack, each by its rarest pair of neighbouring words, word or number in the benchmark.
+    ``kind`` is ``b``, ``u``, ``d``, or ``-`` where a window has none of them."""
+    plain = lambda t: t.rlike(LETTERS)
+    entry = lambda kind, text, h: F.struct(F.lit(kind).alias("kind"), text.alias("text"), h.alias("h"))
+    pairs = F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.when(plain(a) & plain(b), entry("b", F.concat_ws(" ", a, b), F.xxhash64(a, b))))
+    words = F.transform("w", lambda a: F.when(plain(a), entry("u", a, F.xxhash64(a))))
+    number = lambda t: F.regexp_extract(t, r"^#n_(\d+)", 1)
+    numbers = F.transform("w", lambda t: F.when(number(t) != "", entry("d", number(t), F.xxhash64(number(t)))))
+    some = F.filter(F.concat(pairs, words, numbers), lambda x: x.isNotNull())
+    every = F.when(F.size(some) > 0, some).otherwise(F.array(entry("-", F.lit(""), F.lit(0).cast("long"))))
+    told = known.select("form", "item_id", "at", "n_windows", F.explode(every).alias("x")).select("form", "item_id", "at", "n_windows", "x.*")
+    seen = told.groupBy("kind", "text").agg(F.countDistinct("item_id").alias("items"))
+    rank = F.struct((F.col("kind") == "-").alias("none"), "items", F.col("kind"), (-F.length("text")).alias("short"), "text", "h")
+    best = told.join(seen, ["kind", "text"]).groupBy("form", "item_id", "at").agg(F.min(rank).alias("best"), F.first("n_windows").alias("n"))
+    place = F.row_number().over(Window.partitionBy("form", "item_id").orderBy("best", "at"))
+    enough = F.floor((1 - settings.coverage) * F.col("n") + 1e-9) + 1
+    return best.withColumn("place", place).where(F.col("place") <= enough).select("best.kind", "best.h").distinct()
+
+
+def may_leak(text: Column, found: dict[str, list[int]]) -> Column:
+    """Whether the text holds one of the anchors (hashes by kind). A bitmap of hashes may say yes in error, never no."""
+    if "-" in found:
+        return F.lit(True)
+    return functools.reduce(lambda a, b: a | b, [holds_one(text, kind, hashes) for kind, hashes in found.items()], F.lit(False))
+
+
+def holds_one(text: Column, kind: str, hashes: list[int]) -> Column:
+    size = 1 << max(16, min(24, (512 * len(hashes)).bit_length()))
+    bits = bytearray(size)
+    for h in hashes:
+        bits[h % size] = bits[(h >> 32) % size] = 1
+    table = F.lit(bytes(bits))
+
+    def at(h: Column) -> Column:
+        return F.substring(table, (F.pmod(h, F.lit(size)) + 1).cast("int"), F.lit(1)) == F.lit(b"\1")
+
+    def known(h: Column) -> Column:
+        return at(h) & at(F.shiftright(h, 32))
+
+    def hashed(words: Column) -> Column:
+        if kind == "b":
+            return F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.xxhash64(a, b))
+        return F.transform(words, lambda a: F.xxhash64(a))
+
+    words = F.split(text, r"\D+") if kind == "d" else F.split(F.lower(text), r"[^\p{L}]+")
+    # the words are bound once, as the one element of an array
+    return F.exists(F.array(words), lambda w: F.exists(hashed(w), known))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """``id_col, item_id, windows, coverage, exact`` for each document row and item that it leaks.
 
@@ -110,9 +171,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     all slots in them have the item's own values. Rows with a null id are compared like others and give null ids; rows
     that repeat an id with another text are judged by themselves, equal rows once. Empty texts and items leak nothing.
     """
+    return judged(docs, benchmark, settings, id_col, text_col, item_col).select(id_col, "item_id", "windows", "coverage", "exact")
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, settings: Settings, id_col: str, text_col: str, item_col: str) -> DataFrame:
+    """``leaks`` with ``text_hash``, the hash of the row's text."""
     known = stored(benchmark_windows(benchmark, settings, item_col), "windows")
     widths = [(r["form"], r["width"], r["n"]) for r in known.groupBy("form", "width").agg(F.count("*").alias("n")).orderBy("form", "width").collect()]  # at most three times ``window`` rows
     small = sum(n for *_, n in widths) <= settings.broadcast_windows
+    docs = docs.select(id_col, text_col)
+    if small and widths:
+        by_kind: dict[str, list[int]] = {}
+        for r in anchors(known, settings).collect():  # fewer than ``broadcast_windows``
+            by_kind.setdefault(r["kind"], []).append(r["h"])
+        docs = docs.where(may_leak(text_or_empty(text_col), by_kind))
     marks = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_text"), marked(text_or_empty(text_col)).alias("raw"))
     found = None
     for form, width, _ in widths:
@@ -131,7 +203,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     kind = docs.schema[id_col].dataType.simpleString()
     if found is None:
         item = benchmark.schema[item_col].dataType.simpleString()
-        return docs.sparkSession.createDataFrame([], f"{id_col} {kind}, item_id {item}, windows long, coverage double, exact boolean")
+        return docs.sparkSession.createDataFrame([], f"{id_col} {kind}, item_id {item}, text_hash long, windows long, coverage double, exact boolean")
     # an occurrence is the hits at one shift, a run of neighbouring shifts (an edit within a copy moves what follows), or
     # all hits of the document; one that holds is enough
     by_shift = Window.partitionBy("_id", "_text", "form", "item_id").orderBy("shift")
@@ -152,13 +224,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     out = covered.join(judged, [covered[c].eqNullSafe(judged[c]) for c in key], "left").where(~F.coalesce("clashes", F.lit(False)))
     held = out.select(covered["_id"].alias(id_col), "_text_", covered["item_id"], "windows", (F.col("windows") / F.col("n_windows")).alias("coverage"), F.coalesce("same", F.lit(True)).alias("exact"))
     best = held.groupBy(id_col, "_text_", "item_id").agg(F.max(F.struct("coverage", "windows")).alias("best"), F.max("exact").alias("exact"))
-    return best.select(id_col, "item_id", F.col("best.windows").alias("windows"), F.col("best.coverage").alias("coverage"), "exact")
+    return best.select(id_col, "item_id", F.col("_text_").alias("text_hash"), F.col("best.windows").alias("windows"), F.col("best.coverage").alias("coverage"), "exact")
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose id leaks an item. Rows with a null id stay."""
-    found = leaks(docs, benchmark, settings, id_col, text_col).select(F.col(id_col).alias("_leaked")).distinct()
-    return docs.join(found, docs[id_col] == found["_leaked"], "left_anti")
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """``docs`` without the rows that leak an item. Rows that repeat an id, and those without one, are judged each by its own
+    text. Other columns stay as they are, whatever their names."""
+    found = judged(docs, benchmark, settings, id_col, text_col, item_col)
+    leaked, own = unused(docs, "leaked_id", "leaked_text")
+    side = found.select(F.col(id_col).alias(leaked), F.col("text_hash").alias(own)).distinct()
+    return docs.join(side, F.col(id_col).eqNullSafe(F.col(leaked)) & (F.xxhash64(text_or_empty(text_col)) == F.col(own)), "left_anti")
 
 
 def op9_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ def test_reparameterised_questions(spark):
         got = {(r.doc_id, r.item_id): r.exact for r in D.leaks(docs, bench, settings).collect()}
         assert got.keys() == {(1, 0), (2, 0), (None, 0), (8, 0), (9, 0)}
         assert got[1, 0] and not got[2, 0]
-    assert sorted(r.doc_id or 0 for r in D.drop_leaked(docs, bench).collect()) == [0, 3, 4, 5, 6, 7, 10]
+    assert sorted(r.doc_id or 0 for r in D.drop_leaked(docs, bench).collect()) == [3, 4, 5, 6, 7, 10]
     assert D.leaks(docs.limit(0), bench).count() == 0
     assert D.leaks(docs, bench.limit(0)).count() == 0
 
@@ -56,3 +56,53 @@ def test_names_do_not_depend_on_what_stands_before(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for settings in (D.Settings(), D.Settings(broadcast_windows=0)):
         assert sorted((r.doc_id, r.item_id) for r in D.leaks(docs, bench, settings).collect()) == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    docs = spark.createDataFrame([(1, ITEM, 1, 2), (1, "clean", 1, 2), (None, ITEM, 1, 2), (None, "clean", 1, 2)], "doc_id long, text string, leaked_id int, text_hash int")
+    left = D.drop_leaked(docs, spark.createDataFrame([(0, ITEM)], "item_id long, text string"))
+    assert left.columns == docs.columns and sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, "clean"), (1, "clean")]
+
+
+def test_reparameterised_items_match_brute_force(spark):
+    """Numbers and names of known items are replaced, some consistently, some not; a plain Python judge decides each text."""
+    import random
+    import re
+
+    rng = random.Random(6)
+    names, goods = ["Alice", "Robert", "Natalia", "Olaf", "Priya"], ["apples", "clips", "marbles"]
+    shape = "On monday {a} sold {x} {g} to some friends at the fair and then {a} gave away {y} {g} more so how many {g} did {a} hand over before the fair came to an end"
+    items = {k: (names[k], 10 + k, 40 + k, goods[k]) for k in range(3)}
+    bench = spark.createDataFrame([(k, shape.format(a=a, x=x, y=y, g=g)) for k, (a, x, y, g) in items.items()], "item_id long, text string")
+    rows, want = [], set()
+    for i in range(40):
+        k = rng.randrange(3)
+        a, g = rng.choice(names), rng.choice(goods)
+        text = shape.format(a=a, x=rng.randint(2, 99), y=rng.randint(2, 99), g=g)
+        broken = rng.random() < 0.4
+        if broken:  # one of the name's three places holds another name
+            others = [n for n in names if n != a]
+            at = rng.choice([m.start() for m in re.finditer(a, text)])
+            text = text[:at] + rng.choice(others) + text[at + len(a) :]
+        rows.append((i, "some words before it " + text + " and some words after it"))
+        # a judge without windows: the same words around the slots, and the item's own name among the readings or one alone
+        for j, (b, x, y, h) in items.items():
+            pattern = re.escape(shape.format(a="A", x=1, y=2, g=h)).replace("A\\ ", "([A-Z][a-z]+)\\ ").replace("\\ 1\\ ", "\\ ([0-9]+)\\ ").replace("\\ 2\\ ", "\\ ([0-9]+)\\ ")
+            m = re.search(pattern, rows[-1][1])
+            if m:
+                who = {m.group(n) for n in (1, 3, 5)}
+                if len(who) == 1 or b in who:
+                    want.add((i, j))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    strict = D.Settings(coverage=1.0)
+    got = {(r.doc_id, r.item_id) for r in D.leaks(docs, bench, strict).collect()}
+    assert want and got == want
+    assert got == {(r.doc_id, r.item_id) for r in D.leaks(docs, bench, D.Settings(coverage=1.0, broadcast_windows=0)).collect()}
+
+
+def test_the_first_test_loses_nothing(spark):
+    from tests.conftest import SMALL
+
+    docs, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
+    quick, slow = (sorted(map(tuple, D.leaks(docs, bench, s).collect())) for s in (D.Settings(coverage=0.2), D.Settings(coverage=0.2, broadcast_windows=0)))
+    assert quick == slow and quick
