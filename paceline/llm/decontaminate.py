@@ -6,7 +6,7 @@ with those of the benchmark; a document that covers enough of an item's windows,
 with the item's (equal values in the item stay equal in the document, units keep their dimension), has
 leaked the item. Both are judged for each occurrence in the document and for all of it together.
 
-Texts are never shuffled: windows are hashed and looked up in the task that reads the document. The
+Texts are never shuffled: windows are hashed and looked up in the task that reads them. The
 benchmark's windows are broadcast while they are fewer than a stated number, and shuffle-joined beyond it.
 
 Most documents hold nothing of the benchmark, so a cheap test that loses nothing comes first. A document
@@ -46,6 +46,8 @@ class Settings:
     #: benchmark windows that are broadcast, at most (several hundred bytes each); beyond that they are shuffle-joined, and
     #: every document is cut into windows
     broadcast_windows: int = 400_000
+    #: anchors of the cheap test, at most (some 20 bytes each in the plan); beyond that every document is cut into windows
+    most_anchors: int = 50_000
 
 
 def marked(text: Column) -> Column:
@@ -142,17 +144,22 @@ def may_leak(text: Column, found: dict[str, list[int]]) -> Column:
 
 
 def holds_one(text: Column, kind: str, hashes: list[int]) -> Column:
-    size = 1 << max(16, min(24, (512 * len(hashes)).bit_length()))
-    bits = bytearray(size)
+    """Whether one of the text's pairs of neighbouring words, words or numbers is among the hashes: three bits of each are set
+    in a bitmap of 128 to 256 bits a hash, which stands in the plan as words of 64 bits."""
+    size = 1 << max(12, (128 * len(hashes) - 1).bit_length())
+    bits = [0] * (size // 64)
     for h in hashes:
-        bits[h % size] = bits[(h >> 32) % size] = 1
-    table = F.lit(bytes(bits))
+        for k in (0, 21, 42):
+            place = (h >> k) % size
+            bits[place // 64] |= 1 << place % 64
+    table = F.split(F.lit(",".join(str(x - (1 << 64) if x >> 63 else x) for x in bits)), ",").cast("array<bigint>")
 
     def at(h: Column) -> Column:
-        return F.substring(table, (F.pmod(h, F.lit(size)) + 1).cast("int"), F.lit(1)) == F.lit(b"\1")
+        place = F.pmod(h, F.lit(size)).cast("int")
+        return F.getbit(F.get(table, F.shiftright(place, 6)), place.bitwiseAND(F.lit(63))) == 1
 
     def known(h: Column) -> Column:
-        return at(h) & at(F.shiftright(h, 32))
+        return at(h) & at(F.shiftright(h, 21)) & at(F.shiftright(h, 42))
 
     def hashed(words: Column) -> Column:
         if kind == "b":
@@ -182,9 +189,11 @@ def judged(docs: DataFrame, benchmark: DataFrame, settings: Settings, id_col: st
     docs = docs.select(id_col, text_col)
     if small and widths:
         by_kind: dict[str, list[int]] = {}
-        for r in anchors(known, settings).collect():  # fewer than ``broadcast_windows``
+        told = anchors(known, settings).limit(settings.most_anchors + 1).collect()
+        for r in told:
             by_kind.setdefault(r["kind"], []).append(r["h"])
-        docs = docs.where(may_leak(text_or_empty(text_col), by_kind))
+        if len(told) <= settings.most_anchors:
+            docs = stored(docs.where(may_leak(text_or_empty(text_col), by_kind)), "candidates")  # read once for each form
     marks = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_text"), marked(text_or_empty(text_col)).alias("raw"))
     found = None
     for form, width, _ in widths:
