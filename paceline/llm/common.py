@@ -79,7 +79,16 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there, and lost executors lose nothing."""
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a result of ``stored`` that nothing will read again."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession, factor: float = 1.0) -> int:
@@ -135,12 +144,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = stored(edges.where("a is not null and b is not null and a <> b").selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
+        before = now
         both = now.unionByName(now.selectExpr("b as a", "a as b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) as m")
         large = both.join(least, "a").where("b > a").selectExpr("b as a", "m as b").where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").selectExpr("b as a", "m as b").where("a <> b").unionByName(low.selectExpr("a", "m as b"))
         now = stored(small.selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct(), "edges")
+        discard(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum((F.col("b") == F.col("a")).cast("int"))).first()
         if state == seen:
             break

@@ -95,6 +95,9 @@ class Lattice:
             weights = self.normal(np.exp(np.array(start)), np.full(self.size, 0.3))
         p, stop = np.exp(weights[: self.size]), weights[self.size :]
         self.on, self.last = (p * (1 - stop)).tolist(), (p * stop).tolist()
+        #: no arc is longer, so sums further ahead are still zero
+        self.reach = max(map(len, self.further)) + 1
+        self.lead = max(map(len, self.first)) + 1
 
     def normal(self, counts: np.ndarray, stop: np.ndarray) -> np.ndarray:
         out = np.empty(self.size)
@@ -145,10 +148,11 @@ class Lattice:
             if a < 1e-200:
                 if a == 0.0:
                     continue
-                top = max(total, *alpha[s:])
+                end = min(n, s + max(self.reach, self.lead))
+                top = max(total, *alpha[s:end])
                 if top < 1e-150:
                     shift += math.log(top)
-                    alpha[s:] = [x / top for x in alpha[s:]]
+                    alpha[s:end] = [x / top for x in alpha[s:end]]
                     total /= top
                     a = alpha[s]
             for e in range(s + 1, n):
@@ -164,8 +168,7 @@ class Lattice:
         return math.log(total) + shift if total > 0 else -math.inf
 
     def expected(self, word: bytes, counts: list[float], stops: list[float]) -> None:
-        """Add the word's expected pieces to ``counts`` and its expected last pieces to ``stops``. Words so long that
-        their probability leaves the range of doubles add nothing: they are no evidence on rare words."""
+        """Add the word's expected pieces to ``counts`` and its expected last pieces to ``stops``."""
         n, on, last = len(word), self.on, self.last
         arcs = self.arcs(word)
         alpha, total = [0.0] * (n + 1), 0.0
@@ -182,6 +185,7 @@ class Lattice:
                     else:
                         total += a * last[k]
         if total < 1e-280:
+            self.expected_long(arcs, counts, stops)
             return
         beta = [0.0] * (n + 1)
         for s in range(n - 1, -2, -1):
@@ -201,6 +205,44 @@ class Lattice:
                 beta[s] = got
 
 
+    def expected_long(self, arcs: list[list[tuple[int, int]]], counts: list[float], stops: list[float]) -> None:
+        """``expected`` in log space, for words whose probability leaves the range of doubles."""
+        n = len(arcs) - 1
+
+        def log(x: float) -> float:
+            return math.log(x) if x > 0 else -math.inf
+
+        def plus(a: float, b: float) -> float:
+            high, low = (a, b) if a > b else (b, a)
+            return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+        alpha, total = [0.0, *[-math.inf] * n], -math.inf  # the start, then each place within the word
+        start = lambda s: alpha[0] if s < 0 else alpha[s + 1]
+        for s in range(-1, n):
+            a = start(s)
+            if a == -math.inf:
+                continue
+            for e, k in arcs[s + 1]:
+                if e < n:
+                    alpha[e + 1] = plus(alpha[e + 1], a + log(self.on[k]))
+                else:
+                    total = plus(total, a + log(self.last[k]))
+        if total == -math.inf:
+            return
+        beta = [-math.inf] * (n + 1)
+        for s in range(n - 1, -2, -1):
+            a, got = start(s), -math.inf
+            for e, k in arcs[s + 1]:
+                w = log(self.on[k]) + beta[e] if e < n else log(self.last[k]) - total
+                got = plus(got, w)
+                share = math.exp(min(0.0, a + w)) if a + w > -math.inf else 0.0
+                counts[k] += share
+                if e >= n:
+                    stops[k] += share
+            if s >= 0:
+                beta[s] = got
+
+
 def word_counts(docs: DataFrame, training, text_col: str = "text") -> DataFrame:
     """``word, c`` for every word of every text and END; ``c`` is its count over the rows where ``training`` holds."""
 

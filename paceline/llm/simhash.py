@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from paceline.llm.common import bounded_batches, components, mixed, partitions, read_table, spread_join, stored, unused
+from paceline.llm.common import bounded_batches, components, discard, mixed, partitions, read_table, spread_join, stored, unused
 
 NUMBERS = (ByteType, ShortType, IntegerType, LongType)
 
@@ -198,21 +198,26 @@ def _kept(docs: DataFrame, group: Callable[[DataFrame], DataFrame], id_col: str,
 #: Of the wide fingerprints' 256 bits, and of the first 64 of them, so many differ at most in a pair whose similarity may be 0.8
 #: or more: of large sets of shingles equal but for a fifth some 39 of 256 differ, give or take 6.
 WIDE, FIRST = 64, 22
-WIDE_TILE = 32768
+WIDE_TILE = 131072
 
 
-def wide(data: bytes, width: int = 5, seed: int = 42) -> tuple[int, bytes, np.ndarray]:
-    """A key of the set of the shingles of ``width`` words, its SimHash of 256 bits, and the set itself, as sorted hashes."""
+def shingle_set(data: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
+    """The set of the hashes of the shingles of ``width`` words, sorted; of all words if they are fewer."""
     words = data.lower().split()
     found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), seed) for i in range(max(1, len(words) - width + 1))} if words else set()
-    own = np.sort(np.fromiter(found, np.uint64, len(found)))
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def wide(data: bytes, width: int = 5, seed: int = 42) -> tuple[int, bytes]:
+    """A key of the set of the text's shingles, and its SimHash of 256 bits."""
+    own = shingle_set(data, width, seed)
     ones = np.zeros(256, np.int64)
     with np.errstate(over="ignore"):
         for k in range(0, len(own), 4096):
             part = np.stack([mixed(own[k : k + 4096] + np.uint64(c)) for c in (1, 2, 3, 4)], axis=1).astype("<u8")
             ones += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     key = np.uint64(xxhash.xxh64_intdigest(own.astype("<u8").tobytes(), seed)).astype(np.int64)
-    return int(key), np.packbits(ones * 2 > len(own), bitorder="little").tobytes(), own.view(np.int64)
+    return int(key), np.packbits(ones * 2 > len(own), bitorder="little").tobytes()
 
 
 def wide_pairs(a: np.ndarray, b: np.ndarray | None, group: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -288,37 +293,48 @@ def candidates(classes: DataFrame, nearest: bool, turn: int, tile: int = WIDE_TI
     return dealt.drop("ones").repartition(partitions(spark, 2), "pair").groupBy("pair").applyInArrow(compare, "a long, b long")
 
 
-def similar(docs: DataFrame, least: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, tile: int = WIDE_TILE) -> DataFrame:
+def similar(docs: DataFrame, least: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1, tile: int = WIDE_TILE) -> DataFrame:
     """``id_col, component_id`` per row: components of links between texts whose sets of shingles have a Jaccard similarity
-    of ``least`` or more. Ids as in ``groups``.
+    of ``least`` or more. Ids as in ``groups``, but an id must name one text, as ``keep_one_similar`` sees to.
 
-    Near fingerprints only propose; each proposed pair is confirmed on the whole sets. The first rounds propose a spanning
-    forest over the tiles, which joins large groups by few pairs; the last proposes each text's closest outside its own
-    group. So the pairs grow with the texts, also in a family of many texts that stay just below ``least``."""
+    Near fingerprints only propose; each proposed pair is confirmed on the whole sets, which are made anew for the texts of
+    proposed pairs and compared by 32 bits of each shingle's hash. The first rounds propose a spanning forest over the
+    tiles, which joins large groups by few pairs; the last proposes each text's closest outside its own group. So the
+    pairs grow with the texts, also in a family of many texts that stay just below ``least``."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(id_col, F.encode(F.col(text_col), "UTF-8").alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [wide(x or b"", width) for x in batch.column(1).to_pylist()]
-            ones = np.bitwise_count(np.frombuffer(b"".join(f for _, f, _ in own), "<u8").reshape(-1, 4)).sum(axis=1, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _, _ in own], pa.int64()), pa.array([f for _, f, _ in own], pa.binary()), pa.array(ones, pa.int32()), pa.array([s for _, _, s in own], pa.list_(pa.int64()))], [id_col, "key", "wide", "ones", "shingles"])
+            ones = np.bitwise_count(np.frombuffer(b"".join(f for _, f in own), "<u8").reshape(-1, 4)).sum(axis=1, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in own], pa.int64()), pa.array([f for _, f in own], pa.binary()), pa.array(ones, pa.int32())], [id_col, "key", "wide", "ones"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = stored(docs.select(id_col, F.encode(F.col(text_col), "UTF-8").alias("data")).mapInArrow(run, f"{id_col} {kind}, key long, wide binary, ones int, shingles array<long>"), "wide")
-    classes = stored(rows.groupBy("key").agg(F.min(id_col).alias("least"), F.min("wide").alias("wide"), F.min("ones").alias("ones"), F.count("*").alias("n")), "classes").withColumn("group", F.col("key"))
-    counts = classes.select("key", "n")
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [(shingle_set(x or b"", width) >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], ["key", "shingles"])
+
+    rows = stored(texts.mapInArrow(run, f"{id_col} {kind}, key long, wide binary, ones int"), "wide")
+    classes = stored(rows.groupBy("key").agg(F.min(id_col).alias("least"), F.min("wide").alias("wide"), F.min("ones").alias("ones"), F.count("*").alias("n"), F.col("key").alias("group")), "classes")
+    counts = stored(classes.select("key", "n"), "counts")
     links = seen = spark.createDataFrame([], "a long, b long")
     for k in range(rounds + 1):
         pairs = stored(candidates(classes, k == rounds, k, tile).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
-        asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        sets = stored(rows.select("key", "shingles").join(asked, "key", "left_semi").dropDuplicates(["key"]), "sets")
+        asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes, "key").select("key", F.col("least").alias(id_col))
+        sets = stored(texts.join(asked, id_col).select("key", "data").mapInArrow(sets_of, "key long, shingles array<int>").dropDuplicates(["key"]), "sets")
         one, two = (sets.select(F.col("key").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab")
         common = F.size(F.array_intersect("a_set", "b_set"))
         told = stored(pairs.join(one, "a").join(two, "b").select("a", "b", (common >= least * (F.size("a_set") + F.size("b_set") - common)).alias("holds")), "told")
+        discard(sets)
+        discard(pairs)
         links, seen = links.union(told.where("holds").select("a", "b")), seen.union(told.select("a", "b"))
         roots = components(links)
-        classes = stored(classes.drop("group").join(roots, classes["key"] == roots["node"], "left").select("key", "least", "wide", "ones", F.coalesce("root", "key").alias("group")), "classes")
+        before = classes
+        classes = stored(before.drop("group").join(roots, before["key"] == roots["node"], "left").select("key", "least", "wide", "ones", F.coalesce("root", "key").alias("group")), "classes")
+        discard(before)
         if told.where("not holds").isEmpty():  # all that was proposed is joined
             break
     return _labelled(rows.select(id_col, "key"), classes.select("key", "least", F.col("group").alias("root")), counts, "key", id_col).select(id_col, "component_id")

@@ -73,3 +73,23 @@ def test_scores(spark):
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
     assert all(np.isfinite(r.score) and r.score < 0 for r in got)
     assert lattice.scored(every.limit(0), id_remainder("doc_id", 10) != 0, PATH).count() == 0
+
+
+def test_long_words_teach_and_cost_in_proportion():
+    import time
+
+    own = lattice.Lattice(lattice.vocabulary_path())
+    word = b"abcdefghij" * 4
+    one, two = ([0.0] * own.size, [0.0] * own.size), ([0.0] * own.size, [0.0] * own.size)
+    own.expected(word, *one)
+    own.expected_long(own.arcs(word), *two)
+    assert all(abs(a - b) < 1e-9 for x, y in zip(one, two, strict=True) for a, b in zip(x, y, strict=True))
+    long = [0.0] * own.size, [0.0] * own.size
+    own.expected(b"qzxj" * 300, *long)
+    assert abs(sum(long[1]) - 1) < 1e-6 and sum(long[0]) > 100
+    seconds = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        own.log_probability(b"q7Zx" * (n // 4))
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 12 * seconds[0]
