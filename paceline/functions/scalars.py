@@ -21,6 +21,11 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
+def exact_mean(value: Column, digits: int = 6) -> Column:
+    """Mean by an exact sum, values taken to ``digits`` decimals: the same whatever the order of the rows."""
+    return F.sum(value.cast(f"decimal(18,{digits})")).cast("double") / F.count(value)
+
+
 def percent_change(now: Column, before: Column) -> Column:
     return ratio((now - before) * 100.0, before)
 

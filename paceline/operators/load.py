@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from itertools import chain
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paceline.functions.scalars import clamp, present, sport_category
+from paceline.functions.scalars import clamp, half_up, present, sport_category
 
 # Stress multipliers by sport (0.80 otherwise), weights of heart-rate zones, recovery factors by sport (1.0 otherwise).
 STRESS_BY_SPORT = {
@@ -101,14 +104,16 @@ def by_day(*ends: int) -> Window:
 
 
 def fitness_and_fatigue(daily: DataFrame, calendar: bool = False) -> DataFrame:
-    """ATL and CTL as trailing means over 7 and 42 rows, TSB their difference, ramp the change of CTL.
+    """ATL and CTL as trailing means over 7 and 42 rows, TSB their difference and ramp the change of CTL, both to one decimal.
 
     Rows are active days; with ``calendar`` rest days count as rows without load.
     """
     rows = on_every_day(daily, ["load"]) if calendar else daily
-    at = rows.withColumns({"atl": F.avg("load").over(by_day(-6, 0)), "ctl": F.avg("load").over(by_day(-41, 0))})
+    exact = F.col("load").cast("decimal(18,6)")  # an exact sum is the same in whatever order it is taken
+    mean = lambda n: F.sum(exact).over(by_day(1 - n, 0)).cast("double") / F.count("load").over(by_day(1 - n, 0))
+    at = rows.withColumns({"atl": mean(7), "ctl": mean(42)})
     before = F.lag("ctl").over(Window.partitionBy("athlete_id").orderBy("day"))
-    return at.withColumns({"tsb": F.col("ctl") - F.col("atl"), "ramp": F.coalesce(F.col("ctl") - before, F.lit(0.0))})
+    return at.withColumns({"tsb": half_up(F.col("ctl") - F.col("atl"), 1), "ramp": half_up(F.coalesce(F.col("ctl") - before, F.lit(0.0)), 1)})
 
 
 def on_every_day(daily: DataFrame, sums: list[str]) -> DataFrame:
@@ -135,22 +140,28 @@ def stability(dense: DataFrame) -> DataFrame:
     return dense.withColumn("baseline", base).withColumn("stability", score)
 
 
-def exponential(daily: DataFrame, value: str, days: int, out: str) -> DataFrame:
-    """Exponential moving average, alpha = 1/days, over each athlete's days in order, starting from zero.
+def folded(df: DataFrame, value: str, out: str, step: Callable[[float | None, float], float]) -> DataFrame:
+    """``athlete_id, day, out``: each athlete's days in order, folded with ``step(previous, now)``; the previous of the first day
+    is None, missing values stay missing and are passed over. Recursive, so an athlete's days are one group, bounded by days."""
 
-    Recursive, so each athlete's series is gathered and folded (bounded by an athlete's days); the fold carries the last
-    value and joins its results once.
-    """
-    series = daily.groupBy("athlete_id").agg(F.array_sort(F.collect_list(F.struct("day", F.col(value).cast("double").alias("x")))).alias("s"))
-    alpha = 1.0 / days
-    first = F.struct(F.lit(0.0).alias("last"), F.array().cast("array<double>").alias("all"))
+    def one(days: pd.DataFrame) -> pd.DataFrame:
+        days = days.sort_values("day")
+        last, results = None, []
+        for x in days["x"].tolist():
+            if x is not None and x == x:
+                last = step(last, x)
+                results.append(last)
+            else:
+                results.append(None)
+        return pd.DataFrame({"athlete_id": days["athlete_id"], "day": days["day"], out: results})
 
-    def step(state: Column, row: Column) -> Column:
-        now = state["last"] + alpha * (row["x"] - state["last"])
-        return F.struct(now.alias("last"), F.concat(state["all"], F.array(now)).alias("all"))
+    kind = df.schema["athlete_id"].dataType.simpleString()
+    return df.select("athlete_id", "day", F.col(value).cast("double").alias("x")).groupBy("athlete_id").applyInPandas(one, f"athlete_id {kind}, day date, {out} double")
 
-    folded = series.withColumn("e", F.aggregate("s", first, step, lambda s: s["all"]))
-    return folded.select("athlete_id", F.explode(F.arrays_zip("s", "e")).alias("z")).select("athlete_id", F.col("z.s.day").alias("day"), F.col("z.e").alias(out))
+
+def exponential(daily: DataFrame, value: str, days: int, out: str) -> DataFrame:
+    """Exponential moving average, alpha = 1/days, over each athlete's days in order, starting from zero."""
+    return folded(daily, value, out, lambda last, x: (last or 0.0) + (x - (last or 0.0)) / days)
 
 
 def share_at_most(values: Column, x: Column) -> Column:
@@ -169,27 +180,16 @@ def raw_risk(model: DataFrame) -> DataFrame:
     return frames.withColumn("raw_risk", clamp(base * uneven, 0.0, 1.0)).drop("t", "r", "a", "mean7", "sd7", "n7")
 
 
-def smoothed(df: DataFrame, value: str, out: str, step) -> DataFrame:
-    """Fold each athlete's days with ``step(previous, now)``; the first day keeps its value."""
-    series = df.groupBy("athlete_id").agg(F.array_sort(F.collect_list(F.struct("day", F.col(value).alias("x")))).alias("s"))
-    first = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("all"))
-
-    def one(state: Column, row: Column) -> Column:
-        now = F.when(state["last"].isNull(), row["x"]).otherwise(step(state["last"], row["x"]))
-        return F.struct(now.alias("last"), F.concat(state["all"], F.array(now)).alias("all"))
-
-    folded = series.withColumn("e", F.aggregate("s", first, one, lambda s: s["all"]))
-    return folded.select("athlete_id", F.explode(F.arrays_zip("s", "e")).alias("z")).select("athlete_id", F.col("z.s.day").alias("day"), F.col("z.e").alias(out))
-
-
 def risk(model: DataFrame) -> DataFrame:
     """Risk with adaptive smoothing: the larger the change, the more of it counts; three decimals at each step."""
 
-    def step(before: Column, now: Column) -> Column:
-        alpha = 0.2 + 0.5 * F.least(F.lit(1.0), F.abs(now - before))
-        return F.floor((before * (1 - alpha) + now * alpha) * 1000 + 0.5) / 1000
+    def step(before: float | None, now: float) -> float:
+        if before is None:
+            return now
+        alpha = 0.2 + 0.5 * min(1.0, abs(now - before))
+        return math.floor((before * (1 - alpha) + now * alpha) * 1000 + 0.5) / 1000
 
-    return smoothed(raw_risk(model), "raw_risk", "risk", step)
+    return folded(raw_risk(model), "raw_risk", "risk", step)
 
 
 def form_score(tsb: Column, fatigue: float = -15.0, deep: float = -30.0) -> Column:
@@ -206,4 +206,4 @@ def readiness(dense: DataFrame, most: float = 8.0) -> DataFrame:
     ``most`` points of change a day."""
     blend = dense.withColumn("blend", 100 * (0.4 * form_score(F.col("tsb")) + 0.3 * (1 - fatigue_score(F.col("atl"), F.col("ctl"))) + 0.3 * F.col("stability")))
     centred = blend.withColumn("centred", F.avg("blend").over(by_day(-2, 2)))
-    return smoothed(centred, "centred", "readiness", lambda before, now: before + clamp(now - before, -most, most))
+    return folded(centred, "centred", "readiness", lambda before, now: now if before is None else before + max(-most, min(most, now - before)))

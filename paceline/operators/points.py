@@ -7,10 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paceline.functions.scalars import exact_mean, half_up
 from paceline.operators.windows import islands
 
 
-
 def track():
     """An activity's samples in order."""
     return Window.partitionBy("activity_id").orderBy("idx")
@@ -78,11 +78,12 @@ def stops(points: DataFrame, below: float = 0.5, at_least: int = 5) -> DataFrame
 def splits(points: DataFrame, km: float = 1.0, at_least: int = 2) -> DataFrame:
     """Splits by distance, inclusive at both ends: a point on a border belongs to both splits."""
     own = deltas(points)
-    k = F.floor(F.col("km") / km)
-    both = F.when((F.col("km") % km == 0) & (k > 0), F.array(k - 1, k)).otherwise(F.array(k))
+    metres = half_up(F.col("km") * 1000, 3)  # to the millimetre, so that borders are met exactly
+    k = F.floor(metres / (km * 1000))
+    both = F.when((metres == k * (km * 1000)) & (k > 0), F.array(k - 1, k)).otherwise(F.array(k))
     return own.withColumn("split", F.explode(both)).groupBy("activity_id", "split").agg(
         F.count("*").alias("n"), (F.max("km") - F.min("km")).alias("km"), (F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))).alias("seconds"),
-        F.avg("speed").alias("avg_speed"), F.avg("heart_rate").alias("avg_hr"), F.sum(F.greatest("climb", F.lit(0.0))).alias("gain"),
+        exact_mean(F.col("speed")).alias("avg_speed"), exact_mean(F.col("heart_rate")).alias("avg_hr"), F.sum(F.greatest("climb", F.lit(0.0))).alias("gain"),
     ).where(F.col("n") >= at_least)
 
 
@@ -210,7 +211,7 @@ def bands(points: DataFrame, n: int = 40) -> DataFrame:
     own = deltas(points)
     longest = F.max("km").over(Window.partitionBy("activity_id"))
     cell = F.least(F.floor(F.col("km") / F.nullif(longest, F.lit(0.0)) * n), F.lit(n - 1)).cast("int")
-    sums = own.withColumn("band", cell).where("band is not null").groupBy("activity_id", "band").agg(F.min("speed").alias("low"), F.avg("speed").alias("mean"), F.max("speed").alias("high"))
+    sums = own.withColumn("band", cell).where("band is not null").groupBy("activity_id", "band").agg(F.min("speed").alias("low"), exact_mean(F.col("speed")).alias("mean"), F.max("speed").alias("high"))
     every = sums.select("activity_id").distinct().withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     w = Window.partitionBy("activity_id").orderBy("band").rowsBetween(Window.unboundedPreceding, 0)
     return every.join(sums, ["activity_id", "band"], "left").select("activity_id", "band", *[F.last(c, True).over(w).alias(c) for c in ("low", "mean", "high")])

@@ -24,3 +24,8 @@ def number(x: str, digits: int) -> str:
     """SQL that rounds half up, as ``scalars.half_up`` does."""
     scale = f"CAST({10**digits} AS DOUBLE)"
     return f"floor(({x}) * {scale} + CAST(0.5 AS DOUBLE)) / {scale}"
+
+
+def exact(x: str) -> str:
+    """SQL of ``scalars.exact_mean``: a mean that doesn't depend on the order of the rows."""
+    return f"CAST(sum(CAST({x} AS DECIMAL(18,6))) AS DOUBLE) / count({x})"

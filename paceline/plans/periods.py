@@ -318,9 +318,18 @@ def linear_fit(spark, sf_dir):
     return A.gear_uses(spark, sf_dir).groupBy("gear_id").agg(S.half_up(F.regr_slope("effort", "km"), 4).alias("slope"), S.half_up(F.regr_intercept("effort", "km"), 3).alias("intercept"))
 
 
-@query()
+_SUMS = ", ".join(["count(*) AS n", *[f"sum(pow(x, {k})) AS s{k}" for k in range(1, 5)], *[f"sum(y * pow(x, {k})) AS t{k}" for k in range(3)]])
+_DET = "({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+_det = lambda *v: _DET.format(**dict(zip("abcdefghi", v, strict=True)))
+_WHOLE = _det("n", "s1", "s2", "s1", "s2", "s3", "s2", "s3", "s4")
+_FITS = (_det("t0", "s1", "s2", "t1", "s2", "s3", "t2", "s3", "s4"), _det("n", "t0", "s2", "s1", "t1", "s3", "s2", "t2", "s4"), _det("n", "s1", "t0", "s1", "s2", "t1", "s2", "s3", "t2"))
+
+
+@query(f"""WITH {A.GEAR_USES}, p AS (SELECT athlete_id, ln(km) AS x, effort AS y FROM gear_use WHERE km > 0), s AS (SELECT athlete_id, {_SUMS} FROM p GROUP BY 1)
+SELECT athlete_id, n, {', '.join(f"CASE WHEN n >= 3 AND abs({_WHOLE}) > 1e-9 THEN {number(f'{top} / {_WHOLE}', 1)} END AS {c}" for c, top in zip("abc", _FITS, strict=True))} FROM s""")
 def quadratic_log_fit(spark, sf_dir):
-    return G.quadratic_in_log(A.gear_uses(spark, sf_dir), F.col("km"), F.col("effort"), ["athlete_id"])
+    fit = G.quadratic_in_log(A.gear_uses(spark, sf_dir), F.col("km"), F.col("effort"), ["athlete_id"])
+    return fit.select("athlete_id", "n", *[S.half_up(F.col(c), 1).alias(c) for c in "abc"])
 
 
 _MONTHLY = f"WITH {A.HISTORY}, m AS (SELECT sport_type, date_trunc('month', day)::DATE AS period, {number('sum(distance)', 2)} AS total FROM history GROUP BY 1, 2)"

@@ -9,7 +9,7 @@ from paceline.functions import scalars as S
 from paceline.operators import load
 from paceline.operators import reports as R
 from paceline.plans.base import number, query
-from paceline.plans.training import DAILY, model
+from paceline.plans.training import DAILY, MODEL, model
 from paceline.sources import adapters as A
 
 
@@ -115,7 +115,8 @@ def fitness_percentile(spark, sf_dir):
     return m.select("athlete_id", "day", S.half_up(F.cume_dist().over(Window.partitionBy("athlete_id").orderBy("c")), 6).alias("rank"))
 
 
-@query()
+@query(f"""WITH {A.ACTIVITIES}, d AS (SELECT athlete_id, day, sum(distance) AS load FROM activity GROUP BY 1, 2), spine AS (SELECT athlete_id, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY athlete_id),
+daily AS (SELECT s.athlete_id, s.day, coalesce(load, 0) AS load FROM spine s LEFT JOIN d ON s.athlete_id = d.athlete_id AND s.day = d.day), {MODEL} SELECT athlete_id, day, {number('atl', 3)} AS atl, {number('ctl', 3)} AS ctl, tsb FROM model""")
 def calendar_fitness(spark, sf_dir):
     daily = load.daily_load(A.activities(spark, sf_dir), "distance")
-    return load.fitness_and_fatigue(daily, calendar=True).select("athlete_id", "day", "atl", "ctl", "tsb")
+    return load.fitness_and_fatigue(daily, calendar=True).select("athlete_id", "day", S.half_up(F.col("atl"), 3).alias("atl"), S.half_up(F.col("ctl"), 3).alias("ctl"), "tsb")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from paceline.functions import scalars as S
 from paceline.operators import points as P
 from paceline.operators import predict
-from paceline.plans.base import number, query
+from paceline.plans.base import exact, number, query
 from paceline.sources import adapters as A
 
 STEPS = """d AS (SELECT *, coalesce(elevation - lag(elevation) OVER o, 0) AS climb, CAST(coalesce(epoch_us(ts) // 1000000 - epoch_us(lag(ts) OVER o) // 1000000, 0) AS BIGINT) AS d_time FROM point WINDOW o AS (PARTITION BY activity_id ORDER BY idx)),
@@ -19,9 +19,9 @@ def point_deltas(spark, sf_dir):
     return P.deltas(A.points(spark, sf_dir)).select("activity_id", "idx", "d_time", *[S.half_up(F.col(c), 4).alias(c) for c in ("km", "gain", "loss")])
 
 
-@query(f"""WITH {A.POINTS} SELECT CASE WHEN abs(grade) > 8 THEN 'technical' WHEN grade > 2 THEN 'climb' WHEN grade < -2 THEN 'descent' ELSE 'flat' END AS terrain, count(*) AS n, {number('avg(speed)', 4)} AS speed FROM point GROUP BY 1""")
+@query(f"""WITH {A.POINTS} SELECT CASE WHEN abs(grade) > 8 THEN 'technical' WHEN grade > 2 THEN 'climb' WHEN grade < -2 THEN 'descent' ELSE 'flat' END AS terrain, count(*) AS n, {number(exact('speed'), 4)} AS speed FROM point GROUP BY 1""")
 def terrain_summary(spark, sf_dir):
-    return A.points(spark, sf_dir).groupBy(P.terrain(F.col("grade")).alias("terrain")).agg(F.count("*").alias("n"), S.half_up(F.avg("speed"), 4).alias("speed"))
+    return A.points(spark, sf_dir).groupBy(P.terrain(F.col("grade")).alias("terrain")).agg(F.count("*").alias("n"), S.half_up(S.exact_mean(F.col("speed")), 4).alias("speed"))
 
 
 def _islands(inside: str, source: str) -> str:
@@ -42,15 +42,17 @@ def islands_stops(spark, sf_dir):
     return P.stops(A.points(spark, sf_dir), below=40.0)
 
 
-@query(f"""WITH {A.POINTS}, {STEPS}, s AS (SELECT *, floor(km / CAST(0.05 AS DOUBLE)) AS split FROM k) SELECT activity_id, CAST(split AS BIGINT) AS split, count(*) AS n, {number('avg(speed)', 4)} AS avg_speed, {number('sum(greatest(climb, 0))', 4)} AS gain FROM s GROUP BY 1, 2 HAVING count(*) >= 2""")
+@query(f"""WITH {A.POINTS}, {STEPS}, s AS (SELECT *, floor(km / CAST(0.05 AS DOUBLE)) AS split FROM k) SELECT activity_id, CAST(split AS BIGINT) AS split, count(*) AS n, {number(exact('speed'), 4)} AS avg_speed, {number('sum(greatest(climb, 0))', 4)} AS gain FROM s GROUP BY 1, 2 HAVING count(*) >= 2""")
 def splits_by_distance(spark, sf_dir):
     own = P.deltas(A.points(spark, sf_dir)).withColumn("split", F.floor(F.col("km") / 0.05))
-    return own.groupBy("activity_id", "split").agg(F.count("*").alias("n"), S.half_up(F.avg("speed"), 4).alias("avg_speed"), S.half_up(F.sum(F.greatest("climb", F.lit(0.0))), 4).alias("gain")).where("n >= 2")
+    return own.groupBy("activity_id", "split").agg(F.count("*").alias("n"), S.half_up(S.exact_mean(F.col("speed")), 4).alias("avg_speed"), S.half_up(F.sum(F.greatest("climb", F.lit(0.0))), 4).alias("gain")).where("n >= 2")
 
 
-@query()
+@query(f"""WITH {A.POINTS}, {STEPS}, e AS (SELECT *, {number('km * 1000', 3)} AS m FROM k), f AS (SELECT *, CAST(floor(m / 50) AS BIGINT) AS s, m = floor(m / 50) * 50 AS edge FROM e), b AS (SELECT *, s AS split FROM f UNION ALL SELECT *, s - 1 FROM f WHERE edge AND s > 0)
+SELECT activity_id, split, count(*) AS n, {number('max(km) - min(km)', 5)} AS km, {number(exact('speed'), 4)} AS avg_speed, {number(exact('heart_rate'), 4)} AS avg_hr, {number('sum(greatest(climb, 0))', 3)} AS gain FROM b GROUP BY 1, 2 HAVING count(*) >= 2""")
 def splits_inclusive(spark, sf_dir):
-    return P.splits(A.points(spark, sf_dir), km=0.05)
+    s = P.splits(A.points(spark, sf_dir), km=0.05)
+    return s.select("activity_id", "split", "n", *[S.half_up(F.col(c), d).alias(c) for c, d in (("km", 5), ("avg_speed", 4), ("avg_hr", 4), ("gain", 3))])
 
 
 _CURVE = [1, 5, 10, 20]
@@ -86,19 +88,29 @@ def hampel_inplace(spark, sf_dir):
     return P.cleaned(A.points(spark, sf_dir)).select("activity_id", "idx", "elevation_clean", "grade_smooth")
 
 
-@query(f"""WITH {A.POINTS}, {STEPS}, t AS (SELECT *, max(km) OVER (PARTITION BY activity_id) AS top FROM k), c AS (SELECT activity_id, CAST(least(floor(km / top * 40), 39) AS INTEGER) AS band, avg(speed) AS mean FROM t WHERE top > 0 GROUP BY 1, 2),
+@query(f"""WITH {A.POINTS}, {STEPS}, t AS (SELECT *, max(km) OVER (PARTITION BY activity_id) AS top FROM k), c AS (SELECT activity_id, CAST(least(floor(km / top * 40), 39) AS INTEGER) AS band, {exact('speed')} AS mean FROM t WHERE top > 0 GROUP BY 1, 2),
 e AS (SELECT DISTINCT activity_id, CAST(b.range AS INTEGER) AS band FROM c, range(40) b) SELECT e.activity_id, e.band, {number('last_value(mean IGNORE NULLS) OVER (PARTITION BY e.activity_id ORDER BY e.band ROWS UNBOUNDED PRECEDING)', 4)} AS mean FROM e LEFT JOIN c ON e.activity_id = c.activity_id AND e.band = c.band""")
 def distance_bands(spark, sf_dir):
     return P.bands(A.points(spark, sf_dir)).select("activity_id", "band", S.half_up(F.col("mean"), 4).alias("mean"))
 
 
-@query()
+@query(f"""WITH {A.POINTS}, v AS (SELECT activity_id, idx, CAST(power AS BIGINT) % 32 AS c FROM point), d AS (SELECT activity_id, idx, CASE WHEN c % 2 = 1 THEN -((c + 1) // 2) ELSE c // 2 END AS d FROM v), s AS (SELECT activity_id, idx // 2 AS k, sum(d) FILTER (idx % 2 = 0) AS a, sum(d) FILTER (idx % 2 = 1) AS b FROM d GROUP BY 1, 2)
+SELECT activity_id, CAST(k AS INTEGER) AS k, CAST(sum(a) OVER w AS DOUBLE) / CAST(100000 AS DOUBLE) AS lat, CAST(sum(b) OVER w AS DOUBLE) / CAST(100000 AS DOUBLE) AS lon FROM s WHERE b IS NOT NULL WINDOW w AS (PARTITION BY activity_id ORDER BY k ROWS UNBOUNDED PRECEDING)""")
 def polyline_decode(spark, sf_dir):
-    lines = spark.createDataFrame([(1, "_p~iF~ps|U_ulLnnqC_mqNvxq`@"), (2, ""), (3, "??")], "id int, line string")
-    return lines.select("id", F.posexplode(S.decoded_polyline(F.col("line"))).alias("k", "p")).select("id", "k", "p.lat", "p.lon")
+    code = F.char(63 + F.col("power").cast("long") % 32)
+    drawn = A.points(spark, sf_dir).groupBy("activity_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", code.alias("c")))), lambda s: s["c"]), "").alias("line"))
+    return drawn.select("activity_id", F.posexplode(S.decoded_polyline(F.col("line"))).alias("k", "p")).select("activity_id", "k", "p.lat", "p.lon")
 
 
-@query()
+_COST = "(CAST(-4.60 AS DOUBLE) + CAST(0.182258 AS DOUBLE) * ({m} / {t}) + CAST(0.000104 AS DOUBLE) * ({m} / {t}) * ({m} / {t})) / (CAST(0.8 AS DOUBLE) + CAST(0.1894393 AS DOUBLE) * exp(CAST(-0.012778 AS DOUBLE) * {t}) + CAST(0.2989558 AS DOUBLE) * exp(CAST(-0.1932605 AS DOUBLE) * {t}))"
+_MISS, _NEXT = (f"({_COST.format(m='target', t=t)} - vdot)" for t in ("t", "(t + CAST(0.001 AS DOUBLE))"))
+_SLOPE = f"(({_NEXT} - {_MISS}) / CAST(0.001 AS DOUBLE))"
+
+
+@query(f"""WITH RECURSIVE {A.HISTORY}, s AS (SELECT athlete_id, id, {_COST.format(m='distance', t='(moving_time / CAST(60 AS DOUBLE))')} AS v FROM history WHERE distance >= 3000 AND moving_time > 0), r AS (SELECT *, row_number() OVER (PARTITION BY athlete_id ORDER BY v DESC, id) AS k FROM s WHERE v > 10 AND v < 100),
+b AS (SELECT athlete_id, avg(v) AS vdot FROM r WHERE k <= 5 GROUP BY 1), g AS (SELECT * FROM (VALUES (CAST(5000 AS DOUBLE)), (10000), (21097), (42195)) x(target)),
+n AS (SELECT athlete_id, target, vdot, target / CAST(1000 AS DOUBLE) * CAST(4.5 AS DOUBLE) AS t, 0 AS k FROM b, g UNION ALL SELECT athlete_id, target, vdot, CASE WHEN abs({_SLOPE}) < 1e-10 THEN t ELSE greatest(CAST(0.1 AS DOUBLE), t - {_MISS} / {_SLOPE}) END, k + 1 FROM n WHERE k < 50)
+SELECT athlete_id, target, {number('t * 60', 1)} AS seconds FROM n WHERE k = 50""")
 def vdot_prediction(spark, sf_dir):
     v = predict.estimated_vdot(A.history(spark, sf_dir), ["athlete_id"])
-    return v.withColumn("target", F.explode(F.array(*map(F.lit, (5000.0, 10000.0, 21097.0, 42195.0))))).select("athlete_id", "target", S.vdot_time(F.col("vdot"), F.col("target")).alias("seconds"))
+    return v.withColumn("target", F.explode(F.array(*map(F.lit, (5000.0, 10000.0, 21097.0, 42195.0))))).select("athlete_id", "target", S.half_up(S.vdot_time(F.col("vdot"), F.col("target")), 1).alias("seconds"))

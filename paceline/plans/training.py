@@ -12,9 +12,14 @@ from paceline.sources import adapters as A
 
 ZONES = [(0.0, 120.0), (120.0, 140.0), (140.0, 160.0), (160.0, 175.0), (175.0, -1.0)]
 
-DAILY = """daily AS (SELECT athlete_id, day, sum(distance) AS load, count(*) AS n FROM activity GROUP BY 1, 2),
-model AS (SELECT *, ctl - atl AS tsb FROM (SELECT *, avg(load) OVER (PARTITION BY athlete_id ORDER BY day ROWS 6 PRECEDING) AS atl,
-          avg(load) OVER (PARTITION BY athlete_id ORDER BY day ROWS 41 PRECEDING) AS ctl FROM daily))"""
+def _mean(rows: int) -> str:
+    over = f"OVER (PARTITION BY athlete_id ORDER BY day ROWS {rows} PRECEDING)"
+    return f"CAST(sum(CAST(load AS DECIMAL(18,6))) {over} AS DOUBLE) / count(load) {over}"
+
+
+RAMP = number("coalesce(ctl - lag(ctl) OVER (PARTITION BY athlete_id ORDER BY day), 0)", 1)
+MODEL = f"model AS (SELECT *, {number('ctl - atl', 1)} AS tsb FROM (SELECT *, {_mean(6)} AS atl, {_mean(41)} AS ctl FROM daily))"
+DAILY = f"daily AS (SELECT athlete_id, day, sum(distance) AS load, count(*) AS n FROM activity GROUP BY 1, 2), {MODEL}"
 
 
 def model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +28,7 @@ def model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {A.ACTIVITIES}, {DAILY}
 SELECT athlete_id, day, n, {number('load', 3)} AS load, {number('atl', 3)} AS atl, {number('ctl', 3)} AS ctl, {number('tsb', 3)} AS tsb,
-       {number('coalesce(ctl - lag(ctl) OVER (PARTITION BY athlete_id ORDER BY day), 0)', 3)} AS ramp FROM model""")
+       {RAMP} AS ramp FROM model""")
 def pmc_daily_load(spark, sf_dir):
     return model(spark, sf_dir).select("athlete_id", "day", "n", *[S.half_up(F.col(c), 3).alias(c) for c in ("load", "atl", "ctl", "tsb", "ramp")])
 
@@ -88,7 +93,7 @@ def recovery_by_day(spark, sf_dir):
 
 SEVEN = """ends AS (SELECT athlete_id, min(day) AS lo, max(day) AS hi FROM model GROUP BY 1),
 spine AS (SELECT athlete_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM ends),
-seven AS (SELECT s.athlete_id, s.day, sum(coalesce(m.load, 0)) OVER w AS load7, last_value(m.ctl IGNORE NULLS) OVER c AS ctl, last_value(m.atl IGNORE NULLS) OVER c AS atl
+seven AS (SELECT s.athlete_id, s.day, sum(coalesce(m.load, 0)) OVER w AS load7, last_value(m.ctl IGNORE NULLS) OVER c AS ctl, last_value(m.atl IGNORE NULLS) OVER c AS atl, last_value(m.tsb IGNORE NULLS) OVER c AS tsb
   FROM spine s LEFT JOIN model m ON s.athlete_id = m.athlete_id AND s.day = m.day
   WINDOW w AS (PARTITION BY s.athlete_id ORDER BY s.day ROWS 6 PRECEDING), c AS (PARTITION BY s.athlete_id ORDER BY s.day ROWS UNBOUNDED PRECEDING))"""
 
@@ -98,22 +103,30 @@ def seven_day_load_carry_forward(spark, sf_dir):
     return load.seven_day_load(model(spark, sf_dir)).select("athlete_id", "day", *[S.half_up(F.col(c), 3).alias(c) for c in ("load7", "atl", "ctl")])
 
 
+STABILITY = "CASE WHEN base <= 0 THEN CAST(0.65 AS DOUBLE) WHEN r >= 0.9 AND r <= 1.3 THEN 1 WHEN r < 0.9 THEN greatest(CAST(0.58 AS DOUBLE), CAST(0.88 AS DOUBLE) - (CAST(0.9 AS DOUBLE) - r) * CAST(0.6 AS DOUBLE)) WHEN r > 1.4 THEN greatest(0, CAST(0.72 AS DOUBLE) - (r - CAST(1.4 AS DOUBLE)) * CAST(0.9 AS DOUBLE)) ELSE CAST(0.82 AS DOUBLE) END"
+
+
 @query(f"""WITH {A.ACTIVITIES}, {DAILY}, {SEVEN}, b AS (SELECT *, avg(load7) OVER (PARTITION BY athlete_id ORDER BY day ROWS 27 PRECEDING) AS base FROM seven), r AS (SELECT *, load7 / base AS r FROM b)
-SELECT athlete_id, day, {number('base', 3)} AS baseline, {number("CASE WHEN base <= 0 THEN CAST(0.65 AS DOUBLE) WHEN r >= 0.9 AND r <= 1.3 THEN 1 WHEN r < 0.9 THEN greatest(CAST(0.58 AS DOUBLE), CAST(0.88 AS DOUBLE) - (CAST(0.9 AS DOUBLE) - r) * CAST(0.6 AS DOUBLE)) WHEN r > 1.4 THEN greatest(0, CAST(0.72 AS DOUBLE) - (r - CAST(1.4 AS DOUBLE)) * CAST(0.9 AS DOUBLE)) ELSE CAST(0.82 AS DOUBLE) END", 5)} AS stability FROM r""")
+SELECT athlete_id, day, {number('base', 3)} AS baseline, {number(STABILITY, 5)} AS stability FROM r""")
 def load_stability(spark, sf_dir):
     return load.stability(load.seven_day_load(model(spark, sf_dir))).select("athlete_id", "day", S.half_up(F.col("baseline"), 3).alias("baseline"), S.half_up(F.col("stability"), 5).alias("stability"))
 
 
-@query()
+RAW_RISK = "least(greatest((CAST(0.6 AS DOUBLE) * pow(tired, CAST(1.5 AS DOUBLE)) + CAST(0.25 AS DOUBLE) * pow(rp, CAST(1.3 AS DOUBLE)) * tired + CAST(0.15 AS DOUBLE) * pow(ap, CAST(1.2 AS DOUBLE))) * CASE WHEN n7 > 1 AND m7 > 0 THEN 1 + least(s7 / m7, 1) * CAST(0.3 AS DOUBLE) ELSE 1 END, 0), 1)"
+FRAMES = f"""m AS (SELECT *, {RAMP} AS ramp FROM model),
+f AS (SELECT *, list(tsb) OVER (PARTITION BY athlete_id ORDER BY day ROWS 42 PRECEDING) AS t, list(ramp) OVER (PARTITION BY athlete_id ORDER BY day ROWS 14 PRECEDING) AS r, list(atl) OVER (PARTITION BY athlete_id ORDER BY day ROWS 7 PRECEDING) AS al,
+  avg(load) OVER w AS m7, stddev_pop(load) OVER w AS s7, count(load) OVER w AS n7 FROM m WINDOW w AS (PARTITION BY athlete_id ORDER BY day ROWS 6 PRECEDING)),
+p AS (SELECT *, 1 - len(list_filter(t, lambda x: x <= tsb)) / CAST(len(t) AS DOUBLE) AS tired, len(list_filter(r, lambda x: x <= ramp)) / CAST(len(r) AS DOUBLE) AS rp, len(list_filter(al, lambda x: x <= atl)) / CAST(len(al) AS DOUBLE) AS ap FROM f)"""
+
+
+@query(f"""WITH RECURSIVE {A.ACTIVITIES}, {DAILY}, {FRAMES}, o AS (SELECT athlete_id, day, {RAW_RISK} AS x, row_number() OVER (PARTITION BY athlete_id ORDER BY day) AS k FROM p),
+e AS (SELECT athlete_id, day, k, x AS risk FROM o WHERE k = 1 UNION ALL SELECT o.athlete_id, o.day, o.k, floor((e.risk * (1 - (CAST(0.2 AS DOUBLE) + CAST(0.5 AS DOUBLE) * least(1, abs(x - risk)))) + x * (CAST(0.2 AS DOUBLE) + CAST(0.5 AS DOUBLE) * least(1, abs(x - risk)))) * 1000 + CAST(0.5 AS DOUBLE)) / 1000 FROM e JOIN o ON e.athlete_id = o.athlete_id AND o.k = e.k + 1)
+SELECT athlete_id, day, {number('risk', 3)} AS risk FROM e""")
 def risk_smoothed(spark, sf_dir):
-    return load.risk(model(spark, sf_dir))
+    return load.risk(model(spark, sf_dir)).withColumn("risk", S.half_up(F.col("risk"), 3))
 
 
-@query(f"""WITH {A.ACTIVITIES}, {DAILY}, m AS (SELECT *, coalesce(ctl - lag(ctl) OVER (PARTITION BY athlete_id ORDER BY day), 0) AS ramp FROM model),
-f AS (SELECT *, list(tsb) OVER (PARTITION BY athlete_id ORDER BY day ROWS 42 PRECEDING) AS t, list(ramp) OVER (PARTITION BY athlete_id ORDER BY day ROWS 14 PRECEDING) AS r, list(atl) OVER (PARTITION BY athlete_id ORDER BY day ROWS 7 PRECEDING) AS al,
-  avg(load) OVER w AS m7, stddev_pop(load) OVER w AS s7, count(load) OVER w AS n7 FROM m WINDOW w AS (PARTITION BY athlete_id ORDER BY day ROWS 6 PRECEDING)),
-p AS (SELECT *, 1 - len(list_filter(t, lambda x: x <= tsb)) / CAST(len(t) AS DOUBLE) AS tired, len(list_filter(r, lambda x: x <= ramp)) / CAST(len(r) AS DOUBLE) AS rp, len(list_filter(al, lambda x: x <= atl)) / CAST(len(al) AS DOUBLE) AS ap FROM f)
-SELECT athlete_id, day, {number("least(greatest((CAST(0.6 AS DOUBLE) * pow(tired, CAST(1.5 AS DOUBLE)) + CAST(0.25 AS DOUBLE) * pow(rp, CAST(1.3 AS DOUBLE)) * tired + CAST(0.15 AS DOUBLE) * pow(ap, CAST(1.2 AS DOUBLE))) * CASE WHEN n7 > 1 AND m7 > 0 THEN 1 + least(s7 / m7, 1) * CAST(0.3 AS DOUBLE) ELSE 1 END, 0), 1)", 5)} AS raw_risk FROM p""")
+@query(f"""WITH {A.ACTIVITIES}, {DAILY}, {FRAMES} SELECT athlete_id, day, {number(RAW_RISK, 5)} AS raw_risk FROM p""")
 def risk_by_frame_ranks(spark, sf_dir):
     return load.raw_risk(model(spark, sf_dir)).select("athlete_id", "day", S.half_up(F.col("raw_risk"), 5).alias("raw_risk"))
 
@@ -126,9 +139,16 @@ def ema_fold(spark, sf_dir):
     return load.exponential(daily, "load", 7, "ema7").select("athlete_id", "day", S.half_up(F.col("ema7"), 3).alias("ema7"))
 
 
-@query()
+_FORM = "CASE WHEN tsb >= 15 THEN 1 WHEN tsb >= 5 THEN 0.92 WHEN tsb >= -5 THEN 0.74 WHEN tsb >= -15 THEN 0.56 WHEN tsb >= -30 THEN 0.36 ELSE 0.16 END"
+_TIRED = "CASE WHEN atl - ctl <= -6 THEN 0.22 WHEN atl - ctl <= 4 THEN 0.34 WHEN atl - ctl <= 12 THEN 0.56 WHEN atl - ctl <= 22 THEN 0.80 ELSE 1 END"
+
+
+@query(f"""WITH RECURSIVE {A.ACTIVITIES}, {DAILY}, {SEVEN}, b AS (SELECT *, avg(load7) OVER (PARTITION BY athlete_id ORDER BY day ROWS 27 PRECEDING) AS base FROM seven), r AS (SELECT *, load7 / base AS r FROM b),
+s AS (SELECT athlete_id, day, 100 * (0.4 * CAST({_FORM} AS DOUBLE) + 0.3 * (1 - CAST({_TIRED} AS DOUBLE)) + 0.3 * ({STABILITY})) AS blend FROM r), c AS (SELECT athlete_id, day, avg(blend) OVER (PARTITION BY athlete_id ORDER BY day ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS x, row_number() OVER (PARTITION BY athlete_id ORDER BY day) AS k FROM s),
+e AS (SELECT athlete_id, day, k, x AS v FROM c WHERE k = 1 UNION ALL SELECT c.athlete_id, c.day, c.k, e.v + greatest(-8, least(8, c.x - e.v)) FROM e JOIN c ON e.athlete_id = c.athlete_id AND c.k = e.k + 1) SELECT athlete_id, day, {number('v', 3)} AS readiness FROM e""")
 def readiness_slew(spark, sf_dir):
-    return load.readiness(load.stability(load.seven_day_load(model(spark, sf_dir))))
+    return load.readiness(load.stability(load.seven_day_load(model(spark, sf_dir)))).withColumn("readiness", S.half_up(F.col("readiness"), 3))
+
 
 
 @query(f"""WITH w AS (SELECT event_id AS id, CAST(event_id % 45 - 5 AS DOUBLE) AS t, CAST(event_id % 101 AS DOUBLE) AS h, value / 10 AS wind, CAST(event_id % 7 AS DOUBLE) AS rain, CAST(990 + event_id % 50 AS DOUBLE) AS p FROM events)

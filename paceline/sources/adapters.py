@@ -74,3 +74,44 @@ SELECT user_id AS activity_id, row_number() OVER (PARTITION BY user_id ORDER BY
        CAST(event_id % 21 - 10 AS DOUBLE) AS grade, event_id % 7 <> 0 AS moving,
        CASE WHEN event_id % 5 <> 0 THEN CAST(110 + event_id % 80 AS DOUBLE) END AS heart_rate, CAST(event_id % 300 AS DOUBLE) AS power,
        CAST(event_id % 13 AS DOUBLE) AS step_m, event_id % 10 * CAST(1 AS DOUBLE) + floor(value) * CAST(0.01 AS DOUBLE) AS elevation FROM events)"""
+
+
+def weather_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly weather of twenty cells, with hours missing: one row per cell and hour in which other users than clickers were active."""
+    e = table(spark, sf_dir, "events").where("event_type <> 'click'")
+    codes = F.array(*map(F.lit, (0, 2, 45, 53, 61, 71, 82, 96, 4)))
+    hours = e.groupBy((F.col("user_id") % 20).alias("cell"), F.date_trunc("hour", "ts").alias("ts")).agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"))
+    return hours.select(
+        "cell", "ts", (F.col("a") % 35 - 5).cast("double").alias("temperature"), (F.col("b") % 7 * 0.5).alias("precipitation"), (F.col("a") % 40).cast("double").alias("wind_speed"), (F.col("b") % 8 * 45).alias("wind_direction"),
+        (40 + F.col("a") % 60).cast("double").alias("humidity"), (980 + F.col("b") % 50).cast("double").alias("pressure"), F.get(codes, (F.col("a") % 9).cast("int")).alias("weather_code"),
+    )
+
+
+WEATHER = """weather_hourly AS (
+SELECT cell, ts, CAST(a % 35 - 5 AS DOUBLE) AS temperature, b % 7 * CAST(0.5 AS DOUBLE) AS precipitation, CAST(a % 40 AS DOUBLE) AS wind_speed, b % 8 * 45 AS wind_direction, CAST(40 + a % 60 AS DOUBLE) AS humidity,
+       CAST(980 + b % 50 AS DOUBLE) AS pressure, [0, 2, 45, 53, 61, 71, 82, 96, 4][a % 9 + 1] AS weather_code
+FROM (SELECT user_id % 20 AS cell, date_trunc('hour', ts) AS ts, min(event_id) AS a, max(event_id) AS b FROM events WHERE event_type <> 'click' GROUP BY 1, 2))"""
+
+
+def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five heart rate zones of each customer; the last is open for every fourth."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("athlete_id"), F.posexplode(F.array(*map(F.lit, (110, 125, 140, 155, 170)))).alias("k", "lo"))
+    high = F.when(F.col("k") < 4, F.col("lo") + 15).when(F.col("athlete_id") % 4 == 0, -1).otherwise(185 + F.col("athlete_id") % 10)
+    return c.select("athlete_id", (F.col("k") + 1).alias("zone"), F.col("lo").cast("double").alias("min"), high.cast("double").alias("max"))
+
+
+ZONES = """zones AS (
+SELECT c_custkey AS athlete_id, k + 1 AS zone, CAST(110 + 15 * k AS DOUBLE) AS min, CAST(CASE WHEN k < 4 THEN 125 + 15 * k WHEN c_custkey % 4 = 0 THEN -1 ELSE 185 + c_custkey % 10 END AS DOUBLE) AS max
+FROM customer, (SELECT CAST(range AS INTEGER) AS k FROM range(5)) z)"""
+
+
+def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laps of activities: one per line of an order."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("activity_id"), F.col("l_linenumber").alias("lap"), (F.col("l_quantity") / 10.0).alias("km"), (300 + F.col("l_partkey") % 900).alias("seconds"),
+        (110 + F.col("l_suppkey") % 70).cast("double").alias("heart_rate"), (F.col("l_partkey") % 400).alias("strokes"),
+    )
+
+
+LAPS = """laps AS (
+SELECT l_orderkey AS activity_id, l_linenumber AS lap, l_quantity / CAST(10 AS DOUBLE) AS km, 300 + l_partkey % 900 AS seconds, CAST(110 + l_suppkey % 70 AS DOUBLE) AS heart_rate, l_partkey % 400 AS strokes FROM lineitem)"""
