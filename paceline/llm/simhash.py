@@ -198,7 +198,7 @@ def _kept(docs: DataFrame, group: Callable[[DataFrame], DataFrame], id_col: str,
 #: Of the wide fingerprints' 256 bits, and of the first 64 of them, so many differ at most in a pair whose similarity may be 0.8
 #: or more: of large sets of shingles equal but for a fifth some 39 of 256 differ, give or take 6.
 WIDE, FIRST = 64, 22
-WIDE_TILE = 131072
+WIDE_TILE = 65536
 
 
 def shingle_set(data: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
