@@ -22,7 +22,7 @@ def condition(code: Column) -> Column:
 
 def cell(lat: Column, lon: Column) -> Column:
     """Places that share an hourly forecast: both degrees to three decimals."""
-    return F.concat_ws(":", F.format_number(lat, "0.000"), F.format_number(lon, "0.000"))
+    return F.concat_ws(":", *[F.round(x, 3).cast("decimal(9,3)").cast("string") for x in (lat, lon)])
 
 
 def at_start(activities: DataFrame, hourly: DataFrame, keys: list[str], ts: str = "start_ts", seen: str = "ts") -> DataFrame:
