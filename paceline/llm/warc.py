@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm.common import bounded_batches, new_folder, partitions, read_table, stored
+from paceline.llm.common import bounded_batches, new_folder, partitions, read_table, spread_join, stored
 
 # Fixed values of the format: the skippable frame that holds a dictionary, and the frame and dictionary magic numbers.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -175,13 +175,15 @@ def with_revisits(pages: DataFrame, smallest: int = 0, id_col: str = "page_id",
     smallest id is the response and the others revisit it; payloads below that are all responses.
 
     A null html is an empty payload. Rows whose id is null refer to the smallest id that isn't; where a payload has only
-    null ids, or the same id in several rows, those rows are all responses.
+    null ids, or the same id in several rows, those rows are all responses. The rows of a very common payload are dealt
+    over many tasks, and so over many archives.
     """
     payload = F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b""))
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("key", F.sha1("payload"))
-    first = base.where(F.octet_length("payload") >= smallest).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("key", "first")
+    counts = stored(base.groupBy("key").agg(F.min("page_id").alias("first"), F.min(F.octet_length("payload")).alias("size"), F.count("*").alias("n")).where("n > 1"), "payloads")
+    first = counts.where((F.col("size") >= smallest) & F.col("first").isNotNull()).select("key", "first")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return base.join(first, "key", "left").select("page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
+    return spread_join(base, first, "key", counts, pages.count(), "page_id", "left").select("page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -4,6 +4,7 @@ import io
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from paceline.llm import warc
 from paceline.llm.common import new_folder
@@ -56,3 +57,13 @@ def test_pages(spark):
 def test_smallest_size(spark):
     pages = spark.createDataFrame([(1, "a", "x"), (2, "a", "x")], "page_id long, url string, html string")
     assert [r.record_type for r in warc.with_revisits(pages, smallest=5).collect()] == ["response", "response"]
+
+
+def test_a_very_common_payload_is_dealt_over_tasks(spark):
+    rows = [(i, "u", "same" if i % 3 else f"own {i}") for i in range(2400)] + [(None, "u", "same")]
+    got = warc.with_revisits(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "record_type", "refers_to", F.spark_partition_id().alias("task")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        common = r.page_id is None or r.page_id % 3
+        assert (r.record_type, r.refers_to) == (("revisit", 1) if common and r.page_id != 1 else ("response", None))
+    assert len({r.task for r in got if r.record_type == "revisit"}) > 1
