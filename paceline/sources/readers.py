@@ -31,6 +31,36 @@ def stream_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select("activity_id", *[F.coalesce(F.size(k), F.lit(0)).alias(k) for k in keys])
 
 
+def athletes(spark: SparkSession, path: str) -> DataFrame:
+    """Athlete profiles, a JSON document each; documents without an id (failed requests) are left out."""
+    ddl = "id bigint, firstname string, lastname string, sex string, city string, country string, weight double, ftp double"
+    return spark.read.schema(ddl).option("multiLine", "true").json(path).where("id is not null")
+
+
+def gears(spark: SparkSession, path: str) -> DataFrame:
+    """Equipment, a JSON document an item under ``path``, all read at once; failed items, which have no id, are left out."""
+    ddl = "id string, name string, brand_name string, model_name string, primary boolean, retired boolean, distance double"
+    return spark.read.schema(ddl).option("multiLine", "true").json(path).where("id is not null")
+
+
+def zones(spark: SparkSession, path: str) -> DataFrame:
+    """``kind, zone, low, high`` from zone documents: zones count from 1, an open upper end (-1) is null."""
+    one = "struct<custom_zones:boolean,zones:array<struct<min:double,max:double>>>"
+    raw = spark.read.schema(f"heart_rate {one}, power {one}").option("multiLine", "true").json(path)
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}.zones").alias("zones")) for k in ("heart_rate", "power")])
+    rows = raw.select(F.inline(kinds)).select("kind", F.posexplode("zones").alias("at", "z"))
+    return rows.select("kind", (F.col("at") + 1).alias("zone"), F.col("z.min").alias("low"), F.when(F.col("z.max") >= 0, F.col("z.max")).alias("high"))
+
+
+def hourly_weather(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+    """``latitude, longitude, ts`` and ``fields``, a row an hour, from documents that hold an array for each field; documents
+    without hours (failed requests) give no rows, and an array that is too short ends in nulls."""
+    hourly = ",".join(["time:array<string>", *[f"`{f}`:array<double>" for f in fields]])
+    raw = spark.read.schema(f"latitude double, longitude double, hourly struct<{hourly}>").option("multiLine", "true").json(path)
+    rows = raw.select("latitude", "longitude", F.inline(F.arrays_zip(*[F.col(f"hourly.`{c}`").alias(c) for c in ("time", *fields)])))
+    return rows.withColumn("ts", F.to_timestamp_ntz("time", F.lit("yyyy-MM-dd'T'HH:mm"))).where("ts is not null").select("latitude", "longitude", "ts", *fields)
+
+
 def snapshot(spark: SparkSession, path: str, version: str, newest: str, max_hours: float) -> DataFrame:
     """Rows of a versioned snapshot that are young enough at the moment ``newest``."""
     age = (F.unix_timestamp(F.lit(newest).cast("timestamp")) - F.unix_timestamp("ingested_at")) / 3600.0

@@ -24,17 +24,25 @@ def escaped(text: Column) -> Column:
     return text
 
 
+# What a point's measures are called in a GPX file, and how they are written.
+GPX_MEASURES = {"speed": ("speed", "%.2f"), "heart_rate": ("heartrate", None), "cadence": ("cadence", None), "power": ("power", None), "temperature": ("temperature", "%.1f")}
+GPX_NAMESPACE = "http://www.topografix.com/GPX/1/1"
+
+
 def gpx(points: DataFrame, names: DataFrame) -> DataFrame:
-    """``activity_id, gpx``: one GPX 1.1 document per activity; points without a position (null or zero) are left out."""
+    """``activity_id, gpx``: one GPX 1.1 document per activity; points without a position (null or zero) are left out,
+    and so are measures that ``points`` has no column for or that are null."""
     placed = points.where("coalesce(lat, 0) <> 0 and coalesce(lon, 0) <> 0")
-    extra = F.concat(*[F.coalesce(F.concat(F.lit(f"<{t}>"), F.col(c).cast("string"), F.lit(f"</{t}>")), F.lit("")) for c, t in (("heart_rate", "hr"), ("power", "power"))])
+    measures = [(tag, F.format_string(shown, F.col(c)) if shown else F.col(c).cast("string"), F.col(c)) for c, (tag, shown) in GPX_MEASURES.items() if c in points.columns]
+    extra = F.concat(F.lit(""), *[F.when(c.isNotNull(), F.concat(F.lit(f"<{tag}>"), text, F.lit(f"</{tag}>"))).otherwise("") for tag, text, c in measures])
     point = F.concat(
-        F.format_string('<trkpt lat="%.6f" lon="%.6f">', "lat", "lon"), F.coalesce(F.format_string("<ele>%.1f</ele>", "elevation"), F.lit("")),
-        F.date_format("ts", "'<time>'yyyy-MM-dd'T'HH:mm:ss'Z</time>'"), F.lit("<extensions>"), extra, F.lit("</extensions></trkpt>"),
+        F.format_string('<trkpt lat="%.6f" lon="%.6f">', "lat", "lon"), F.when(F.col("elevation").isNotNull(), F.format_string("<ele>%.2f</ele>", "elevation")).otherwise(""),
+        F.date_format("ts", "'<time>'yyyy-MM-dd'T'HH:mm:ss.SSS'Z</time>'"), F.lit("<extensions>"), extra, F.lit("</extensions></trkpt>"),
     )
     lines = placed.groupBy("activity_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", point.alias("p")))), lambda s: s["p"]), "").alias("body"))
-    head, tail = '<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" creator="paceline"><trk><name>', "</trkseg></trk></gpx>"
-    return lines.join(names, "activity_id", "left").select("activity_id", F.concat(F.lit(head), escaped(F.coalesce("name", F.lit(""))), F.lit("</name><trkseg>"), "body", F.lit(tail)).alias("gpx"))
+    title = escaped(F.coalesce("name", F.lit("")))
+    head = F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" creator="paceline" xmlns="{GPX_NAMESPACE}"><metadata><name>'), title, F.lit("</name></metadata><trk><name>"), title, F.lit("</name><trkseg>"))
+    return lines.join(names, "activity_id", "left").select("activity_id", F.concat(head, "body", F.lit("</trkseg></trk></gpx>")).alias("gpx"))
 
 
 def as_json(df: DataFrame, key: str) -> DataFrame:

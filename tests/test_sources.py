@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+from xml.etree import ElementTree
 
 from pyspark.sql import functions as F
 
@@ -28,6 +29,28 @@ def test_gpx_leaves_out_points_without_position(spark):
     points = spark.createDataFrame(rows, "activity_id long, idx int, lat double, lon double, ts timestamp, elevation double, heart_rate double, power double")
     text = writers.gpx(points, spark.createDataFrame([(1, "a<b")], "activity_id long, name string")).first().gpx
     assert text.count("<trkpt") == 2 and "a&lt;b" in text and text.index('lat="10.0') < text.index('lat="11.0')
+    root = ElementTree.fromstring(text)
+    space = {"g": "http://www.topografix.com/GPX/1/1"}
+    assert root.find("g:metadata/g:name", space).text == "a<b"
+    first, second = root.findall("g:trk/g:trkseg/g:trkpt", space)
+    assert (first.find("g:ele", space).text, first.find("g:extensions/g:power", space).text, first.find("g:extensions/g:heartrate", space).text) == ("1.00", "5.0", "100.0")
+    assert second.find("g:ele", space) is None and len(second.find("g:extensions", space)) == 0
+
+
+def test_profiles_equipment_zones_and_weather(spark, tmp_path):
+    docs = {
+        "a/1": {"id": 9, "firstname": "Ann", "weight": 60.5}, "g/1": {"id": "b1", "name": "Road", "distance": 1000.0, "retired": False}, "g/2": {"message": "Not Found"},
+        "z/1": {"heart_rate": {"custom_zones": False, "zones": [{"min": 0, "max": 120}, {"min": 120, "max": -1}]}},
+        "w/1": {"latitude": 1.5, "longitude": 2.5, "hourly": {"time": ["2024-01-02T00:00", "2024-01-02T01:00"], "rain": [0.5]}}, "w/2": {"error": True},
+    }
+    for name, doc in docs.items():
+        (tmp_path / name[0]).mkdir(exist_ok=True)
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc))
+    at = lambda k: str(tmp_path / k)
+    assert [(r.id, r.firstname, r.weight) for r in readers.athletes(spark, at("a")).collect()] == [(9, "Ann", 60.5)]
+    assert [(r.id, r.distance, r.retired) for r in readers.gears(spark, at("g")).collect()] == [("b1", 1000.0, False)]
+    assert sorted(tuple(r) for r in readers.zones(spark, at("z")).collect()) == [("heart_rate", 1, 0.0, 120.0), ("heart_rate", 2, 120.0, None)]
+    assert sorted(tuple(r) for r in readers.hourly_weather(spark, at("w"), ["rain"]).collect()) == [(1.5, 2.5, dt.datetime(2024, 1, 2), 0.5), (1.5, 2.5, dt.datetime(2024, 1, 2, 1), None)]
 
 
 def test_csv_and_snapshot(spark, tmp_path):
