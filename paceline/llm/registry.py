@@ -1,6 +1,6 @@
 """The corpus queries by name."""
 
-from paceline.llm import decontaminate, knn, pii, suffix, toxicity, warc
+from paceline.llm import decontaminate, knn, phrases, pii, suffix, toxicity, urlfilter, warc, whitening
 from paceline.llm.bpe import op10_bpe_forced_boundary
 from paceline.llm.lattice import op5_lattice_likelihood
 from paceline.llm.quality import op3_quality_subword
@@ -17,8 +17,13 @@ QUERIES = {
     "op8_simhash_tiled": op8_simhash_tiled,
     "op9_template_leaks": decontaminate.op9_template_leaks,
     "op10_bpe_forced_boundary": op10_bpe_forced_boundary,
+    "op11_url_automaton": urlfilter.op11_url_automaton,
+    "op12_whitening_subspace": whitening.op12_whitening_subspace,
+    "op13_phrase_collocation": phrases.op13_phrase_collocation,
 }
 ORACLES: dict[str, str] = {
     "op1_voronoi_topk": knn.ORACLE,
     "op6_warc_zstd": warc.ORACLE,
+    "op11_url_automaton": urlfilter.ORACLE,
+    "op13_phrase_collocation": phrases.ORACLE,
 }
