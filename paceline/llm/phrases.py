@@ -147,7 +147,7 @@ class Layout:
         out = np.zeros((n, self.longest, self.width), np.uint8)
         for k, x in enumerate(ids):
             out[:, k] = x.astype(">u8").view(np.uint8).reshape(n, 8)[:, 8 - self.width :]
-        return out.reshape(n, -1).view(f"S{self.longest * self.width}").reshape(n)
+        return out.reshape(n, self.longest * self.width).view(f"S{self.longest * self.width}").reshape(n)
 
     def arrow(self, keys: np.ndarray) -> pa.Array:
         if self.narrow:
