@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paceline.functions import scalars as S
 from paceline.operators import points as P
-from paceline.operators import predict
+from paceline.operators import predict, routes
 from paceline.plans.base import exact, number, query
 from paceline.sources import adapters as A
 
@@ -114,3 +114,18 @@ SELECT athlete_id, target, {number('t * 60', 1)} AS seconds FROM n WHERE k = 50"
 def vdot_prediction(spark, sf_dir):
     v = predict.estimated_vdot(A.history(spark, sf_dir), ["athlete_id"])
     return v.withColumn("target", F.explode(F.array(*map(F.lit, (5000.0, 10000.0, 21097.0, 42195.0))))).select("athlete_id", "target", S.half_up(S.vdot_time(F.col("vdot"), F.col("target")), 1).alias("seconds"))
+
+
+@query(f"""WITH {A.POINTS}, v AS (SELECT activity_id, idx, CAST(power AS BIGINT) % 32 AS c FROM point), d AS (SELECT activity_id, idx, CASE WHEN c % 2 = 1 THEN -((c + 1) // 2) ELSE c // 2 END AS d FROM v), s AS (SELECT activity_id, idx // 2 AS k, sum(d) FILTER (idx % 2 = 0) AS a, sum(d) FILTER (idx % 2 = 1) AS b FROM d GROUP BY 1, 2),
+x AS (SELECT activity_id, k, CAST(sum(a) OVER w AS DOUBLE) / CAST(100000 AS DOUBLE) AS lat, CAST(sum(b) OVER w AS DOUBLE) / CAST(100000 AS DOUBLE) AS lon FROM s WHERE b IS NOT NULL WINDOW w AS (PARTITION BY activity_id ORDER BY k ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT x.*, coalesce(lead(lat) OVER o, lat) AS lat2, coalesce(lead(lon) OVER o, lon) AS lon2, coalesce(lag(lat) OVER o, lat) AS lat0, coalesce(lag(lon) OVER o, lon) AS lon0, lead(lat) OVER o IS NULL AS ending FROM x WINDOW o AS (PARTITION BY activity_id ORDER BY k)),
+g AS (SELECT activity_id, k, lat, lon, radians(CASE WHEN ending THEN lat0 ELSE lat END) AS p, radians(CASE WHEN ending THEN lat ELSE lat2 END) AS q, radians(CASE WHEN ending THEN lon - lon0 ELSE lon2 - lon END) AS dl FROM e),
+a AS (SELECT activity_id, min(ts) AS start_ts, count(*) * 45 AS moving_time, count(*) // 2 AS n FROM point GROUP BY 1), c AS (SELECT *, greatest(2, least(n, 14, 5 + moving_time // 1200)) AS m FROM a WHERE n >= 2),
+i AS (SELECT c.*, CAST(r.range AS INTEGER) AS sample, CAST(r.range AS DOUBLE) / (m - 1) AS progress FROM c, range(14) r WHERE r.range < m)
+SELECT i.activity_id, sample, CAST(floor(progress * (n - 1) + 0.5) AS INTEGER) AS index, lat, lon, {number('progress', 6)} AS progress, start_ts + to_milliseconds(CAST(floor(progress * moving_time * 1000 + 0.5) AS BIGINT)) AS at,
+  {number('(degrees(atan2(sin(dl) * cos(q), cos(p) * sin(q) - sin(p) * cos(q) * cos(dl))) + 360) % 360', 4)} AS bearing FROM i JOIN g ON g.activity_id = i.activity_id AND g.k = CAST(floor(progress * (n - 1) + 0.5) AS BIGINT)""")
+def route_samples(spark, sf_dir):
+    code = F.char(63 + F.col("power").cast("long") % 32)
+    drawn = A.points(spark, sf_dir).groupBy("activity_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", code.alias("c")))), lambda s: s["c"]), "").alias("line"), F.min("ts").alias("start_ts"), (F.count("*") * 45).alias("moving_time"))
+    s = routes.samples(drawn.withColumn("line", S.decoded_polyline(F.col("line"))))
+    return s.select("activity_id", "sample", "index", "lat", "lon", S.half_up(F.col("progress"), 6).alias("progress"), "at", S.half_up(F.col("bearing"), 4).alias("bearing"))
