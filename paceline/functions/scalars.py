@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def half_up(x: Column, digits: int = 0) -> Column:
     return F.floor(x * scale + 0.5) / scale
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` reads it: the value is bound to a lambda's variable."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 

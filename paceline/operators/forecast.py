@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paceline.functions.scalars import clamp, half_up, ratio, riegel, vdot, vdot_time, week_start
+from paceline.functions.scalars import bound, clamp, half_up, ratio, riegel, vdot, vdot_time, week_start
 from paceline.operators.aggregates import period_start
 from paceline.operators.joins import within_bands
 
@@ -23,6 +23,8 @@ REFERENCES = [
 LEVELS = ("Beginner", "Intermediate", "Advanced")
 #: Shares of the predictions, ordered by time, that are kept.
 MOODS = {"optimistic": (0.0, 0.4), "realistic": (0.25, 0.75), "conservative": (0.6, 1.0)}
+#: Newton's method settles after 17 steps at most for scores of 10 to 100 and these distances.
+NEWTON_STEPS = 20
 WEIGHTS = {"riegel": 30.0, "curve": 20.0, "best": 20.0, "vdot": 15.0, "readiness": 90.0}
 
 
@@ -141,20 +143,25 @@ def recent_training(runs: DataFrame, keys: list[str], ends: DataFrame, weeks: in
 
 def curve(bests: Column) -> Column:
     """Coefficients (m, a, b, c) of seconds = a + b (ln km - m) + c (ln km - m)^2 by least squares, m the mean of ln km; null below three runs or without a solution."""
-    x = F.transform(bests, lambda p: F.ln(p["km"]))
     total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, v: s + f(v))
-    m = total(x, lambda v: v) / F.size(bests)
-    rows = F.transform(bests, lambda p: F.struct((F.ln(p["km"]) - m).alias("x"), p["seconds"].alias("y")))
-    n, s1, s2, s3, s4 = F.size(bests), *(total(rows, lambda r, k=k: F.pow(r["x"], F.lit(float(k)))) for k in (1, 2, 3, 4))
-    t0, t1, t2 = (total(rows, lambda r, k=k: r["y"] * F.pow(r["x"], F.lit(float(k)))) for k in (0, 1, 2))
 
     def det(a, b, c, d, e, f, g, h, i):
         return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
 
-    whole = det(n, s1, s2, s1, s2, s3, s2, s3, s4)
-    tops = (det(t0, s1, s2, t1, s2, s3, t2, s3, s4), det(n, t0, s2, s1, t1, s3, s2, t2, s4), det(n, s1, t0, s1, s2, t1, s2, s3, t2))
-    fit = F.struct(m.alias("m"), *((top / whole).alias(c) for top, c in zip(tops, "abc", strict=True)))
-    return F.when((F.size(bests) >= 3) & (F.abs(whole) > 1e-9), fit)
+    def solved(m: Column, s: Column) -> Column:
+        n, s1, s2, s3, s4, t0, t1, t2 = (s[c] for c in ("n", "s1", "s2", "s3", "s4", "t0", "t1", "t2"))
+        tops = (det(t0, s1, s2, t1, s2, s3, t2, s3, s4), det(n, t0, s2, s1, t1, s3, s2, t2, s4), det(n, s1, t0, s1, s2, t1, s2, s3, t2))
+        fit = lambda whole: F.struct(m.alias("m"), *((top / whole).alias(c) for top, c in zip(tops, "abc", strict=True)))
+        return bound(det(n, s1, s2, s1, s2, s3, s2, s3, s4), lambda whole: F.when(F.abs(whole) > 1e-9, fit(whole)))
+
+    def sums(rows: Column) -> Column:
+        power = lambda k: (lambda r: F.pow(r["x"], F.lit(float(k))))
+        return F.struct(F.size(rows).cast("double").alias("n"), *(total(rows, power(k)).alias(f"s{k}") for k in (1, 2, 3, 4)), *(total(rows, lambda r, k=k: r["y"] * power(k)(r)).alias(f"t{k}") for k in (0, 1, 2)))
+
+    def centred(m: Column) -> Column:
+        return bound(F.transform(bests, lambda p: F.struct((F.ln(p["km"]) - m).alias("x"), p["seconds"].alias("y"))), lambda rows: bound(sums(rows), lambda s: solved(m, s)))
+
+    return F.when(F.size(bests) >= 3, bound(total(bests, lambda p: F.ln(p["km"])) / F.size(bests), centred))
 
 
 def prediction_history(runs: DataFrame, keys: list[str], granularity: str = "month", mood: str = "realistic", weights: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -178,21 +185,26 @@ def prediction_history(runs: DataFrame, keys: list[str], granularity: str = "mon
     entry = lambda time, source: F.struct(time.alias("time"), w[source].alias("weight"))
     x = F.ln(km) - F.col("fit.m")
     curved = F.col("fit.a") + F.col("fit.b") * x + F.col("fit.c") * x * x
-    score = vdot_time(F.col("vdot"), km * 1000)
+    some = lambda value, source: bound(value, lambda v: F.when(v > 0, F.array(entry(v, source))).otherwise(F.array().cast("array<struct<time: double, weight: double>>")))
     told = F.concat(
-        F.transform(F.filter("bests", lambda p: F.abs(p["km"] - km) >= 0.1), lambda p: entry(riegel(p["seconds"], p["km"], km), "riegel")),
-        F.array_compact(F.array(F.when(curved > 0, entry(curved, "curve")))),
-        F.transform(F.filter("bests", lambda p: p["target"] == km), lambda p: entry(p["seconds"], "best")),
-        F.array_compact(F.array(F.when(score > 0, entry(score, "vdot")))),
+        F.transform(F.filter("bests", lambda p: F.abs(p["km"] - km) >= 0.1), lambda p: entry(riegel(p["seconds"], p["km"], km), "riegel")), some(curved, "curve"),
+        F.transform(F.filter("bests", lambda p: p["target"] == km), lambda p: entry(p["seconds"], "best")), some(vdot_time(F.col("vdot"), km * 1000, NEWTON_STEPS), "vdot"),
     )
-    middle = F.get(F.array_sort("told"), F.floor(F.size("told") / 2).cast("int"))["time"]
-    ready = entry(middle * (1 + (1 - F.col("goal.score") / 100.0) * F.col("goal.late")), "readiness")
-    full = F.array_sort(F.when(F.size("told") > 0, F.concat("told", F.array(ready))).otherwise(F.col("told")))
     start, end = MOODS[mood]
-    n = F.size("every")
-    kept = F.slice("every", F.floor(n * start).cast("int") + 1, (F.ceil(n * end) - F.floor(n * start)).cast("int"))
-    total = lambda f: F.aggregate("kept", F.lit(0.0), lambda a, p: a + f(p))
-    blended = rows.withColumn("told", told).withColumn("every", full).withColumn("kept", kept).withColumn("blend", ratio(total(lambda p: p["time"] * p["weight"]), total(lambda p: p["weight"])))
+
+    def with_readiness(t: Column) -> Column:
+        """The predictions by time, with the middle one made slower by what preparation lacks."""
+        middle = F.get(t, F.floor(F.size(t) / 2).cast("int"))["time"]
+        ready = entry(middle * (1 + (1 - F.col("goal.score") / 100.0) * F.col("goal.late")), "readiness")
+        return F.when(F.size(t) > 0, F.array_sort(F.concat(t, F.array(ready)))).otherwise(t)
+
+    def mean(every: Column) -> Column:
+        n = F.size(every)
+        kept = F.slice(every, F.floor(n * start).cast("int") + 1, (F.ceil(n * end) - F.floor(n * start)).cast("int"))
+        total = lambda f: (lambda t: F.aggregate(t, F.lit(0.0), lambda a, p: a + f(p)))
+        return bound(kept, lambda t: ratio(total(lambda p: p["time"] * p["weight"])(t), total(lambda p: p["weight"])(t)))
+
+    blended = rows.withColumn("blend", bound(bound(F.array_sort(told), with_readiness), mean))
     near = Window.partitionBy(*keys, "km").orderBy("period").rowsBetween(-1, 1)
     out = blended.select(*keys, "period", "end", "runs", km.alias("km"), "blend").withColumn("predicted", F.avg("blend").over(near))
     return out.withColumns({"low": F.col("predicted") * 0.95, "high": F.col("predicted") * 1.05})

@@ -87,18 +87,44 @@ def splits(points: DataFrame, km: float = 1.0, at_least: int = 2) -> DataFrame:
     ).where(F.col("n") >= at_least)
 
 
-def power_curve(points: DataFrame, durations: list[int]) -> DataFrame:
-    """Best mean power over each number of samples, from one running sum per activity."""
+#: Lengths of the power curve, in samples.
+DURATIONS = (1, 5, 10, 30, 60, 120, 300, 600, 1200, 1800, 3600)
+
+
+def positive(name: str) -> Column:
+    """A measure where it is above zero; zero means that nothing was measured."""
+    return F.when(F.col(name) > 0, F.col(name))
+
+
+def power_curve(points: DataFrame, durations: tuple[int, ...] = DURATIONS) -> DataFrame:
+    """Best mean power over each number of samples, to whole watts, from one running sum per activity; null where the track is
+    shorter, a missing sample counts as zero. ``ftp`` is 95 percent of the best twenty minutes."""
     total = F.sum(F.coalesce("power", F.lit(0.0))).over(so_far())
-    s = points.select("activity_id", "idx", total.alias("s"))
-    means = [F.max(F.when(F.col("idx") >= d - 1, (F.col("s") - F.coalesce(F.col(f"_l{d}"), F.lit(0.0))) / d)).alias(f"best_{d}") for d in durations]
-    return s.withColumns({f"_l{d}": F.lag("s", d).over(track()) for d in durations}).groupBy("activity_id").agg(*means)
+    s = points.select("activity_id", "idx", F.row_number().over(track()).alias("k"), total.alias("s"))
+    best = lambda d: half_up(F.greatest(F.lit(0.0), F.max(F.when(F.col("k") >= d, (F.col("s") - F.coalesce(F.col(f"_l{d}"), F.lit(0.0))) / d)))).cast("int")
+    means = [F.when(F.count("*") >= d, best(d)).alias(f"best_{d}") for d in durations]
+    out = s.withColumns({f"_l{d}": F.lag("s", d).over(track()) for d in durations}).groupBy("activity_id").agg(*means)
+    return out.withColumn("ftp", half_up(F.col("best_1200") * 0.95).cast("int")) if 1200 in durations else out
 
 
 def normalised_power(points: DataFrame, samples: int = 30) -> DataFrame:
-    """Fourth root of the mean fourth power of a trailing mean."""
-    mean = F.avg(F.coalesce("power", F.lit(0.0))).over(track().rowsBetween(-(samples - 1), 0))
-    return points.select("activity_id", F.pow(mean, F.lit(4.0)).alias("p4")).groupBy("activity_id").agg(F.pow(F.avg("p4"), F.lit(0.25)).alias("np"))
+    """Fourth root of the mean fourth power of full trailing windows of the samples that have a power, zero included, to whole watts;
+    null below one window. ``p4_mean`` is the fourth root of the mean fourth power of all positive samples, their mean below one window."""
+    valid = F.coalesce(F.col("power") >= 0, F.lit(False))
+    own = Window.partitionBy("activity_id", "_valid").orderBy("idx")
+    at = points.withColumn("_valid", valid).withColumns({"_k": F.row_number().over(own), "_mean": F.avg("power").over(own.rowsBetween(-(samples - 1), 0))})
+    full = F.when(F.col("_valid") & (F.col("_k") >= samples), F.pow("_mean", F.lit(4.0)))
+    watts = positive("power")
+    whole = F.when(F.count(watts) < samples, F.avg(watts)).otherwise(F.pow(F.avg(F.pow(watts, F.lit(4.0))), F.lit(0.25)))
+    return at.groupBy("activity_id").agg(half_up(F.pow(F.avg(full), F.lit(0.25))).cast("int").alias("np"), whole.alias("p4_mean"))
+
+
+def normalised_power_ahead(points: DataFrame, samples: int = 30) -> DataFrame:
+    """The same from windows of the samples ahead, powers above zero alone counting, for each sample with more than ``samples`` from it on;
+    the mean of all powers above zero where there is no window."""
+    at = points.withColumns({"_n": F.count("*").over(Window.partitionBy("activity_id")), "_k": F.row_number().over(track()), "_mean": F.avg(positive("power")).over(track().rowsBetween(0, samples - 1))})
+    full = F.when(F.col("_k") <= F.col("_n") - samples, F.pow("_mean", F.lit(4.0)))
+    return at.groupBy("activity_id").agg(F.coalesce(F.pow(F.avg(full), F.lit(0.25)), F.avg(positive("power"))).alias("np"))
 
 
 def drift(points: DataFrame) -> DataFrame:
@@ -110,31 +136,72 @@ def drift(points: DataFrame) -> DataFrame:
     return at.groupBy("activity_id").agg(first.alias("first_hr"), last.alias("last_hr")).withColumn("drift_pct", (F.col("last_hr") - F.col("first_hr")) / F.nullif(F.col("first_hr"), F.lit(0.0)) * 100)
 
 
-def fatigue(points: DataFrame, hr_rise: float = 0.05, power_drop: float = 0.05) -> DataFrame:
-    """At each sample the mean of the tenth of the track before it against the tenth from it on.
+#: The change against the window before that counts as a sign of fatigue. Pace and heart rate rise, cadence and power fall.
+SIGNS = {"pace": 0.1, "hr": 0.05, "cadence": 0.08, "power": 0.08}
+
+
+def prefix_sums(points: DataFrame) -> DataFrame:
+    """Adds ``sums``: for pace (of moving samples), heart rate, cadence and power the sum and the number of positive values so far."""
+    values = {"pace": F.when(F.col("moving") & (F.col("speed") > 0), 60 / F.col("speed")), "hr": positive("heart_rate"), "cadence": positive("cadence"), "power": positive("power")}
+    return points.withColumn("sums", F.struct(*(x for k, v in values.items() for x in (F.coalesce(F.sum(v).over(so_far()), F.lit(0.0)).alias(k), F.count(v).over(so_far()).alias(f"{k}_n")))))
+
 
-    The window's length is a tenth of the activity's own samples, so means come from running sums looked up a window away:
-    one pass over the samples for any length.
+def fatigue_windows(prefix: Column) -> Column:
+    """For each sample from the window's length on: the signs of fatigue and their severity, as an array.
+
+    The window is a tenth of the activity's own samples; the samples before each one are held against those from it on.
+    ``prefix`` is the activity's array of (idx, sums, km, second), so every mean is a difference of two places in it.
     """
-    w = Window.partitionBy("activity_id")
-    sums = points.withColumns({"_n": F.count("*").over(w), "_h": F.sum(F.coalesce("heart_rate", F.lit(0.0))).over(so_far()), "_c": F.count("heart_rate").over(so_far()), "_p": F.sum("power").over(so_far())})
-    sums = sums.select("activity_id", "idx", F.floor(F.col("_n") * 0.1).cast("int").alias("_w"), "_n", "_h", "_c", "_p")
-    ahead = sums.select("activity_id", (F.col("idx") + 1).alias("idx"), F.struct("_h", "_c", "_p").alias("s"))
-    zero = F.struct(F.lit(0.0).alias("_h"), F.lit(0).cast("long").alias("_c"), F.lit(0.0).alias("_p"))
-
-    def at(base: DataFrame, offset: Column, name: str) -> DataFrame:
-        keyed = base.withColumn("_at", offset)
-        side = ahead.select(F.col("activity_id").alias("_a"), F.col("idx").alias("_k"), F.col("s").alias(name))
-        return keyed.join(side, (keyed["activity_id"] == side["_a"]) & (keyed["_at"] == side["_k"]), "left").drop("_a", "_k", "_at").withColumn(name, F.coalesce(name, zero))
-
-    base = sums.where((F.col("_w") > 0) & (F.col("idx") >= F.col("_w"))).select("activity_id", "idx", "_w", "_n")
-    for offset, name in ((F.col("idx") - F.col("_w"), "s0"), (F.col("idx"), "s1"), (F.least(F.col("idx") + F.col("_w"), F.col("_n")), "s2")):
-        base = at(base, offset, name)
-    mean = lambda a, b, top, low: (F.col(f"{b}.{top}") - F.col(f"{a}.{top}")) / F.nullif(F.col(f"{b}.{low}") - F.col(f"{a}.{low}"), F.lit(0))
-    h1, h2 = mean("s0", "s1", "_h", "_c"), mean("s1", "s2", "_h", "_c")
-    p1 = (F.col("s1._p") - F.col("s0._p")) / F.col("_w")
-    p2 = (F.col("s2._p") - F.col("s1._p")) / F.nullif(F.least(F.col("_w"), F.col("_n") - F.col("idx")), F.lit(0))
-    return base.select("activity_id", "idx", F.coalesce((h2 - h1) / h1 > hr_rise, F.lit(False)).alias("hr_rise"), F.coalesce((p1 - p2) / F.nullif(p1, F.lit(0.0)) > power_drop, F.lit(False)).alias("power_drop"))
+    n = F.size(prefix)
+    width = F.floor(n * 0.1).cast("int")
+    sums = lambda j: F.get(prefix, j)["sums"]
+
+    def mean(k: str, low: Column, high: Column) -> Column:
+        """Of the samples after place ``low`` up to ``high``."""
+        start = lambda c: F.coalesce(F.when(low >= 0, sums(low)[c]), F.lit(0))
+        return F.nullif((sums(high)[k] - start(k)) / F.nullif(sums(high)[f"{k}_n"] - start(f"{k}_n"), F.lit(0)), F.lit(0.0))
+
+    def one(i: Column) -> Column:
+        last = F.least(i + width, n) - 1
+        signs = []
+        for k, limit in SIGNS.items():
+            a, b = mean(k, i - width - 1, i - 1), mean(k, i - 1, last)
+            change = (b - a) / a if k in ("pace", "hr") else (a - b) / a
+            signs.append(F.coalesce(change > limit, F.lit(False)).alias(f"{k}_{'drop' if k != 'hr' else 'rise'}"))
+        return F.struct(F.get(prefix, i)["idx"].alias("idx"), i.alias("place"), *signs)
+
+    told = F.transform(F.when((width > 0) & (n > width), F.sequence(width, n - 1)).otherwise(F.array().cast("array<int>")), one)
+    held = lambda w: sum((w[c].cast("int") for c in ("hr_rise", "cadence_drop", "power_drop")), w["pace_drop"].cast("int"))
+    return F.transform(told, lambda w: w.withField("severity", F.least(F.lit(1.0), held(w) * 0.3)))
+
+
+def with_fatigue(df: DataFrame, out: str = "fatigue", least: float = 0.5) -> DataFrame:
+    """Adds whether, where and how strongly fatigue sets in, from ``prefix``: a sample with more than ``least`` severity, which takes two
+    signs, is an event. Each step is a column of its own, so that nothing is worked out twice."""
+    at = df.withColumn("_events", F.filter(fatigue_windows(F.col("prefix")), lambda w: w["severity"] > least))
+    at = at.withColumns({"_size": F.size("_events"), "_first": F.get("_events", F.lit(0)), "_total": F.aggregate("_events", F.lit(0.0), lambda a, w: a + w["severity"])})
+    at = at.withColumn("_at", F.get("prefix", F.col("_first.place")))
+    index = half_up(half_up(F.col("_size") / F.size("prefix") * (F.col("_total") / F.col("_size")) * 100, 6)).cast("int")
+    told = F.struct(
+        (F.col("_size") > 0).alias("detected"), F.col("_first.idx").alias("onset_idx"), F.col("_at.km").alias("onset_km"), F.col("_at.second").alias("onset_seconds"), F.coalesce("_first.severity", F.lit(0.0)).alias("severity"),
+        F.col("_size").alias("events"), F.when(F.col("_size") > 0, index).otherwise(0).alias("index"),
+    )
+    return at.withColumn(out, told).drop("_events", "_size", "_first", "_total", "_at")
+
+
+def with_prefix(points: DataFrame) -> DataFrame:
+    """A row for each activity with its ``prefix`` array. One exchange and one sort; the array is bounded by the activity's samples."""
+    own = prefix_sums(deltas(points).withColumn("second", F.unix_timestamp("ts") - F.unix_timestamp(F.first("ts").over(so_far()))))
+    return own.groupBy("activity_id").agg(F.array_sort(F.collect_list(F.struct("idx", "sums", "km", "second"))).alias("prefix"))
+
+
+def fatigue(points: DataFrame) -> DataFrame:
+    """The signs of fatigue at each sample and their severity."""
+    return with_prefix(points).select("activity_id", F.inline(fatigue_windows(F.col("prefix")))).drop("place")
+
+
+def fatigue_summary(points: DataFrame) -> DataFrame:
+    return with_fatigue(with_prefix(points)).select("activity_id", "fatigue.*")
 
 
 def hampel(values: np.ndarray, half: int = 5, sigma: float = 2.5, in_place: bool = True) -> np.ndarray:

@@ -20,13 +20,29 @@ def running_total(value: str, keys: list[str], order: list[str]) -> Column:
     return F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def local_mean(df: DataFrame, value: str, half: int, keys: list[str], order: list[str], out: str) -> DataFrame:
-    """Tricube-weighted mean of the neighbours within ``half`` rows."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    near = df.withColumn("_i", F.row_number().over(w)).withColumn("_near", F.collect_list(F.struct("_i", F.col(value).alias("y"))).over(w.rowsBetween(-half, half)))
-    weight = lambda p: F.pow(1 - F.pow(F.abs(p["_i"] - F.col("_i")) / float(half + 1), F.lit(3.0)), F.lit(3.0))
-    total = F.aggregate("_near", F.lit(0.0), lambda a, p: a + weight(p))
-    return near.withColumn(out, F.aggregate("_near", F.lit(0.0), lambda a, p: a + weight(p) * p["y"]) / total).drop("_i", "_near")
+def local_mean(df: DataFrame, value: str, keys: list[str], order: list[str], out: str, share: float = 0.1, least: int = 5) -> DataFrame:
+    """Mean of the neighbours by tricube weights, over a window that grows with the group: ``share`` of its rows, at least ``least``.
+
+    A neighbour's weight is (1 - (d / (w/2))^3)^3 for its distance d in rows and the window w, zero from half the window on. A frame of
+    rows can't follow the group's size, so each group's values, in order, are one array; a null value stays null and weighs nothing.
+    """
+    w = Window.partitionBy(*keys)
+    numbered = df.withColumn("_i", F.row_number().over(w.orderBy(*order)))
+    series = numbered.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", F.col(value).cast("double").alias("y")))), lambda p: p["y"]).alias("_y"))
+    size = F.greatest(F.lit(float(least)), F.floor(F.size("_y") * share).cast("double"))
+    half = F.floor(size / 2).cast("int")
+
+    def weight(d: Column) -> Column:
+        u = F.abs(d) / (size / 2)
+        return F.when(u >= 1, 0.0).otherwise(F.pow(1 - F.pow(u, F.lit(3.0)), F.lit(3.0)))
+
+    def mean(y: Column, i: Column) -> Column:
+        near = F.filter(F.transform(F.sequence(-half, half), lambda d: F.struct(weight(d).alias("w"), F.when(i + d >= 0, F.get("_y", i + d)).alias("y"))), lambda p: p["y"].isNotNull())
+        total = lambda f: F.aggregate(near, F.lit(0.0), lambda a, p: a + f(p))
+        return F.when(y.isNotNull(), total(lambda p: p["w"] * p["y"]) / total(lambda p: p["w"]))
+
+    smooth = series.select(*keys, F.posexplode(F.transform("_y", mean)).alias("_i", out)).withColumn("_i", F.col("_i") + 1)
+    return numbered.join(smooth, [*keys, "_i"]).drop("_i")
 
 
 def islands(df: DataFrame, inside: Column, keys: list[str], order: str) -> DataFrame:

@@ -76,15 +76,15 @@ def centred_mean_5(spark, sf_dir):
     return A.history(spark, sf_dir).select("id", S.half_up(windows.centred_mean("distance", 2, 2, ["athlete_id"], ["day", "id"]), 3).alias("smooth"))
 
 
-_LOCAL = "pow(1 - pow(abs(x.i - i) / CAST(6 AS DOUBLE), 3), 3)"
+_LOCAL = "CASE WHEN abs(b.i - a.i) / (w / 2) >= 1 THEN 0 ELSE pow(1 - pow(abs(b.i - a.i) / (w / 2), 3), 3) END"
 
 
-@query(f"""WITH {A.HISTORY}, m AS (SELECT athlete_id, date_trunc('month', day)::DATE AS period, sum(distance) AS total FROM history GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY athlete_id ORDER BY period) AS i FROM m),
-f AS (SELECT *, list({{'i': i, 'y': total}}) OVER (PARTITION BY athlete_id ORDER BY period ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM n)
-SELECT athlete_id, period, {number(f"list_sum(list_transform(near, lambda x: {_LOCAL} * x.y)) / list_sum(list_transform(near, lambda x: {_LOCAL}))", 2)} AS trend FROM f""")
+@query(f"""WITH {A.HISTORY}, m AS (SELECT athlete_id % 10 AS team, date_trunc('week', day)::DATE AS period, sum(distance) AS total FROM history GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY period) AS i, greatest(CAST(5 AS DOUBLE), floor(count(*) OVER (PARTITION BY team) * CAST(0.1 AS DOUBLE))) AS w FROM m)
+SELECT a.team, a.period, {number(f"sum({_LOCAL} * b.total) / sum({_LOCAL})", 1)} AS trend FROM n a JOIN n b ON a.team = b.team AND abs(a.i - b.i) <= floor(a.w / 2) GROUP BY 1, 2""".replace("(w / 2)", "(a.w / 2)"))
 def tricube_trend(spark, sf_dir):
-    m = A.history(spark, sf_dir).groupBy("athlete_id", G.period_start(F.col("day"), "month").alias("period")).agg(F.sum("distance").alias("total"))
-    return windows.local_mean(m, "total", 5, ["athlete_id"], ["period"], "trend").select("athlete_id", "period", S.half_up(F.col("trend"), 2).alias("trend"))
+    m = A.history(spark, sf_dir).groupBy((F.col("athlete_id") % 10).alias("team"), G.period_start(F.col("day"), "week").alias("period")).agg(F.sum("distance").alias("total"))
+    return windows.local_mean(m, "total", ["team"], ["period"], "trend").select("team", "period", S.half_up(F.col("trend"), 1).alias("trend"))
 
 
 def _adhoc_sql(period: str) -> str:

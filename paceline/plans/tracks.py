@@ -55,19 +55,24 @@ def splits_inclusive(spark, sf_dir):
     return s.select("activity_id", "split", "n", *[S.half_up(F.col(c), d).alias(c) for c, d in (("km", 5), ("avg_speed", 4), ("avg_hr", 4), ("gain", 3))])
 
 
-_CURVE = [1, 5, 10, 20]
-
-
-@query(f"""WITH {A.POINTS}, s AS (SELECT activity_id, idx, sum(power) OVER (PARTITION BY activity_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS s FROM point),
-l AS (SELECT activity_id, idx, s, {', '.join(f'coalesce(lag(s, {d}) OVER (PARTITION BY activity_id ORDER BY idx), 0) AS l{d}' for d in _CURVE)} FROM s)
-SELECT activity_id, {', '.join(f"{number(f'max(CASE WHEN idx >= {d - 1} THEN (s - l{d}) / CAST({d} AS DOUBLE) END)', 4)} AS best_{d}" for d in _CURVE)} FROM l GROUP BY 1""")
+@query(f"""WITH {A.POINTS}, s AS (SELECT activity_id, idx, count(*) OVER (PARTITION BY activity_id) AS n, sum(power) OVER (PARTITION BY activity_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS s FROM point),
+l AS (SELECT activity_id, idx, n, s, {', '.join(f'coalesce(lag(s, {d}) OVER (PARTITION BY activity_id ORDER BY idx), 0) AS l{d}' for d in P.DURATIONS)} FROM s),
+c AS (SELECT activity_id, {', '.join(f"CAST({number(f'max(CASE WHEN idx >= {d - 1} THEN (s - l{d}) / CAST({d} AS DOUBLE) END)', 0)} AS INTEGER) AS best_{d}" for d in P.DURATIONS)} FROM l GROUP BY 1)
+SELECT *, CAST(floor(best_1200 * CAST(0.95 AS DOUBLE) + 0.5) AS INTEGER) AS ftp FROM c""")
 def power_curve_prefix(spark, sf_dir):
-    return P.power_curve(A.points(spark, sf_dir), _CURVE).select("activity_id", *[S.half_up(F.col(f"best_{d}"), 4).alias(f"best_{d}") for d in _CURVE])
+    return P.power_curve(A.points(spark, sf_dir))
 
 
-@query(f"""WITH {A.POINTS}, m AS (SELECT activity_id, pow(avg(power) OVER (PARTITION BY activity_id ORDER BY idx ROWS 29 PRECEDING), 4) AS p4 FROM point) SELECT activity_id, {number('pow(avg(p4), CAST(0.25 AS DOUBLE))', 4)} AS np FROM m GROUP BY 1""")
+@query(f"""WITH {A.POINTS}, m AS (SELECT activity_id, power, CASE WHEN row_number() OVER w >= 30 THEN pow(avg(power) OVER (PARTITION BY activity_id ORDER BY idx ROWS 29 PRECEDING), 4) END AS p4 FROM point WHERE power >= 0 WINDOW w AS (PARTITION BY activity_id ORDER BY idx))
+SELECT activity_id, CAST({number('pow(avg(p4), CAST(0.25 AS DOUBLE))', 0)} AS INTEGER) AS np, {number('CASE WHEN count(*) FILTER (power > 0) < 30 THEN avg(power) FILTER (power > 0) ELSE pow(avg(pow(power, 4)) FILTER (power > 0), CAST(0.25 AS DOUBLE)) END', 4)} AS p4_mean FROM m GROUP BY 1""")
 def normalised_power(spark, sf_dir):
-    return P.normalised_power(A.points(spark, sf_dir)).select("activity_id", S.half_up(F.col("np"), 4).alias("np"))
+    return P.normalised_power(A.points(spark, sf_dir)).withColumn("p4_mean", S.half_up(F.col("p4_mean"), 4))
+
+
+@query(f"""WITH {A.POINTS}, m AS (SELECT activity_id, idx, power, count(*) OVER (PARTITION BY activity_id) AS n, avg(CASE WHEN power > 0 THEN power END) OVER (PARTITION BY activity_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING) AS ahead FROM point)
+SELECT activity_id, {number('coalesce(pow(avg(pow(ahead, 4)) FILTER (idx < n - 30), CAST(0.25 AS DOUBLE)), avg(power) FILTER (power > 0))', 4)} AS np FROM m GROUP BY 1""")
+def normalised_power_ahead(spark, sf_dir):
+    return P.normalised_power_ahead(A.points(spark, sf_dir)).withColumn("np", S.half_up(F.col("np"), 4))
 
 
 @query(f"""WITH {A.POINTS}, n AS (SELECT *, count(*) OVER (PARTITION BY activity_id) AS n FROM point), q AS (SELECT activity_id, avg(heart_rate) FILTER (idx < n // 4) AS a, avg(heart_rate) FILTER (idx >= n - n // 4) AS b FROM n GROUP BY 1) SELECT activity_id, {number('(b - a) / a * 100', 4)} AS drift_pct FROM q""")
@@ -75,12 +80,29 @@ def heart_rate_drift(spark, sf_dir):
     return P.drift(A.points(spark, sf_dir)).select("activity_id", S.half_up(F.col("drift_pct"), 4).alias("drift_pct"))
 
 
-@query(f"""WITH {A.POINTS}, n AS (SELECT *, CAST(floor(count(*) OVER (PARTITION BY activity_id) * CAST(0.1 AS DOUBLE)) AS INTEGER) AS w FROM point),
-m AS (SELECT a.activity_id, a.idx, avg(b.heart_rate) FILTER (b.idx < a.idx) AS h1, avg(b.heart_rate) FILTER (b.idx >= a.idx) AS h2, avg(b.power) FILTER (b.idx < a.idx) AS p1, avg(b.power) FILTER (b.idx >= a.idx) AS p2
-  FROM n a JOIN n b ON a.activity_id = b.activity_id AND b.idx >= a.idx - a.w AND b.idx < a.idx + a.w WHERE a.w > 0 AND a.idx >= a.w GROUP BY 1, 2)
-SELECT activity_id, CAST(idx AS INTEGER) AS idx, coalesce((h2 - h1) / h1 > CAST(0.05 AS DOUBLE), false) AS hr_rise, coalesce((p1 - p2) / nullif(p1, 0) > CAST(0.05 AS DOUBLE), false) AS power_drop FROM m""")
+#: The signs at each sample, every pair of windows gathered by a join.
+SIGNS = f"""{STEPS}, n AS (SELECT *, CASE WHEN moving AND speed > 0 THEN 60 / speed END AS pace, count(*) OVER (PARTITION BY activity_id) AS n, CAST(floor(count(*) OVER (PARTITION BY activity_id) * CAST(0.1 AS DOUBLE)) AS INTEGER) AS w FROM k),
+m AS (SELECT a.activity_id, a.idx, a.n, a.km, a.ts, {', '.join(f"avg(b.{v}) FILTER (b.idx < a.idx AND b.{v} > 0) AS {c}1, avg(b.{v}) FILTER (b.idx >= a.idx AND b.{v} > 0) AS {c}2" for v, c in (('pace', 'x'), ('heart_rate', 'h'), ('cadence', 'c'), ('power', 'p')))}
+  FROM n a JOIN n b ON a.activity_id = b.activity_id AND b.idx >= a.idx - a.w AND b.idx < a.idx + a.w WHERE a.w > 0 AND a.idx >= a.w GROUP BY ALL),
+g AS (SELECT *, coalesce((x2 - x1) / x1 > CAST(0.1 AS DOUBLE), false) AS pace_drop, coalesce((h2 - h1) / h1 > CAST(0.05 AS DOUBLE), false) AS hr_rise, coalesce((c1 - c2) / c1 > CAST(0.08 AS DOUBLE), false) AS cadence_drop, coalesce((p1 - p2) / p1 > CAST(0.08 AS DOUBLE), false) AS power_drop FROM m),
+s AS (SELECT *, least(CAST(1 AS DOUBLE), (CAST(pace_drop AS INTEGER) + CAST(hr_rise AS INTEGER) + CAST(cadence_drop AS INTEGER) + CAST(power_drop AS INTEGER)) * CAST(0.3 AS DOUBLE)) AS severity FROM g)"""
+
+
+@query(f"WITH {A.POINTS}, {SIGNS} SELECT activity_id, CAST(idx AS INTEGER) AS idx, pace_drop, hr_rise, cadence_drop, power_drop, {number('severity', 2)} AS severity FROM s")
 def fatigue_signals(spark, sf_dir):
-    return P.fatigue(A.points(spark, sf_dir))
+    return P.fatigue(A.points(spark, sf_dir)).withColumn("severity", S.half_up(F.col("severity"), 2))
+
+
+#: A row for each activity, as ``points.fatigue_summary``.
+FATIGUE = f"""{SIGNS}, fe AS (SELECT * FROM s WHERE severity > CAST(0.5 AS DOUBLE)), fb AS (SELECT activity_id, count(*) AS size, min(ts) AS t0 FROM k GROUP BY 1),
+fa AS (SELECT activity_id, count(*) AS events, min(idx) AS onset_idx, arg_min(km, idx) AS onset_km, arg_min(ts, idx) AS t, arg_min(severity, idx) AS severity, avg(severity) AS mean FROM fe GROUP BY 1),
+fatigued AS (SELECT fb.activity_id, events IS NOT NULL AS detected, CAST(onset_idx AS INTEGER) AS onset_idx, {number('onset_km', 4)} AS onset_km, epoch_us(t) // 1000000 - epoch_us(t0) // 1000000 AS onset_seconds, {number('coalesce(severity, 0)', 2)} AS severity,
+  CAST(coalesce(events, 0) AS INTEGER) AS events, CAST(coalesce(floor(floor(events / CAST(size AS DOUBLE) * mean * CAST(100000000 AS DOUBLE) + 0.5) / 1000000 + 0.5), 0) AS INTEGER) AS index FROM fb LEFT JOIN fa ON fb.activity_id = fa.activity_id)"""
+
+
+@query(f"WITH {A.POINTS}, {FATIGUE} SELECT * FROM fatigued")
+def fatigue_summary(spark, sf_dir):
+    return P.fatigue_summary(A.points(spark, sf_dir)).withColumns({"onset_km": S.half_up(F.col("onset_km"), 4), "severity": S.half_up(F.col("severity"), 2)})
 
 
 @query()

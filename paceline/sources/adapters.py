@@ -57,6 +57,9 @@ SELECT l_partkey AS gear_id, l_suppkey AS athlete_id, CAST(l_shipdate AS DATE) A
        l_orderkey AS id, l_linenumber AS line FROM lineitem)"""
 
 
+TRACK_SPORTS = ("Run", "TrailRun", "Ride", "GravelRide", "MountainBikeRide", "Hike", "Yoga")
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One track per user, a point per event in time order: idx from 0, seconds from the start, km covered, speed, grade, moving."""
     e = table(spark, sf_dir, "events")
@@ -66,6 +69,8 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") % 21 - 10).cast("double").alias("grade"), (F.col("event_id") % 7 != 0).alias("moving"),
         F.when(F.col("event_id") % 5 != 0, (110 + F.col("event_id") % 80).cast("double")).alias("heart_rate"), (F.col("event_id") % 300).cast("double").alias("power"),
         (F.col("event_id") % 13).cast("double").alias("step_m"), (F.col("event_id") % 10 * 1.0 + F.floor(F.col("value")) * 0.01).alias("elevation"),
+        (F.col("event_id") * 37 % 360).cast("double").alias("bearing"), F.when(F.col("event_id") % 11 != 0, (60 + F.col("event_id") % 50).cast("double")).alias("cadence"),
+        F.element_at(F.array(*map(F.lit, TRACK_SPORTS)), (F.col("user_id") % len(TRACK_SPORTS) + 1).cast("int")).alias("sport_type"),
     )
 
 
@@ -73,7 +78,9 @@ POINTS = """point AS (
 SELECT user_id AS activity_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, ts, value / CAST(10 AS DOUBLE) AS speed,
        CAST(event_id % 21 - 10 AS DOUBLE) AS grade, event_id % 7 <> 0 AS moving,
        CASE WHEN event_id % 5 <> 0 THEN CAST(110 + event_id % 80 AS DOUBLE) END AS heart_rate, CAST(event_id % 300 AS DOUBLE) AS power,
-       CAST(event_id % 13 AS DOUBLE) AS step_m, event_id % 10 * CAST(1 AS DOUBLE) + floor(value) * CAST(0.01 AS DOUBLE) AS elevation FROM events)"""
+       CAST(event_id % 13 AS DOUBLE) AS step_m, event_id % 10 * CAST(1 AS DOUBLE) + floor(value) * CAST(0.01 AS DOUBLE) AS elevation,
+       CAST(event_id * 37 % 360 AS DOUBLE) AS bearing, CASE WHEN event_id % 11 <> 0 THEN CAST(60 + event_id % 50 AS DOUBLE) END AS cadence,
+       ['Run', 'TrailRun', 'Ride', 'GravelRide', 'MountainBikeRide', 'Hike', 'Yoga'][user_id % 7 + 1] AS sport_type FROM events)"""
 
 
 def weather_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:

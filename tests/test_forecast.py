@@ -181,3 +181,90 @@ def test_stream_fold_equals_the_batch_over_restarts(spark, tmp_path):
     want = {(r.athlete_id, r.day): (loads[r.athlete_id, r.day], r.average) for r in load.exponential(batch, "load", 7, "average").collect()}
     got = {(r.athlete_id, r.day): (r["load"], r.average) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.athlete_id != 7}
     assert got == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_analyses_against_plain_loops(spark):
+    from paceline.operators import analysis, insights, points
+
+    rng = random.Random(11)
+    start = dt.datetime(2024, 1, 1, 8)
+    rows = []
+    for a, (sport, n) in enumerate([("Run", 90), ("TrailRun", 61), ("GravelRide", 120), ("Hike", 45), (None, 9), ("Ride", 1)]):
+        for k in range(n):
+            none = lambda v: v if rng.random() > 0.1 else None
+            rows.append((a, k, start + dt.timedelta(seconds=20 * k), rng.choice([0.0, 8.0, 12.5, 31.0]), float(rng.randrange(-12, 13)), rng.random() > 0.25, round(rng.uniform(0, 9), 2), float(rng.randrange(200)), none(float(rng.randrange(100, 190))), none(float(rng.randrange(0, 300))), none(float(rng.randrange(0, 100))), none(float(rng.randrange(360))), sport))
+    schema = "activity_id long, idx int, ts timestamp, speed double, grade double, moving boolean, elevation double, step_m double, heart_rate double, power double, cadence double, bearing double, sport_type string"
+    df = spark.createDataFrame(rows, schema)
+    out = {r.activity_id: r for r in analysis.analyse(df.withColumns({"wind_speed": F.lit(9.0), "wind_direction": F.lit(40.0)}), analysis.Plan.mode("deep")).collect()}
+    assert [out[a].kind for a in range(6)] == ["running", "trail", "gravel", "hiking", "base", "cycling"]
+    assert out[0].trail is None and out[0].running is not None and out[1].running is not None and out[2].cycling is not None and out[3].gravel is None and out[4].hiking is None
+    signs = {(r.activity_id, r.idx): r for r in points.fatigue(df).collect()}
+    for a in range(6):
+        mine = [r for r in rows if r[0] == a]
+        n, km = len(mine), 0.0
+        # fatigue by windows
+        width = math.floor(n * 0.1)
+        mean = lambda part, f: (lambda v: sum(v) / len(v) if v else None)([x for x in map(f, part) if x])
+        measures = (lambda r: 60 / r[3] if r[5] and r[3] > 0 else None, lambda r: r[8], lambda r: r[10], lambda r: r[9])
+        events = []
+        for i in range(width, n) if width else ():
+            one, two = mine[i - width : i], mine[i : i + width]
+            held = []
+            for f, limit, rises in zip(measures, (0.1, 0.05, 0.08, 0.08), (True, True, False, False), strict=True):
+                x, y = mean(one, f), mean(two, f)
+                held.append(bool(x and y and ((y - x) / x if rises else (x - y) / x) > limit))
+            r = signs.pop((a, i))
+            assert [r.pace_drop, r.hr_rise, r.cadence_drop, r.power_drop] == held and r.severity == pytest.approx(min(1, sum(held) * 0.3))
+            if sum(held) >= 2:
+                events.append((i, sum(held) * 0.3))
+        f = out[a].fatigue
+        assert (f.detected, f.events, f.onset_idx) == (bool(events), len(events), events[0][0] if events else None)
+        # walls of wind among the moving samples
+        going = [r for r in mine if r[5] and r[3] > 0]
+        gap = lambda r: (lambda d: 360 - d if d > 180 else d)(abs((r[11] or 0.0) - 40.0))
+        wind = [9.0 * math.cos(math.radians(gap(r))) for r in going]
+        walls, begun = [], None
+        for k, w in enumerate(wind):
+            if abs(w) > 5 and begun is None:
+                begun = k
+            elif abs(w) <= 5 and begun is not None:
+                walls.append((begun, k, max(map(abs, wind[begun:k]))))
+                begun = None
+        assert [(w.start_idx, w.end_idx) for w in out[a].aero.walls] == [w[:2] for w in walls] and [w.severity for w in out[a].aero.walls] == [pytest.approx(w[2]) for w in walls]
+        # climbs as the operator over islands finds them
+        want = points.climbs(df.where(F.col("activity_id") == a)).orderBy("start_idx").collect()
+        assert [(c.start_idx, c.end_idx, c.seconds) for c in out[a].climbs] == [(c.start_idx, c.end_idx, c.seconds) for c in want]
+        assert [c.gain for c in out[a].climbs] == [pytest.approx(c.gain) for c in want]
+        km = sum(r[7] for r in mine) / 1000
+        assert out[a].km == pytest.approx(km) and [(s.start_idx, s.end_idx, s.seconds) for s in out[a].stops] == [(s.start_idx, s.end_idx, s.seconds) for s in points.stops(df.where(F.col("activity_id") == a)).orderBy("start_idx").collect()]
+    assert not signs
+    text = {(r.activity_id, r.code): r.text for r in insights.insight_rows(spark.createDataFrame([out[0]], analysis.analyse(df.withColumns({"wind_speed": F.lit(9.0), "wind_direction": F.lit(40.0)}), analysis.Plan.mode("deep")).schema)).collect()}
+    assert text[0, "done"].startswith("Completed ") and (0, "pace") in text and (0, "np") not in text
+    document = analysis.document(analysis.analyse(df, analysis.Plan.mode("quick"))).where("activity_id = 2").first()
+    assert document.metadata.kind == "gravel" and document.detailed.sport_analysis.gravel.surface in ("smooth", "moderate", "rough", "very_rough") and "aero" not in document.detailed.asDict()
+    plan = analysis.analyse(df, analysis.Plan.mode("normal"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # all analyses of all sports
+
+
+def test_every_insight_rule(spark):
+    from paceline.operators import insights
+
+    empty = dict.fromkeys(("km", "moving_seconds", "speed", "gain", "watts", "hr", "hr_max", "hr_drift"))
+    kinds = {"running": "struct<pace: double, cadence_stability: int, cadence_consistency: string>", "trail": "struct<gap: double>", "cycling": "struct<np: double, tss: int, best_vam: int>", "fatigue": "struct<detected: boolean, onset_km: double, severity: double>", "climbs": "array<struct<start_idx: int, km: double, grade: double, vam: double>>"}
+    schema = ", ".join([*(f"{c} double" for c in empty), "kind string", *(f"{k} {v}" for k, v in kinds.items())])
+
+    def said(**given):
+        row = {**empty, "kind": "base", "running": None, "trail": None, "cycling": None, "fatigue": None, "climbs": [], **given}
+        df = spark.createDataFrame([tuple(row.values())], schema)
+        return {r["code"]: r["text"] for r in df.select(insights.insights({c: F.col(c) for c in df.columns}).alias("i")).first().i}
+
+    assert said() == {}
+    assert said(km=10.004, moving_seconds=3725.0, speed=9.96) == {"done": "Completed 10.00 km in 1h 2m 5s", "slow": "Average speed was 10.0 km/h"}
+    assert said(speed=30.1) == {"quick": "Quick pace! Average speed was 30.1 km/h"} and said(speed=10.0) == {} and said(km=1.0, moving_seconds=59.0) == {"done": "Completed 1.00 km in 59s"}
+    assert said(gain=501.0, km=10.0, moving_seconds=60.0)["gain"] == "Elevation gain of 501m (50.1m/km average gradient)" and "climbing" in said(gain=501.0) and set(said(gain=200.0)) == set()
+    assert said(kind="running", running=(5.995, 81, "high")) == {"pace": "Average pace: 6:00/km", "cadence": "Cadence stability: 81% (high)"} and said(kind="hiking", running=(5.0, 81, "high")) == {}
+    assert said(kind="trail", running=(5.5, None, None), trail=(6.25,)) == {"pace": "Average pace: 5:30/km", "gap": "Grade-adjusted pace (GAP) average: 6:15/km"}
+    assert said(fatigue=(True, 3.25, 0.9)) == {"onset": "Fatigue detected at km 3.3", "severe": "Severe fatigue impact detected during the activity"} and list(said(fatigue=(True, 0.0, 0.6))) == ["moderate"] and said(fatigue=(False, 1.0, 0.9)) == {}
+    assert said(kind="cycling", watts=200.4, cycling=(210.5, 55, 812)) == {"power": "Average power: 200W", "np": "Normalized power: 211W", "tss": "Training Stress Score (TSS): 55", "climb_vam": "Best VAM on climbs: 812 m/h"} and list(said(watts=1.0)) == ["power"]
+    assert said(hr=150.0, hr_max=170.0, hr_drift=5.5) == {"hr": "Average heart rate: 150 bpm (max 170 bpm)", "drift": "Heart rate drift: +6% (signs of fatigue)"} and "steady" in said(hr=150.0, hr_max=170.0, hr_drift=-6.0) and "drift" not in said(hr=150.0, hr_max=170.0, hr_drift=5.4)
+    assert said(climbs=[(5, 1.0, 6.0, None), (1, 2.0, 6.0, 700.4), (9, 3.0, 5.0, 900.0)]) == {"hardest": "Hardest climb: 2.00km at 6.0%", "vam": "Best VAM: 900 m/h"}
