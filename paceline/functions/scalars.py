@@ -51,6 +51,19 @@ def week_start(day: Column) -> Column:
     return F.date_trunc("week", day).cast("date")
 
 
+def week_label(day: Column) -> Column:
+    """Year and number of the week that begins on the day's Monday, counted in sevens from the first of January of the Monday's year; not the ISO number."""
+    monday = week_start(day)
+    number = F.ceil((F.datediff(monday, F.trunc(monday, "year")) + 1) / 7)
+    return F.concat(F.year(monday).cast("string"), F.lit("-W"), F.lpad(number.cast("string"), 2, "0"))
+
+
+def trend(metric: Column, change: Column) -> Column:
+    """``better``, ``worse`` or ``same``: less is better for pace and heart rate, more for everything else."""
+    good = F.when(metric.isin("pace", "hr"), change < 0).otherwise(change > 0)
+    return F.when(change == 0, "same").when(good, "better").when(change.isNotNull(), "worse")
+
+
 def hour_bucket(hour: Column) -> Column:
     return F.when(hour < 6, "night").when(hour < 12, "morning").when(hour < 18, "afternoon").otherwise("evening")
 

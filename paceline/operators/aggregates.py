@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +33,15 @@ def by_period(df: DataFrame, period: str, numbers: list[str], texts: list[str])
     keyed = df.withColumn("period", period_start(F.col("day"), period))
     sums = [f(c).alias(f"{c}_{name}") for c in numbers for name, f in (("sum", F.sum), ("avg", F.avg), ("min", F.min), ("max", F.max))]
     out = keyed.groupBy("period").agg(F.count("*").alias("n"), *sums)
-    for c in texts:
-        counts = keyed.groupBy("period", c).agg(F.count("*").alias("k"))
-        best = counts.groupBy("period").agg(F.max("k").alias("top"))
-        tops = counts.join(best, "period").where("k = top").groupBy("period").agg(F.min(c).alias(f"{c}_mode"), (F.count("*") > 1).alias(f"{c}_tied"))
-        out = out.join(tops, "period", "left")
-    return out
+    if not texts:
+        return out
+    # all text columns are stacked, so that any number of them is counted at once
+    stacked = keyed.select("period", F.inline(F.array(*(F.struct(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_v")) for c in texts))))
+    counts = stacked.groupBy("period", "_c", "_v").agg(F.count("*").alias("_k"))
+    tops = counts.groupBy("period", "_c", "_k").agg(F.min("_v").alias("_v"), (F.count("*") > 1).alias("_tied"))
+    own = lambda c, v: F.max_by(v, F.when(F.col("_c") == c, F.col("_k")))
+    modes = tops.groupBy("period").agg(*(x for c in texts for x in (own(c, "_v").alias(f"{c}_mode"), own(c, "_tied").alias(f"{c}_tied"))))
+    return out.join(modes, "period", "left")
 
 
 def matrix(df: DataFrame, row: Column, column: Column, values: list, value: Column | None = None) -> DataFrame:
@@ -72,11 +77,53 @@ def eddington(daily: DataFrame, keys: list[str], value: str = "total") -> DataFr
     return daily.withColumn("rank", rank).groupBy(*keys).agg(F.count_if(F.floor(value) >= F.col("rank")).alias("eddington"), F.count("*").alias("active_days"))
 
 
+def eddington_series(daily: DataFrame, keys: list[str], value: str = "total", recent_days: int = 90, ahead: int = 10) -> DataFrame:
+    """Per key and threshold up to the largest day: the days that reach it; once there are as many as the threshold, the day on which it was
+    achieved and the days and active days it took; before, the active days it will have taken at the pace of the last ``recent_days`` days
+    (for the next ``ahead`` thresholds, null where no recent day reaches it).
+
+    Days are counted by their whole units and the counts added up from the top, and the achievement days are those on which the
+    running Eddington number rises, so the work grows with days plus thresholds. A key's days are one group. Days below one unit are active days all the same.
+    """
+    kinds = ", ".join(f"{k} {daily.schema[k].dataType.simpleString()}" for k in keys)
+
+    def one(key: tuple, days: pd.DataFrame) -> pd.DataFrame:
+        days = days.sort_values("day")
+        units, day = days["u"].to_numpy(np.int64), pd.to_datetime(days["day"]).to_numpy("datetime64[D]")
+        most, n = int(units.max(initial=0)), len(units)
+        at_least = lambda u: np.cumsum(np.bincount(u, minlength=most + 1)[::-1])[::-1][1:]
+        counts, recent = at_least(units), at_least(units[day > day[-1] - recent_days])
+        seen, number, reach, took = np.zeros(most + 2, np.int64), 0, 0, []
+        for i, u in enumerate(units):  # ``reach`` days so far have more than ``number`` units
+            if u > number:
+                seen[u] += 1
+                reach += 1
+                if reach > number:
+                    number += 1
+                    reach -= seen[number]
+                    took.append(i)
+        threshold = np.arange(1, most + 1)
+        done = threshold <= number
+        when = np.zeros(most, np.int64)
+        when[: len(took)] = took
+        spent = (day[when] - day[0]).astype(np.int64) + 1 if n else when
+        active = int((day > day[-1] - recent_days).sum())
+        soon = ~done & (threshold <= number + ahead) & (recent > 0)
+        later = n + np.ceil((threshold - counts) * (active / np.maximum(recent, 1)))
+        some = lambda v, held: pd.Series([int(x) if h else None for x, h in zip(v, held, strict=True)], dtype="object")
+        out = pd.DataFrame({k: [v] * most for k, v in zip(keys, key, strict=True)})
+        return out.assign(
+            threshold=threshold, days=counts, achieved=pd.Series([day[w].astype(object) if h else None for w, h in zip(when, done, strict=True)], dtype="object"), days_needed=some(spent, done), active_days_needed=some(when + 1, done),
+            projected_active_days=some(np.where(done, when + 1, later), done | soon),
+        )
+
+    schema = f"{kinds}, threshold int, days long, achieved date, days_needed long, active_days_needed long, projected_active_days long"
+    return daily.select(*keys, "day", F.greatest(F.lit(0), F.floor(value)).cast("long").alias("u")).groupBy(*keys).applyInPandas(one, schema)
+
+
 def eddington_steps(daily: DataFrame, keys: list[str], value: str = "total") -> DataFrame:
     """Per key and threshold: days that reach it, and the day on which it was achieved (its threshold-th such day)."""
-    units = daily.select(*keys, "day", F.explode(F.expr(f"sequence(1, greatest(1, cast(floor({value}) as int)))")).alias("threshold"), F.floor(value).alias("u")).where("threshold <= u")
-    nth = F.row_number().over(Window.partitionBy(*keys, "threshold").orderBy("day"))
-    return units.withColumn("nth", nth).groupBy(*keys, "threshold").agg(F.count("*").alias("days"), F.max(F.when(F.col("nth") == F.col("threshold"), F.col("day"))).alias("achieved"))
+    return eddington_series(daily, keys, value).select(*keys, "threshold", "days", "achieved")
 
 
 def streaks(df: DataFrame, keys: list[str], period: str = "day") -> DataFrame:
@@ -109,6 +156,23 @@ def percentile_by_rule(values: Column, p: float, rule: str) -> Column:
     return at(F.floor(x)) + (at(F.ceil(x)) - at(F.floor(x))) * (x - F.floor(x))
 
 
+def percentiles(df: DataFrame, keys: list[str], value: str, rules: dict[str, tuple[float, str]]) -> DataFrame:
+    """Percentiles by key by the rules of ``percentile_by_rule``, from ranks: no key's values are gathered."""
+    w = Window.partitionBy(*keys)
+    ranked = df.where(F.col(value).isNotNull()).withColumns({"_k": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count("*").over(w)})
+    last = F.col("_n") - 1
+    at = lambda i: F.max(F.when(F.col("_k") == F.greatest(F.lit(0), F.least(i, last)), F.col(value)))
+    told = []
+    for name, (p, rule) in rules.items():
+        x = last * p
+        if rule == "linear":
+            low, high, part = at(F.floor(x)), at(F.ceil(x)), F.max(x - F.floor(x))
+            told.append((low + (high - low) * part).alias(name))
+        else:
+            told.append(at({"floor": F.floor(F.col("_n") * p), "floor1": F.floor(x), "nearest": F.floor(x + 0.5)}[rule]).alias(name))
+    return ranked.groupBy(*keys).agg(*told)
+
+
 def quadratic_in_log(df: DataFrame, km: Column, y: Column, keys: list[str]) -> DataFrame:
     """Least squares of y = a + b ln(km) + c ln(km)^2 by key, from seven sums and Cramer's rule; null below three rows."""
     x = F.ln(km)

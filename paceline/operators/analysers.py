@@ -121,3 +121,10 @@ def laps_table(laps: DataFrame) -> DataFrame:
     pace = ratio(F.col("seconds").cast("double"), F.col("km"))
     at = laps.withColumn("pace", pace)
     return at.withColumns({"pace_cv": ratio(F.stddev_samp("pace").over(w), F.avg("pace").over(w)), "hr_cv": ratio(F.stddev_samp("heart_rate").over(w), F.avg("heart_rate").over(w)), "strokes_m": ratio(F.col("strokes").cast("double"), F.col("km") * 1000)})
+
+
+def efforts_table(efforts: DataFrame) -> DataFrame:
+    """Efforts over segments or standard distances with their pace (minutes a km) and what they achieved: a personal record or its place,
+    else the place among all. ``efforts`` has ``distance`` (metres), ``moving_time``, ``pr_rank`` and ``kom_rank``; null or zero ranks are none."""
+    place = F.when(F.col("pr_rank") == 1, "PR!").when(F.col("pr_rank") > 1, F.concat(F.lit("PR #"), F.col("pr_rank").cast("string"))).when(F.col("kom_rank") == 1, "KOM/QOM!").when(F.col("kom_rank") > 1, F.concat(F.lit("Top "), F.col("kom_rank").cast("string")))
+    return efforts.withColumns({"pace": ratio(F.col("moving_time") / 60.0, F.col("distance") / 1000.0), "rank": F.coalesce(place, F.lit(""))})

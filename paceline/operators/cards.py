@@ -109,3 +109,19 @@ def last_closed_zone(zones: DataFrame) -> DataFrame:
     total = F.max_by("max", "zone").over(w) - F.min_by("min", "zone").over(w)
     fourth = F.coalesce(F.max(F.when(F.col("zone") == 4, F.col("min"))).over(w), F.max_by("min", "zone").over(w))
     return some.withColumns({"share": ratio((F.col("max") - F.col("min")) * 100, total), "ftp": fourth})
+
+
+def gear_profile(uses: DataFrame) -> DataFrame:
+    """All of a piece's use: totals, means, span, favourite weekday (from Monday, 0) and hour, bests, speeds in km/h and how many activities have a heart rate.
+
+    ``uses`` has a row for each activity: ``gear_id, day, start_ts, distance, moving_time, average_heartrate``. Sums of distance are exact, so they don't depend on the order of rows.
+    """
+    km, hr = F.col("distance") / 1000, F.when(F.col("average_heartrate") > 0, F.col("average_heartrate"))
+    paced = F.when((F.col("distance") > 0) & (F.col("moving_time") > 0), F.col("moving_time") / km)
+    sums = uses.groupBy("gear_id").agg(
+        F.count("*").alias("n"), F.sum(km.cast("decimal(18,6)")).cast("double").alias("km"), (F.sum("moving_time") / 3600.0).alias("hours"), F.min("day").alias("_a"), F.max("day").alias("_b"), F.max(km).alias("longest_km"), F.min(paced).alias("best_pace"),
+        (F.max(F.col("distance") / F.nullif(F.col("moving_time"), F.lit(0))) * 3.6).alias("top_speed"), (F.count(hr) * 100.0 / F.count("*")).alias("hr_cover"), F.avg(hr).alias("hr"), F.max(hr).alias("hr_max"),
+    )
+    span = F.greatest(F.lit(1), F.datediff("_b", "_a"))
+    own = sums.withColumns({"mean_km": F.col("km") / F.col("n"), "span_days": span.cast("long"), "km_week": F.col("km") / F.greatest(F.lit(1.0), span / 7.0), "speed": F.col("km") / F.nullif(F.col("hours"), F.lit(0.0))}).drop("_a", "_b")
+    return own.join(favourite(uses, F.weekday("day"), "weekday"), "gear_id").join(favourite(uses, F.hour("start_ts"), "hour"), "gear_id")

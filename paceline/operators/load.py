@@ -201,9 +201,45 @@ def fatigue_score(atl: Column, ctl: Column) -> Column:
     return F.when(d <= -6, 0.22).when(d <= 4, 0.34).when(d <= 12, 0.56).when(d <= 22, 0.80).otherwise(1.0)
 
 
-def readiness(dense: DataFrame, most: float = 8.0) -> DataFrame:
-    """Readiness from 0 to 100: form, freshness and load stability blended, a centred mean of five days, and no more than
-    ``most`` points of change a day."""
-    blend = dense.withColumn("blend", 100 * (0.4 * form_score(F.col("tsb")) + 0.3 * (1 - fatigue_score(F.col("atl"), F.col("ctl"))) + 0.3 * F.col("stability")))
-    centred = blend.withColumn("centred", F.avg("blend").over(by_day(-2, 2)))
+def band_score(load7: Column, low: Column, high: Column) -> Column:
+    """One within the week's productive load; outside less, sooner above it than below."""
+    width = F.greatest(F.lit(1.0), high - low)
+    under, over = F.greatest(F.lit(0.28), 1 - (low - load7) / (width * 0.95 + 12)), F.greatest(F.lit(0.0), 1 - (load7 - high) / (width * 0.7 + 10))
+    return F.when(load7 < low, under).when(load7 > high, over).otherwise(1.0)
+
+
+def hrv_score(nightly: Column, avg7: Column, low: Column, high: Column) -> Column:
+    """Nightly heart-rate variability and its weekly mean against their reference band, and how far they lie apart; null without a nightly value."""
+    width, mean = F.greatest(F.lit(6.0), F.coalesce(high, F.lit(0.0)) - F.coalesce(low, F.lit(0.0))), F.coalesce(avg7, nightly)
+    away = lambda v: F.when(v < low, low - v).when(v > high, v - high).otherwise(0.0)
+    part = lambda v, share, plus: F.when(away(v) == 0, 1.0).otherwise(F.greatest(F.lit(0.1), 1 - away(v) / (width * share + plus)))
+    steady = F.greatest(F.lit(0.35), 1 - F.abs(nightly - mean) / (width + 10))
+    return F.when(nightly.isNotNull(), clamp(part(mean, 0.9, 8) * 0.5 + part(nightly, 0.75, 6) * 0.35 + steady * 0.15, 0.0, 1.0))
+
+
+def readiness_scores(dense: DataFrame, hrv: DataFrame | None = None) -> DataFrame:
+    """``dense`` (the seven-day load with its stability) with the scores of form, fitness, freshness, load and, where ``hrv`` has the day, variability,
+    each from 0 to 1, and ``blend``, their weighted sum from 0 to 100.
+
+    ``hrv`` has ``athlete_id, day, nightly, avg7, reference_low, reference_high``, a row for each day. Fitness is its rank among all the athlete's days.
+    """
+    from paceline.operators.reports import acute_band
+
+    at = acute_band(dense)
+    rank = F.cume_dist().over(Window.partitionBy("athlete_id").orderBy(half_up(F.col("ctl"), 6)))
+    at = at.withColumns({
+        "form": form_score(F.col("tsb")), "fitness": clamp(0.25 + rank * 0.9, 0.0, 1.0), "freshness": 1 - fatigue_score(F.col("atl"), F.col("ctl")),
+        "load_score": clamp(F.col("stability") * 0.65 + band_score(F.col("load7"), F.col("band_low"), F.col("band_high")) * 0.35, 0.0, 1.0),
+    })
+    plain = 0.35 * F.col("form") + 0.25 * F.col("fitness") + 0.20 * F.col("freshness") + 0.20 * F.col("load_score")
+    if hrv is None:
+        return at.withColumns({"hrv": F.lit(None).cast("double"), "blend": clamp(plain, 0.0, 1.0) * 100})
+    told = hrv.select("athlete_id", "day", hrv_score(*(F.col(c) for c in ("nightly", "avg7", "reference_low", "reference_high"))).alias("hrv"))
+    full = 0.30 * F.col("form") + 0.22 * F.col("fitness") + 0.18 * F.col("freshness") + 0.15 * F.col("load_score") + 0.15 * F.col("hrv")
+    return at.join(told, ["athlete_id", "day"], "left").withColumn("blend", clamp(F.when(F.col("hrv").isNull(), plain).otherwise(full), 0.0, 1.0) * 100)
+
+
+def readiness(dense: DataFrame, hrv: DataFrame | None = None, most: float = 8.0) -> DataFrame:
+    """Readiness from 0 to 100: the blend of ``readiness_scores``, a centred mean of five days, and no more than ``most`` points of change a day."""
+    centred = readiness_scores(dense, hrv).withColumn("centred", F.avg("blend").over(by_day(-2, 2)))
     return folded(centred, "centred", "readiness", lambda before, now: now if before is None else before + max(-most, min(most, now - before)))

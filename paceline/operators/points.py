@@ -87,6 +87,23 @@ def splits(points: DataFrame, km: float = 1.0, at_least: int = 2) -> DataFrame:
     ).where(F.col("n") >= at_least)
 
 
+def pace_stream(points: DataFrame, window: int = 1) -> DataFrame:
+    """Adds ``pace`` in minutes a km from the step before (null without distance or time), ``pace_smooth``, its mean over the last ``window``
+    samples, and ``steps_a_minute``, the cadence of both feet on runs (null for zero)."""
+    moved = (F.col("step_m") > 0) & (F.col("d_time") > 0) & (F.col("idx") > 0)
+    own = deltas(points).withColumn("pace", F.when(moved, 1000 / (F.col("step_m") / F.col("d_time")) / 60))
+    feet = F.when(F.col("sport_type").isin("Run"), F.nullif(F.col("cadence"), F.lit(0.0)) * 2).otherwise(F.col("cadence"))
+    return own.withColumns({"pace_smooth": F.avg("pace").over(track().rowsBetween(1 - window, 0)), "steps_a_minute": feet})
+
+
+def variability(points: DataFrame, value: str, window: int = 1, skip_missing: bool = False) -> DataFrame:
+    """Per activity the coefficient of variation, in percent, of ``value`` smoothed over the last ``window`` samples (or, with ``skip_missing``, the last
+    so many that have a value): sample deviation over mean of what is above zero; null below two such values."""
+    rows = points.where(F.col(value).isNotNull()) if skip_missing else points
+    smooth = rows.withColumn("_s", F.avg(value).over(track().rowsBetween(1 - window, 0))).withColumn("_s", F.when(F.col("_s") > 0, F.col("_s")))
+    return smooth.groupBy("activity_id").agg((F.stddev_samp("_s") / F.avg("_s") * 100).alias("cv"))
+
+
 #: Lengths of the power curve, in samples.
 DURATIONS = (1, 5, 10, 30, 60, 120, 300, 600, 1200, 1800, 3600)
 
@@ -97,14 +114,14 @@ def positive(name: str) -> Column:
 
 
 def power_curve(points: DataFrame, durations: tuple[int, ...] = DURATIONS) -> DataFrame:
-    """Best mean power over each number of samples, to whole watts, from one running sum per activity; null where the track is
-    shorter, a missing sample counts as zero. ``ftp`` is 95 percent of the best twenty minutes."""
+    """Best mean power over each number of samples, from one running sum per activity; null where the track is shorter, a missing
+    sample counts as zero. ``ftp`` is 95 percent of the best twenty minutes, both to whole watts."""
     total = F.sum(F.coalesce("power", F.lit(0.0))).over(so_far())
     s = points.select("activity_id", "idx", F.row_number().over(track()).alias("k"), total.alias("s"))
-    best = lambda d: half_up(F.greatest(F.lit(0.0), F.max(F.when(F.col("k") >= d, (F.col("s") - F.coalesce(F.col(f"_l{d}"), F.lit(0.0))) / d)))).cast("int")
+    best = lambda d: F.greatest(F.lit(0.0), F.max(F.when(F.col("k") >= d, (F.col("s") - F.coalesce(F.col(f"_l{d}"), F.lit(0.0))) / d)))
     means = [F.when(F.count("*") >= d, best(d)).alias(f"best_{d}") for d in durations]
     out = s.withColumns({f"_l{d}": F.lag("s", d).over(track()) for d in durations}).groupBy("activity_id").agg(*means)
-    return out.withColumn("ftp", half_up(F.col("best_1200") * 0.95).cast("int")) if 1200 in durations else out
+    return out.withColumn("ftp", half_up(half_up(F.col("best_1200")) * 0.95).cast("int")) if 1200 in durations else out
 
 
 def normalised_power(points: DataFrame, samples: int = 30) -> DataFrame:

@@ -94,24 +94,28 @@ def workout_class(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Trail, long (a distance of the upper fifth, not a race), race, hard or easy against the mean load, else other.
 
     The upper fifth starts at the sorted distance at floor(0.8 n)."""
-    sums = runs.groupBy(*keys).agg(F.avg("tss").alias("_mean"), F.array_sort(F.collect_list("distance")).alias("_d"))
-    sums = sums.select(*keys, "_mean", F.get("_d", F.least(F.floor(F.size("_d") * 0.8), F.size("_d") - 1).cast("int")).alias("_long"))
+    w = Window.partitionBy(*keys)
+    at = F.least(F.floor(F.count("distance").over(w) * 0.8), F.count("distance").over(w) - 1)
+    ranked = runs.withColumn("_mean", F.avg("tss").over(w)).withColumns({"_at": at, "_k": F.row_number().over(w.orderBy(F.asc_nulls_last("distance"))) - 1})
+    ranked = ranked.withColumn("_long", F.max(F.when(F.col("_k") == F.col("_at"), F.col("distance"))).over(w))
     race = F.coalesce(F.col("workout_type") == 1, F.lit(False))
     kind = (
         F.when(F.col("sport_type") == "TrailRun", "trail").when((F.col("distance") >= F.col("_long")) & ~race, "long").when(race, "race").when(F.col("tss") > 1.5 * F.col("_mean"), "hard")
         .when(F.col("tss") < 0.5 * F.col("_mean"), "easy").otherwise("other")
     )
-    return runs.join(sums, keys).withColumn("workout", kind).drop("_mean", "_long")
+    return ranked.withColumn("workout", kind).drop("_mean", "_long", "_at", "_k")
 
 
 def track_stats(points: DataFrame) -> DataFrame:
     """Per track: samples, mean and upper median of speed, heart-rate mean, maximum and population deviation, mean power,
     shares of time in three grades of climb, and speed by beat."""
-    s = F.array_sort(F.collect_list("speed"))
-    return points.groupBy("activity_id").agg(
-        F.count("*").alias("n"), F.avg("speed").alias("mean_speed"), s.alias("_s"), F.avg("heart_rate").alias("mean_hr"), F.max("heart_rate").alias("max_hr"), F.stddev_pop("heart_rate").alias("sd_hr"),
+    w = Window.partitionBy("activity_id")
+    ranked = points.withColumns({"_k": F.row_number().over(w.orderBy(F.asc_nulls_last("speed"))) - 1, "_m": F.floor(F.count("speed").over(w) / 2)})
+    out = ranked.groupBy("activity_id").agg(
+        F.count("*").alias("n"), F.avg("speed").alias("mean_speed"), F.max(F.when(F.col("_k") == F.col("_m"), F.col("speed"))).alias("median_speed"), F.avg("heart_rate").alias("mean_hr"), F.max("heart_rate").alias("max_hr"), F.stddev_pop("heart_rate").alias("sd_hr"),
         F.avg("power").alias("mean_power"), (F.count_if(F.col("grade") > 2) / F.count("*")).alias("up"), (F.count_if(F.col("grade") < -2) / F.count("*")).alias("down"),
-    ).withColumns({"median_speed": F.get("_s", F.floor(F.size("_s") / 2).cast("int")), "speed_per_beat": ratio(F.col("mean_speed"), F.col("mean_hr"))}).drop("_s")
+    )
+    return out.withColumn("speed_per_beat", ratio(F.col("mean_speed"), F.col("mean_hr")))
 
 
 def zone_shares(points: DataFrame, zones: list[tuple[float, float]]) -> DataFrame:
@@ -130,3 +134,35 @@ def last_of_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def extremes(df: DataFrame, value: str, n: int, tie: str) -> DataFrame:
     high = df.orderBy(F.desc(value), tie).limit(n).withColumn("end", F.lit("top"))
     return high.unionByName(df.orderBy(F.asc(value), tie).limit(n).withColumn("end", F.lit("bottom")))
+
+
+def best_in_window(df: DataFrame, keys: list[str], windows: dict[str, tuple[float, float]], speed: Column) -> list[Column]:
+    """For each window of distance the day and speed of the fastest activity in it, the smallest id among equals."""
+    found = []
+    for name, (low, high) in windows.items():
+        inside = F.when((F.col("distance") >= low) & (F.col("distance") <= high) & (speed > 0), F.struct(speed, -F.col("id")))
+        found += [F.max_by("day", inside).alias(f"{name}_day"), F.max(F.when(inside.isNotNull(), speed)).alias(f"{name}_speed")]
+    return found
+
+
+def coach_context(df: DataFrame, keys: list[str], as_of: str, months: int = 12) -> DataFrame:
+    """What a conversation about an athlete's training starts from, as one nested row: totals, sports by number of activities, best
+    runs of about 5 and 10 km and the longest, the longest and fastest ride, and the volume of the last months.
+
+    ``df`` has ``keys, id, day, sport_type, distance, moving_time, average_heartrate``. Lists are bounded by sports and months.
+    """
+    speed = F.col("distance") / F.nullif(F.col("moving_time"), F.lit(0))
+    run, ride = F.col("sport_type").isin("Run", "TrailRun"), F.col("sport_type").isin("Ride", "VirtualRide", "GravelRide")
+    sums = [F.count("*").alias("n"), F.sum(F.coalesce("distance", F.lit(0.0))).alias("distance"), F.sum(F.coalesce("moving_time", F.lit(0))).alias("seconds")]
+    sports = df.groupBy(*keys, "sport_type").agg(*sums, F.avg(F.when(F.col("average_heartrate") > 0, F.col("average_heartrate"))).alias("hr"))
+    by_sport = sports.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "sport_type", "n", "distance", "seconds", "hr"))), lambda s: s.dropFields("k")).alias("sports"))
+    since = F.add_months(F.trunc(F.lit(as_of).cast("date"), "month"), 1 - months)
+    recent = df.where((F.col("day") >= since) & (F.col("day") <= F.lit(as_of).cast("date"))).groupBy(*keys, F.trunc("day", "month").alias("month")).agg(*sums)
+    by_month = recent.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("month", "n", "distance", "seconds"))).alias("months"))
+    longest = lambda held: F.max_by(F.struct("day", "distance"), F.when(held, F.struct(F.coalesce("distance", F.lit(0.0)), -F.col("id"))))
+    whole = df.groupBy(*keys).agg(
+        *sums, F.min("day").alias("first_day"), F.max("day").alias("last_day"), longest(run).alias("longest_run"), longest(ride).alias("longest_ride"),
+        F.max_by(F.struct("day", speed.alias("speed")), F.when(ride & (speed > 0), F.struct(speed, -F.col("id")))).alias("fastest_ride"),
+    )
+    runs = df.where(run).groupBy(*keys).agg(*best_in_window(df, keys, {"best_5k": (4800.0, 5500.0), "best_10k": (9500.0, 10500.0)}, speed))
+    return whole.join(runs, keys, "left").join(by_sport, keys).join(by_month, keys, "left")

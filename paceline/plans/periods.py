@@ -345,9 +345,8 @@ def volume_quintiles(spark, sf_dir):
 SELECT athlete_id, v[CAST(least(floor(n * CAST(0.8 AS DOUBLE)), n - 1) AS INTEGER) + 1] AS p80, v[CAST(floor((n - 1) * CAST(0.99 AS DOUBLE)) AS INTEGER) + 1] AS p99, v[CAST(floor((n - 1) * CAST(0.5 AS DOUBLE) + 0.5) AS INTEGER) + 1] AS p50,
   {number('v[CAST(floor((n - 1) * CAST(0.25 AS DOUBLE)) AS INTEGER) + 1] + (v[CAST(ceil((n - 1) * CAST(0.25 AS DOUBLE)) AS INTEGER) + 1] - v[CAST(floor((n - 1) * CAST(0.25 AS DOUBLE)) AS INTEGER) + 1]) * ((n - 1) * CAST(0.25 AS DOUBLE) - floor((n - 1) * CAST(0.25 AS DOUBLE)))', 4)} AS p25 FROM s""")
 def percentile_rules(spark, sf_dir):
-    v = A.history(spark, sf_dir).groupBy("athlete_id").agg(F.collect_list("distance").alias("v"))
-    by = {"p80": (0.8, "floor"), "p99": (0.99, "floor1"), "p50": (0.5, "nearest")}
-    return v.select("athlete_id", *[G.percentile_by_rule(F.col("v"), p, rule).alias(n) for n, (p, rule) in by.items()], S.half_up(G.percentile_by_rule(F.col("v"), 0.25, "linear"), 4).alias("p25"))
+    by = {"p80": (0.8, "floor"), "p99": (0.99, "floor1"), "p50": (0.5, "nearest"), "p25": (0.25, "linear")}
+    return G.percentiles(A.history(spark, sf_dir), ["athlete_id"], "distance", by).withColumn("p25", S.half_up(F.col("p25"), 4))
 
 
 @query(f"""WITH {A.HISTORY}, m AS (SELECT date_trunc('month', day)::DATE AS period, count(*) AS n, avg(distance / moving_time) AS mean, stddev_pop(distance / moving_time) / avg(distance / moving_time) AS cv FROM history GROUP BY 1 HAVING count(*) >= 5)

@@ -60,7 +60,7 @@ l AS (SELECT activity_id, idx, n, s, {', '.join(f'coalesce(lag(s, {d}) OVER (PAR
 c AS (SELECT activity_id, {', '.join(f"CAST({number(f'max(CASE WHEN idx >= {d - 1} THEN (s - l{d}) / CAST({d} AS DOUBLE) END)', 0)} AS INTEGER) AS best_{d}" for d in P.DURATIONS)} FROM l GROUP BY 1)
 SELECT *, CAST(floor(best_1200 * CAST(0.95 AS DOUBLE) + 0.5) AS INTEGER) AS ftp FROM c""")
 def power_curve_prefix(spark, sf_dir):
-    return P.power_curve(A.points(spark, sf_dir))
+    return P.power_curve(A.points(spark, sf_dir)).withColumns({f"best_{d}": S.half_up(F.col(f"best_{d}")).cast("int") for d in P.DURATIONS})
 
 
 @query(f"""WITH {A.POINTS}, m AS (SELECT activity_id, power, CASE WHEN row_number() OVER w >= 30 THEN pow(avg(power) OVER (PARTITION BY activity_id ORDER BY idx ROWS 29 PRECEDING), 4) END AS p4 FROM point WHERE power >= 0 WINDOW w AS (PARTITION BY activity_id ORDER BY idx))

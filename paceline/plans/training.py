@@ -143,13 +143,37 @@ _FORM = "CASE WHEN tsb >= 15 THEN 1 WHEN tsb >= 5 THEN 0.92 WHEN tsb >= -5 THEN
 _TIRED = "CASE WHEN atl - ctl <= -6 THEN 0.22 WHEN atl - ctl <= 4 THEN 0.34 WHEN atl - ctl <= 12 THEN 0.56 WHEN atl - ctl <= 22 THEN 0.80 ELSE 1 END"
 
 
-@query(f"""WITH RECURSIVE {A.ACTIVITIES}, {DAILY}, {SEVEN}, b AS (SELECT *, avg(load7) OVER (PARTITION BY athlete_id ORDER BY day ROWS 27 PRECEDING) AS base FROM seven), r AS (SELECT *, load7 / base AS r FROM b),
-s AS (SELECT athlete_id, day, 100 * (0.4 * CAST({_FORM} AS DOUBLE) + 0.3 * (1 - CAST({_TIRED} AS DOUBLE)) + 0.3 * ({STABILITY})) AS blend FROM r), c AS (SELECT athlete_id, day, avg(blend) OVER (PARTITION BY athlete_id ORDER BY day ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS x, row_number() OVER (PARTITION BY athlete_id ORDER BY day) AS k FROM s),
-e AS (SELECT athlete_id, day, k, x AS v FROM c WHERE k = 1 UNION ALL SELECT c.athlete_id, c.day, c.k, e.v + greatest(-8, least(8, c.x - e.v)) FROM e JOIN c ON e.athlete_id = c.athlete_id AND c.k = e.k + 1) SELECT athlete_id, day, {number('v', 3)} AS readiness FROM e""")
+def _readiness(hrv: bool) -> str:
+    d = lambda x: f"CAST({x} AS DOUBLE)"
+    away = lambda v: f"CASE WHEN {v} < reference_low THEN reference_low - {v} WHEN {v} > reference_high THEN {v} - reference_high ELSE 0 END"
+    part = lambda v, share, plus: f"CASE WHEN {away(v)} = 0 THEN 1 ELSE greatest({d(0.1)}, 1 - {away(v)} / (wide * {d(share)} + {plus})) END"
+    score = f"least(1, greatest(0, {part('avg7', 0.9, 8)} * {d(0.5)} + {part('nightly', 0.75, 6)} * {d(0.35)} + greatest({d(0.35)}, 1 - abs(nightly - avg7) / (wide + 10)) * {d(0.15)}))"
+    told = f"{A.HRV}, hs AS (SELECT athlete_id, day, {score} AS hrv FROM (SELECT athlete_id, day, nightly, coalesce(avg7, nightly) AS avg7, reference_low, reference_high, greatest(6, reference_high - reference_low) AS wide FROM hrv WHERE nightly IS NOT NULL))" if hrv else "hs AS (SELECT NULL::BIGINT AS athlete_id, NULL::DATE AS day, NULL::DOUBLE AS hrv)"
+    return f"""WITH RECURSIVE {A.ACTIVITIES}, {DAILY}, {SEVEN}, {told}, b AS (SELECT *, avg(load7) OVER (PARTITION BY athlete_id ORDER BY day ROWS 27 PRECEDING) AS base, greatest(ctl * 7, 10) AS week, cume_dist() OVER (PARTITION BY athlete_id ORDER BY {number('ctl', 6)}) AS rank FROM seven),
+w AS (SELECT *, load7 / base AS r, greatest(0, (week * {d(0.75)} + week * {d(1.3)}) / 2 - greatest(week * {d(1.3)} - week * {d(0.75)}, 30) / 2) AS lo, (week * {d(0.75)} + week * {d(1.3)}) / 2 + greatest(week * {d(1.3)} - week * {d(0.75)}, 30) / 2 AS hi FROM b),
+p AS (SELECT athlete_id, day, CAST({_FORM} AS DOUBLE) AS form, least(1, greatest(0, {d(0.25)} + rank * {d(0.9)})) AS fitness, 1 - CAST({_TIRED} AS DOUBLE) AS fresh, {STABILITY} AS st, CASE WHEN load7 < lo THEN greatest({d(0.28)}, 1 - (lo - load7) / (greatest(1, hi - lo) * {d(0.95)} + 12)) WHEN load7 > hi THEN greatest(0, 1 - (load7 - hi) / (greatest(1, hi - lo) * {d(0.7)} + 10)) ELSE 1 END AS bs FROM w),
+q AS (SELECT p.*, least(1, greatest(0, st * {d(0.65)} + bs * {d(0.35)})) AS load_score, hrv FROM p LEFT JOIN hs ON hs.athlete_id = p.athlete_id AND hs.day = p.day),
+s AS (SELECT *, 100 * CASE WHEN hrv IS NULL THEN {d(0.35)} * form + {d(0.25)} * fitness + {d(0.2)} * fresh + {d(0.2)} * load_score ELSE {d(0.3)} * form + {d(0.22)} * fitness + {d(0.18)} * fresh + {d(0.15)} * load_score + {d(0.15)} * hrv END AS blend FROM q),
+c AS (SELECT athlete_id, day, avg(blend) OVER (PARTITION BY athlete_id ORDER BY day ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS x, row_number() OVER (PARTITION BY athlete_id ORDER BY day) AS k FROM s),
+e AS (SELECT athlete_id, day, k, x AS v FROM c WHERE k = 1 UNION ALL SELECT c.athlete_id, c.day, c.k, e.v + greatest(-8, least(8, c.x - e.v)) FROM e JOIN c ON e.athlete_id = c.athlete_id AND c.k = e.k + 1)"""
+
+
+@query(_readiness(False) + f" SELECT athlete_id, day, {number('v', 3)} AS readiness FROM e")
 def readiness_slew(spark, sf_dir):
     return load.readiness(load.stability(load.seven_day_load(model(spark, sf_dir)))).withColumn("readiness", S.half_up(F.col("readiness"), 3))
 
 
+@query(_readiness(True) + f" SELECT athlete_id, day, {number('v', 3)} AS readiness FROM e")
+def readiness_with_hrv(spark, sf_dir):
+    dense = load.stability(load.seven_day_load(model(spark, sf_dir)))
+    return load.readiness(dense, A.hrv(spark, sf_dir)).withColumn("readiness", S.half_up(F.col("readiness"), 3))
+
+
+@query(_readiness(True) + f" SELECT athlete_id, day, {', '.join(number(c, 4) + ' AS ' + n for c, n in (('form', 'form'), ('fitness', 'fitness'), ('fresh', 'freshness'), ('load_score', 'load_score'), ('hrv', 'hrv'), ('blend', 'blend')))} FROM s")
+def readiness_breakdown(spark, sf_dir):
+    told = load.readiness_scores(load.stability(load.seven_day_load(model(spark, sf_dir))), A.hrv(spark, sf_dir))
+    return told.select("athlete_id", "day", *[S.half_up(F.col(c), 4).alias(c) for c in ("form", "fitness", "freshness", "load_score", "hrv", "blend")])
+
 
 @query(f"""WITH w AS (SELECT event_id AS id, CAST(event_id % 45 - 5 AS DOUBLE) AS t, CAST(event_id % 101 AS DOUBLE) AS h, value / 10 AS wind, CAST(event_id % 7 AS DOUBLE) AS rain, CAST(990 + event_id % 50 AS DOUBLE) AS p FROM events)
 SELECT id, CAST(least(floor(least(40, (t - 15) * (t - 15) / CAST(15.625 AS DOUBLE)) + CASE WHEN h > 50 THEN least(25, (h - 50) / 50 * 15 + CASE WHEN t > 20 THEN (t - 20) / 20 * ((h - 50) / 50) * 10 ELSE 0 END) ELSE 0 END

@@ -122,3 +122,15 @@ def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LAPS = """laps AS (
 SELECT l_orderkey AS activity_id, l_linenumber AS lap, l_quantity / CAST(10 AS DOUBLE) AS km, 300 + l_partkey % 900 AS seconds, CAST(110 + l_suppkey % 70 AS DOUBLE) AS heart_rate, l_partkey % 400 AS strokes FROM lineitem)"""
+
+
+def hrv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nightly heart-rate variability: a row for each user and day; one night in three was not measured, one weekly mean in four is missing."""
+    days = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("athlete_id"), F.to_date("ts").alias("day")).agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"))
+    low = 45.0 + F.col("athlete_id") % 10
+    return days.select("athlete_id", "day", F.when(F.col("a") % 3 != 0, 35.0 + F.col("b") % 40).alias("nightly"), F.when(F.col("b") % 4 != 0, 40.0 + F.col("a") % 30).alias("avg7"), low.alias("reference_low"), (low + F.col("athlete_id") % 20).alias("reference_high"))
+
+
+HRV = """hrv AS (
+SELECT athlete_id, day, CASE WHEN a % 3 <> 0 THEN CAST(35 + b % 40 AS DOUBLE) END AS nightly, CASE WHEN b % 4 <> 0 THEN CAST(40 + a % 30 AS DOUBLE) END AS avg7, CAST(45 + athlete_id % 10 AS DOUBLE) AS reference_low,
+       CAST(45 + athlete_id % 10 + athlete_id % 20 AS DOUBLE) AS reference_high FROM (SELECT user_id AS athlete_id, CAST(ts AS DATE) AS day, min(event_id) AS a, max(event_id) AS b FROM events GROUP BY 1, 2))"""

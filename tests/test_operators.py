@@ -163,6 +163,9 @@ def test_spikes_use_the_repaired_sample_before():
 def test_smoothing_of_moving_samples():
     got = points.smooth_moving(np.array([1.0, 0.0, 3.0, 5.0]), np.array([True, True, False, True]), 3)
     assert got.tolist() == [1.0, 0.0, 3.0, 5.0]
+    # each mean is taken over what is already replaced, without the sample that stands still
+    changed = points.smooth_moving(np.array([2.0, 4.0, 9.0, 6.0]), np.array([True, True, False, True]), 3)
+    assert changed.tolist() == [3.0, 3.5, 9.0, 6.0]
 
 
 def test_power_curve_is_the_best_window(spark):
