@@ -220,14 +220,27 @@ def wide(data: bytes, width: int = 5, seed: int = 42) -> tuple[int, bytes]:
     return int(key), np.packbits(ones * 2 > len(own), bitorder="little").tobytes()
 
 
-def wide_pairs(a: np.ndarray, b: np.ndarray | None, group: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of near fingerprints (rows of four words) of different groups, inside ``a`` or between ``a`` and ``b``,
-    whose places follow those of ``a``: a spanning forest in which each row offers its closest of each group, or each row's
-    closest alone. Either way never more than two pairs a row."""
+def near_wide(a: np.ndarray, b: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Places and distance of all pairs of near fingerprints (rows of four words) inside ``a`` or between ``a`` and ``b``, whose places follow
+    those of ``a``, for so many rows of ``a`` at a time, with the first of them."""
     both = a if b is None else np.concatenate([a, b])
     shift = 0 if b is None else len(a)
+    first = np.ascontiguousarray(both[shift:, 0])
+    for at in range(0, len(a), ROWS):
+        i, j = np.nonzero(np.bitwise_count(a[at : at + ROWS, 0, None] ^ first[None]) <= FIRST)
+        i, j = i + at, j + shift
+        if b is None:
+            i, j = i[i < j], j[i < j]
+        far = np.bitwise_count(both[i] ^ both[j]).sum(axis=1, dtype=np.int64)
+        near = far <= WIDE
+        yield at, i[near], j[near], far[near]
+
+
+def wide_forest(a: np.ndarray, b: np.ndarray | None, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of near pairs of different groups: a spanning forest in which each row offers its closest of each group."""
+    size = len(a) + (0 if b is None else len(b))
     label = np.unique(group, return_inverse=True)[1]
-    parent = np.arange(len(both))
+    parent = np.arange(size)
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -235,24 +248,9 @@ def wide_pairs(a: np.ndarray, b: np.ndarray | None, group: np.ndarray, nearest:
         return int(x)
 
     left, right = [], []
-    best = np.full(len(both), 1 << 30, np.int64)
-    mate = np.full(len(both), -1, np.int64)
-    first = np.ascontiguousarray(both[shift:, 0])
-    for at in range(0, len(a), ROWS):
-        i, j = np.nonzero(np.bitwise_count(a[at : at + ROWS, 0, None] ^ first[None]) <= FIRST)
-        i, j = i + at, j + shift
-        if b is None:
-            i, j = i[i < j], j[i < j]
-        far = np.bitwise_count(both[i] ^ both[j]).sum(axis=1, dtype=np.int64)
-        near = (far <= WIDE) & (label[i] != label[j])
-        i, j, far = i[near], j[near], far[near]
-        if nearest:
-            for me, other in ((i, j), (j, i)):
-                order = np.lexsort((far, me))
-                who, start = np.unique(me[order], return_index=True)
-                better = far[order][start] < best[who]
-                best[who[better]], mate[who[better]] = far[order][start][better], other[order][start][better]
-            continue
+    for at, i, j, far in near_wide(a, b):
+        other = label[i] != label[j]
+        i, j, far = i[other], j[other], far[other]
         order = np.lexsort((far, i))
         i, j = i[order], j[order]
         cuts = np.searchsorted(i, np.arange(at, min(at + ROWS, len(a)) + 1))
@@ -267,40 +265,87 @@ def wide_pairs(a: np.ndarray, b: np.ndarray | None, group: np.ndarray, nearest:
                     right.append(int(hit[k]))
                     parent[x] = mine
             label[hit] = label[me] = mine
-    if nearest:
-        some = np.flatnonzero(mate >= 0)
-        return some, mate[some]
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def candidates(classes: DataFrame, nearest: bool, turn: int, tile: int = WIDE_TILE) -> DataFrame:
-    """Pairs ``a, b`` of keys that may be similar, from ``classes`` (``key, wide, ones, group``), by tile pairs. Each turn takes
-    the rows in another order, so that it offers other pairs of the groups that were left apart."""
-    spark = classes.sparkSession
+def order_of(far: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """A number by which partners are taken in turn: by distance, then by a mixture of their keys."""
+    return (far.astype(np.int64) << 54) | (mixed(keys.view(np.uint64)) >> np.uint64(10)).astype(np.int64)
+
+
+def wide_next(a: np.ndarray, b: np.ndarray | None, group: np.ndarray, keys: np.ndarray, after: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row its next ``most`` near rows of other groups in turn, those behind its number ``after``: places of both and the number."""
+    size = len(keys)
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def first_few(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        me, other, turn = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((turn, me))
+        me, other, turn = me[order], other[order], turn[order]
+        begins = np.searchsorted(me, np.arange(size))
+        few = np.arange(len(me)) - begins[me] < most if len(me) else np.zeros(0, bool)
+        return me[few], other[few], turn[few]
+
+    waiting = 0
+    for _, i, j, far in near_wide(a, b):
+        for me, other in ((i, j), (j, i)):
+            turn = order_of(far, keys[other])
+            fine = (group[me] != group[other]) & (turn > after[me])
+            held.append((me[fine], other[fine], turn[fine]))
+            waiting += int(fine.sum())
+        if waiting > 1 << 20:  # so the rows held are bounded
+            held, waiting = [first_few(held)], 0
+    return first_few(held)
+
+
+def candidates(classes: DataFrame, tile: int = WIDE_TILE) -> DataFrame:
+    """Pairs ``a, b`` of keys that may be similar, from ``classes`` (``key, wide, ones, group``), by tile pairs: a spanning forest of each."""
     dealt = tile_pairs(classes.select("key", "wide", "ones", "group"), "key", "ones", WIDE, tile)
     if dealt is None:
-        return spark.createDataFrame([], "a long, b long")
+        return classes.sparkSession.createDataFrame([], "a long, b long")
 
     def compare(table: pa.Table) -> pa.Table:
-        first, keys = table.column("first").to_numpy(), table.column("key").to_numpy()
-        order = np.lexsort((mixed(keys.view(np.uint64) + np.uint64(turn)), ~first))
-        n = int(first.sum())
-        keys, group = keys[order], table.column("group").to_numpy()[order]
-        fps = np.frombuffer(b"".join(table.column("wide").to_pylist()), "<u8").reshape(-1, 4)[order]
-        i, j = wide_pairs(fps[:n], None if table.column("same")[0].as_py() else fps[n:], group, nearest)
+        n, keys, group, fps, _ = unpacked(table)
+        i, j = wide_forest(fps[:n], None if table.column("same")[0].as_py() else fps[n:], group)
         return pa.table({"a": np.minimum(keys[i], keys[j]), "b": np.maximum(keys[i], keys[j])})
 
-    return dealt.drop("ones").repartition(partitions(spark, 2), "pair").groupBy("pair").applyInArrow(compare, "a long, b long")
+    return dealt.drop("ones").repartition(partitions(classes.sparkSession, 2), "pair").groupBy("pair").applyInArrow(compare, "a long, b long")
+
+
+def unpacked(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Rows of a tile pair, those of its first tile (so many) first and else in an order of their keys: keys, groups, fingerprints, and where they stand."""
+    first, keys = table.column("first").to_numpy(), table.column("key").to_numpy()
+    order = np.lexsort((mixed(keys.view(np.uint64)), ~first))
+    fps = np.frombuffer(b"".join(table.column("wide").to_pylist()), "<u8").reshape(-1, 4)[order]
+    after = table.column("after").to_numpy()[order] if "after" in table.column_names else None
+    return int(first.sum()), keys[order], table.column("group").to_numpy()[order], fps, after
+
+
+def next_partners(rows: DataFrame, most: int, tile: int = WIDE_TILE) -> DataFrame:
+    """``key, partner, turn``: for each row of ``rows`` (``key, wide, ones, group, after``) its next ``most`` near rows of other groups."""
+    dealt = tile_pairs(rows.select("key", "wide", "ones", "group", "after"), "key", "ones", WIDE, tile)
+    if dealt is None:
+        return rows.sparkSession.createDataFrame([], "key long, partner long, turn long")
+
+    def compare(table: pa.Table) -> pa.Table:
+        n, keys, group, fps, after = unpacked(table)
+        me, other, turn = wide_next(fps[:n], None if table.column("same")[0].as_py() else fps[n:], group, keys, after, most)
+        return pa.table({"key": keys[me], "partner": keys[other], "turn": turn})
+
+    found = dealt.drop("ones").repartition(partitions(rows.sparkSession, 2), "pair").groupBy("pair").applyInArrow(compare, "key long, partner long, turn long")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("turn"))  # a few of each tile pair
+    return found.withColumn("place", place).where(F.col("place") <= most).drop("place")
 
 
-def similar(docs: DataFrame, least: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1, tile: int = WIDE_TILE) -> DataFrame:
+def similar(docs: DataFrame, least: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", tile: int = WIDE_TILE) -> DataFrame:
     """``id_col, component_id`` per row: components of links between texts whose sets of shingles have a Jaccard similarity
     of ``least`` or more. Ids as in ``groups``, but an id must name one text, as ``keep_one_similar`` sees to.
 
     Near fingerprints only propose; each proposed pair is confirmed on the whole sets, which are made anew for the texts of
-    proposed pairs and compared by 32 bits of each shingle's hash. The first rounds propose a spanning forest over the
-    tiles, which joins large groups by few pairs; the last proposes each text's closest outside its own group. So the
-    pairs grow with the texts, also in a family of many texts that stay just below ``least``."""
+    proposed pairs. The first round proposes a spanning forest over the tiles, which joins large groups by few pairs. Then
+    each text proposes its near texts outside its own group in turn, from the closest on, in rounds of 1, 2, 4 ... at a
+    time, until it has none left; it then takes no part in later rounds. So every pair of near fingerprints is confirmed,
+    refuted, or inside one group already, and no near pair is passed over."""
     spark = docs.sparkSession
     bounded_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -314,30 +359,61 @@ def similar(docs: DataFrame, least: float = 0.8, width: int = 5, id_col: str = "
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [(shingle_set(x or b"", width) >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], ["key", "shingles"])
+            own = [shingle_set(x or b"", width).view(np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], ["key", "shingles"])
 
-    rows = stored(texts.mapInArrow(run, f"{id_col} {kind}, key long, wide binary, ones int"), "wide")
-    classes = stored(rows.groupBy("key").agg(F.min(id_col).alias("least"), F.min("wide").alias("wide"), F.min("ones").alias("ones"), F.count("*").alias("n"), F.col("key").alias("group")), "classes")
-    counts = stored(classes.select("key", "n"), "counts")
-    links = seen = spark.createDataFrame([], "a long, b long")
-    for k in range(rounds + 1):
-        pairs = stored(candidates(classes, k == rounds, k, tile).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """``a, b, holds``, stored."""
         asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes, "key").select("key", F.col("least").alias(id_col))
-        sets = stored(texts.join(asked, id_col).select("key", "data").mapInArrow(sets_of, "key long, shingles array<int>").dropDuplicates(["key"]), "sets")
+        sets = stored(texts.join(asked, id_col).select("key", "data").mapInArrow(sets_of, "key long, shingles array<long>").dropDuplicates(["key"]), "sets")
         one, two = (sets.select(F.col("key").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab")
         common = F.size(F.array_intersect("a_set", "b_set"))
         told = stored(pairs.join(one, "a").join(two, "b").select("a", "b", (common >= least * (F.size("a_set") + F.size("b_set") - common)).alias("holds")), "told")
         discard(sets)
+        return told
+
+    def regrouped(told: DataFrame) -> DataFrame:
+        """``classes`` with the groups that the links of ``told`` join; links are between members, groups are named by their roots."""
+        name = classes.select("key", "group")
+        ends = told.where("holds").select("a", "b").join(name.select(F.col("key").alias("a"), F.col("group").alias("x")), "a").join(name.select(F.col("key").alias("b"), F.col("group").alias("y")), "b")
+        roots = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        sizes = classes.groupBy("group").agg(F.count("*").alias("n"))
+        moved = spread_join(classes, roots.withColumnRenamed("node", "group"), "group", sizes, total, "key", "left")
+        return stored(moved.select("key", "least", "wide", "ones", F.coalesce("root", "group").alias("group")), "classes")
+
+    rows = stored(texts.mapInArrow(run, f"{id_col} {kind}, key long, wide binary, ones int"), "wide")
+    classes = stored(rows.groupBy("key").agg(F.min(id_col).alias("least"), F.min("wide").alias("wide"), F.min("ones").alias("ones"), F.count("*").alias("n"), F.col("key").alias("group")), "classes")
+    counts = stored(classes.select("key", "n"), "counts")
+    total = counts.count()
+    pairs = stored(candidates(classes, tile).distinct(), "pairs")
+    told, seen, active, most, spent = confirmed(pairs), [], None, 1, [rows, counts]
+    while True:
         discard(pairs)
-        links, seen = links.union(told.where("holds").select("a", "b")), seen.union(told.select("a", "b"))
-        roots = components(links)
         before = classes
-        classes = stored(before.drop("group").join(roots, before["key"] == roots["node"], "left").select("key", "least", "wide", "ones", F.coalesce("root", "key").alias("group")), "classes")
+        classes = regrouped(told)
         discard(before)
-        if told.where("not holds").isEmpty():  # all that was proposed is joined
+        seen.append(told)
+        marks = classes.select("key", "wide", "ones", "group")
+        going = marks.withColumn("after", F.lit(-1).cast("long")) if active is None else marks.join(active, "key")
+        found = stored(next_partners(going, most, tile), "found")
+        if active is not None:
+            discard(active)
+        active = stored(found.groupBy("key").agg(F.max("turn").alias("after")), "active")
+        asked = seen[0].select("a", "b")
+        for other in seen[1:]:
+            asked = asked.union(other.select("a", "b"))
+        pairs = stored(found.select(F.least("key", "partner").alias("a"), F.greatest("key", "partner").alias("b")).distinct().join(asked, ["a", "b"], "left_anti"), "pairs")
+        discard(found)
+        if active.isEmpty():
             break
-    return _labelled(rows.select(id_col, "key"), classes.select("key", "least", F.col("group").alias("root")), counts, "key", id_col).select(id_col, "component_id")
+        told = confirmed(pairs)
+        most *= 2
+    for table in (pairs, active, *seen):
+        discard(table)
+    out = stored(_labelled(rows.select(id_col, "key"), classes.select("key", "least", F.col("group").alias("root")), counts, "key", id_col).select(id_col, "component_id"), "similar")
+    for table in (*spent, classes):
+        discard(table)
+    return out
 
 
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
