@@ -254,9 +254,9 @@ def preset_windows(spark, sf_dir):
     return A.history(spark, sf_dir).agg(*[F.count_if(F.col("day").between(*map(F.lit, span))).alias(k) for k, span in spans.items()])
 
 
-@query(f"WITH {A.ACTIVITIES} SELECT id, athlete_id FROM activity WHERE day BETWEEN DATE '2024-01-03' AND DATE '2024-01-25' AND sport_type IN ('Ride') AND id % 3 <> 0")
+@query(f"WITH {A.ACTIVITIES} SELECT id, athlete_id FROM activity WHERE day BETWEEN DATE '2024-01-03' AND DATE '2024-01-25' AND sport_type IN ('Ride') AND polyline IS NOT NULL")
 def map_viewport(spark, sf_dir):
-    return A.activities(spark, sf_dir).where("day between date'2024-01-03' and date'2024-01-25' and sport_type in ('Ride') and id % 3 <> 0").select("id", "athlete_id")
+    return A.activities(spark, sf_dir).where("day between date'2024-01-03' and date'2024-01-25' and sport_type in ('Ride') and polyline is not null").select("id", "athlete_id")
 
 
 _XY = "moving_time / (distance / 1000)"
@@ -382,12 +382,11 @@ def load_labels(spark, sf_dir):
     )
 
 
-@query(f"""WITH {A.ACTIVITIES}, d AS (SELECT athlete_id, day, count(*) AS n FROM activity GROUP BY 1, 2), h AS (SELECT user_id AS athlete_id, CAST(ts AS DATE) AS day, max(value) AS nightly FROM events WHERE user_id % 5 = 0 AND event_type = 'view' GROUP BY 1, 2)
-SELECT d.athlete_id, d.day, n, nightly, CASE WHEN least(n * 30, 100) >= 90 THEN 'Excellent' WHEN least(n * 30, 100) >= 75 THEN 'Very Good' WHEN least(n * 30, 100) >= 60 THEN 'Good' WHEN least(n * 30, 100) >= 40 THEN 'Fair' ELSE 'Poor' END AS label FROM d LEFT JOIN h ON d.athlete_id = h.athlete_id AND d.day = h.day""")
+@query(f"""WITH {A.ACTIVITIES}, d AS (SELECT athlete_id, day, count(*) AS n FROM activity GROUP BY 1, 2), {A.HRV}
+SELECT d.athlete_id, d.day, n, nightly, CASE WHEN least(n * 30, 100) >= 90 THEN 'Excellent' WHEN least(n * 30, 100) >= 75 THEN 'Very Good' WHEN least(n * 30, 100) >= 60 THEN 'Good' WHEN least(n * 30, 100) >= 40 THEN 'Fair' ELSE 'Poor' END AS label FROM d LEFT JOIN hrv h ON d.athlete_id = h.athlete_id AND d.day = h.day""")
 def hrv_by_day(spark, sf_dir):
     d = A.activities(spark, sf_dir).groupBy("athlete_id", "day").agg(F.count("*").alias("n"))
-    h = A.table(spark, sf_dir, "events").where("user_id % 5 = 0 and event_type = 'view'").groupBy(F.col("user_id").alias("athlete_id"), F.to_date("ts").alias("day")).agg(F.max("value").alias("nightly"))
-    return d.join(h, ["athlete_id", "day"], "left").withColumn("label", C.readiness_label(F.least(F.col("n") * 30, F.lit(100))))
+    return d.join(A.hrv(spark, sf_dir).select("athlete_id", "day", "nightly"), ["athlete_id", "day"], "left").withColumn("label", C.readiness_label(F.least(F.col("n") * 30, F.lit(100))))
 
 
 # ---------------------------------------------------------------- whole tracks

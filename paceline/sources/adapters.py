@@ -18,7 +18,7 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("id"), F.col("user_id").alias("athlete_id"), F.col("ts").alias("start_ts"), F.col("ts").cast("date").alias("day"), sport.alias("sport_type"),
         (F.col("value") * 100.0).alias("distance"), (600 + F.col("event_id") % 60 * 60).alias("moving_time"), (660 + F.col("event_id") % 60 * 66).alias("elapsed_time"),
         F.when(F.col("event_id") % 5 != 0, (110 + F.col("event_id") % 80).cast("double")).alias("average_heartrate"),
-        F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 200).cast("double")).alias("suffer_score"),
+        F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 200).cast("double")).alias("suffer_score"), F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("_p~iF"), F.col("event_id").cast("string"))).alias("polyline"),
     )
 
 
@@ -27,7 +27,7 @@ SELECT event_id AS id, user_id AS athlete_id, ts AS start_ts, CAST(ts AS DATE) A
        CASE event_type WHEN 'click' THEN 'Run' WHEN 'view' THEN 'Ride' WHEN 'purchase' THEN 'Swim' WHEN 'signup' THEN 'TrailRun' ELSE 'Workout' END AS sport_type,
        value * CAST(100 AS DOUBLE) AS distance, 600 + event_id % 60 * 60 AS moving_time, 660 + event_id % 60 * 66 AS elapsed_time,
        CASE WHEN event_id % 5 <> 0 THEN CAST(110 + event_id % 80 AS DOUBLE) END AS average_heartrate,
-       CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 200 AS DOUBLE) END AS suffer_score
+       CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 200 AS DOUBLE) END AS suffer_score, CASE WHEN event_id % 3 <> 0 THEN '_p~iF' || event_id END AS polyline
 FROM events)"""
 
 

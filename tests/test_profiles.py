@@ -144,3 +144,39 @@ def test_modes_of_stacked_columns(spark):
     out = {r.period: r for r in G.by_period(spark.createDataFrame(rows, "day date, s string, v int"), "month", [], ["s", "v"]).collect()}
     one, two = out[DAY], out[dt.date(2024, 2, 1)]
     assert (one.n, one.s_mode, one.s_tied, one.v_mode, one.v_tied) == (5, "a", True, "2", False) and (two.s_mode, two.s_tied) == (None, False)
+
+
+def test_features_and_confidence_of_classes(spark):
+    from paceline.operators import classify
+
+    rng = random.Random(21)
+    zones = [(0.0, 120.0), (120.0, 150.0), (150.0, -1.0)]
+    rows, km = [], 0.0
+    for k in range(60):
+        km += rng.choice([0.0, 0.05, 0.2])
+        rows.append((1, k, km, 0 if k == 0 else 30, rng.choice([None, 110.0, 130.0, 170.0])))
+    rows.append((2, 0, 5.0, 0, 140.0))
+    samples = spark.createDataFrame(rows, "activity_id int, idx int, km double, d_time int, heart_rate double")
+    got = {r.activity_id: r for r in classify.stream_features(samples, zones).collect()}
+    own = [r for r in rows if r[0] == 1]
+    steps = [(b[2] - a[2], b[3]) for a, b in zip(own, own[1:], strict=False) if b[2] > a[2]]
+    cv = lambda v: float(np.std(v) / np.mean(v) * 100)
+    paces = [t / 60 / d for d, t in steps if 2 <= t / 60 / d <= 20]
+    half = next(30 * k for k, r in enumerate(own) if r[2] >= km / 2)
+    rates = [r[4] for r in own if r[4]]
+    timed = [r[4] for r in own[1:] if r[4]]
+    one = got[1]
+    assert (one.pace_cv, one.hr_cv, one.speed_cv) == (pytest.approx(cv(paces)), pytest.approx(cv(rates)), pytest.approx(cv([d / t for d, t in steps])))
+    assert one.second_half == pytest.approx((59 * 30 - half) / half) and one.has_hr == (len(rates) >= 30) and one.has_pace == (len(paces) >= 30)
+    assert [one.zone_low, one.zone_midlow, one.zone_midhigh, one.zone_high] == [pytest.approx(100 * sum(a <= h < b for h in timed) / len(timed)) for a, b in ((0, 120), (120, 150), (0, 0), (150, 999))]
+    assert (got[2].pace_cv, got[2].hr_cv, got[2].second_half, got[2].has_zones) == (0.0, 0.0, None, False)
+    acts = spark.createDataFrame([(1, "Tempo", "Run", 0, 15000.0, 3600, 3600, 200.0, 150.0), (2, None, "Run", None, 5000.0, 0, 0, None, None), (3, "x", "Run", 1, None, None, None, None, None)], "id int, name string, sport_type string, workout_type int, distance double, moving_time int, elapsed_time int, suffer_score double, average_heartrate double")
+    told = {r.id: r for r in classify.classified(acts, samples, classify.RUN, zones).collect()}
+    assert told[1].classes[0]["class"] == "Tempo Run" and told[1].confidence.missing == ([] if one.has_hr and one.has_pace else [m for m, there in (("heartrate stream", one.has_hr), ("training zones", one.has_hr), ("pace stream", one.has_pace)) if not there])
+    assert told[3].classes[0]["class"] == "Race" and told[3].confidence.missing == ["heartrate stream", "training zones", "pace stream", "negative split"] and told[3].confidence.coverage == 10
+    for r in told.values():
+        points = [c.points for c in r.classes[:5]]
+        lead = (points[0] - (points[1] if len(points) > 1 else 0)) / points[0]
+        assert r.confidence.score == pytest.approx(math.floor(100 * min(0.99, max(0.05, 0.2 + 0.4 * lead + 0.3 * r.confidence.coverage / 100 + 0.1 * points[0] / sum(points))) + 0.5) / 100)
+    none = classify.with_confidence(acts.where("id = 2").select("*", F.array().cast("array<struct<class: string, points: int, share: double>>").alias("classes"), *(F.lit(0.0).alias(c) for c in ("km", "minutes", "pace", "effort")), F.lit(False).alias("has_hr"), F.lit(False).alias("has_zones"), F.lit(None).cast("double").alias("second_half"), F.lit(False).alias("has_pace")), F.lit("Long Run")).first()
+    assert [tuple(c) for c in none.classes] == [("Long Run", 100, 100.0)]
