@@ -132,6 +132,58 @@ def wind_relation(route: Column, wind_from: Column) -> Column:
     return F.when(off.isNull(), "unknown").when(off <= 45, "tail").when(off >= 135, "head").otherwise("cross")
 
 
+#: Names of the months in seven languages, without accents.
+MONTHS = {
+    "jan": 1, "january": 1, "enero": 1, "ene": 1, "janvier": 1, "janv": 1, "janeiro": 1, "gennaio": 1,
+    "feb": 2, "february": 2, "febrero": 2, "fevrier": 2, "fevr": 2, "fevereiro": 2, "febbraio": 2,
+    "mar": 3, "march": 3, "marzo": 3, "mars": 3,
+    "apr": 4, "april": 4, "abril": 4, "avr": 4, "avril": 4,
+    "may": 5, "mayo": 5, "mai": 5, "maggio": 5,
+    "jun": 6, "june": 6, "junio": 6, "juin": 6, "giugno": 6,
+    "jul": 7, "july": 7, "julio": 7, "juillet": 7, "luglio": 7,
+    "aug": 8, "august": 8, "agosto": 8, "aout": 8, "ago": 8,
+    "sep": 9, "sept": 9, "september": 9, "septiembre": 9, "setembro": 9, "septembre": 9, "settembre": 9,
+    "oct": 10, "october": 10, "octubre": 10, "outubro": 10, "octobre": 10, "ottobre": 10,
+    "nov": 11, "november": 11, "noviembre": 11, "novembro": 11, "novembre": 11,
+    "dec": 12, "december": 12, "diciembre": 12, "dezembro": 12, "decembre": 12, "dicembre": 12,
+}
+
+
+def loose_day(text: Column, as_of: Column) -> Column:
+    """A day written as year-month-day, day/month/year (month first where only that can be), or with a month's name in one of seven languages, before or after
+    the day, with or without a year; separators may be ``.``, ``/`` or ``-``, two digits are a year of this century. Without a year it is that of ``as_of``, or the
+    one before if the day would lie more than 30 days ahead. Null for anything else and for days that don't exist."""
+    iso, numeric = r"^(\d{4})[./-](\d{1,2})[./-](\d{1,2})", r"^(\d{1,2})[./-](\d{1,2})[./-](\d{2,4})$"
+    month_first, day_first = r"^([a-z]+) (\d{1,2})(?:,? ?(\d{4}))?$", r"^(\d{1,2}) ([a-z]+)(?: (\d{4}))?$"
+    months = F.create_map(*(x for k, v in MONTHS.items() for x in (F.lit(k), F.lit(v))))
+    number = lambda source, pattern, k: F.nullif(F.regexp_extract(source, pattern, k), F.lit("")).cast("int")
+    some = lambda y, m, d, held: F.when(held, F.struct(y.alias("y"), m.alias("m"), d.alias("d")))
+
+    def day(y: Column, m: Column, d: Column) -> Column:
+        return F.to_date(F.try_to_timestamp(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")), F.lit("yyyy-MM-dd")))
+
+    def slashed(n: Column) -> Column:
+        turned, year = (n[0] <= 12) & (n[1] > 12), F.when(n[2] < 100, n[2] + 2000).otherwise(n[2])
+        return some(year, F.when(turned, n[0]).otherwise(n[1]), F.when(turned, n[1]).otherwise(n[0]), n[2].isNotNull())
+
+    def spelt(source: Column, pattern: str, name: int, nth: int) -> Column:
+        return bound(F.try_element_at(months, F.regexp_extract(source, pattern, name)), lambda m: some(number(source, pattern, 3), m, number(source, pattern, nth), m.isNotNull()))
+
+    def read(t: Column) -> Column:
+        named = F.replace(folded(t), F.lit("."), F.lit(""))
+        return F.coalesce(
+            bound(F.array(*(number(t, iso, k) for k in (1, 2, 3))), lambda n: some(n[0], n[1], n[2], n[0].isNotNull())), bound(F.array(*(number(t, numeric, k) for k in (1, 2, 3))), slashed),
+            bound(named, lambda s: spelt(s, month_first, 1, 2)), bound(named, lambda s: spelt(s, day_first, 2, 1)),
+        )
+
+    def resolved(p: Column) -> Column:
+        """Without a year, that of ``as_of`` or the one before."""
+        guess = bound(day(F.year(as_of), p["m"], p["d"]), lambda g: F.when(F.datediff(g, as_of) > 30, day(F.year(as_of) - 1, p["m"], p["d"])).otherwise(g))
+        return F.when(p.isNotNull(), F.when(p["y"].isNotNull(), day(p["y"], p["m"], p["d"])).otherwise(guess))
+
+    return bound(bound(F.trim(F.regexp_replace(text, r"\s+", " ")), read), resolved)
+
+
 def loose_number(text: Column) -> Column:
     """A number written with decimal comma or point, thousands separators and units around it; null if none."""
     s = F.regexp_replace(text, r"[^0-9,.\-]", "")

@@ -87,6 +87,46 @@ def splits(points: DataFrame, km: float = 1.0, at_least: int = 2) -> DataFrame:
     ).where(F.col("n") >= at_least)
 
 
+def segments(points: DataFrame, by: str = "distance", size: float = 1.0, at_least: int = 2) -> DataFrame:
+    """Segments of ``size`` kilometres or, ``by`` time, minutes, inclusive at both ends: a sample on a border belongs to both. With all measures: distance,
+    seconds, gain and loss between the first and the last sample, means of what is there, maxima, and metres an hour where it climbs."""
+    own = deltas(points)
+    if by == "distance":
+        at, width, name = half_up(F.col("km") * 1000, 3), size * 1000, "km"  # to the millimetre, so that borders are met exactly
+    else:
+        at, width, name = (F.unix_timestamp("ts") - F.unix_timestamp(F.first("ts").over(so_far()))).cast("double"), size * 60, "min"
+    own = own.withColumn("_at", at)
+    end = F.max("_at").over(Window.partitionBy("activity_id"))
+    k = F.floor(F.col("_at") / width)
+    both = F.when((F.col("_at") == k * width) & (k > 0), F.array(k - 1, k)).otherwise(F.array(k))
+    inside = own.withColumn("_end", end).withColumn("segment", F.explode(both)).where(F.col("segment") * width < F.col("_end"))
+    first, last = (lambda c: F.min_by(c, "idx")), (lambda c: F.max_by(c, "idx"))
+    mean = lambda c: F.coalesce(exact_mean(F.when(F.col(c) != 0, F.col(c))), F.lit(0.0))
+    told = inside.groupBy("activity_id", "segment").agg(
+        F.count("*").alias("n"), F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx"), (last("km") - first("km")).alias("km"), (F.unix_timestamp(last("ts")) - F.unix_timestamp(first("ts"))).alias("seconds"), (last("gain") - first("gain")).alias("gain"), (last("loss") - first("loss")).alias("loss"),
+        F.min("elevation").alias("lowest"), F.max("elevation").alias("highest"), F.coalesce(exact_mean(F.col("speed")), F.lit(0.0)).alias("avg_speed"), F.max("speed").alias("max_speed"), mean("heart_rate").alias("avg_hr"), F.coalesce(F.max("heart_rate"), F.lit(0.0)).alias("max_hr"), mean("power").alias("avg_power"),
+        F.coalesce(F.max("power"), F.lit(0.0)).alias("max_power"), mean("cadence").alias("avg_cadence"), F.coalesce(exact_mean(F.col("grade")), F.lit(0.0)).alias("avg_grade"), F.max("grade").alias("max_grade"), first(terrain(F.col("grade"))).alias("terrain"),
+    ).where(F.col("n") >= at_least)
+    label = lambda x: F.format_string("%.1f", x) if by == "distance" else F.floor(x).cast("string")
+    start = F.col("segment") * float(size)
+    return told.withColumns({"name": F.concat(label(start), F.lit("-"), label(start + float(size)), F.lit(f" {name}")), "vam": F.when((F.col("gain") > 0) & (F.col("seconds") > 0), F.col("gain") / (F.col("seconds") / 3600))})
+
+
+#: The upper ends of the heart-rate zones in percent of the maximum, and of the power zones in percent of the threshold.
+HEART_RATE_ENDS, POWER_ENDS = (60, 70, 80, 90), (55, 75, 90, 105, 120)
+
+
+def zone_percents(points: DataFrame, max_hr: float = 195.0, ftp: float = 250.0) -> DataFrame:
+    """Per activity the whole percent of samples with a heart rate in each of five zones (``hr_1`` ...) and of those with a power in each of six (``power_1`` ...); zero in all without any."""
+    told = []
+    for name, column, whole, ends in (("hr", "heart_rate", max_hr, HEART_RATE_ENDS), ("power", "power", ftp, POWER_ENDS)):
+        share, n = positive(column) / whole * 100, F.count(positive(column))
+        for k in range(len(ends) + 1):
+            inside = (F.lit(True) if k == 0 else share >= ends[k - 1]) & (share.isNotNull() if k == len(ends) else share < ends[k])
+            told.append(F.coalesce(half_up(F.count_if(inside) / F.nullif(n, F.lit(0)) * 100), F.lit(0.0)).cast("int").alias(f"{name}_{k + 1}"))
+    return points.groupBy("activity_id").agg(*told)
+
+
 def pace_stream(points: DataFrame, window: int = 1) -> DataFrame:
     """Adds ``pace`` in minutes a km from the step before (null without distance or time), ``pace_smooth``, its mean over the last ``window``
     samples, and ``steps_a_minute``, the cadence of both feet on runs (null for zero)."""

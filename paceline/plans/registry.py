@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paceline.plans import base, extras, forecasts, periods, profiles, reports, sporting, tracks, training, types  # noqa: F401  (each registers its queries)
+from paceline.plans import base, extras, forecasts, periods, profiles, reports, sporting, tracks, training, types, yearly  # noqa: F401  (each registers its queries)
 
 QUERIES = base.QUERIES
 ORACLES = base.ORACLES
