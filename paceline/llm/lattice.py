@@ -12,7 +12,7 @@ is the product over its words and its end.
   share, so the words' probabilities sum to at most one.
 
 Counts cover every training document. Word counts and word scores stay in tables that grow with the
-corpus. To score, documents are dealt to chunks by hash; each chunk asks for its distinct words once
+corpus. To score, documents are dealt to chunks of bounded bytes by hash; each chunk asks for its distinct words once
 (word table joined on the word, pre-aggregated per chunk, so a frequent word costs one row a chunk) and
 scores its documents from the answers.
 """
@@ -318,11 +318,16 @@ def discounts(counts_of_counts: dict[int, int]) -> tuple[float, float, float]:
     return tuple(min(k - 0.05, max(0.05, d)) for k, d in zip((1, 2, 3), found, strict=True))
 
 
-def scored(docs: DataFrame, training, path: str, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Bytes of the texts that are scored as one group, on average; a single longer text is a group of its own length.
+CHUNK_BYTES = 16 << 20
+
+
+def scored(docs: DataFrame, training, path: str, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``id_col, n_tokens, n_known, train_tokens, base_score, score`` per row, both scores as log10 of the text's probability.
 
     ``base_score`` is the add-0.1 unigram model, ``score`` the lattice's. A null text counts as empty: its only token is
-    the end. Repeated rows all stay; without training rows every count is zero and the subword paths alone give scores.
+    the end. Repeated rows and null ids all stay; without training rows every count is zero and the subword paths alone give
+    scores; an empty table stays empty. Very long texts are read whole. Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -353,21 +358,30 @@ def scored(docs: DataFrame, training, path: str, rounds: int = 1, id_col: str =
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], ["word", "c", "lp"])
 
     table = stored(words.mapInArrow(price, "word binary, c long, lp double"), "priced")
-    n_chunks = partitions(spark, 2)
-    dealt = docs.select(id_col, F.pmod(F.xxhash64(id_col, text_col), F.lit(n_chunks)).cast("int").alias("chunk"), text_bytes(text_col).alias("data")).repartition(n_chunks, "chunk")
+    # as many chunks as the texts' bytes ask for; a task takes several, one after another
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n_chunks = max(partitions(spark, 2), -(-size // chunk_bytes))
+    dealt = docs.select(id_col, F.pmod(F.xxhash64(id_col, text_col), F.lit(n_chunks)).cast("int").alias("chunk"), text_bytes(text_col).alias("data")).repartition(partitions(spark, 2), "chunk")
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, set[bytes]] = {}
-        for batch in batches:
-            for chunk, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                held.setdefault(chunk, {END}).update(words_of(data))
-        for chunk, own in held.items():
+        def told(chunk: int, own: set[bytes]) -> Iterator[pa.RecordBatch]:
             listed = list(own)
             for at in range(0, len(listed), WORDS):
                 some = listed[at : at + WORDS]
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int32()), pa.array(some, pa.binary())], ["chunk", "word"])
 
-    answers = dealt.mapInArrow(asked, "chunk int, word binary").join(table, "word").select("chunk", "word", "c", "lp")
+        now, held = None, {END}
+        for batch in batches:  # sorted by chunk, so one chunk's words are held at a time
+            for chunk, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if chunk != now:
+                    if now is not None:
+                        yield from told(now, held)
+                    now, held = chunk, {END}
+                held.update(words_of(data))
+        if now is not None:
+            yield from told(now, held)
+
+    answers = dealt.sortWithinPartitions("chunk").mapInArrow(asked, "chunk int, word binary").join(table, "word").select("chunk", "word", "c", "lp")
     floor = 0.1 / (total + 0.1 * (distinct + 1))
 
     def settle(texts: pa.Table, answers: pa.Table) -> pa.Table:

@@ -75,6 +75,32 @@ def test_scores(spark):
     assert lattice.scored(every.limit(0), id_remainder("doc_id", 10) != 0, PATH).count() == 0
 
 
+def test_document_scores_by_definition(spark):
+    """Every word by all its segmentations and its own discounted count, every text as the product over its words and its end."""
+    rng = np.random.default_rng(8)
+    vocabulary = ["the", "cat", "sat", "on", "mat", "dog", "é", "thecat", "zq9"]
+    rows = [(k, " ".join(rng.choice(vocabulary, rng.integers(0, 9), p=[0.3, 0.2, 0.1, 0.1, 0.1, 0.08, 0.05, 0.04, 0.03]))) for k in range(60)] + [(100, "unseen xyz the"), (None, None), (101, "the the"), (101, "the the")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learnt = id_remainder("doc_id", 10) != 0
+    got = sorted((str(r.doc_id), r.score) for r in lattice.scored(docs, learnt, PATH).collect())
+    words = lattice.word_counts(docs, learnt, "text")
+    counts = {bytes(r.word): r.c for r in words.groupBy("word").agg({"c": "sum"}).withColumnRenamed("sum(c)", "c").collect()} if words.columns != ["word", "c"] else {bytes(r.word): r.c for r in words.collect()}
+    total, seen = sum(counts.values()), Counter(counts.values())
+    cuts = lattice.discounts({k: seen[k] for k in range(1, 5)})
+    left = sum(cuts[min(c, 3) - 1] for c in counts.values() if c) / total
+    own = lattice.Lattice(PATH, lattice.train(words, PATH, 1))
+
+    def probability(word):
+        known = (counts.get(word, 0) - cuts[min(counts[word], 3) - 1]) / total if counts.get(word) else 0.0
+        return known if word == lattice.END else known + left * slow(own, word)
+
+    want = sorted((str(i), sum(math.log10(probability(w)) for w in [*(t or "").encode().split(), lattice.END])) for i, t in rows)
+    assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-6)
+    clashing = docs.selectExpr("doc_id", "text", "1 as word", "2 as chunk", "3 as score", "4 as c", "5 as DATA")
+    again = sorted((str(r.doc_id), r.score) for r in lattice.scored(clashing, learnt, PATH, chunk_bytes=40).collect())
+    assert [i for i, _ in again] == [i for i, _ in got] and [x for _, x in again] == pytest.approx([x for _, x in got])
+
+
 def test_long_words_teach_and_cost_in_proportion():
     import time
 
