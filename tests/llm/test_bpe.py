@@ -39,3 +39,12 @@ def test_frame(spark):
     assert sorted((r.doc_id or 0, r.decoded) for r in out) == sorted((i or 0, t or "") for i, t, _ in rows)
     assert bpe.encode(docs.limit(0), bpe.tokenizer_path()).count() == 0
     assert hashlib.sha256(b"").hexdigest() == hashlib.sha256(bytes(next(r for r in out if r.doc_id == 1).token_ids)).hexdigest()
+
+
+def test_very_long_texts_equal_the_library(library, spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab cé.,'1\n!<|") for _ in range(150_000)), "x" * 120_000, "日本 " * 60_000]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    for r in bpe.encode(docs, bpe.tokenizer_path()).collect():
+        want = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert np.frombuffer(bytes(r.token_ids), "<u4").tolist() == want and r.decoded == texts[r.doc_id]

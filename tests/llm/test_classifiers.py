@@ -1,4 +1,7 @@
+import math
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -65,6 +68,42 @@ def slow_buckets(text, s):
     return [x for x in found if x is not None], sum(x is None for x in found)
 
 
+def test_quality_scores_by_definition(spark):
+    """The share of class 1 is the sigmoid of the mean weight of a text's features, words and n-grams by plain Python, and the bias."""
+    s = quality.Settings()
+    model = np.random.default_rng(4).normal(0, 2, s.buckets + 1).astype(np.float32)
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choice("aBcé日 .x") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(0, 40))) for _ in range(40)] + ["word " * 80_000 + "end", "", None]
+    one = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 33
+        x = x * 0xFF51AFD7ED558CCD & one
+        x ^= x >> 33
+        x = x * 0xC4CEB9FE1A85EC53 & one
+        return x ^ x >> 33
+
+    def whole(word):
+        h, power = 0, 0x9E3779B97F4A7C15
+        for k, c in enumerate("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in word)):
+            h = (h + mix(ord(c) + 257) * pow(power, k, 1 << 64)) & one
+        return mix(h) & s.buckets - 1
+
+    def slow_score(text):
+        grams, memo = Counter(), {}
+        for word, n in Counter((text or "").split()).items():
+            if word not in memo:
+                memo[word] = [*slow_buckets(word, s)[0], whole(word)]
+            for b in memo[word]:
+                grams[b] += n
+        mean = sum(float(model[b]) * n for b, n in grams.items()) / sum(grams.values()) if grams else 0.0
+        return 1 / (1 + math.exp(-max(-50, min(50, float(model[-1]) + mean))))
+
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert got == {k: pytest.approx(slow_score(t), rel=1e-6) for k, t in enumerate(texts)}
+
+
 def test_features_by_definition():
     s = quality.Settings()
     for text in ("The Cat", "é", "añb ßç üüü", "x", "a bb ccc dddd", "日本語 text"):

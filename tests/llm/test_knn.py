@@ -74,3 +74,13 @@ def test_blocks_cut_large_groups_and_join_small_ones():
     assert knn.blocks_of([2, 0, 1, 3], {0: 3, 1: 25, 2: 4, 3: 9}, 10) == {2: (0, 1), 0: (0, 1), 1: (1, 3), 3: (4, 1)}
     assert sorted(knn.chain(np.array([[0.0], [5.0], [1.0], [6.0]]))) == [0, 1, 2, 3]
     assert knn.chain(np.array([[0.0], [5.0], [1.0], [6.0]])) == [0, 2, 1, 3]
+
+
+def test_other_columns_don_t_matter(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(60)]
+    df = spark.createDataFrame([(i, v, 1, "x", 2.0, i) for i, v in rows], "vec_id long, embedding array<double>, ID int, v string, bucket double, query_id long")
+    data = knn.whole_numbers(df).cache()
+    got = knn.top_k(data, data.where("id % 10 = 0"))
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == brute(rows, lambda i: i % 10 == 0)

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from paceline.llm import bpe, common, pii
 from tests.conftest import SMALL
@@ -27,3 +29,20 @@ def test_stages_take_empty_tables(spark):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
     assert docs.count() == 0
+
+
+def test_odd_rows_pass_all_stages(spark):
+    """Null and empty texts, null and repeated ids, and columns named like those that stages use."""
+    docs = common.read_table(spark, SMALL, "documents").limit(60)
+    columns = docs.columns
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "A text without an id, long enough to be kept by the stages.", "en", "x", 3), (-1, "", "en", "x", 0), (-1, "", "en", "x", 0), (-2, "x" * 50_000, "fr", None, None)], docs.schema)
+    docs = docs.unionByName(odd).withColumns({"key": F.lit(1), "Data": F.lit("d"), "component_id": F.lit(2), "_quality": F.lit(3.0), "_spans": F.lit("s"), "words": F.lit(4)})
+    wide = docs.columns
+    before = docs.count()
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        docs = common.stored(stage(spark, docs, SMALL))
+        assert 0 < docs.count() <= before
+        before = docs.count()
+        if k < 4:
+            assert set(columns) <= set(docs.columns) <= set(wide)
+    assert docs.where("not round_trip").isEmpty()

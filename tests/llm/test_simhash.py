@@ -115,3 +115,54 @@ def test_the_query_gives_the_contract_s_columns(spark, tmp_path):
     spark.createDataFrame([(4, body), (2, body), (7, None), (9, "else")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in simhash.op8_simhash_tiled(spark, str(tmp_path)).collect())
     assert got == [(2, f"{slow(body):016x}", 2), (4, f"{slow(body):016x}", 2), (7, "0" * 16, 7), (9, f"{slow('else'):016x}", 9)]
+
+
+def test_very_long_texts_are_read_whole(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{x}" for x in rng.integers(0, 50_000, 200_000)]
+    text, near = " ".join(words), " ".join([*words[:199_990], *["changed"] * 10])
+    docs = spark.createDataFrame([(1, text), (2, near), (3, "short"), (4, text)], "doc_id long, text string")
+    got = {r.doc_id: (r.fp & (1 << 64) - 1, r.component_id) for r in simhash.groups(docs).collect()}
+    assert got[1][0] == slow(text) and got[2][0] == slow(near) and got[4] == got[1]
+    assert {r.doc_id: r.component_id for r in simhash.similar(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 1}
+
+
+def test_families_at_the_border_lose_no_link(spark):
+    rng = np.random.default_rng(1)
+    texts = []
+    for _ in range(12):
+        n, rate = int(rng.integers(60, 500)), rng.uniform(0.012, 0.022)
+        base = [f"w{x}" for x in rng.integers(0, 5000, n)]
+        texts += [" ".join(f"r{rng.integers(5000)}" if rng.random() < rate else w for w in base) for _ in range(9)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    want = {k: top(k) for k in range(len(texts))}
+    assert 12 < len(set(want.values())) < len(texts)
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar(docs).collect()} == want
+
+
+def test_partners_come_in_turn_and_none_is_passed_over():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 4, dtype=np.uint64)
+    a = np.stack([base ^ np.array([1 << int(k), 0, 0, 0], np.uint64) for k in rng.integers(0, 60, 14)])
+    keys, group = np.arange(14, dtype=np.int64) * 7919, np.array([0, 1] * 7)
+    after, offered = np.full(14, -1, np.int64), set()
+    for most in (1, 2, 4, 8):
+        me, other, turn = simhash.wide_next(a, None, group, keys, after, most)
+        offered |= {(int(x), int(y)) for x, y in zip(me, other, strict=True)}
+        np.maximum.at(after, me, turn)
+    assert offered == {(x, y) for x in range(14) for y in range(14) if group[x] != group[y]}
+    assert not len(simhash.wide_next(a, None, group, keys, after, 8)[0])
