@@ -273,8 +273,29 @@ def order_of(far: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (far.astype(np.int64) << 54) | (mixed(keys.view(np.uint64)) >> np.uint64(10)).astype(np.int64)
 
 
-def wide_next(a: np.ndarray, b: np.ndarray | None, group: np.ndarray, keys: np.ndarray, after: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row its next ``most`` near rows of other groups in turn, those behind its number ``after``: places of both and the number."""
+#: Shingles of a set are counted by so many parts of the range of hashes.
+PARTS = 512
+
+
+def part_counts(own: np.ndarray) -> bytes:
+    """How many of a set's shingles fall into each part, at most 65,535, a number that then stands for any number."""
+    return np.minimum(np.bincount((own % np.uint64(PARTS)).astype(np.int64), minlength=PARTS), 65_535).astype("<u2").tobytes()
+
+
+def may_reach(counts: np.ndarray, sizes: np.ndarray, me: np.ndarray, other: np.ndarray, least: float) -> np.ndarray:
+    """Whether two sets can have a Jaccard similarity of ``least``: they share at most the smaller count of each part. Never false for a pair that has it."""
+    out = np.ones(len(me), bool)
+    for low in range(0, len(me), 4096):
+        i, j = me[low : low + 4096], other[low : low + 4096]
+        shared = np.minimum(counts[i], counts[j])
+        bound = np.where((shared == 65_535).any(axis=1), np.minimum(sizes[i], sizes[j]), shared.sum(axis=1, dtype=np.int64))
+        out[low : low + 4096] = bound >= least * (sizes[i] + sizes[j] - bound) - 1e-6
+    return out
+
+
+def wide_next(a: np.ndarray, b: np.ndarray | None, group: np.ndarray, keys: np.ndarray, after: np.ndarray, most: int, can=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row its next ``most`` near rows of other groups in turn, those behind its number ``after`` and for which ``can`` (places of both, if given) holds:
+    places of both and the number."""
     size = len(keys)
     held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
 
@@ -290,9 +311,11 @@ def wide_next(a: np.ndarray, b: np.ndarray | None, group: np.ndarray, keys: np.n
     for _, i, j, far in near_wide(a, b):
         for me, other in ((i, j), (j, i)):
             turn = order_of(far, keys[other])
-            fine = (group[me] != group[other]) & (turn > after[me])
+            fine = np.flatnonzero((group[me] != group[other]) & (turn > after[me]))
+            if can is not None and len(fine):
+                fine = fine[can(me[fine], other[fine])]
             held.append((me[fine], other[fine], turn[fine]))
-            waiting += int(fine.sum())
+            waiting += len(fine)
         if waiting > 1 << 20:  # so the rows held are bounded
             held, waiting = [first_few(held)], 0
     return first_few(held)
@@ -312,24 +335,30 @@ def candidates(classes: DataFrame, tile: int = WIDE_TILE) -> DataFrame:
     return dealt.drop("ones").repartition(partitions(classes.sparkSession, 2), "pair").groupBy("pair").applyInArrow(compare, "a long, b long")
 
 
-def unpacked(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-    """Rows of a tile pair, those of its first tile (so many) first and else in an order of their keys: keys, groups, fingerprints, and where they stand."""
+def unpacked(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a tile pair, those of its first tile (so many) first and else in an order of their keys: keys, groups, fingerprints, and the order."""
     first, keys = table.column("first").to_numpy(), table.column("key").to_numpy()
     order = np.lexsort((mixed(keys.view(np.uint64)), ~first))
     fps = np.frombuffer(b"".join(table.column("wide").to_pylist()), "<u8").reshape(-1, 4)[order]
-    after = table.column("after").to_numpy()[order] if "after" in table.column_names else None
-    return int(first.sum()), keys[order], table.column("group").to_numpy()[order], fps, after
+    return int(first.sum()), keys[order], table.column("group").to_numpy()[order], fps, order
 
 
-def next_partners(rows: DataFrame, most: int, tile: int = WIDE_TILE) -> DataFrame:
-    """``key, partner, turn``: for each row of ``rows`` (``key, wide, ones, group, after``) its next ``most`` near rows of other groups."""
-    dealt = tile_pairs(rows.select("key", "wide", "ones", "group", "after"), "key", "ones", WIDE, tile)
+def next_partners(rows: DataFrame, most: int, tile: int = WIDE_TILE, least: float = 0.8) -> DataFrame:
+    """``key, partner, turn``: for each row of ``rows`` (``key, wide, ones, group, after``) its next ``most`` near rows of other groups. Where rows have
+    ``size`` and ``parts`` too, only those whose sets can be similar by ``least``."""
+    columns = ["key", "wide", "ones", "group", "after", *(c for c in ("size", "parts") if c in rows.columns)]
+    dealt = tile_pairs(rows.select(columns), "key", "ones", WIDE, tile)
     if dealt is None:
         return rows.sparkSession.createDataFrame([], "key long, partner long, turn long")
 
     def compare(table: pa.Table) -> pa.Table:
-        n, keys, group, fps, after = unpacked(table)
-        me, other, turn = wide_next(fps[:n], None if table.column("same")[0].as_py() else fps[n:], group, keys, after, most)
+        n, keys, group, fps, order = unpacked(table)
+        can = None
+        if "parts" in table.column_names:
+            sizes = table.column("size").to_numpy()[order].astype(np.int64)
+            counts = np.frombuffer(b"".join(table.column("parts").to_pylist()), "<u2").reshape(-1, PARTS)[order]
+            can = lambda me, other: may_reach(counts, sizes, me, other, least)
+        me, other, turn = wide_next(fps[:n], None if table.column("same")[0].as_py() else fps[n:], group, keys, table.column("after").to_numpy()[order], most, can)
         return pa.table({"key": keys[me], "partner": keys[other], "turn": turn})
 
     found = dealt.drop("ones").repartition(partitions(rows.sparkSession, 2), "pair").groupBy("pair").applyInArrow(compare, "key long, partner long, turn long")
@@ -344,8 +373,10 @@ def similar(docs: DataFrame, least: float = 0.8, width: int = 5, id_col: str = "
     Near fingerprints only propose; each proposed pair is confirmed on the whole sets, which are made anew for the texts of
     proposed pairs. The first round proposes a spanning forest over the tiles, which joins large groups by few pairs. Then
     each text proposes its near texts outside its own group in turn, from the closest on, in rounds of 1, 2, 4 ... at a
-    time, until it has none left; it then takes no part in later rounds. So every pair of near fingerprints is confirmed,
-    refuted, or inside one group already, and no near pair is passed over."""
+    time, until it has none left; it then takes no part in later rounds. From the second of these rounds on, pairs whose
+    sets can't be similar by their counts of shingles in parts of the range of hashes are left out, so families that stay
+    below ``least`` end soon. Every pair of near fingerprints is confirmed, refuted, or inside one group already, and no
+    near pair is passed over."""
     spark = docs.sparkSession
     bounded_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -362,6 +393,11 @@ def similar(docs: DataFrame, least: float = 0.8, width: int = 5, id_col: str = "
             own = [shingle_set(x or b"", width).view(np.int64) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], ["key", "shingles"])
 
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingle_set(x or b"", width) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([part_counts(x) for x in own], pa.binary())], ["key", "size", "parts"])
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """``a, b, holds``, stored."""
         asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes, "key").select("key", F.col("least").alias(id_col))
@@ -386,7 +422,7 @@ def similar(docs: DataFrame, least: float = 0.8, width: int = 5, id_col: str = "
     counts = stored(classes.select("key", "n"), "counts")
     total = counts.count()
     pairs = stored(candidates(classes, tile).distinct(), "pairs")
-    told, seen, active, most, spent = confirmed(pairs), [], None, 1, [rows, counts]
+    told, seen, active, parts, most, spent = confirmed(pairs), [], None, None, 1, [rows, counts]
     while True:
         discard(pairs)
         before = classes
@@ -394,8 +430,15 @@ def similar(docs: DataFrame, least: float = 0.8, width: int = 5, id_col: str = "
         discard(before)
         seen.append(told)
         marks = classes.select("key", "wide", "ones", "group")
-        going = marks.withColumn("after", F.lit(-1).cast("long")) if active is None else marks.join(active, "key")
-        found = stored(next_partners(going, most, tile), "found")
+        if active is None:
+            going = marks.withColumn("after", F.lit(-1).cast("long"))
+        else:
+            if parts is None:  # of the texts that are still active, which only become fewer
+                ids = active.join(classes, "key").select("key", F.col("least").alias(id_col))
+                parts = stored(texts.join(ids, id_col).select("key", "data").mapInArrow(parts_of, "key long, size long, parts binary").dropDuplicates(["key"]), "parts")
+                spent.append(parts)
+            going = marks.join(active, "key").join(parts, "key")
+        found = stored(next_partners(going, most, tile, least), "found")
         if active is not None:
             discard(active)
         active = stored(found.groupBy("key").agg(F.max("turn").alias("after")), "active")

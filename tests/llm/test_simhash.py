@@ -166,3 +166,20 @@ def test_partners_come_in_turn_and_none_is_passed_over():
         np.maximum.at(after, me, turn)
     assert offered == {(x, y) for x in range(14) for y in range(14) if group[x] != group[y]}
     assert not len(simhash.wide_next(a, None, group, keys, after, 8)[0])
+
+
+def test_counts_by_parts_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(12)
+    sets = []
+    for n in (1, 5, 40, 300, 3000):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for share in (0, 0.05, 0.1, 0.11, 0.12, 0.2, 0.5):
+            new = base.copy()
+            new[: int(n * share)] = rng.integers(0, 2**63, int(n * share), dtype=np.uint64)
+            sets.append(np.unique(new))
+    counts = np.frombuffer(b"".join(map(simhash.part_counts, sets)), "<u2").reshape(len(sets), -1)
+    sizes = np.array(list(map(len, sets)))
+    i, j = np.triu_indices(len(sets), 1)
+    can = simhash.may_reach(counts, sizes, i, j, 0.8)
+    similar = np.array([len(np.intersect1d(sets[x], sets[y])) >= 0.8 * len(np.union1d(sets[x], sets[y])) for x, y in zip(i, j, strict=True)])
+    assert can[similar].all() and similar.sum() > 20 and (~can).sum() > 0.8 * (~similar).sum()
