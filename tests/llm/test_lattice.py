@@ -97,7 +97,7 @@ def test_document_scores_by_definition(spark):
     want = sorted((str(i), sum(math.log10(probability(w)) for w in [*(t or "").encode().split(), lattice.END])) for i, t in rows)
     assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-6)
     clashing = docs.selectExpr("doc_id", "text", "1 as word", "2 as chunk", "3 as score", "4 as c", "5 as DATA")
-    again = sorted((str(r.doc_id), r.score) for r in lattice.scored(clashing, learnt, PATH, chunk_bytes=40).collect())
+    again = sorted((str(r.doc_id), r.score) for r in lattice.scored(clashing, learnt, PATH).collect())
     assert [i for i, _ in again] == [i for i, _ in got] and [x for _, x in again] == pytest.approx([x for _, x in got])
 
 
