@@ -191,11 +191,12 @@ def told(m: Callable[[str], Column], of: str) -> Metrics:
             "bursts": m("bursts"), "burst": m("burst"), "bursts_a_km": m("bursts") / whole,
         }
     if of == "hiking":
-        a_km = F.coalesce(ratio(m("gain"), m("km")), F.lit(0.0))
-        score, moving = a_km * 10 + m("steepness") / 2, m("moving_seconds").cast("double")
+        fine = lambda x: half_up(x, 9)  # noqa: E731 (running sums carry noise that would decide a tie of the roundings below)
+        a_km = fine(F.coalesce(ratio(fine(m("gain")), fine(m("km"))), F.lit(0.0)))
+        score, moving = fine(a_km * 10 + m("steepness") / 2), m("moving_seconds").cast("double")
         return {
-            "gain_a_km": a_km, "steepest": m("steepest"), "gain_to_loss": F.coalesce(ratio(m("gain"), m("loss")), F.lit(0.0)), "climb_speed": half_up(m("up_speed"), 1), "climb_time": half_up(ratio(m("up_seconds").cast("double"), moving) * 100).cast("int"),
-            "climb_grade": half_up(ratio(m("up_gain"), m("up_km") * 1000) * 100).cast("int"), "descent_speed": half_up(m("down_speed"), 1), "descent_top": half_up(m("down_top"), 1), "descent_time": half_up(ratio(m("down_seconds").cast("double"), moving) * 100).cast("int"),
+            "gain_a_km": a_km, "steepest": m("steepest"), "gain_to_loss": fine(F.coalesce(ratio(fine(m("gain")), fine(m("loss"))), F.lit(0.0))), "climb_speed": half_up(m("up_speed"), 1), "climb_time": half_up(ratio(m("up_seconds").cast("double"), moving) * 100).cast("int"),
+            "climb_grade": half_up(fine(ratio(fine(m("up_gain")), fine(m("up_km")) * 1000) * 100)).cast("int"), "descent_speed": half_up(m("down_speed"), 1), "descent_top": half_up(m("down_top"), 1), "descent_time": half_up(ratio(m("down_seconds").cast("double"), moving) * 100).cast("int"),
             "difficulty_score": score, "difficulty": stage(score, [(15, "very_hard"), (10, "hard"), (5, "moderate"), "easy"]),
         }
     return {}
