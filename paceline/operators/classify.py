@@ -144,7 +144,7 @@ def stream_features(points: DataFrame, zones: list[tuple[float, float]] = ()) ->
     for k, (low, high) in reversed(list(enumerate(zones))):
         zone = F.when((hr >= low) & ((F.lit(high) == -1) | (hr < high)), k).otherwise(zone)
     at = points.withColumns({
-        "_pace": F.when((pace >= 2) & (pace <= 20), pace), "_speed": F.when(moved, step / F.col("d_time") * 3600), "_t": F.sum("d_time").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_late": F.col("km") >= F.max("km").over(Window.partitionBy("activity_id")) / 2,
+        "_pace": F.when((pace >= 2) & (pace <= 20), pace), "_speed": F.when(moved, step / F.col("d_time") * 3600), "_t": F.sum("d_time").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_late": half_up(F.col("km"), 9) >= half_up(F.max("km").over(Window.partitionBy("activity_id")) / 2, 9),
         "_first": F.lag("idx").over(w).isNull(), "_hr": hr, "_zone": F.when(F.col("d_time") > 0, zone),
     })
     cv = lambda c: F.when(F.count(c) >= 2, F.stddev_pop(c) / F.nullif(F.avg(c), F.lit(0.0)) * 100).otherwise(0.0)
