@@ -93,17 +93,20 @@ def wind_summary(samples: DataFrame, keys: list[str], route: Column, wind_from:
 def workout_class(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Trail, long (a distance of the upper fifth, not a race), race, hard or easy against the mean load, else other.
 
-    The upper fifth starts at the sorted distance at floor(0.8 n)."""
+    The upper fifth starts at the sorted distance at floor(0.8 n). Loads are compared with their mean by exact sums to six
+    decimals, so a load of just half or one and a half times the mean is told alike in any order of the rows."""
     w = Window.partitionBy(*keys)
+    load = F.col("tss").cast("decimal(18,6)")
+    twice, total = load * 2 * F.count("tss").over(w), F.sum(load).over(w)
     at = F.least(F.floor(F.count("distance").over(w) * 0.8), F.count("distance").over(w) - 1)
-    ranked = runs.withColumn("_mean", F.avg("tss").over(w)).withColumns({"_at": at, "_k": F.row_number().over(w.orderBy(F.asc_nulls_last("distance"))) - 1})
+    ranked = runs.withColumns({"_hard": twice > total * 3, "_easy": twice < total, "_at": at, "_k": F.row_number().over(w.orderBy(F.asc_nulls_last("distance"))) - 1})
     ranked = ranked.withColumn("_long", F.max(F.when(F.col("_k") == F.col("_at"), F.col("distance"))).over(w))
     race = F.coalesce(F.col("workout_type") == 1, F.lit(False))
     kind = (
-        F.when(F.col("sport_type") == "TrailRun", "trail").when((F.col("distance") >= F.col("_long")) & ~race, "long").when(race, "race").when(F.col("tss") > 1.5 * F.col("_mean"), "hard")
-        .when(F.col("tss") < 0.5 * F.col("_mean"), "easy").otherwise("other")
+        F.when(F.col("sport_type") == "TrailRun", "trail").when((F.col("distance") >= F.col("_long")) & ~race, "long").when(race, "race").when(F.col("_hard"), "hard")
+        .when(F.col("_easy"), "easy").otherwise("other")
     )
-    return ranked.withColumn("workout", kind).drop("_mean", "_long", "_at", "_k")
+    return ranked.withColumn("workout", kind).drop("_hard", "_easy", "_long", "_at", "_k")
 
 
 def track_stats(points: DataFrame) -> DataFrame:
