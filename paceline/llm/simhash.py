@@ -208,16 +208,36 @@ def shingle_set(data: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
     return np.sort(np.fromiter(found, np.uint64, len(found)))
 
 
-def wide(data: bytes, width: int = 5, seed: int = 42) -> tuple[int, bytes]:
-    """A key of the set of the text's shingles, and its SimHash of 256 bits."""
-    own = shingle_set(data, width, seed)
+def set_key(own: np.ndarray, seed: int = 42) -> int:
+    """A key of a set of shingles."""
+    return int(np.uint64(xxhash.xxh64_intdigest(own.astype("<u8").tobytes(), seed)).astype(np.int64))
+
+
+#: Shingles are counted by so many slots of the range of their hashes, held in blocks.
+SLOTS, SLOT_BLOCK = 1 << 20, 1024
+
+
+def slots(own: np.ndarray) -> np.ndarray:
+    return (own >> np.uint64(20)).astype(np.int64) % SLOTS
+
+
+def rare_shingles(own: np.ndarray, often: np.ndarray, least: float) -> np.ndarray:
+    """Those shingles of a set that come first in the order by how often their slot is met, then by hash: so many that two sets with a Jaccard
+    similarity of ``least`` share one of theirs, whatever the order. None where only an equal set is similar enough."""
+    n = len(own)
+    if n == 0 or (least * n > n - 1 and least * (n + 1) > n):
+        return own[:0]
+    return own[np.lexsort((own, often[slots(own)]))[: n - int(np.ceil(least * n - 1e-9)) + 1]]
+
+
+def wide(own: np.ndarray, seed: int = 42) -> tuple[int, bytes]:
+    """A key of a set of shingles, and its SimHash of 256 bits."""
     ones = np.zeros(256, np.int64)
     with np.errstate(over="ignore"):
         for k in range(0, len(own), 4096):
             part = np.stack([mixed(own[k : k + 4096] + np.uint64(c)) for c in (1, 2, 3, 4)], axis=1).astype("<u8")
             ones += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    key = np.uint64(xxhash.xxh64_intdigest(own.astype("<u8").tobytes(), seed)).astype(np.int64)
-    return int(key), np.packbits(ones * 2 > len(own), bitorder="little").tobytes()
+    return set_key(own, seed), np.packbits(ones * 2 > len(own), bitorder="little").tobytes()
 
 
 def near_wide(a: np.ndarray, b: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -321,18 +341,33 @@ def wide_next(a: np.ndarray, b: np.ndarray | None, group: np.ndarray, keys: np.n
     return first_few(held)
 
 
-def candidates(classes: DataFrame, tile: int = WIDE_TILE) -> DataFrame:
-    """Pairs ``a, b`` of keys that may be similar, from ``classes`` (``key, wide, ones, group``), by tile pairs: a spanning forest of each."""
-    dealt = tile_pairs(classes.select("key", "wide", "ones", "group"), "key", "ones", WIDE, tile)
-    if dealt is None:
-        return classes.sparkSession.createDataFrame([], "a long, b long")
+#: Small blocks are put together to units of so many rows, on average.
+UNIT = 4096
+
+
+def block_pairs(rows: DataFrame, tile: int) -> DataFrame:
+    """``rows`` (with ``key`` and ``block``) dealt so that any two of one block meet, as ``pair``, ``first``, ``same`` and the other columns of ``rows``, as
+    ``tile_pairs`` does. Small blocks share a unit; one of more than ``tile`` rows is a unit of its own, cut into tiles that meet two by two. A key is
+    once in a unit."""
+    sizes = rows.groupBy("block").agg(F.count("*").alias("n"))
+    units = max(1, -(-rows.count() // min(UNIT, tile)))
+    large = F.broadcast(sizes.where(F.col("n") > tile).select("block", (F.ceil(F.col("n") / tile)).cast("int").alias("parts_of")))  # at most a row a tile
+    own = rows.join(large, "block", "left").withColumn("unit", F.when(F.col("parts_of").isNull(), F.concat(F.lit("u"), F.pmod(F.xxhash64("block"), F.lit(units)))).otherwise(F.col("block").cast("string")))
+    own = own.drop("block").dropDuplicates(["unit", "key"]).withColumn("parts_of", F.coalesce("parts_of", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("parts_of")).cast("int"))
+    both = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts_of") - 1))).withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
+    return both.select(F.concat_ws(":", "unit", "lo", "hi").alias("pair"), (F.col("mine") == F.col("lo")).alias("first"), (F.col("lo") == F.col("hi")).alias("same"), *(c for c in rows.columns if c != "block"))
+
+
+def candidates(rows: DataFrame, tile: int = WIDE_TILE) -> DataFrame:
+    """Pairs ``a, b`` of near keys, from ``rows`` (``key, wide, group, block``): of each block at least a spanning forest."""
+    dealt = block_pairs(rows, tile)
 
     def compare(table: pa.Table) -> pa.Table:
         n, keys, group, fps, _ = unpacked(table)
         i, j = wide_forest(fps[:n], None if table.column("same")[0].as_py() else fps[n:], group)
         return pa.table({"a": np.minimum(keys[i], keys[j]), "b": np.maximum(keys[i], keys[j])})
 
-    return dealt.drop("ones").repartition(partitions(classes.sparkSession, 2), "pair").groupBy("pair").applyInArrow(compare, "a long, b long")
+    return dealt.repartition(partitions(rows.sparkSession, 2), "pair").groupBy("pair").applyInArrow(compare, "a long, b long")
 
 
 def unpacked(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -344,12 +379,10 @@ def unpacked(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray,
 
 
 def next_partners(rows: DataFrame, most: int, tile: int = WIDE_TILE, least: float = 0.8) -> DataFrame:
-    """``key, partner, turn``: for each row of ``rows`` (``key, wide, ones, group, after``) its next ``most`` near rows of other groups. Where rows have
-    ``size`` and ``parts`` too, only those whose sets can be similar by ``least``."""
-    columns = ["key", "wide", "ones", "group", "after", *(c for c in ("size", "parts") if c in rows.columns)]
-    dealt = tile_pairs(rows.select(columns), "key", "ones", WIDE, tile)
-    if dealt is None:
-        return rows.sparkSession.createDataFrame([], "key long, partner long, turn long")
+    """``key, partner, turn``: for each row of ``rows`` (``key, wide, group, block, after``) its next ``most`` near rows of other groups in its block. Where rows
+    have ``size`` and ``parts`` too, only those whose sets can be similar by ``least``."""
+    columns = ["key", "wide", "group", "block", "after", *(c for c in ("size", "parts") if c in rows.columns)]
+    dealt = block_pairs(rows.select(columns), tile)
 
     def compare(table: pa.Table) -> pa.Table:
         n, keys, group, fps, order = unpacked(table)
@@ -361,32 +394,63 @@ def next_partners(rows: DataFrame, most: int, tile: int = WIDE_TILE, least: floa
         me, other, turn = wide_next(fps[:n], None if table.column("same")[0].as_py() else fps[n:], group, keys, table.column("after").to_numpy()[order], most, can)
         return pa.table({"key": keys[me], "partner": keys[other], "turn": turn})
 
-    found = dealt.drop("ones").repartition(partitions(rows.sparkSession, 2), "pair").groupBy("pair").applyInArrow(compare, "key long, partner long, turn long")
+    found = dealt.repartition(partitions(rows.sparkSession, 2), "pair").groupBy("pair").applyInArrow(compare, "key long, partner long, turn long")
     place = F.row_number().over(Window.partitionBy("key").orderBy("turn"))  # a few of each tile pair
     return found.withColumn("place", place).where(F.col("place") <= most).drop("place")
 
 
+def _in_blocks(classes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``key, wide, group, block`` of the classes in blocks (``node, root``, where a root is no node of its own or its own)."""
+    of = blocks.select(F.col("node").alias("key"), F.col("root").alias("block")).union(blocks.select("root", "root")).distinct()
+    return classes.select("key", "wide", "group").join(of, "key")
+
+
 def similar(docs: DataFrame, least: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", tile: int = WIDE_TILE) -> DataFrame:
     """``id_col, component_id`` per row: components of links between texts whose sets of shingles have a Jaccard similarity
     of ``least`` or more. Ids as in ``groups``, but an id must name one text, as ``keep_one_similar`` sees to.
 
-    Near fingerprints only propose; each proposed pair is confirmed on the whole sets, which are made anew for the texts of
-    proposed pairs. The first round proposes a spanning forest over the tiles, which joins large groups by few pairs. Then
+    Two similar texts share one of their rarest fifth of shingles (``rare_shingles``: for any ``least`` that part in which they
+    must), so only texts that share one of these meet, and the work grows with the texts and not with their pairs. Near
+    fingerprints among them only propose; each proposed pair is confirmed on the whole sets, which are made anew for the texts
+    of proposed pairs. The first round proposes a spanning forest of each set of texts that share a rare shingle, which joins
+    large groups by few pairs; its components are the blocks that no similar pair crosses. Then inside its block
     each text proposes its near texts outside its own group in turn, from the closest on, in rounds of 1, 2, 4 ... at a
     time, until it has none left; it then takes no part in later rounds. From the second of these rounds on, pairs whose
     sets can't be similar by their counts of shingles in parts of the range of hashes are left out, so families that stay
-    below ``least`` end soon. Every pair of near fingerprints is confirmed, refuted, or inside one group already, and no
-    near pair is passed over."""
+    below ``least`` end soon. Every pair of near fingerprints in a block is confirmed, refuted, or inside one group already,
+    and no near pair is passed over."""
     spark = docs.sparkSession
     bounded_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(id_col, F.encode(F.col(text_col), "UTF-8").alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text, with ``at`` null, and after them the counts of all slots that were met, in blocks numbered by ``at``."""
+        met, schema = np.zeros(SLOTS, np.int64), None
+        for batch in batches:
+            sets = [shingle_set(x or b"", width) for x in batch.column(1).to_pylist()]
+            for one in sets:
+                np.add.at(met, slots(one), 1)
+            own = [wide(x) for x in sets]
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in own], pa.int64()), pa.array([f for _, f in own], pa.binary()), pa.nulls(len(own), pa.int32())], [id_col, "key", "wide", "at"])
+            schema = out.schema
+            yield out
+        held = met.reshape(-1, SLOT_BLOCK)
+        some = np.flatnonzero(held.any(axis=1))
+        for k in range(0, len(some), 64):
+            part = some[k : k + 64]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), schema.field(0).type), pa.nulls(len(part), pa.int64()), pa.array([held[x].astype("<i8").tobytes() for x in part], pa.binary()), pa.array(part, pa.int32())], schema=schema)
+
+    def summed(table: pa.Table) -> pa.Table:
+        whole = np.sum([np.frombuffer(x, "<i8") for x in table.column("wide").to_pylist()], axis=0)
+        return pa.table({"at": table.column("at").slice(0, 1), "met": pa.array([whole.astype("<i8").tobytes()], pa.binary())})
+
+    def rare_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [wide(x or b"", width) for x in batch.column(1).to_pylist()]
-            ones = np.bitwise_count(np.frombuffer(b"".join(f for _, f in own), "<u8").reshape(-1, 4)).sum(axis=1, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in own], pa.int64()), pa.array([f for _, f in own], pa.binary()), pa.array(ones, pa.int32())], [id_col, "key", "wide", "ones"])
+            sets = [shingle_set(x or b"", width) for x in batch.column(0).to_pylist()]
+            rare = [rare_shingles(x, often, least) for x in sets]
+            keys = np.repeat(np.array([set_key(x) for x in sets], np.int64), list(map(len, rare)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *rare]).view(np.int64)), pa.array(keys)], ["shingle", "key"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -415,29 +479,41 @@ def similar(docs: DataFrame, least: float = 0.8, width: int = 5, id_col: str = "
         roots = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
         sizes = classes.groupBy("group").agg(F.count("*").alias("n"))
         moved = spread_join(classes, roots.withColumnRenamed("node", "group"), "group", sizes, total, "key", "left")
-        return stored(moved.select("key", "least", "wide", "ones", F.coalesce("root", "group").alias("group")), "classes")
+        return stored(moved.select("key", "least", "wide", F.coalesce("root", "group").alias("group")), "classes")
 
-    rows = stored(texts.mapInArrow(run, f"{id_col} {kind}, key long, wide binary, ones int"), "wide")
-    classes = stored(rows.groupBy("key").agg(F.min(id_col).alias("least"), F.min("wide").alias("wide"), F.min("ones").alias("ones"), F.count("*").alias("n"), F.col("key").alias("group")), "classes")
+    wides = stored(texts.mapInArrow(run, f"{id_col} {kind}, key long, wide binary, at int"), "wide")
+    rows = wides.where("at is null")
+    classes = stored(rows.groupBy("key").agg(F.min(id_col).alias("least"), F.min("wide").alias("wide"), F.count("*").alias("n"), F.col("key").alias("group")), "classes")
     counts = stored(classes.select("key", "n"), "counts")
     total = counts.count()
-    pairs = stored(candidates(classes, tile).distinct(), "pairs")
-    told, seen, active, parts, most, spent = confirmed(pairs), [], None, None, 1, [rows, counts]
+    often = np.zeros((SLOTS // SLOT_BLOCK, SLOT_BLOCK), np.int64)
+    for r in wides.where("at is not null").select("at", "wide").groupBy("at").applyInArrow(summed, "at int, met binary").collect():  # SLOTS numbers, however many texts
+        often[r["at"]] = np.frombuffer(r["met"], "<i8")
+    often = np.minimum(often, 2**31 - 1).astype(np.int32).reshape(-1)
+    shared = texts.select("data").mapInArrow(rare_of, "shingle long, key long").groupBy("shingle").agg(F.array_sort(F.collect_set("key")).alias("keys")).where(F.size("keys") > 1).select("keys").distinct()
+    # sets of keys of one family mostly begin with the same key, so they come to one block
+    meets = stored(shared.select(F.get("keys", F.lit(0)).alias("block"), F.explode("keys").alias("key")).distinct(), "meets")
+    pairs = stored(candidates(meets.join(classes.select("key", "wide", "group"), "key"), tile).distinct(), "pairs")
+    discard(meets)
+    blocks = stored(components(pairs), "blocks")
+    told, seen, active, parts, most, spent = confirmed(pairs), [], None, None, 1, [wides, counts, blocks]
     while True:
         discard(pairs)
         before = classes
         classes = regrouped(told)
         discard(before)
         seen.append(told)
-        marks = classes.select("key", "wide", "ones", "group")
         if active is None:
-            going = marks.withColumn("after", F.lit(-1).cast("long"))
+            marks = stored(_in_blocks(classes, blocks), "marks")  # texts outside are in no near pair
+            open_blocks = marks.groupBy("block").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a < b").select("block")
+            going = marks.join(open_blocks, "block", "left_semi").withColumn("after", F.lit(-1).cast("long"))
+            spent.append(marks)
         else:
             if parts is None:  # of the texts that are still active, which only become fewer
                 ids = active.join(classes, "key").select("key", F.col("least").alias(id_col))
                 parts = stored(texts.join(ids, id_col).select("key", "data").mapInArrow(parts_of, "key long, size long, parts binary").dropDuplicates(["key"]), "parts")
                 spent.append(parts)
-            going = marks.join(active, "key").join(parts, "key")
+            going = _in_blocks(classes.join(active, "key", "left_semi"), blocks).join(active, "key").join(parts, "key")
         found = stored(next_partners(going, most, tile, least), "found")
         if active is not None:
             discard(active)

@@ -183,3 +183,29 @@ def test_counts_by_parts_never_rule_out_a_similar_pair():
     can = simhash.may_reach(counts, sizes, i, j, 0.8)
     similar = np.array([len(np.intersect1d(sets[x], sets[y])) >= 0.8 * len(np.union1d(sets[x], sets[y])) for x, y in zip(i, j, strict=True)])
     assert can[similar].all() and similar.sum() > 20 and (~can).sum() > 0.8 * (~similar).sum()
+
+
+def test_similar_sets_share_a_rare_shingle():
+    rng = np.random.default_rng(3)
+    often = rng.integers(0, 4, simhash.SLOTS).astype(np.int32)
+    met = 0
+    for n in (4, 5, 9, 10, 40, 300):
+        for new in range(n // 4 + 1):
+            for extra in range(n // 4 + 1):
+                base = rng.integers(0, 2**63, n + extra + new, dtype=np.uint64)
+                a, b = np.unique(base[: n + extra]), np.unique(np.concatenate([base[: n - new], base[n + extra :]]))
+                both = len(np.intersect1d(a, b))
+                if len(a) != len(b) and both >= 0.8 * (len(a) + len(b) - both) or len(a) == len(b) and both >= 0.8 * (2 * len(a) - both) and both < len(a):
+                    met += 1
+                    assert len(np.intersect1d(simhash.rare_shingles(a, often, 0.8), simhash.rare_shingles(b, often, 0.8)))
+    assert met > 100
+
+
+def test_rows_dealt_grow_with_the_rows(spark):
+    for n in (20_000, 80_000):
+        rows = spark.range(n).selectExpr("id as key", "id div 4 as block")
+        dealt = simhash.block_pairs(rows, simhash.WIDE_TILE)
+        assert dealt.count() == n and dealt.groupBy("pair").count().agg({"count": "max"}).first()[0] < 4 * simhash.UNIT
+    one = simhash.block_pairs(spark.range(1000).selectExpr("id as key", "7L as block"), 300)  # a large block meets itself by tiles
+    met = {(a, b) for r in one.groupBy("pair").agg({"key": "collect_list"}).collect() for a in r[1] for b in r[1]}
+    assert len(met) == 1000 * 1000
