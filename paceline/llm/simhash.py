@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from paceline.llm.common import bounded_batches, components, discard, mixed, partitions, read_table, spread_join, stored, unused
+from paceline.llm.common import bounded_batches, components, contracted, discard, mixed, partitions, read_table, spread_join, stored, unused
 
 NUMBERS = (ByteType, ShortType, IntegerType, LongType)
 
@@ -414,7 +414,7 @@ def similar(docs: DataFrame, least: float = 0.8, width: int = 5, id_col: str = "
     fingerprints among them only propose; each proposed pair is confirmed on the whole sets, which are made anew for the texts
     of proposed pairs. The first round proposes a spanning forest of each set of texts that share a rare shingle, which joins
     large groups by few pairs; its components are the blocks that no similar pair crosses. Then inside its block
-    each text proposes its near texts outside its own group in turn, from the closest on, in rounds of 1, 2, 4 ... at a
+    each text proposes its near texts outside its own group in turn, from the closest on, in rounds of 1, 4, 16 ... at a
     time, until it has none left; it then takes no part in later rounds. From the second of these rounds on, pairs whose
     sets can't be similar by their counts of shingles in parts of the range of hashes are left out, so families that stay
     below ``least`` end soon. Every pair of near fingerprints in a block is confirmed, refuted, or inside one group already,
@@ -476,7 +476,7 @@ def similar(docs: DataFrame, least: float = 0.8, width: int = 5, id_col: str = "
         """``classes`` with the groups that the links of ``told`` join; links are between members, groups are named by their roots."""
         name = classes.select("key", "group")
         ends = told.where("holds").select("a", "b").join(name.select(F.col("key").alias("a"), F.col("group").alias("x")), "a").join(name.select(F.col("key").alias("b"), F.col("group").alias("y")), "b")
-        roots = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        roots = components(contracted(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))))
         sizes = classes.groupBy("group").agg(F.count("*").alias("n"))
         moved = spread_join(classes, roots.withColumnRenamed("node", "group"), "group", sizes, total, "key", "left")
         return stored(moved.select("key", "least", "wide", F.coalesce("root", "group").alias("group")), "classes")
@@ -495,13 +495,14 @@ def similar(docs: DataFrame, least: float = 0.8, width: int = 5, id_col: str = "
     meets = stored(shared.select(F.get("keys", F.lit(0)).alias("block"), F.explode("keys").alias("key")).distinct(), "meets")
     pairs = stored(candidates(meets.join(classes.select("key", "wide", "group"), "key"), tile).distinct(), "pairs")
     discard(meets)
-    blocks = stored(components(pairs), "blocks")
+    blocks = stored(components(contracted(pairs)), "blocks")
     told, seen, active, parts, most, spent = confirmed(pairs), [], None, None, 1, [wides, counts, blocks]
     while True:
         discard(pairs)
-        before = classes
-        classes = regrouped(told)
-        discard(before)
+        if not told.where("holds").isEmpty():  # else the groups are as they were
+            before = classes
+            classes = regrouped(told)
+            discard(before)
         seen.append(told)
         if active is None:
             marks = stored(_in_blocks(classes, blocks), "marks")  # texts outside are in no near pair
@@ -514,7 +515,9 @@ def similar(docs: DataFrame, least: float = 0.8, width: int = 5, id_col: str = "
                 parts = stored(texts.join(ids, id_col).select("key", "data").mapInArrow(parts_of, "key long, size long, parts binary").dropDuplicates(["key"]), "parts")
                 spent.append(parts)
             going = _in_blocks(classes.join(active, "key", "left_semi"), blocks).join(active, "key").join(parts, "key")
+        going = stored(going, "going")  # it is read more than once
         found = stored(next_partners(going, most, tile, least), "found")
+        discard(going)
         if active is not None:
             discard(active)
         active = stored(found.groupBy("key").agg(F.max("turn").alias("after")), "active")
@@ -526,7 +529,7 @@ def similar(docs: DataFrame, least: float = 0.8, width: int = 5, id_col: str = "
         if active.isEmpty():
             break
         told = confirmed(pairs)
-        most *= 2
+        most *= 4  # each round costs the driver some twenty small jobs
     for table in (pairs, active, *seen):
         discard(table)
     out = stored(_labelled(rows.select(id_col, "key"), classes.select("key", "least", F.col("group").alias("root")), counts, "key", id_col).select(id_col, "component_id"), "similar")

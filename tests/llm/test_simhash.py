@@ -209,3 +209,26 @@ def test_rows_dealt_grow_with_the_rows(spark):
     one = simhash.block_pairs(spark.range(1000).selectExpr("id as key", "7L as block"), 300)  # a large block meets itself by tiles
     met = {(a, b) for r in one.groupBy("pair").agg({"key": "collect_list"}).collect() for a in r[1] for b in r[1]}
     assert len(met) == 1000 * 1000
+
+
+def test_contracted_links_have_the_same_components(spark):
+    from paceline.llm.common import components, contracted
+
+    edges = [(k, k + 1) for k in range(0, 90)] + [(200 - k, 199 - k) for k in range(0, 50)] + [(7, 7), (300, None), (95, 200)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    want = {(r.node, r.root) for r in components(df).collect()}
+    assert want == {(k, 0) for k in range(1, 91)} | {(k, 95) for k in range(150, 201)}
+    for at_once in (1, 20, 1 << 18):
+        assert {(r.node, r.root) for r in components(contracted(df, at_once)).collect()} == want
+    stars = contracted(spark.createDataFrame(edges[:90], "a long, b long").coalesce(1)).collect()
+    assert {(r.a, r.b) for r in stars} == {(k, 0) for k in range(1, 91)}
+
+
+def test_links_to_the_root_settle_in_one_round(spark, monkeypatch):
+    from paceline.llm import common
+
+    made, stored = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name="table": made.append(name) or stored(df, name))
+    star = spark.createDataFrame([(k, 0) for k in range(1, 20)], "a long, b long")
+    assert common.components(star).count() == 19
+    assert made == ["edges"] * 2
