@@ -205,14 +205,16 @@ def told(m: Callable[[str], Column], of: str) -> Metrics:
 KINDS = {"running": running, "trail": trail, "cycling": cycling, "gravel": gravel, "hiking": hiking}
 
 
-def analysed(points: DataFrame, kinds: tuple[str, ...] = tuple(KINDS), fatigue: bool = True, wind: tuple[Column, Column] | None = None, climbs: dict | None = None, stop_seconds: int = 5) -> DataFrame:
+def analysed(points: DataFrame, kinds: tuple[str, ...] = tuple(KINDS), fatigue: bool = True, wind: tuple[Column, Column] | None = None, climbs: dict | None = None, stop_seconds: int = 5, acceleration_scale: float = 1.0) -> DataFrame:
     """A row for each activity with the sums and results of the analyses asked for, whatever its sport.
 
     Columns: those of ``base``, ``climbs`` and ``stops``, a struct for each of ``kinds``, with ``fatigue`` its summary, and with ``wind``
     (speed and direction, columns of ``points``) ``aero``. ``points`` has a row for each sample: ``activity_id, idx, ts, speed, grade, moving,
-    elevation, step_m, heart_rate, power, cadence, bearing``. ``sport_type``, where given, is kept.
+    elevation, step_m, heart_rate, power, cadence, bearing``. ``sport_type``, where given, is kept. Accelerations are taken ``acceleration_scale`` times.
     """
     samples = facts(points)
+    if acceleration_scale != 1.0:
+        samples = samples.withColumn("acceleration", F.col("acceleration") * acceleration_scale)
     sums = base()
     for k in kinds:
         sums |= KINDS[k]()

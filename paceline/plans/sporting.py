@@ -46,12 +46,11 @@ def gravel_terrain(spark, sf_dir):
     return g.select("activity_id", F.col("roughness").cast("double").alias("roughness"), "speed_variation", "rise_variation", "surface", F.col("technical_score").cast("double").alias("technical_score"), "difficulty")
 
 
-#: Samples of the tables are minutes apart, so speeds are taken a hundred times as large here.
+#: Samples of the tables are minutes apart, so accelerations are taken a hundred times as large here (once divided by time, as in the SQL: the order decides ties).
 @query(f"""WITH {FACTS}, a AS (SELECT activity_id, km, later, acceleration * 100 AS a FROM x), g AS (SELECT activity_id, max(km) AS km, count(*) FILTER (later AND a < -0.5) AS brakings, avg(-a) FILTER (later AND a < -0.5) AS braking, count(*) FILTER (later AND a > 0.5) AS bursts, avg(a) FILTER (later AND a > 0.5) AS burst FROM a GROUP BY 1)
 SELECT activity_id, brakings, {number('coalesce(braking, 0)', 4)} AS braking, {number(f'brakings / {WHOLE}', 4)} AS brakings_a_km, bursts, {number('coalesce(burst, 0)', 4)} AS burst, {number(f'bursts / {WHOLE}', 4)} AS bursts_a_km FROM g""")
 def gravel_braking(spark, sf_dir):
-    p = A.points(spark, sf_dir).withColumn("speed", F.col("speed") * 100)
-    g = sports.analysed(p, kinds=("gravel",), fatigue=False).select("activity_id", "gravel.*")
+    g = sports.analysed(A.points(spark, sf_dir), kinds=("gravel",), fatigue=False, acceleration_scale=100.0).select("activity_id", "gravel.*")
     return rounded(g.select("activity_id", "brakings", "braking", "brakings_a_km", "bursts", "burst", "bursts_a_km"), braking=4, brakings_a_km=4, burst=4, bursts_a_km=4)
 
 

@@ -35,3 +35,23 @@ def test_gain_on_a_tie_is_rounded_up(spark):
     for r in got:
         gain = 5001 + 2 * r.activity_id  # hundredths of a metre over 0.16 km: gain / 16 to thousandths, half up
         assert r.g == ((gain * 1000 * 2 + 16) // 32) / 1000
+
+
+def test_braking_on_a_tie_is_rounded_as_the_sql_rounds_it(spark, tmp_path):
+    import duckdb
+
+    from paceline.plans import registry, sporting  # noqa: F401
+
+    # two events each, 48 seconds apart: the change of speed lies just between two ten-thousandths
+    rows = []
+    for who, n in enumerate((351, 369, 405, 471, 483)):
+        for up in (0, 1):
+            for k, v in enumerate((0.0, n / 100) if up else (n / 100, 0.0)):
+                rows.append((4 * who + 2 * up + k, dt.datetime(2024, 1, 1, 0, 0, 48 * k), 2 * who + up, "view", v))
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    columns = ["activity_id", "brakings", "braking", "bursts", "burst"]
+    want = con.execute(f"select {', '.join(columns)} from ({registry.ORACLES['gravel_braking']}) order by 1").fetchall()
+    got = registry.QUERIES["gravel_braking"](spark, str(tmp_path)).select(columns).orderBy("activity_id").collect()
+    assert [tuple(r) for r in got] == want
