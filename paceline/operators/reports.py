@@ -162,7 +162,7 @@ def coach_context(df: DataFrame, keys: list[str], as_of: str, months: int = 12)
     longest = lambda held: F.max_by(F.struct("day", "distance"), F.when(held, F.struct(F.coalesce("distance", F.lit(0.0)), -F.col("id"))))
     whole = df.groupBy(*keys).agg(
         *sums, F.min("day").alias("first_day"), F.max("day").alias("last_day"), longest(run).alias("longest_run"), longest(ride).alias("longest_ride"),
-        F.max_by(F.struct("day", speed.alias("speed")), F.when(ride & (speed > 0), F.struct(speed, -F.col("id")))).alias("fastest_ride"),
+        F.max_by(F.struct("day", speed.alias("speed")), F.when(ride & speed.isNotNull(), F.struct(speed, -F.col("id")))).alias("fastest_ride"),
     )
     runs = df.where(run).groupBy(*keys).agg(*best_in_window(df, keys, {"best_5k": (4800.0, 5500.0), "best_10k": (9500.0, 10500.0)}, speed))
     return whole.join(runs, keys, "left").join(by_sport, keys).join(by_month, keys, "left")

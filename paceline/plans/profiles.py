@@ -69,7 +69,7 @@ b AS (SELECT athlete_id, arg_max(day, (sp, -id)) FILTER (distance BETWEEN 4800 A
 SELECT w.athlete_id, w.n, first_day, last_day, sports, coalesce(months, 0) AS months, coalesce(recent, 0) AS recent, best_5k_day, best_5k_speed, longest_run_day, fastest_ride_day FROM w JOIN l ON l.athlete_id = w.athlete_id LEFT JOIN m ON m.athlete_id = w.athlete_id LEFT JOIN b ON b.athlete_id = w.athlete_id LEFT JOIN f ON f.athlete_id = w.athlete_id""")
 def coach_context(spark, sf_dir):
     c = R.coach_context(A.activities(spark, sf_dir), ["athlete_id"], "2024-01-28")
-    one = lambda s: F.concat_ws(" ", s["sport_type"], s["n"].cast("string"), F.coalesce(F.format_string("%.0f", S.half_up(s["hr"])), F.lit("-")))
+    one = lambda s: F.concat_ws(" ", s["sport_type"], s["n"].cast("string"), F.when(s["hr"].isNotNull(), F.format_string("%.0f", S.half_up(s["hr"]))).otherwise("-"))
     return c.select(
         "athlete_id", "n", "first_day", "last_day", F.array_join(F.transform("sports", one), ", ").alias("sports"), F.coalesce(F.size("months"), F.lit(0)).cast("long").alias("months"), F.coalesce(F.aggregate("months", F.lit(0).cast("long"), lambda a, m: a + m["n"]), F.lit(0)).alias("recent"),
         "best_5k_day", S.half_up(F.col("best_5k_speed"), 5).alias("best_5k_speed"), F.col("longest_run.day").alias("longest_run_day"), F.col("fastest_ride.day").alias("fastest_ride_day"),

@@ -55,3 +55,29 @@ def test_braking_on_a_tie_is_rounded_as_the_sql_rounds_it(spark, tmp_path):
     want = con.execute(f"select {', '.join(columns)} from ({registry.ORACLES['gravel_braking']}) order by 1").fetchall()
     got = registry.QUERIES["gravel_braking"](spark, str(tmp_path)).select(columns).orderBy("activity_id").collect()
     assert [tuple(r) for r in got] == want
+
+
+def told_by_both(spark, folder, rows, name, columns):
+    """Rows of a query over ``rows`` of events and of its SQL."""
+    import duckdb
+
+    from paceline.plans import registry
+
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    want = con.execute(f"select {columns} from ({registry.ORACLES[name]}) order by all").fetchall()
+    return [tuple(r) for r in registry.QUERIES[name](spark, str(folder)).selectExpr(*columns.split(", ")).orderBy(*columns.split(", ")).collect()], want
+
+
+def test_a_sport_without_heart_rates_has_a_dash(spark, tmp_path):
+    # every fifth event has no heart rate: one athlete's runs have none at all
+    rows = [(k, dt.datetime(2024, 1, 2, 3, k), u, kind, 50.0) for k, u, kind in ((0, 1, "click"), (5, 1, "click"), (1, 1, "view"), (10, 2, "signup"), (12, 2, "signup"))]
+    got, want = told_by_both(spark, tmp_path, rows, "coach_context", "athlete_id, sports")
+    assert got == want == [(1, "Run 2 -, Ride 1 111"), (2, "TrailRun 2 122")]
+
+
+def test_rides_without_distance_have_a_fastest(spark, tmp_path):
+    rows = [(k, dt.datetime(2024, 1, day), 1, "view", 0.0) for k, day in ((7, 3), (3, 5))]
+    got, want = told_by_both(spark, tmp_path, rows, "coach_context", "athlete_id, fastest_ride_day, longest_run_day")
+    assert got == want == [(1, dt.date(2024, 1, 5), None)]
