@@ -15,7 +15,8 @@ def spent(seconds: Column) -> Column:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", half_up(x, digits))
+    """``x`` with so many decimals, null for null, of which ``format_string`` would make the first letters of "null"."""
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", half_up(x, digits)))
 
 
 def rules(a: dict[str, Column]) -> list[tuple[str, Column, Column]]:

@@ -81,3 +81,10 @@ def test_rides_without_distance_have_a_fastest(spark, tmp_path):
     rows = [(k, dt.datetime(2024, 1, day), 1, "view", 0.0) for k, day in ((7, 3), (3, 5))]
     got, want = told_by_both(spark, tmp_path, rows, "coach_context", "athlete_id, fastest_ride_day, longest_run_day")
     assert got == want == [(1, dt.date(2024, 1, 5), None)]
+
+
+def test_insights_of_a_track_without_distance(spark, tmp_path):
+    # steps of every thirteenth event are zero: metres climbed have no mean per km
+    rows = [(13 * k, dt.datetime(2024, 1, 2, 3, k), 1, "view", 30000.0 * (k % 2)) for k in range(1, 4)]
+    got, want = told_by_both(spark, tmp_path, rows, "activity_insights", "activity_id, priority, code, text")
+    assert got == want and (1, 6, "gain", None) in got
