@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from paceline.functions.scalars import bound, clamp, half_up, ratio, riegel, vdot, vdot_time, week_start
+from paceline.functions.scalars import clamp, half_up, vdot, week_start
 from paceline.operators.aggregates import period_start
 from paceline.operators.joins import within_bands
 
@@ -101,34 +106,40 @@ def race_readiness(runs: DataFrame, keys: list[str], as_of: str, weeks: int = 8)
 
 
 def snapshots(runs: DataFrame, keys: list[str], granularity: str) -> DataFrame:
-    """Each athlete's periods with runs: ``end``, the day of the last run in it, and the runs up to it."""
-    per = runs.groupBy(*keys, period_start(F.col("day"), granularity).alias("period")).agg(F.max("day").alias("end"), F.count("*").alias("n"))
-    return per.withColumn("runs", F.sum("n").over(Window.partitionBy(*keys).orderBy("period").rowsBetween(Window.unboundedPreceding, 0))).drop("n")
+    """Each athlete's periods with runs: ``end``, the day of the last run in it, and ``n``, the runs in it."""
+    return runs.groupBy(*keys, period_start(F.col("day"), granularity).alias("period")).agg(F.max("day").alias("end"), F.count("*").alias("n"))
 
 
-def bests_so_far(runs: DataFrame, keys: list[str], ends: DataFrame, granularity: str, n: int = 3) -> DataFrame:
-    """``keys, period, bests``: for each period the best ``n`` runs by pace of each race distance up to its end, by distance and pace."""
+def bests_at_end(runs: DataFrame, keys: list[str], granularity: str, n: int = 3) -> DataFrame:
+    """``keys, period`` and ``bests_0`` to ``bests_6``, one of which is not null: the best ``n`` runs by pace of a race distance up to the end of a period with such runs."""
     km = F.col("distance") / 1000
     banded = within_bands(runs.where("moving_time > 0"), km, [(k, m) for k, m, _ in RACES])
     value = F.struct((F.col("moving_time") / km).alias("pace"), F.col("id"), km.alias("km"), F.col("moving_time").cast("double").alias("seconds"), F.col("target"))
     own = banded.select(*keys, "target", period_start(F.col("day"), granularity).alias("period"), value.alias("v"))
     state = as_of_best(own, [*keys, "target"], ["period", "v"], "v", n)
     at_end = state.groupBy(*keys, "target", "period").agg(F.max_by(F.array(*(f"best_{k}" for k in range(1, n + 1))), "v").alias("b"))  # the last row of the period is the largest
-    spine = ends.select(*keys, "period").withColumn("target", F.explode(F.array(*(F.lit(r[0]) for r in RACES))))
-    filled = spine.join(at_end, [*keys, "target", "period"], "left").withColumn("b", F.last("b", True).over(Window.partitionBy(*keys, "target").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)))
-    flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("target", F.array_compact("b").alias("b"))))), lambda s: s["b"]))
-    return filled.groupBy(*keys, "period").agg(flat.alias("bests"))
+    return at_end.select(*keys, "period", *(F.when(F.col("target") == r[0], F.array_compact("b")).alias(f"bests_{k}") for k, r in enumerate(RACES)))
 
 
-def vdot_so_far(runs: DataFrame, keys: list[str], ends: DataFrame, granularity: str, n: int = 5) -> DataFrame:
-    """``keys, period, vdot``: the mean of the best ``n`` scores up to the end of each period, null before the first."""
+def vdot_at_end(runs: DataFrame, keys: list[str], granularity: str, n: int = 5) -> DataFrame:
+    """``keys, period, vdot``: the mean of the best ``n`` scores up to the end of each period with runs that have one."""
     scored = runs.where("distance >= 3000 and moving_time > 0").withColumn("v", -vdot(F.col("distance"), F.col("moving_time"))).where("v < -10 and v > -100")
     state = as_of_best(scored.select(*keys, period_start(F.col("day"), granularity).alias("period"), "v", "id"), keys, ["period", "v", "id"], "v", n)
-    best = F.array_compact(F.array(*(f"best_{k}" for k in range(1, n + 1))))
-    mean = -F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(best)
-    at_end = state.groupBy(*keys, "period").agg(F.max_by(mean, F.struct("v", "id")).alias("vdot"))
+    best = [F.col(f"best_{k}") for k in range(1, n + 1)]
+    mean = -sum((F.coalesce(x, F.lit(0.0)) for x in best), F.lit(0.0)) / sum((x.isNotNull().cast("int") for x in best), F.lit(0))
+    return state.groupBy(*keys, "period").agg(F.max_by(mean, F.struct("v", "id")).alias("vdot"))
+
+
+def as_of(parts: list[DataFrame], keys: list[str], carried: list[str]) -> DataFrame:
+    """``parts``, which have other columns each, put together by ``keys, period``; columns ``carried`` keep the last value up to a period where it has none. One
+    exchange and one sort: the parts are stacked, not joined."""
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    rest = [c for c in stacked.columns if c not in (*keys, "period")]
+    one = stacked.repartition(*keys).groupBy(*keys, "period").agg(*(F.first(c, True).alias(c) for c in rest))
     w = Window.partitionBy(*keys).orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
-    return ends.select(*keys, "period").join(at_end, [*keys, "period"], "left").withColumn("vdot", F.last("vdot", True).over(w))
+    return one.withColumns({c: F.last(c, True).over(w) for c in carried} | {"runs": F.sum("n").over(w)})
 
 
 def recent_training(runs: DataFrame, keys: list[str], ends: DataFrame, weeks: int = 8) -> DataFrame:
@@ -141,27 +152,110 @@ def recent_training(runs: DataFrame, keys: list[str], ends: DataFrame, weeks: in
     return training(met, [*keys, "period"])
 
 
-def curve(bests: Column) -> Column:
-    """Coefficients (m, a, b, c) of seconds = a + b (ln km - m) + c (ln km - m)^2 by least squares, m the mean of ln km; null below three runs or without a solution."""
-    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, v: s + f(v))
+def curve(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients m, a, b, c of seconds = a + b (ln km - m) + c (ln km - m)^2 by least squares for each column of ``x`` (ln km) and ``y`` (seconds) where ``held``,
+    m being the mean of ln km; and for which columns there is one: not below three runs or without a solution."""
 
     def det(a, b, c, d, e, f, g, h, i):
         return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
 
-    def solved(m: Column, s: Column) -> Column:
-        n, s1, s2, s3, s4, t0, t1, t2 = (s[c] for c in ("n", "s1", "s2", "s3", "s4", "t0", "t1", "t2"))
-        tops = (det(t0, s1, s2, t1, s2, s3, t2, s3, s4), det(n, t0, s2, s1, t1, s3, s2, t2, s4), det(n, s1, t0, s1, s2, t1, s2, s3, t2))
-        fit = lambda whole: F.struct(m.alias("m"), *((top / whole).alias(c) for top, c in zip(tops, "abc", strict=True)))
-        return bound(det(n, s1, s2, s1, s2, s3, s2, s3, s4), lambda whole: F.when(F.abs(whole) > 1e-9, fit(whole)))
-
-    def sums(rows: Column) -> Column:
-        power = lambda k: (lambda r: F.pow(r["x"], F.lit(float(k))))
-        return F.struct(F.size(rows).cast("double").alias("n"), *(total(rows, power(k)).alias(f"s{k}") for k in (1, 2, 3, 4)), *(total(rows, lambda r, k=k: r["y"] * power(k)(r)).alias(f"t{k}") for k in (0, 1, 2)))
+    def total(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(values.shape[1])
+        for row in np.where(held, values, 0.0):  # one after the other, as a fold adds them
+            out += row
+        return out
+
+    n = held.sum(axis=0).astype(float)
+    with np.errstate(all="ignore"):
+        m = total(x) / n
+        x = x - m
+        s1, s2, s3, s4 = (total(x**k) for k in (1.0, 2.0, 3.0, 4.0))
+        t0, t1, t2 = total(y), total(y * x), total(y * x**2.0)
+        whole = det(n, s1, s2, s1, s2, s3, s2, s3, s4)
+        a, b, c = (top / whole for top in (det(t0, s1, s2, t1, s2, s3, t2, s3, s4), det(n, t0, s2, s1, t1, s3, s2, t2, s4), det(n, s1, t0, s1, s2, t1, s2, s3, t2)))
+        return m, a, b, c, (n >= 3) & (np.abs(whole) > 1e-9)
+
+
+def times_at(score: np.ndarray, metres: float) -> np.ndarray:
+    """``scalars.vdot_time`` for an array of scores."""
+
+    def miss(t: np.ndarray) -> np.ndarray:
+        v = metres / t
+        return (-4.60 + 0.182258 * v + 0.000104 * v * v) / (0.8 + 0.1894393 * np.exp(-0.012778 * t) + 0.2989558 * np.exp(-0.1932605 * t)) - score
+
+    t = np.full(len(score), metres / 1000.0 * 4.5)
+    with np.errstate(all="ignore"):
+        for _ in range(NEWTON_STEPS):
+            now = miss(t)
+            slope = (miss(t + 0.001) - now) / 0.001
+            t = np.where(np.abs(slope) < 1e-10, t, np.maximum(0.1, t - now / slope))
+    return np.where(score > 0, t * 60.0, np.nan)
+
+
+def blends(km: np.ndarray, seconds: np.ndarray, target: np.ndarray, held: np.ndarray, vdots: np.ndarray, scores: np.ndarray, mood: str, weights: dict[str, float]) -> np.ndarray:
+    """The mean prediction for each state (row) and race of ``REFERENCES`` (column), nan without any. The best runs of a state are the entries of a column of
+    ``km, seconds, target`` where ``held``; ``vdots`` has a score (or nan) and ``scores`` the readiness of each race for a state."""
+    start, end = MOODS[mood]
+    late = {k: p for k, _, p in RACES}
+    states = np.arange(held.shape[1])
+    out = np.full((len(states), len(REFERENCES)), np.nan)
+    with np.errstate(all="ignore"):
+        m, a, b, c, fits = curve(np.log(km), seconds, held)
+        for nth, (_, goal, *_) in enumerate(REFERENCES):
+            x = np.log(goal) - m
+            parts = [
+                (np.where(held & (np.abs(km - goal) >= 0.1), seconds * (goal / km) ** 1.06, np.nan), "riegel"), (np.where(fits, a + b * x + c * x * x, np.nan)[None], "curve"),
+                (np.where(held & (target == goal), seconds, np.nan), "best"), (times_at(vdots, goal * 1000)[None], "vdot"),
+            ]
+            parts[2] = (np.sort(parts[2][0], axis=0)[: max(1, int((held & (target == goal)).sum(axis=0).max(initial=0)))], "best")
+            parts.sort(key=lambda part: weights[part[1]])  # a stable sort by time then orders equal times by weight
+            time = np.concatenate([t for t, _ in parts]).T
+            weight = np.repeat([weights[source] for _, source in parts], [len(t) for t, _ in parts])
+            time = np.where(time > 0, time, np.inf)
+            order = np.argsort(time, axis=1, kind="stable")
+            time, weight = np.take_along_axis(time, order, axis=1).T, weight[order].T
+            n = np.isfinite(time).sum(axis=0)
+            # the middle one made slower by what preparation lacks takes its place in the order
+            middle = time[np.minimum(n // 2, len(time) - 1), states]
+            ready = middle * (1 + (1 - scores[:, nth] / 100.0) * late[goal])
+            place = ((time < ready) | ((time == ready) & (weight <= weights["readiness"]))).sum(axis=0)
+            first, last = np.floor((n + 1) * start), np.ceil((n + 1) * end)
+            top, bottom = np.zeros(len(states)), np.zeros(len(states))
+            for k in range(len(time) + 1):
+                kept, own, before = (k >= first) & (k < last), min(k, len(time) - 1), max(k - 1, 0)
+                t = np.where(k < place, time[own], np.where(k == place, ready, time[before]))
+                w = np.where(k < place, weight[own], np.where(k == place, weights["readiness"], weight[before]))
+                top += np.where(kept, t * w, 0.0)
+                bottom += np.where(kept, w, 0.0)
+            out[:, nth] = np.where((n > 0) & (bottom != 0), top / bottom, np.nan)
+    return out
 
-    def centred(m: Column) -> Column:
-        return bound(F.transform(bests, lambda p: F.struct((F.ln(p["km"]) - m).alias("x"), p["seconds"].alias("y"))), lambda rows: bound(sums(rows), lambda s: solved(m, s)))
 
-    return F.when(F.size(bests) >= 3, bound(total(bests, lambda p: F.ln(p["km"])) / F.size(bests), centred))
+def with_blends(state: DataFrame, kept: list[str], scores: list[Column], mood: str, weights: dict[str, float]) -> DataFrame:
+    """The columns ``kept`` of ``state`` and ``blends``: the mean prediction for each race of ``REFERENCES`` from ``bests, vdot`` and the races' ``scores``. Worked out in
+    numpy for a batch of states at a time."""
+    races = range(len(scores))
+    lists = [F.coalesce(F.col(f"bests.{c}"), F.array().cast("array<double>")).alias(f"_{c}") for c in ("km", "seconds", "target")]
+    wide = state.select(*kept, *lists, F.col("vdot").alias("_vdot"), *(s.cast("double").alias(f"_score_{k}") for k, s in enumerate(scores)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = dict(zip(batch.schema.names, batch.columns, strict=True))
+            size = np.diff(of["_km"].offsets.to_numpy())
+            column = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(column)) - np.repeat(np.cumsum(size) - size, size)
+            held = np.zeros((max(1, int(size.max(initial=0))), len(size)), bool)
+            held[place, column] = True
+            dense = []
+            for name, fill in (("_km", 1.0), ("_seconds", 0.0), ("_target", 0.0)):
+                table = np.full(held.shape, fill)
+                table[place, column] = of[name].flatten().to_numpy()
+                dense.append(table)
+            told = blends(*dense, held, of["_vdot"].to_numpy(zero_copy_only=False), np.stack([of[f"_score_{k}"].to_numpy(zero_copy_only=False) for k in races], axis=1), mood, weights)
+            values = pa.array(told.reshape(-1), from_pandas=True)
+            yield pa.RecordBatch.from_arrays([*(of[c] for c in kept), pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * told.shape[1]), values)], [*kept, "blends"])
+
+    return wide.mapInArrow(run, StructType([*(state.schema[c] for c in kept), StructField("blends", ArrayType(DoubleType()))]))
 
 
 def prediction_history(runs: DataFrame, keys: list[str], granularity: str = "month", mood: str = "realistic", weights: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -174,37 +268,18 @@ def prediction_history(runs: DataFrame, keys: list[str], granularity: str = "mon
     """
     ends = snapshots(runs, keys, granularity)
     own = [*keys, "period"]
-    trained = recent_training(runs, keys, ends)
-    state = ends.where("runs >= 2").join(bests_so_far(runs, keys, ends, granularity), own, "left").join(vdot_so_far(runs, keys, ends, granularity), own, "left").join(trained.drop("runs"), own, "left")
+    trained = recent_training(runs, keys, ends).drop("runs")
+    bests = [f"bests_{k}" for k in range(len(RACES))]
+    state = as_of([ends, bests_at_end(runs, keys, granularity), vdot_at_end(runs, keys, granularity), trained], keys, [*bests, "vdot"]).where("runs >= 2")
+    state = state.withColumn("bests", F.flatten(F.array_compact(F.array(*bests))))
     t = {c: F.col(c) for c in trained.columns}
     scores = {r[1]: F.coalesce(assessed(t, r)["score"], F.lit(0)) for r in REFERENCES}
-    late = {k: p for k, _, p in RACES}
-    goals = F.array(*(F.struct(F.lit(km).alias("km"), score.alias("score"), F.lit(late[km]).alias("late")) for km, score in scores.items()))
-    rows = state.withColumn("fit", curve(F.col("bests"))).withColumn("goal", F.explode(goals))
-    km, w = F.col("goal.km"), {k: F.lit(v) for k, v in weights.items()}
-    entry = lambda time, source: F.struct(time.alias("time"), w[source].alias("weight"))
-    x = F.ln(km) - F.col("fit.m")
-    curved = F.col("fit.a") + F.col("fit.b") * x + F.col("fit.c") * x * x
-    some = lambda value, source: bound(value, lambda v: F.when(v > 0, F.array(entry(v, source))).otherwise(F.array().cast("array<struct<time: double, weight: double>>")))
-    told = F.concat(
-        F.transform(F.filter("bests", lambda p: F.abs(p["km"] - km) >= 0.1), lambda p: entry(riegel(p["seconds"], p["km"], km), "riegel")), some(curved, "curve"),
-        F.transform(F.filter("bests", lambda p: p["target"] == km), lambda p: entry(p["seconds"], "best")), some(vdot_time(F.col("vdot"), km * 1000, NEWTON_STEPS), "vdot"),
-    )
-    start, end = MOODS[mood]
-
-    def with_readiness(t: Column) -> Column:
-        """The predictions by time, with the middle one made slower by what preparation lacks."""
-        middle = F.get(t, F.floor(F.size(t) / 2).cast("int"))["time"]
-        ready = entry(middle * (1 + (1 - F.col("goal.score") / 100.0) * F.col("goal.late")), "readiness")
-        return F.when(F.size(t) > 0, F.array_sort(F.concat(t, F.array(ready)))).otherwise(t)
-
-    def mean(every: Column) -> Column:
-        n = F.size(every)
-        kept = F.slice(every, F.floor(n * start).cast("int") + 1, (F.ceil(n * end) - F.floor(n * start)).cast("int"))
-        total = lambda f: (lambda t: F.aggregate(t, F.lit(0.0), lambda a, p: a + f(p)))
-        return bound(kept, lambda t: ratio(total(lambda p: p["time"] * p["weight"])(t), total(lambda p: p["weight"])(t)))
-
-    blended = rows.withColumn("blend", bound(bound(F.array_sort(told), with_readiness), mean))
-    near = Window.partitionBy(*keys, "km").orderBy("period").rowsBetween(-1, 1)
-    out = blended.select(*keys, "period", "end", "runs", km.alias("km"), "blend").withColumn("predicted", F.avg("blend").over(near))
+    told = with_blends(state, [*own, "end", "runs"], list(scores.values()), mood, weights)
+    # a row for each period until its neighbours are known, then one for each race
+    w, none = Window.partitionBy(*keys).orderBy("period"), F.array().cast("array<double>")
+    near = told.select(*own, "end", "runs", F.col("blends").alias("blend"), F.coalesce(F.lag("blends").over(w), none).alias("before"), F.coalesce(F.lead("blends").over(w), none).alias("after"))
+    raced = near.select(*own, "end", "runs", F.inline(F.arrays_zip(F.array(*map(F.lit, scores)).alias("km"), "blend", "before", "after")))
+    three = [F.col(c) for c in ("before", "blend", "after")]
+    predicted = sum((F.coalesce(x, F.lit(0.0)) for x in three), F.lit(0.0)) / F.nullif(sum((x.isNotNull().cast("int") for x in three), F.lit(0)), F.lit(0))
+    out = raced.select(*own, "end", "runs", "km", "blend", predicted.alias("predicted"))
     return out.withColumns({"low": F.col("predicted") * 0.95, "high": F.col("predicted") * 1.05})

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from paceline.functions import scalars as S
 from paceline.operators import forecast as P
 from paceline.operators import load, routes
 from paceline.streaming import folds
@@ -268,3 +269,17 @@ def test_every_insight_rule(spark):
     assert said(kind="cycling", watts=200.4, cycling=(210.5, 55, 812)) == {"power": "Average power: 200W", "np": "Normalized power: 211W", "tss": "Training Stress Score (TSS): 55", "climb_vam": "Best VAM on climbs: 812 m/h"} and list(said(watts=1.0)) == ["power"]
     assert said(hr=150.0, hr_max=170.0, hr_drift=5.5) == {"hr": "Average heart rate: 150 bpm (max 170 bpm)", "drift": "Heart rate drift: +6% (signs of fatigue)"} and "steady" in said(hr=150.0, hr_max=170.0, hr_drift=-6.0) and "drift" not in said(hr=150.0, hr_max=170.0, hr_drift=5.4)
     assert said(climbs=[(5, 1.0, 6.0, None), (1, 2.0, 6.0, 700.4), (9, 3.0, 5.0, 900.0)]) == {"hardest": "Hardest climb: 2.00km at 6.0%", "vam": "Best VAM: 900 m/h"}
+
+
+def test_predictions_are_worked_out_for_a_batch_of_states_at_a_time(spark):
+    import numpy as np
+
+    scores = [12.0, 33.3, 52.0, 79.9, None, -1.0, 0.0]
+    for metres in (1609.0, 10000.0, 42195.0):
+        want = [r[0] for r in spark.createDataFrame([(k, s) for k, s in enumerate(scores)], "k int, s double").orderBy("k").select(S.vdot_time(F.col("s"), F.lit(metres), P.NEWTON_STEPS)).collect()]
+        got = P.times_at(np.array([np.nan if s is None else s for s in scores]), metres).tolist()
+        assert [None if math.isnan(x) else x for x in got] == [None if x is None else pytest.approx(x, rel=1e-12) for x in want]
+    plan = P.prediction_history(spark.createDataFrame(runs_of(5, 20), COLUMNS), ["athlete_id"])._jdf.queryExecution().optimizedPlan().toString()
+    # predictions are numpy's, a row for each race is made after them, and the parts of a state are stacked: only training meets the periods in a join
+    assert plan.count("MapInArrow") == 1 and "aggregate(" not in plan
+    assert plan.index("Generate") < plan.index("MapInArrow") and plan.count("Join ") == 1
